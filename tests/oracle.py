@@ -40,6 +40,36 @@ def _norm(v):
     return v
 
 
+def spark_types(df):
+    m = {"IntegerType": "int32", "LongType": "int64", "DoubleType": "float64", "StringType": "str",
+         "TimestampNTZType": "ts", "TimestampType": "ts", "BooleanType": "bool", "DateType": "date",
+         "ShortType": "int16", "ByteType": "int8", "FloatType": "float32"}
+    out = {}
+    for f in df.schema.fields:
+        n = type(f.dataType).__name__
+        out[f.name] = m.get(n, n.replace("Type", "").lower())
+    return out
+
+
+def duck_types(con, sql):
+    m = {"INTEGER": "int32", "BIGINT": "int64", "DOUBLE": "float64", "VARCHAR": "str", "TIMESTAMP": "ts",
+         "BOOLEAN": "bool", "DATE": "date", "SMALLINT": "int16", "TINYINT": "int8", "FLOAT": "float32",
+         "HUGEINT": "int128"}
+    rel = con.sql(sql)
+    out = {}
+    for n, t in zip(rel.columns, rel.types):
+        t = str(t)
+        if t.endswith("[]"):
+            out[n] = "array"
+        elif t.startswith("STRUCT"):
+            out[n] = "struct"
+        elif t.startswith("DECIMAL"):
+            out[n] = "decimal"
+        else:
+            out[n] = m.get(t, t.lower())
+    return out
+
+
 def rows_spark(df):
     cols = sorted(df.columns)
     return cols, sorted((tuple(_norm(r[c]) for c in cols) for r in df.collect()), key=repr)
@@ -53,7 +83,10 @@ def rows_duck(con, sql):
     return cols, sorted((tuple(_norm(r[i]) for i in idx) for r in rel.fetchall()), key=repr)
 
 
-def compare(df, con, sql):
+def compare(df, con, sql, check_types=True):
+    if check_types:
+        st, dt = spark_types(df), duck_types(con, sql)
+        assert st == dt, f"types differ: spark={st} duck={dt}"
     sc, sr = rows_spark(df)
     dc, dr = rows_duck(con, sql)
     assert sc == dc, f"columns differ: spark={sc} duck={dc}"
