@@ -146,3 +146,391 @@ def backfill_outcomes(f: Fixtures) -> DataFrame:
 @query("batch_summary")
 def q_batch_summary(spark, sf_dir):
     return batch_summary(backfill_outcomes(fx(spark, sf_dir)))
+
+
+# ======================================================================
+# shared derived inputs
+from ..functions.events import parse_event, project_record, to_event  # noqa: E402
+from ..operators import dlq as dlqops  # noqa: E402
+from ..operators import events as evops  # noqa: E402
+from ..operators import monitor as mon  # noqa: E402
+from ..operators import search as srch  # noqa: E402
+from ..operators.derive import derive_changes, mutation_state, snapshot_diff  # noqa: E402
+from ..operators.gate import current_state  # noqa: E402
+from ..operators.outcomes import flatten_bulk, route_outcomes, sink_totals, written_ids  # noqa: E402
+from ..sources.fixtures import products_from_part  # noqa: E402
+
+
+def consumed(f: Fixtures) -> DataFrame:
+    """The consumer's event store after consuming every delivery once:
+    parsed, first delivery per event id, consumed when the change was made."""
+    good = parse_event(f.deliveries).where(F.col("error").isNull())
+    first = evops.dedupe_first(good.select("event_id", "delivery_id", "product_id", "op", "version",
+                                           F.col("body").alias("payload")))
+    t = f.change_log.select("product_id", "version", F.col("changed_at").alias("consumed_at"))
+    return first.join(t, ["product_id", "version"], "left").select(
+        "event_id", "product_id", "op", "version", "payload", "consumed_at")
+
+
+def midpoint_ts(df: DataFrame, col: str):
+    """Middle of a timestamp column's range (scalar subquery)."""
+    us = F.unix_micros(F.min(col).cast("timestamp")) + F.unix_micros(F.max(col).cast("timestamp"))
+    return df.agg(F.timestamp_micros(F.floor(us / 2).cast("long")).cast("timestamp_ntz")).scalar()
+
+
+def large_store(f: Fixtures) -> DataFrame:
+    """Events already stored: the large log up to the middle of its time range."""
+    e = f.event_log_large
+    return e.where(F.col("consumed_at") < midpoint_ts(e, "consumed_at"))
+
+
+def now_col(f: Fixtures):
+    return as_of(f)
+
+
+def half_cursor(f: Fixtures):
+    """The committed cursor the part-way document sink corresponds to."""
+    return f.change_log.agg(F.floor(F.max("seq") / 2).cast("long")).scalar()
+
+
+# ---------------------------------------------------------------- 2.3 projections / predicates
+@query("project_record")
+def q_project_record(spark, sf_dir):
+    return project_record(fx(spark, sf_dir).products)
+
+
+@query("to_event")
+def q_to_event(spark, sf_dir):
+    f = fx(spark, sf_dir)
+    rows = join_changes_current(collapse_changes(safe_changes(f)), f.products)
+    ev = to_event(rows, emitted_at=as_of(f))
+    return ev.select("event_id", "product_id", "op", "version", F.col("product.name").alias("name"), "emitted_at")
+
+
+@query("parse_event")
+def q_parse_event(spark, sf_dir):
+    return parse_event(fx(spark, sf_dir).deliveries).select(
+        "delivery_id", "event_id", "product_id", "op", "version", "error")
+
+
+def bulk_response(f: Fixtures) -> DataFrame:
+    """Raw bulk responses (JSON text, one per 500 items) built from the item table."""
+    it = f.bulk_items
+    err = F.when(F.col("error").isNotNull(), F.struct(
+        F.col("error").alias("type"),
+        F.concat(F.lit("rejected item "), F.col("id").cast("string")).alias("reason"),
+        F.when(F.col("status") == 400, F.struct(F.lit("illegal_argument_exception").alias("type"),
+                                                F.lit("bad value").alias("reason"))).alias("caused_by")))
+    action = F.struct(F.col("id").cast("string").alias("_id"), F.col("status").alias("status"), err.alias("error"))
+    wrapper = F.struct(F.when(F.col("id") % 5 == 0, action).alias("create"),
+                       F.when(F.col("id") % 5 != 0, action).alias("index"))
+    return (it.select(F.floor((F.col("id") - 1) / PAGE).alias("batch"), F.col("id"), F.to_json(wrapper).alias("w"))
+            .groupBy("batch")
+            .agg(F.concat(F.lit("["), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", "w"))),
+                                                               lambda x: x["w"]), ","), F.lit("]")).alias("items")))
+
+
+@query("flatten_bulk")
+def q_flatten_bulk(spark, sf_dir):
+    return flatten_bulk(bulk_response(fx(spark, sf_dir)))
+
+
+@query("route_outcomes")
+def q_route_outcomes(spark, sf_dir):
+    routes = route_outcomes(classify_outcomes(fx(spark, sf_dir).bulk_items))
+    out = None
+    for name, df in routes.items():
+        r = df.agg(F.lit(name).alias("route"), F.count(F.lit(1)).alias("n"))
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
+@query("filter_live")
+def q_filter_live(spark, sf_dir):
+    return fx(spark, sf_dir).products.where(F.col("deleted_at").isNull()).select("id", "version")
+
+
+@query("filter_id_or_category")
+def q_filter_id_or_category(spark, sf_dir):
+    return srch.filter_id_or_category(fx(spark, sf_dir).products, "", "economy").select("id", "category")
+
+
+@query("filter_open_dlq")
+def q_filter_open_dlq(spark, sf_dir):
+    return dlqops.filter_open(fx(spark, sf_dir).dlq, "es").select("record_id", "attempts")
+
+
+# ---------------------------------------------------------------- 2.4 joins
+@query("anti_absent")
+def q_anti_absent(spark, sf_dir):
+    f = fx(spark, sf_dir)
+    return evops.anti_absent(f.event_log_large, large_store(f)).select("event_id", "op", "consumed_at")
+
+
+@query("insert_if_absent")
+def q_insert_if_absent(spark, sf_dir):
+    f = fx(spark, sf_dir)
+    return evops.insert_if_absent(f.event_log_large, large_store(f), order=["consumed_at", "op"]).select(
+        "event_id", "product_id", "version", "op", "consumed_at")
+
+
+@query("insert_counts")
+def q_insert_counts(spark, sf_dir):
+    f = fx(spark, sf_dir)
+    return evops.insert_counts(f.event_log_large, large_store(f))
+
+
+@query("replay_missing")
+def q_replay_missing(spark, sf_dir):
+    f = fx(spark, sf_dir)
+    return dlqops.replay_missing(dlqops.filter_open(f.dlq), f.products)
+
+
+@query("requested_minus_found")
+def q_requested_minus_found(spark, sf_dir):
+    f = fx(spark, sf_dir)
+    return f.dlq.select(F.col("record_id").alias("id")).exceptAll(f.products.select("id"))
+
+
+@query("reject_payload_join")
+def q_reject_payload_join(spark, sf_dir):
+    """Rejected records with their payload carried beside the outcome (no join back)."""
+    f = fx(spark, sf_dir)
+    out = backfill_outcomes(f)
+    return out.where(F.col("outcome") == "dlq").select("id", "version", "error", "attributes")
+
+
+@query("auto_resolve")
+def q_auto_resolve(spark, sf_dir):
+    f = fx(spark, sf_dir)
+    return dlqops.auto_resolve(f.dlq, written_ids(backfill_outcomes(f)), "es", now_col(f))
+
+
+@query("written_ids")
+def q_written_ids(spark, sf_dir):
+    return written_ids(backfill_outcomes(fx(spark, sf_dir)))
+
+
+# ---------------------------------------------------------------- 2.5 aggregations
+@query("event_counts")
+def q_event_counts(spark, sf_dir):
+    return evops.event_counts(fx(spark, sf_dir).event_log_large)
+
+
+@query("dlq_counts")
+def q_dlq_counts(spark, sf_dir):
+    return dlqops.dlq_counts(fx(spark, sf_dir).dlq)
+
+
+@query("lag")
+def q_lag(spark, sf_dir):
+    f = fx(spark, sf_dir)
+    return mon.lag(f.change_log, half_cursor(f), as_of(f))
+
+
+@query("facet_counts")
+def q_facet_counts(spark, sf_dir):
+    return srch.facet_counts(fx(spark, sf_dir).products)
+
+
+@query("version_sum")
+def q_version_sum(spark, sf_dir):
+    f = fx(spark, sf_dir)
+    return (f.products.agg(mon.version_sum(f.products).alias("source_version_sum"))
+            .withColumn("docs_version_sum", f.docs_old.agg(mon.version_sum(f.docs_old)).scalar())
+            .withColumn("source_max_version", f.products.agg(F.max("version")).scalar()))
+
+
+@query("sink_totals")
+def q_sink_totals(spark, sf_dir):
+    f = fx(spark, sf_dir)
+    docs = backfill_outcomes(f).withColumn("sink", F.lit("es"))
+    ev = backfill_outcomes(f).select("mode", "batch_id", "id").withColumn("sink", F.lit("rabbitmq")) \
+        .withColumn("outcome", F.lit("ok"))
+    return sink_totals(docs.select("sink", "mode", "batch_id", "outcome").unionByName(
+        ev.select("sink", "mode", "batch_id", "outcome")))
+
+
+@query("consumer_totals")
+def q_consumer_totals(spark, sf_dir):
+    """One consumer batch over all deliveries against a store already holding
+    the first half of the log: received, malformed, unique, stored, duplicates."""
+    f = fx(spark, sf_dir)
+    parsed = parse_event(f.deliveries)
+    good = parsed.where(F.col("error").isNull())
+    store = consumed(f).join(f.change_log.where(F.col("seq") <= half_cursor(f))
+                             .select("product_id", "version"), ["product_id", "version"], "left_semi")
+    c = evops.insert_counts(good, store)
+    return c.withColumn("malformed", parsed.where(F.col("error").isNotNull()).agg(F.count(F.lit(1))).scalar()) \
+            .withColumn("received", F.col("received") + F.col("malformed")) \
+            .withColumn("duplicates", F.col("received") - F.col("malformed") - F.col("stored"))
+
+
+# ---------------------------------------------------------------- 2.6 windows
+@query("sliding_rate")
+def q_sliding_rate(spark, sf_dir):
+    return mon.sliding_rate(fx(spark, sf_dir).rate_samples)
+
+
+@query("dedupe_first")
+def q_dedupe_first(spark, sf_dir):
+    good = parse_event(fx(spark, sf_dir).deliveries).where(F.col("error").isNull())
+    return evops.dedupe_first(good.select("event_id", "delivery_id", "product_id", "version"))
+
+
+@query("derive_changes")
+def q_derive_changes(spark, sf_dir):
+    return derive_changes(fx(spark, sf_dir).mutations)
+
+
+@query("apply_mutations")
+def q_apply_mutations(spark, sf_dir):
+    return fx(spark, sf_dir).products.select("id", "stock", "version", "updated_at", "deleted_at")
+
+
+@query("snapshot_diff")
+def q_snapshot_diff(spark, sf_dir):
+    """Changes between the source at the half-way cursor and now."""
+    f = fx(spark, sf_dir)
+    h = half_cursor(f)
+    m = f.mutations.where(F.col("seq") <= h)
+    old = products_from_part(f.t("part"), mutation_state(m, f.change_log.where(F.col("seq") <= h)), f.first_ts)
+    cols = ["stock", "version", "updated_at", "deleted_at"]
+    return snapshot_diff(old.select("id", *cols), f.products.select("id", *cols)).select("id", "op", "version")
+
+
+@query("last_n_per_key")
+def q_last_n_per_key(spark, sf_dir):
+    out = evops.last_n_per_key(consumed(fx(spark, sf_dir)))
+    return out.select("product_id", "event_id", "version", F.col("rn").cast("long").alias("rn"))
+
+
+# ---------------------------------------------------------------- 2.7 sorts / top-k / paging
+@query("recent_events")
+def q_recent_events(spark, sf_dir):
+    return evops.recent_events(consumed(fx(spark, sf_dir)), 50)
+
+
+@query("dlq_list")
+def q_dlq_list(spark, sf_dir):
+    return dlqops.dlq_list(fx(spark, sf_dir).dlq, "open", 100).select("record_id", "updated_at", "attempts")
+
+
+@query("dlq_open_ids")
+def q_dlq_open_ids(spark, sf_dir):
+    return dlqops.dlq_open_ids(fx(spark, sf_dir).dlq)
+
+
+@query("browse_page")
+def q_browse_page(spark, sf_dir):
+    return srch.browse_page(fx(spark, sf_dir).products, 3, 25).select("id", "updated_at", "total")
+
+
+@query("random_sample")
+def q_random_sample(spark, sf_dir):
+    return srch.random_sample(fx(spark, sf_dir).products, 25, 42).select("id", "version")
+
+
+# ---------------------------------------------------------------- 2.8 search
+@query("search_docs")
+def q_search_docs(spark, sf_dir):
+    return srch.search_docs(spark, fx(spark, sf_dir).products, "gear").select("id", "total")
+
+
+@query("search_docs_keyword")
+def q_search_docs_keyword(spark, sf_dir):
+    return srch.search_docs(spark, fx(spark, sf_dir).products, "Brand#13", "economy").select("id", "total")
+
+
+@query("search_scored")
+def q_search_scored(spark, sf_dir):
+    return srch.search_scored(spark, fx(spark, sf_dir).products, "blue gear")
+
+
+@query("search_scored_documents")
+def q_search_scored_documents(spark, sf_dir):
+    """BM25 over the whole ``documents`` corpus (one text field)."""
+    docs = fx(spark, sf_dir).t("documents").select(F.col("doc_id").alias("id"), F.lit("text").alias("field"), "text")
+    s = srch.bm25(spark, docs, "the river of ouen")
+    return s.orderBy(F.col("score").desc(), F.col("id").asc()).limit(50)
+
+
+# ---------------------------------------------------------------- DLQ life cycle (pure forms)
+def backfill_rejects(f: Fixtures) -> DataFrame:
+    return backfill_outcomes(f).where(F.col("outcome") == "dlq").select("id", "version", "error")
+
+
+@query("dlq_upsert")
+def q_dlq_upsert(spark, sf_dir):
+    f = fx(spark, sf_dir)
+    return dlqops.dlq_upsert(f.dlq, backfill_rejects(f), "es", "backfill-run-1", "backfill", now_col(f))
+
+
+@query("dlq_resolve")
+def q_dlq_resolve(spark, sf_dir):
+    f = fx(spark, sf_dir)
+    gone = dlqops.replay_missing(f.dlq, f.products)
+    return dlqops.dlq_resolve(f.dlq, gone, "es", now_col(f))
+
+
+@query("dlq_bump")
+def q_dlq_bump(spark, sf_dir):
+    f = fx(spark, sf_dir)
+    return dlqops.dlq_bump(f.dlq, backfill_rejects(f), "es", now_col(f))
+
+
+# ---------------------------------------------------------------- 2.12 monitoring / quality
+@query("reconcile")
+def q_reconcile(spark, sf_dir):
+    f = fx(spark, sf_dir)
+    return mon.reconcile(f.products, f.docs_old, consumed(f))
+
+
+@query("store_in_sync")
+def q_store_in_sync(spark, sf_dir):
+    f = fx(spark, sf_dir)
+    return mon.store_in_sync(f.products, f.docs_old)
+
+
+@query("record_trace")
+def q_record_trace(spark, sf_dir):
+    f = fx(spark, sf_dir)
+    return mon.record_trace(f.products.select("id"), f.products, f.docs_old, consumed(f), f.dlq)
+
+
+@query("scalar_functions")
+def q_scalar_functions(spark, sf_dir):
+    """The scalar expressions the replication uses, over ``part``."""
+    p = fx(spark, sf_dir).t("part")
+    k = F.col("p_partkey")
+    brands = F.array(*[F.lit(b) for b in src.BRANDS])
+    return p.select(
+        k.alias("k"),
+        F.concat(F.lit("SKU-"), F.lpad((k + 1).cast("string"), 9, "0")).alias("sku"),
+        F.element_at(brands, (k % 8 + 1).cast("int")).alias("brand"),
+        F.repeat(F.md5(k.cast("string")), 2).alias("filler"),
+        F.round(F.col("p_retailprice") / 7, 3).alias("rounded"),
+        F.round(F.col("p_retailprice")).cast("long").alias("as_int"),
+        F.floor(F.col("p_retailprice") / 7).cast("long").alias("floored"),
+        F.greatest(F.lit(0), F.col("p_size") - 25).cast("long").alias("clamped"),
+        F.least(F.lit(100.0), F.round(F.col("p_size") / 50 * 1000) / 10).alias("pct"),
+        F.when(F.col("p_name").like("%gear%"), "gear").when(F.col("p_size").between(1, 10), "small")
+         .when(F.col("p_brand").isin("Brand#1", "Brand#2"), "low").otherwise("other").alias("kind"),
+        F.left(F.col("p_type"), F.lit(3)).alias("type3"),
+        F.trim(F.concat(F.lit("  "), F.col("p_name"), F.lit(" "))).alias("trimmed"),
+        F.col("p_name").rlike(r"^\d+$").alias("is_digits"),
+        F.coalesce(F.get_json_object(F.concat(F.lit('{"product":{"name":"'), F.col("p_name"), F.lit('"}}')),
+                                     "$.product.name"), F.lit("?")).alias("json_name"),
+    )
+
+
+@query("generate_rows")
+def q_generate_rows(spark, sf_dir):
+    """The row generator over a key set Spark derives from ``orders`` (it
+    scales with the table); only the deterministic columns are compared."""
+    keys = fx(spark, sf_dir).t("orders").select((F.col("o_orderkey") + 1).alias("id"))
+    rows = src.product_rows(keys)
+    return rows.select("id", "sku", "name", "category",
+                       F.get_json_object("attributes", "$.brand").alias("brand"),
+                       F.get_json_object("attributes", "$.color").alias("color"),
+                       F.get_json_object("attributes", "$.description").alias("description"))

@@ -98,3 +98,336 @@ SELECT mode, batch_id, CAST(count_if(outcome = 'ok') AS BIGINT) AS written,
        CAST(count_if(outcome = 'dlq') AS BIGINT) AS dlq, CAST(count_if(outcome = 'retry') AS BIGINT) AS retry,
        CAST(1 AS BIGINT) AS attempts
 FROM ({BACKFILL_OUTCOMES}) o GROUP BY mode, batch_id""")
+
+
+# ======================================================================
+# shared derived inputs
+def _num(path: str) -> str:
+    x = f"TRY_CAST(json_extract_string(jb, '{path}') AS DOUBLE)"
+    return (f"CASE WHEN json_type(jb, '{path}') IN ('UBIGINT', 'BIGINT', 'DOUBLE', 'VARCHAR') "
+            f"AND isfinite({x}) THEN {x} END")
+
+
+def _present(path: str) -> str:
+    return f"COALESCE(json_type(jb, '{path}'), 'NULL') <> 'NULL'"
+
+
+PARSED = f"""
+SELECT delivery_id, message_id, body,
+       CASE WHEN error IS NULL THEN eid END AS event_id,
+       CASE WHEN error IS NULL THEN CAST(round(pid) AS BIGINT) END AS product_id,
+       CASE WHEN error IS NULL THEN op0 END AS op,
+       CASE WHEN error IS NULL THEN CAST(round(ver) AS BIGINT) END AS version,
+       error
+FROM (
+  SELECT *, CASE WHEN jb IS NULL THEN 'invalid json'
+                 WHEN json_type(jb) NOT IN ('OBJECT', 'ARRAY') THEN 'body is not an object'
+                 WHEN eid IS NULL THEN 'missing event_id'
+                 WHEN pid IS NULL OR ver IS NULL THEN 'missing product_id/version' END AS error
+  FROM (
+    SELECT *,
+      CASE WHEN json_type(jb, '$.event_id') = 'VARCHAR' AND json_extract_string(jb, '$.event_id') <> ''
+             THEN json_extract_string(jb, '$.event_id')
+           WHEN message_id <> '' THEN message_id END AS eid,
+      CASE WHEN {_present('$.product_id')} THEN {_num('$.product_id')} ELSE {_num('$.product.id')} END AS pid,
+      CASE WHEN {_present('$.version')} THEN {_num('$.version')} ELSE {_num('$.product.version')} END AS ver,
+      CASE WHEN json_type(jb, '$.op') = 'VARCHAR' THEN json_extract_string(jb, '$.op') ELSE 'update' END AS op0
+    FROM (SELECT *, CASE WHEN COALESCE(json_valid(body), false) THEN body END AS jb FROM fx_deliveries) d0
+  ) d1
+) d2"""
+
+GOOD = "SELECT * FROM parsed WHERE error IS NULL"
+CONSUMED = """
+SELECT f.event_id, f.product_id, f.op, f.version, f.payload, c.changed_at AS consumed_at
+FROM (SELECT event_id, arg_min(product_id, delivery_id) AS product_id, arg_min(op, delivery_id) AS op,
+             arg_min(version, delivery_id) AS version, arg_min(body, delivery_id) AS payload
+      FROM parsed WHERE error IS NULL GROUP BY event_id) f
+LEFT JOIN fx_change_log c ON c.product_id = f.product_id AND c.version = f.version"""
+P_CTES = (("parsed", PARSED),)
+C_CTES = (("parsed", PARSED), ("consumed", CONSUMED))
+
+MID = """(SELECT make_timestamp(CAST(floor((epoch_us(MIN(consumed_at)) + epoch_us(MAX(consumed_at))) / 2) AS BIGINT))
+          FROM fx_event_log_large)"""
+LARGE_STORE = f"SELECT * FROM fx_event_log_large WHERE consumed_at < {MID}"
+NOW = AS_OF
+HALF = "(SELECT CAST(floor(MAX(seq) / 2) AS BIGINT) FROM fx_change_log)"
+
+# ---------------------------------------------------------------- 2.3
+ORACLE["project_record"] = W("""
+SELECT id, sku, name, category, CAST(price AS DOUBLE) AS price, stock, attributes, version, updated_at, deleted_at
+FROM fx_products""")
+ORACLE["to_event"] = W(f"""
+SELECT CAST(p.id AS VARCHAR) || ':' || CAST(p.version AS VARCHAR) AS event_id, p.id AS product_id,
+       COALESCE(c.op, 'update') AS op, p.version, p.name, {AS_OF} AS emitted_at
+FROM fx_products p JOIN ({COLLAPSED}) c ON c.product_id = p.id""")
+ORACLE["parse_event"] = W("SELECT delivery_id, event_id, product_id, op, version, error FROM parsed", *P_CTES)
+ORACLE["flatten_bulk"] = W("""
+SELECT id, status,
+       CASE WHEN error IS NOT NULL THEN error || ': rejected item ' || CAST(id AS VARCHAR)
+            || CASE WHEN status = 400 THEN ' (illegal_argument_exception: bad value)' ELSE '' END END AS error
+FROM fx_bulk_items""")
+ORACLE["route_outcomes"] = W("""
+SELECT r.route, COALESCE(c.n, 0) AS n FROM (VALUES ('ok'), ('duplicate'), ('retry'), ('dlq')) r(route)
+LEFT JOIN (SELECT CASE WHEN status >= 200 AND status < 300 THEN 'ok' WHEN status = 409 THEN 'duplicate'
+                       WHEN status = 429 OR status >= 500 THEN 'retry' ELSE 'dlq' END AS route, count(*) AS n
+           FROM fx_bulk_items GROUP BY 1) c ON c.route = r.route""")
+ORACLE["filter_live"] = W("SELECT id, version FROM fx_products WHERE deleted_at IS NULL")
+ORACLE["filter_id_or_category"] = W("SELECT id, category FROM fx_products WHERE category = 'economy'")
+ORACLE["filter_open_dlq"] = W("SELECT record_id, attempts FROM fx_dlq WHERE sink = 'es' AND status = 'open'")
+
+# ---------------------------------------------------------------- 2.4
+ORACLE["anti_absent"] = W(f"""
+SELECT event_id, op, consumed_at FROM fx_event_log_large b
+WHERE NOT EXISTS (SELECT 1 FROM ({LARGE_STORE}) s WHERE s.event_id = b.event_id)""")
+ORACLE["insert_if_absent"] = W(f"""
+SELECT event_id, product_id, version, op, consumed_at FROM (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY event_id ORDER BY consumed_at, op) AS rn FROM fx_event_log_large) b
+WHERE rn = 1 AND event_id NOT IN (SELECT event_id FROM ({LARGE_STORE}) s)""")
+ORACLE["insert_counts"] = W(f"""
+SELECT CAST(count(*) AS BIGINT) AS received, CAST(count(DISTINCT event_id) AS BIGINT) AS unique,
+       CAST((SELECT count(DISTINCT event_id) FROM fx_event_log_large
+             WHERE event_id NOT IN (SELECT event_id FROM ({LARGE_STORE}) s)) AS BIGINT) AS stored,
+       CAST(count(*) - (SELECT count(DISTINCT event_id) FROM fx_event_log_large
+             WHERE event_id NOT IN (SELECT event_id FROM ({LARGE_STORE}) s)) AS BIGINT) AS duplicates
+FROM fx_event_log_large""")
+ORACLE["replay_missing"] = W("""
+SELECT DISTINCT record_id AS id FROM fx_dlq WHERE sink = 'es' AND status = 'open'
+  AND record_id NOT IN (SELECT id FROM fx_products)""")
+ORACLE["requested_minus_found"] = W("SELECT record_id AS id FROM fx_dlq WHERE record_id NOT IN (SELECT id FROM fx_products)")
+REJECTS = f"SELECT id, version, error, attributes FROM ({BACKFILL_OUTCOMES.replace('p.id, p.version,', 'p.id, p.version, p.error, p.attributes,')}) o WHERE outcome = 'dlq'"
+ORACLE["reject_payload_join"] = W(REJECTS)
+WRITTEN = f"SELECT DISTINCT id FROM ({BACKFILL_OUTCOMES}) o WHERE outcome IN ('ok', 'duplicate')"
+ORACLE["written_ids"] = W(WRITTEN)
+ORACLE["auto_resolve"] = W(f"""
+SELECT sink, record_id, version, error, batch_id, mode, attempts,
+       CASE WHEN status = 'open' AND record_id IN ({WRITTEN}) THEN 'resolved' ELSE status END AS status,
+       CASE WHEN status = 'open' AND record_id IN ({WRITTEN}) THEN {NOW} ELSE updated_at END AS updated_at
+FROM fx_dlq""")
+
+# ---------------------------------------------------------------- 2.5
+ORACLE["event_counts"] = W("""
+SELECT count(*) AS events, count(DISTINCT product_id) AS products, count(DISTINCT event_id) AS event_ids
+FROM fx_event_log_large""")
+ORACLE["dlq_counts"] = W("""
+SELECT CAST(count_if(sink = 'es') AS BIGINT) AS es, CAST(count_if(sink = 'rabbitmq') AS BIGINT) AS rabbitmq
+FROM fx_dlq WHERE status = 'open'""")
+ORACLE["lag"] = W(f"""
+SELECT CAST(COALESCE(MAX(seq), 0) AS BIGINT) AS max_seq,
+       CAST(greatest(0, COALESCE(MAX(seq), 0) - {HALF}) AS BIGINT) AS lag_seq,
+       CAST(count_if(seq > {HALF}) AS BIGINT) AS lag_rows,
+       COALESCE(round((epoch_us({AS_OF}) - epoch_us(MIN(CASE WHEN seq > {HALF} THEN changed_at END))) / 1e6, 1), 0.0)
+         AS lag_seconds
+FROM fx_change_log""")
+ORACLE["facet_counts"] = W("""
+SELECT category AS key, count(*) AS count FROM fx_products GROUP BY category ORDER BY count DESC, key LIMIT 50""")
+ORACLE["version_sum"] = W("""
+SELECT CAST(COALESCE(SUM(version), 0) AS BIGINT) AS source_version_sum,
+       (SELECT CAST(COALESCE(SUM(version), 0) AS BIGINT) FROM fx_docs_old) AS docs_version_sum,
+       MAX(version) AS source_max_version
+FROM fx_products""")
+ORACLE["sink_totals"] = W(f"""
+SELECT 'es' AS sink, mode, CAST(count_if(outcome = 'ok') AS BIGINT) AS written,
+       CAST(count_if(outcome = 'duplicate') AS BIGINT) AS duplicates, CAST(count_if(outcome = 'dlq') AS BIGINT) AS dlq,
+       count(DISTINCT batch_id) AS batches
+FROM ({BACKFILL_OUTCOMES}) o GROUP BY mode
+UNION ALL
+SELECT 'rabbitmq', mode, count(*), CAST(0 AS BIGINT), CAST(0 AS BIGINT), count(DISTINCT batch_id)
+FROM ({BACKFILL_OUTCOMES}) o GROUP BY mode""")
+STORE_HALF = f"""SELECT * FROM consumed c WHERE EXISTS (SELECT 1 FROM fx_change_log l WHERE l.seq <= {HALF}
+                 AND l.product_id = c.product_id AND l.version = c.version)"""
+ORACLE["consumer_totals"] = W(f"""
+SELECT CAST(g.n + m.n AS BIGINT) AS received, u.n AS unique, s.n AS stored,
+       CAST(g.n - s.n AS BIGINT) AS duplicates, m.n AS malformed
+FROM (SELECT count(*) AS n FROM parsed WHERE error IS NULL) g,
+     (SELECT count(*) AS n FROM parsed WHERE error IS NOT NULL) m,
+     (SELECT count(DISTINCT event_id) AS n FROM parsed WHERE error IS NULL) u,
+     (SELECT count(DISTINCT event_id) AS n FROM parsed WHERE error IS NULL
+        AND event_id NOT IN (SELECT event_id FROM ({STORE_HALF}) h)) s""", *C_CTES)
+
+# ---------------------------------------------------------------- 2.6
+ORACLE["sliding_rate"] = W("""
+SELECT mode, t_ms, CAST(round(s / greatest(1000, t_ms - f) * 1000) AS BIGINT) AS rate FROM (
+  SELECT mode, t_ms,
+         SUM(n) OVER (PARTITION BY mode ORDER BY t_ms RANGE BETWEEN 10000 PRECEDING AND CURRENT ROW) AS s,
+         MIN(t_ms) OVER (PARTITION BY mode ORDER BY t_ms RANGE BETWEEN 10000 PRECEDING AND CURRENT ROW) AS f
+  FROM fx_rate_samples) r""")
+ORACLE["dedupe_first"] = W("""
+SELECT event_id, MIN(delivery_id) AS delivery_id, arg_min(product_id, delivery_id) AS product_id,
+       arg_min(version, delivery_id) AS version
+FROM parsed WHERE error IS NULL GROUP BY event_id""", *P_CTES)
+ORACLE["derive_changes"] = W("SELECT * FROM fx_change_log")
+ORACLE["apply_mutations"] = W("SELECT id, stock, version, updated_at, deleted_at FROM fx_products")
+
+from .fixture_sql import FX  # noqa: E402
+
+OLD_PRODUCTS = FX["fx_products"].replace(
+    "FROM fx_mutations f JOIN fx_change_log c",
+    f"FROM (SELECT * FROM fx_mutations WHERE seq <= {HALF}) f JOIN fx_change_log c")
+ORACLE["snapshot_diff"] = W("""
+SELECT id, op, version FROM (
+  SELECT COALESCE(n.id, o.id) AS id,
+         CASE WHEN o.id IS NULL THEN 'insert' WHEN n.id IS NULL THEN 'gone'
+              WHEN o.deleted_at IS NULL AND n.deleted_at IS NOT NULL THEN 'delete'
+              WHEN o.stock IS DISTINCT FROM n.stock OR o.version IS DISTINCT FROM n.version
+                OR o.updated_at IS DISTINCT FROM n.updated_at OR o.deleted_at IS DISTINCT FROM n.deleted_at
+              THEN 'update' END AS op,
+         n.version
+  FROM old_products o FULL OUTER JOIN fx_products n ON o.id = n.id) x
+WHERE op IS NOT NULL""", ("old_products", OLD_PRODUCTS))
+ORACLE["last_n_per_key"] = W("""
+SELECT product_id, event_id, version, rn FROM (
+  SELECT product_id, event_id, version,
+         ROW_NUMBER() OVER (PARTITION BY product_id ORDER BY version DESC, event_id ASC) AS rn FROM consumed) x
+WHERE rn <= 10""", *C_CTES)
+
+# ---------------------------------------------------------------- 2.7
+ORACLE["recent_events"] = W("""
+SELECT event_id, product_id, op, version, consumed_at, json_extract_string(payload, '$.product.name') AS name
+FROM consumed ORDER BY consumed_at DESC, event_id ASC LIMIT 50""", *C_CTES)
+ORACLE["dlq_list"] = W("""
+SELECT record_id, updated_at, attempts FROM fx_dlq WHERE status = 'open'
+ORDER BY updated_at DESC, record_id ASC LIMIT 100""")
+ORACLE["dlq_open_ids"] = W("SELECT record_id FROM fx_dlq WHERE sink = 'es' AND status = 'open' ORDER BY record_id")
+ORACLE["browse_page"] = W("""
+SELECT id, updated_at, (SELECT count(*) FROM fx_products) AS total FROM fx_products
+ORDER BY updated_at DESC, id ASC LIMIT 25 OFFSET 50""")
+ORACLE["random_sample"] = W("""
+SELECT id, version FROM fx_products WHERE deleted_at IS NULL ORDER BY md5(CAST(id AS VARCHAR) || '42') LIMIT 25""")
+
+# ---------------------------------------------------------------- 2.8 search
+TOK = r"'[\p{L}\p{N}]+'"
+
+
+def toks(x: str) -> str:
+    return f"regexp_extract_all(lower({x}), {TOK})"
+
+
+def search_sql(q: str, category: str | None = None) -> str:
+    qt = toks(f"'{q}'")
+    cat = f" AND category = '{category}'" if category else ""
+    return f"""
+SELECT id, count(*) OVER () AS total FROM fx_products
+WHERE (list_has_any({toks('name')}, {qt})
+   OR list_has_any({toks("json_extract_string(attributes, '$.description')")}, {qt})
+   OR sku = '{q}' OR json_extract_string(attributes, '$.brand') = '{q}'
+   OR COALESCE(list_contains(CAST(json_extract(attributes, '$.tags') AS VARCHAR[]), '{q}'), false)){cat}"""
+
+
+ORACLE["search_docs"] = W(search_sql("gear"))
+ORACLE["search_docs_keyword"] = W(search_sql("Brand#13", "economy"))
+
+
+def bm25_sql(fields_sql: str, q: str, boosts: dict[str, float], limit: int = 50) -> str:
+    boost = "1.0"
+    for f, b in boosts.items():
+        boost = f"CASE WHEN h.field = '{f}' THEN {float(b)} ELSE {boost} END"
+    return f"""
+WITH fields AS ({fields_sql}),
+toks AS (SELECT id, field, {toks('text')} AS toks FROM fields WHERE text IS NOT NULL),
+stats AS (SELECT field, count(*) AS n_docs, avg(len(toks)) AS avgdl FROM toks GROUP BY field),
+terms AS (SELECT DISTINCT unnest({toks(f"'{q}'")}) AS term),
+hits AS (SELECT id, field, term, count(*) AS tf, max(dl) AS dl
+         FROM (SELECT id, field, len(toks) AS dl, unnest(toks) AS term FROM toks) x
+         WHERE term IN (SELECT term FROM terms) GROUP BY id, field, term),
+dfs AS (SELECT field, term, count(*) AS df FROM hits GROUP BY field, term),
+per_field AS (
+  SELECT h.id, h.field,
+         SUM(ln(1 + (s.n_docs - d.df + 0.5) / (d.df + 0.5)) * h.tf * 2.2
+             / (h.tf + 1.2 * (1 - 0.75 + 0.75 * h.dl / s.avgdl))) * {boost} AS fs
+  FROM hits h JOIN dfs d ON d.field = h.field AND d.term = h.term JOIN stats s ON s.field = h.field
+  GROUP BY h.id, h.field)
+SELECT id, round(max(fs), 6) AS score FROM per_field GROUP BY id ORDER BY score DESC, id LIMIT {limit}"""
+
+
+PRODUCT_FIELDS = """SELECT id, 'name' AS field, name AS text FROM fx_products
+  UNION ALL SELECT id, 'description', json_extract_string(attributes, '$.description') FROM fx_products"""
+ORACLE["search_scored"] = W(bm25_sql(PRODUCT_FIELDS, "blue gear", {"name": 2.0}).replace("WITH fields", "SELECT * FROM (WITH fields", 1) + ") z")
+ORACLE["search_scored_documents"] = bm25_sql(
+    "SELECT doc_id AS id, 'text' AS field, text FROM documents", "the river of ouen", {})
+
+# ---------------------------------------------------------------- DLQ life cycle
+REJ = f"SELECT id, version, error FROM ({BACKFILL_OUTCOMES.replace('p.id, p.version,', 'p.id, p.version, p.error,')}) o WHERE outcome = 'dlq'"
+ORACLE["dlq_upsert"] = W(f"""
+SELECT COALESCE(d.sink, 'es') AS sink, COALESCE(d.record_id, r.id) AS record_id,
+       CASE WHEN r.id IS NOT NULL THEN r.version ELSE d.version END AS version,
+       CASE WHEN r.id IS NOT NULL THEN r.error ELSE d.error END AS error,
+       CASE WHEN r.id IS NOT NULL THEN 'backfill-run-1' ELSE d.batch_id END AS batch_id,
+       CASE WHEN r.id IS NOT NULL THEN 'backfill' ELSE d.mode END AS mode,
+       CAST(CASE WHEN r.id IS NOT NULL AND d.status IS NOT NULL THEN d.attempts + 1
+                 WHEN r.id IS NOT NULL THEN 1 ELSE d.attempts END AS INTEGER) AS attempts,
+       CASE WHEN r.id IS NOT NULL THEN 'open' ELSE d.status END AS status,
+       CASE WHEN r.id IS NOT NULL THEN {NOW} ELSE d.updated_at END AS updated_at
+FROM fx_dlq d FULL OUTER JOIN ({REJ}) r ON d.sink = 'es' AND d.record_id = r.id""")
+GONE = "SELECT record_id FROM fx_dlq WHERE record_id NOT IN (SELECT id FROM fx_products)"
+ORACLE["dlq_resolve"] = W(f"""
+SELECT sink, record_id, version, error, batch_id, mode, attempts,
+       CASE WHEN sink = 'es' AND record_id IN ({GONE}) THEN 'resolved' ELSE status END AS status,
+       CASE WHEN sink = 'es' AND record_id IN ({GONE}) THEN {NOW} ELSE updated_at END AS updated_at
+FROM fx_dlq""")
+ORACLE["dlq_bump"] = W(f"""
+SELECT d.sink, d.record_id, d.version, COALESCE(r.error, d.error) AS error, d.batch_id, d.mode,
+       CAST(CASE WHEN r.id IS NOT NULL THEN d.attempts + 1 ELSE d.attempts END AS INTEGER) AS attempts, d.status,
+       CASE WHEN r.id IS NOT NULL THEN {NOW} ELSE d.updated_at END AS updated_at
+FROM fx_dlq d LEFT JOIN ({REJ}) r ON d.sink = 'es' AND d.record_id = r.id""")
+
+# ---------------------------------------------------------------- 2.12 monitoring
+RECONCILE_JOIN = """
+WITH s AS (SELECT id, version AS s_version FROM fx_products),
+     d AS (SELECT id, version AS d_version FROM fx_docs_old),
+     e AS (SELECT product_id AS id, max(version) AS e_version, count(*) AS e_n FROM consumed GROUP BY product_id),
+     j AS (SELECT COALESCE(s.id, d.id) AS id, s_version, d_version FROM s FULL OUTER JOIN d ON s.id = d.id)
+SELECT j.*, e.e_version, e.e_n FROM j FULL OUTER JOIN e ON j.id = e.id"""
+ORACLE["reconcile"] = W(f"""
+SELECT count(s_version) AS source_n, count(d_version) AS docs_n, CAST(COALESCE(SUM(e_n), 0) AS BIGINT) AS events_n,
+       count(e_version) AS event_products,
+       CAST(count_if(s_version IS NOT NULL AND d_version IS NULL) AS BIGINT) AS missing,
+       CAST(count_if(s_version IS NULL AND d_version IS NOT NULL) AS BIGINT) AS extra,
+       CAST(count_if(d_version < s_version) AS BIGINT) AS stale,
+       CAST(count_if(d_version > s_version) AS BIGINT) AS ahead,
+       CAST(count_if(d_version = s_version) AS BIGINT) AS equal,
+       CAST(count_if(s_version IS NOT NULL AND e_version IS NULL) AS BIGINT) AS events_missing,
+       CAST(count_if(e_version < s_version) AS BIGINT) AS events_behind,
+       CAST(COALESCE(SUM(s_version), 0) AS BIGINT) AS source_version_sum,
+       CAST(COALESCE(SUM(d_version), 0) AS BIGINT) AS docs_version_sum
+FROM ({RECONCILE_JOIN}) k""", *C_CTES)
+ORACLE["store_in_sync"] = W("""
+SELECT COALESCE(s.id, d.id) AS id, s.version, d.version AS doc_version,
+       s.version IS NOT DISTINCT FROM d.version AS in_sync
+FROM fx_products s FULL OUTER JOIN fx_docs_old d ON s.id = d.id""")
+ORACLE["record_trace"] = W("""
+SELECT p.id, p.version AS source_version, d.version AS doc_version, l.last_events,
+       CAST(COALESCE(c.n_events, 0) AS BIGINT) AS n_events, q.status AS dlq_status, q.attempts AS dlq_attempts
+FROM fx_products p
+LEFT JOIN fx_docs_old d ON d.id = p.id
+LEFT JOIN (SELECT product_id AS id, string_agg(event_id, ',' ORDER BY rn) AS last_events FROM (
+             SELECT product_id, event_id,
+                    ROW_NUMBER() OVER (PARTITION BY product_id ORDER BY version DESC, event_id DESC) AS rn
+             FROM consumed) x WHERE rn <= 10 GROUP BY product_id) l ON l.id = p.id
+LEFT JOIN (SELECT product_id AS id, count(*) AS n_events FROM consumed GROUP BY product_id) c ON c.id = p.id
+LEFT JOIN (SELECT record_id, status, attempts FROM fx_dlq WHERE sink = 'es') q ON q.record_id = p.id""", *C_CTES)
+BRAND_LIST = "['acme','globex','initech','umbrella','stark','wayne','hooli','vandelay']"
+CAT_LIST = "['electronics','books','garden','toys','sports','kitchen','fashion','auto','beauty','office','pets','music']"
+COLOR_LIST = "['red','blue','green','black','white','silver','gold']"
+ORACLE["scalar_functions"] = r"""
+SELECT p_partkey AS k, 'SKU-' || lpad(CAST(p_partkey + 1 AS VARCHAR), 9, '0') AS sku,
+       (""" + BRAND_LIST + r""")[1 + p_partkey % 8] AS brand,
+       repeat(md5(CAST(p_partkey AS VARCHAR)), 2) AS filler,
+       round(p_retailprice / 7, 3) AS rounded,
+       CAST(round(p_retailprice) AS BIGINT) AS as_int,
+       CAST(floor(p_retailprice / 7) AS BIGINT) AS floored,
+       CAST(greatest(0, p_size - 25) AS BIGINT) AS clamped,
+       least(100.0, round(p_size / 50 * 1000) / 10) AS pct,
+       CASE WHEN p_name LIKE '%gear%' THEN 'gear' WHEN p_size BETWEEN 1 AND 10 THEN 'small'
+            WHEN p_brand IN ('Brand#1', 'Brand#2') THEN 'low' ELSE 'other' END AS kind,
+       left(p_type, 3) AS type3,
+       trim('  ' || p_name || ' ') AS trimmed,
+       regexp_full_match(p_name, '^\d+$') AS is_digits,
+       COALESCE(json_extract_string('{"product":{"name":"' || p_name || '"}}', '$.product.name'), '?') AS json_name
+FROM part"""
+ORACLE["generate_rows"] = f"""
+SELECT id, 'SKU-' || lpad(CAST(id AS VARCHAR), 9, '0') AS sku,
+       upper(left(b, 1)) || substr(b, 2) || ' ' || c || ' item ' || CAST(id AS VARCHAR) AS name,
+       c AS category, b AS brand, ({COLOR_LIST})[1 + (id * 7) % 7] AS color,
+       repeat(md5(CAST(id AS VARCHAR)), 4) AS description
+FROM (SELECT o_orderkey + 1 AS id, ({BRAND_LIST})[1 + (o_orderkey + 1) % 8] AS b,
+             ({CAT_LIST})[1 + (o_orderkey + 1) % 12] AS c FROM orders) o"""

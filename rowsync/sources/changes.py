@@ -93,11 +93,9 @@ BRANDS = ["acme", "globex", "initech", "umbrella", "stark", "wayne", "hooli", "v
 COLORS = ["red", "blue", "green", "black", "white", "silver", "gold"]
 
 
-def generate_rows(spark: SparkSession, n: int, seed: int = 42, start: int = 1,
-                  num_partitions: int | None = None, as_of=None) -> DataFrame:
-    """Distributed row generator: ``spark.range`` plus column expressions, one
-    task per partition, no driver-side data. Deterministic columns follow the
-    seed rules; price/stock/weight use ``rand(seed)``."""
+def product_rows(keys: DataFrame, seed: int = 42, as_of=None) -> DataFrame:
+    """Source rows for a DataFrame of keys (column ``id``): deterministic
+    columns follow the seed rules, price/stock/weight use ``rand(seed)``."""
     g = F.col("id")
     cats = F.array(*[F.lit(c) for c in CATEGORIES])
     brands = F.array(*[F.lit(b) for b in BRANDS])
@@ -112,8 +110,7 @@ def generate_rows(spark: SparkSession, n: int, seed: int = 42, start: int = 1,
         F.repeat(F.md5(g.cast("string")), 4).alias("description"),
     ))
     ts = as_of if as_of is not None else F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
-    df = spark.range(start, start + n, numPartitions=num_partitions)
-    return df.select(
+    return keys.select(
         g.alias("id"),
         F.concat(F.lit("SKU-"), F.lpad(g.cast("string"), 9, "0")).alias("sku"),
         F.concat(F.initcap(brand), F.lit(" "), cat, F.lit(" item "), g.cast("string")).alias("name"),
@@ -125,3 +122,10 @@ def generate_rows(spark: SparkSession, n: int, seed: int = 42, start: int = 1,
         ts.alias("updated_at"),
         F.lit(None).cast("timestamp_ntz").alias("deleted_at"),
     )
+
+
+def generate_rows(spark: SparkSession, n: int, seed: int = 42, start: int = 1,
+                  num_partitions: int | None = None, as_of=None) -> DataFrame:
+    """Distributed row generator: ``spark.range`` split over partitions, each
+    task builds its rows from column expressions; no driver-side data."""
+    return product_rows(spark.range(start, start + n, numPartitions=num_partitions), seed, as_of)
