@@ -534,3 +534,293 @@ def q_generate_rows(spark, sf_dir):
                        F.get_json_object("attributes", "$.brand").alias("brand"),
                        F.get_json_object("attributes", "$.color").alias("color"),
                        F.get_json_object("attributes", "$.description").alias("description"))
+
+
+# ======================================================================
+# tables, jobs and streams (final table state compared with SQL)
+from ..functions.events import parse_event as _parse  # noqa: E402,F811
+from ..operators.outcomes import batch_summary as _batch_summary  # noqa: E402
+from ..session import scratch_dir  # noqa: E402
+from ..sinks.tables import Tables  # noqa: E402
+from ..streaming import consumer as cons  # noqa: E402
+from ..streaming import incremental as inc  # noqa: E402
+from ..streaming import stateful as st  # noqa: E402
+from .backfill import run_backfill  # noqa: E402
+from .batch_writer import InjectedCrash, write_batch  # noqa: E402
+from .replay import dlq_replay, item_retry  # noqa: E402
+
+TEST_BUCKETS = 8
+RANGES_PER_WAVE = 2
+
+
+def seeded_tables(spark, f: Fixtures, name: str) -> Tables:
+    """Fresh sink tables under the shared checkpoint root, seeded with the
+    part-way document sink and the DLQ left by earlier runs."""
+    t = Tables.fresh(spark, name, buckets=TEST_BUCKETS)
+    t.seed_docs(f.docs_old)
+    t.seed_dlq(f.dlq)
+    return t
+
+
+def backfilled(spark, sf_dir, name="backfill", crash_wave=None) -> tuple[Fixtures, Tables]:
+    f = fx(spark, sf_dir)
+    t = seeded_tables(spark, f, name)
+    if crash_wave is not None:
+        try:
+            run_backfill(t, f.products, "backfill", as_of(f), PAGE, RANGES_PER_WAVE,
+                         crash_at="after_docs", crash_wave=crash_wave)
+        except InjectedCrash:
+            pass
+    run_backfill(t, f.products, "backfill", as_of(f), PAGE, RANGES_PER_WAVE)
+    return f, t
+
+
+def ordered_files(df: DataFrame, key: str, n_files: int, name: str) -> str:
+    """Write ``df`` as ``n_files`` consecutive key ranges, one append job each,
+    so a file stream (which takes files oldest first) sees them in key order."""
+    d = scratch_dir(df.sparkSession, name)
+    lo, hi = df.agg(F.min(key), F.max(key)).first()  # two numbers
+    width = (hi - lo) // n_files + 1
+    for i in range(n_files):
+        a, b = lo + i * width, lo + (i + 1) * width
+        df.where((F.col(key) >= a) & (F.col(key) < b)).coalesce(1).write.mode("append").parquet(d)
+    return d
+
+
+def change_files(f: Fixtures, n_files: int = 4) -> str:
+    """The change log as a folder of parquet files (seq ranges), for streaming."""
+    return ordered_files(f.change_log, "seq", n_files, "changes")
+
+
+def delivery_files(f: Fixtures, n_files: int = 4) -> str:
+    return ordered_files(f.deliveries, "delivery_id", n_files, "deliveries")
+
+
+def incremental_into(spark, sf_dir, t: Tables, f: Fixtures, max_files: int = 1, crash=None):
+    inc.run_incremental(spark, t, change_files(f), scratch_dir(spark, "ckpt-inc"),
+                        lambda s: Fixtures(s, sf_dir).products, max_files_per_trigger=max_files, crash=crash)
+
+
+@query("run_backfill")
+def q_run_backfill(spark, sf_dir):
+    _, t = backfilled(spark, sf_dir)
+    return t.docs().select("id", "version")
+
+
+@query("versioned_upsert")
+def q_versioned_upsert(spark, sf_dir):
+    """One batch of every source row written over the part-way document sink."""
+    f = fx(spark, sf_dir)
+    t = seeded_tables(spark, f, "upsert")
+    write_batch(t, f.products.withColumn("op", F.lit("insert")), "backfill", "all", as_of(f), small=False)
+    return t.docs().select("id", "version")
+
+
+@query("resume_after_crash")
+def q_resume_after_crash(spark, sf_dir):
+    """Backfill killed after the documents of wave 1 were written, then rerun:
+    same final documents as an uninterrupted run."""
+    _, t = backfilled(spark, sf_dir, "crash", crash_wave=1)
+    return t.docs().select("id", "version")
+
+
+@query("run_backfill_outcomes")
+def q_run_backfill_outcomes(spark, sf_dir):
+    _, t = backfilled(spark, sf_dir)
+    return t.outcomes().groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("dual_sink_write")
+def q_dual_sink_write(spark, sf_dir):
+    _, t = backfilled(spark, sf_dir)
+    return _batch_summary(t.outcomes())
+
+
+@query("progress_commit")
+def q_progress_commit(spark, sf_dir):
+    _, t = backfilled(spark, sf_dir)
+    return t.progress().select("batch_id", "range_id", "last_id", "target_max_id")
+
+
+@query("event_append")
+def q_event_append(spark, sf_dir):
+    _, t = backfilled(spark, sf_dir)
+    return t.messages().select("message_id", "op")
+
+
+@query("run_backfill_dlq")
+def q_run_backfill_dlq(spark, sf_dir):
+    """DLQ after the backfill: rejects upserted, written open entries resolved."""
+    _, t = backfilled(spark, sf_dir)
+    return t.dlq().select("sink", "record_id", "version", "error", "batch_id", "mode", "attempts", "status",
+                          "updated_at")
+
+
+@query("run_incremental")
+def q_run_incremental(spark, sf_dir):
+    f = fx(spark, sf_dir)
+    t = seeded_tables(spark, f, "incremental")
+    incremental_into(spark, sf_dir, t, f)
+    return t.docs().select("id", "version")
+
+
+@query("run_both")
+def q_run_both(spark, sf_dir):
+    """Incremental first, then backfill, into the same sinks."""
+    f = fx(spark, sf_dir)
+    t = seeded_tables(spark, f, "both")
+    incremental_into(spark, sf_dir, t, f, max_files=2)
+    run_backfill(t, f.products, "backfill", as_of(f), PAGE, RANGES_PER_WAVE)
+    return t.docs().select("id", "version")
+
+
+def consumed_tables(spark, sf_dir) -> Tables:
+    f = fx(spark, sf_dir)
+    t = Tables.fresh(spark, "consumer", buckets=TEST_BUCKETS)
+    cons.run_consumer(spark, t, delivery_files(f), scratch_dir(spark, "ckpt-consumer"), as_of(f))
+    return t
+
+
+@query("run_consumer")
+def q_run_consumer(spark, sf_dir):
+    return consumed_tables(spark, sf_dir).events().select("event_id", "product_id", "op", "version")
+
+
+@query("consumer_dlq_append")
+def q_consumer_dlq_append(spark, sf_dir):
+    t = consumed_tables(spark, sf_dir)
+    return t.consumer_dlq().select("event_id", "error", F.get_json_object("payload", "$.raw").alias("raw"))
+
+
+@query("stream_change_log")
+def q_stream_change_log(spark, sf_dir):
+    f = fx(spark, sf_dir)
+    out = scratch_dir(spark, "stream-out")
+    st.drain(inc.stream_change_log(spark, change_files(f), 1), out, scratch_dir(spark, "ckpt-stream"))
+    return spark.read.parquet(out)
+
+
+@query("stream_deliveries")
+def q_stream_deliveries(spark, sf_dir):
+    f = fx(spark, sf_dir)
+    out = scratch_dir(spark, "stream-out")
+    st.drain(cons.stream_deliveries(spark, delivery_files(f), 1), out, scratch_dir(spark, "ckpt-stream"))
+    return spark.read.parquet(out)
+
+
+@query("stream_dedupe_bounded")
+def q_stream_dedupe_bounded(spark, sf_dir):
+    f = fx(spark, sf_dir)
+    src_dir = scratch_dir(spark, "events-large")
+    f.event_log_large.write.mode("overwrite").parquet(src_dir)
+    stream = spark.readStream.schema(f.event_log_large.schema).parquet(src_dir)
+    out = scratch_dir(spark, "stream-out")
+    st.drain(st.stream_dedupe_bounded(stream, delay="36500 days"), out, scratch_dir(spark, "ckpt-stream"))
+    return spark.read.parquet(out).select("event_id")
+
+
+@query("stateful_version_gate")
+def q_stateful_version_gate(spark, sf_dir):
+    f = fx(spark, sf_dir)
+    good = _parse(f.deliveries).where(F.col("error").isNull()).select("product_id", "delivery_id", "version")
+    src_dir = ordered_files(good, "delivery_id", 4, "gate-in")
+    stream = spark.readStream.schema(good.schema).option("maxFilesPerTrigger", "1").parquet(src_dir)
+    out = scratch_dir(spark, "stream-out")
+    st.drain(st.stateful_version_gate(stream), out, scratch_dir(spark, "ckpt-stream"))
+    return spark.read.parquet(out)
+
+
+@query("dlq_replay")
+def q_dlq_replay(spark, sf_dir):
+    f = fx(spark, sf_dir)
+    t = seeded_tables(spark, f, "replay")
+    return dlq_replay(t, f.products, as_of(f))
+
+
+@query("dlq_replay_state")
+def q_dlq_replay_state(spark, sf_dir):
+    f = fx(spark, sf_dir)
+    t = seeded_tables(spark, f, "replay")
+    dlq_replay(t, f.products, as_of(f)).collect()
+    return t.dlq().select("record_id", "attempts", "status", "error")
+
+
+@query("dlq_replay_one")
+def q_dlq_replay_one(spark, sf_dir):
+    f = fx(spark, sf_dir)
+    t = seeded_tables(spark, f, "replay-one")
+    one = f.dlq.where(F.col("status") == "open").agg(F.min("record_id").alias("record_id"))
+    return dlq_replay(t, f.products, as_of(f), "replay-one", ids=one)
+
+
+@query("item_retry")
+def q_item_retry(spark, sf_dir):
+    """Items answered 503 succeed on the second attempt, 429 on the third."""
+    f = fx(spark, sf_dir)
+    items = f.bulk_items
+
+    def respond(pending, k):
+        j = pending.join(items, "id")
+        ok = (F.col("status") == 503) | ((F.col("status") == 429) & F.lit(k >= 3))
+        return j.select("id", F.when(ok, F.lit(201)).otherwise(F.col("status")).cast("int").alias("status"),
+                        F.when(ok, F.lit(None).cast("string")).otherwise(F.col("error")).alias("error"))
+    return item_retry(items, respond, 5).select("id", "status", "outcome", "attempt")
+
+
+@query("safety_window")
+def q_safety_window(spark, sf_dir):
+    """Changes held back by the window at the reading time (delayed, not dropped)."""
+    f = fx(spark, sf_dir)
+    young = f.change_log.where(F.col("changed_at") > as_of(f) - F.make_dt_interval(F.lit(1)))
+    return young.agg(F.count(F.lit(1)).alias("held_back"), F.min("seq").alias("first_held_seq"))
+
+
+@query("scan_docs")
+def q_scan_docs(spark, sf_dir):
+    f = fx(spark, sf_dir)
+    return seeded_tables(spark, f, "docs").docs().select("id", "version", "name", "category")
+
+
+@query("doc_by_id")
+def q_doc_by_id(spark, sf_dir):
+    f = fx(spark, sf_dir)
+    d = seeded_tables(spark, f, "docs").docs()
+    return d.where(F.col("id") == f.docs_old.agg(F.max("id")).scalar()).select("id", "version", "name")
+
+
+@query("doc_count")
+def q_doc_count(spark, sf_dir):
+    f = fx(spark, sf_dir)
+    return seeded_tables(spark, f, "docs").docs().agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("status_snapshot")
+def q_status_snapshot(spark, sf_dir):
+    f, t = backfilled(spark, sf_dir)
+    return mon.status_snapshot(f.products, t.docs(), t.events(), t.dlq(), t.progress(), f.change_log,
+                               half_cursor(f), as_of(f))
+
+
+@query("quality_checks")
+def q_quality_checks(spark, sf_dir):
+    f, t = backfilled(spark, sf_dir)
+    docs, out, msgs = t.docs(), t.outcomes(), t.messages()
+    n = lambda df: df.agg(F.count(F.lit(1))).scalar()
+    base = f.products.agg(F.count(F.lit(1)).alias("expected"))
+    rejected = out.where(F.col("outcome") == "dlq").select("id", "version")
+    checks = [
+        ("docs_eq_source", base.withColumn("actual", n(docs))),
+        ("messages_unique", msgs.agg(F.lit(0).alias("expected"),
+                                     (F.count(F.lit(1)) - F.count_distinct("message_id")).alias("actual"))),
+        ("version_sum_equal", f.products.agg(F.sum("version").alias("expected"))
+         .withColumn("actual", docs.agg(F.sum("version")).scalar())),
+        ("rejects_quarantined", rejected.agg(F.count(F.lit(1)).alias("expected"))
+         .withColumn("actual", n(t.dlq().where((F.col("status") == "open") & (F.col("mode") == "backfill")
+                                               & F.col("batch_id").startswith("backfill-r"))))),
+        ("rejected_docs_not_written", rejected.agg(F.lit(0).alias("expected"))
+         .withColumn("actual", n(t.doc_log().where(F.col("mode") == "backfill")
+                                 .join(rejected.select("id"), "id", "left_semi")))),
+        ("resume_position", t.progress().agg(F.max("target_max_id").alias("expected"),
+                                             F.max("last_id").alias("actual"))),
+    ]
+    return mon.quality_checks(checks)

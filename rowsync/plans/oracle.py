@@ -431,3 +431,139 @@ SELECT id, 'SKU-' || lpad(CAST(id AS VARCHAR), 9, '0') AS sku,
        repeat(md5(CAST(id AS VARCHAR)), 4) AS description
 FROM (SELECT o_orderkey + 1 AS id, ({BRAND_LIST})[1 + (o_orderkey + 1) % 8] AS b,
              ({CAT_LIST})[1 + (o_orderkey + 1) % 12] AS c FROM orders) o"""
+
+# ======================================================================
+# tables, jobs and streams: expected final state
+VALIDATED = f"SELECT id, version, {violation_sql('attributes')} AS error FROM fx_products"
+
+
+def docs_after(products_filter: str = "") -> str:
+    """Highest version wins: the seeded sink plus every valid source row written."""
+    return f"""
+SELECT id, version FROM (
+  SELECT COALESCE(p.id, d.id) AS id,
+         CASE WHEN p.id IS NOT NULL AND p.error IS NULL THEN greatest(p.version, COALESCE(d.version, p.version))
+              ELSE d.version END AS version
+  FROM (SELECT * FROM ({VALIDATED}) v {products_filter}) p FULL OUTER JOIN fx_docs_old d ON d.id = p.id) x
+WHERE version IS NOT NULL"""
+
+
+DOCS_AFTER_FULL = docs_after()
+ORACLE["run_backfill"] = W(DOCS_AFTER_FULL)
+ORACLE["versioned_upsert"] = W(DOCS_AFTER_FULL)
+ORACLE["resume_after_crash"] = W(DOCS_AFTER_FULL)
+ORACLE["run_both"] = W(DOCS_AFTER_FULL)
+ORACLE["run_incremental"] = W(docs_after("WHERE id IN (SELECT product_id FROM fx_change_log)"))
+RANGE_OUTCOMES = BACKFILL_OUTCOMES.replace("'backfill-' ||", "'backfill-r' ||").replace(
+    "p.id, p.version,", "p.id, p.version, p.error,")
+ORACLE["run_backfill_outcomes"] = W(f"SELECT outcome, count(*) AS n FROM ({RANGE_OUTCOMES}) o GROUP BY outcome")
+ORACLE["dual_sink_write"] = W(f"""
+SELECT mode, batch_id, CAST(count_if(outcome = 'ok') AS BIGINT) AS written,
+       CAST(count_if(outcome = 'duplicate') AS BIGINT) AS duplicates,
+       CAST(count_if(outcome = 'dlq') AS BIGINT) AS dlq, CAST(count_if(outcome = 'retry') AS BIGINT) AS retry,
+       CAST(1 AS BIGINT) AS attempts
+FROM ({RANGE_OUTCOMES}) o GROUP BY mode, batch_id""")
+ORACLE["progress_commit"] = W("""
+SELECT 'backfill-r' || CAST(r AS VARCHAR) AS batch_id, r AS range_id,
+       CAST(least((r + 1) * 500, t) AS BIGINT) AS last_id, t AS target_max_id
+FROM (SELECT t, unnest(generate_series(0, CAST(ceil(t / 500.0) AS BIGINT) - 1)) AS r
+      FROM (SELECT CAST(MAX(id) AS BIGINT) AS t FROM fx_products) x) y""")
+ORACLE["event_append"] = W("""
+SELECT CAST(id AS VARCHAR) || ':' || CAST(version AS VARCHAR) AS message_id, 'insert' AS op FROM fx_products""")
+R_REJ = f"SELECT id, version, error, batch_id FROM ({RANGE_OUTCOMES}) o WHERE outcome = 'dlq'"
+R_WRITTEN = f"SELECT id FROM ({RANGE_OUTCOMES}) o WHERE outcome IN ('ok', 'duplicate')"
+DLQ_AFTER_BACKFILL = f"""
+SELECT COALESCE(d.sink, 'es') AS sink, COALESCE(d.record_id, r.id) AS record_id,
+       CASE WHEN r.id IS NOT NULL THEN r.version ELSE d.version END AS version,
+       CASE WHEN r.id IS NOT NULL THEN r.error ELSE d.error END AS error,
+       CASE WHEN r.id IS NOT NULL THEN r.batch_id ELSE d.batch_id END AS batch_id,
+       CASE WHEN r.id IS NOT NULL THEN 'backfill' ELSE d.mode END AS mode,
+       CAST(CASE WHEN r.id IS NOT NULL AND d.record_id IS NOT NULL THEN d.attempts + 1
+                 WHEN r.id IS NOT NULL THEN 1 ELSE d.attempts END AS INTEGER) AS attempts,
+       CASE WHEN r.id IS NOT NULL THEN 'open'
+            WHEN d.status = 'open' AND d.record_id IN ({R_WRITTEN}) THEN 'resolved' ELSE d.status END AS status,
+       CASE WHEN r.id IS NOT NULL OR (d.status = 'open' AND d.record_id IN ({R_WRITTEN})) THEN {NOW}
+            ELSE d.updated_at END AS updated_at
+FROM fx_dlq d FULL OUTER JOIN ({R_REJ}) r ON d.record_id = r.id"""
+ORACLE["run_backfill_dlq"] = W(DLQ_AFTER_BACKFILL)
+ORACLE["run_consumer"] = W("""
+SELECT event_id, arg_min(product_id, delivery_id) AS product_id, arg_min(op, delivery_id) AS op,
+       arg_min(version, delivery_id) AS version
+FROM parsed WHERE error IS NULL GROUP BY event_id""", *P_CTES)
+ORACLE["consumer_dlq_append"] = W("""
+SELECT COALESCE(message_id, '?') AS event_id, error, body AS raw FROM parsed WHERE error IS NOT NULL""", *P_CTES)
+ORACLE["stream_change_log"] = W("SELECT * FROM fx_change_log")
+ORACLE["stream_deliveries"] = W("SELECT * FROM fx_deliveries")
+ORACLE["stream_dedupe_bounded"] = W("SELECT DISTINCT event_id FROM fx_event_log_large")
+ORACLE["stateful_version_gate"] = W("""
+SELECT product_id, delivery_id, version,
+       CASE WHEN prev IS NULL OR version > prev THEN 'accepted' WHEN version = prev THEN 'replay' ELSE 'stale' END
+         AS outcome
+FROM (SELECT product_id, delivery_id, version,
+             MAX(version) OVER (PARTITION BY product_id ORDER BY delivery_id
+                                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev
+      FROM parsed WHERE error IS NULL) x""", *P_CTES)
+OPEN_ES = "SELECT DISTINCT record_id FROM fx_dlq WHERE sink = 'es' AND status = 'open'"
+
+
+def replay_sql(open_ids: str) -> str:
+    return f"""
+SELECT CAST(count(*) AS BIGINT) AS replayed,
+       CAST(count_if(p.id IS NULL OR p.error IS NULL) AS BIGINT) AS resolved,
+       CAST(count_if(p.id IS NOT NULL AND p.error IS NOT NULL) AS BIGINT) AS failed
+FROM ({open_ids}) o LEFT JOIN ({VALIDATED}) p ON p.id = o.record_id"""
+
+
+ORACLE["dlq_replay"] = W(replay_sql(OPEN_ES))
+ORACLE["dlq_replay_one"] = W(replay_sql(
+    "SELECT MIN(record_id) AS record_id FROM fx_dlq WHERE status = 'open'"))
+ORACLE["dlq_replay_state"] = W(f"""
+SELECT d.record_id,
+       CAST(CASE WHEN o.record_id IS NOT NULL AND p.error IS NOT NULL THEN d.attempts + 1 ELSE d.attempts END
+            AS INTEGER) AS attempts,
+       CASE WHEN o.record_id IS NOT NULL AND (p.id IS NULL OR p.error IS NULL) THEN 'resolved' ELSE d.status END
+         AS status,
+       CASE WHEN o.record_id IS NOT NULL AND p.error IS NOT NULL THEN p.error ELSE d.error END AS error
+FROM fx_dlq d LEFT JOIN ({OPEN_ES}) o ON o.record_id = d.record_id
+LEFT JOIN ({VALIDATED}) p ON p.id = d.record_id""")
+ORACLE["item_retry"] = W("""
+SELECT id, CASE WHEN status IN (503, 429) THEN 201 ELSE status END AS status,
+       CASE WHEN status IN (503, 429) OR (status >= 200 AND status < 300) THEN 'ok'
+            WHEN status = 409 THEN 'duplicate' WHEN status >= 500 THEN 'retry' ELSE 'dlq' END AS outcome,
+       CASE WHEN status = 503 THEN 2 WHEN status = 429 THEN 3 ELSE 1 END AS attempt
+FROM fx_bulk_items""")
+ORACLE["safety_window"] = W(f"""
+SELECT count(*) AS held_back, MIN(seq) AS first_held_seq FROM fx_change_log
+WHERE changed_at > {AS_OF} - INTERVAL 1 DAY""")
+ORACLE["scan_docs"] = W("SELECT id, version, name, category FROM fx_docs_old")
+ORACLE["doc_by_id"] = W("SELECT id, version, name FROM fx_docs_old WHERE id = (SELECT MAX(id) FROM fx_docs_old)")
+ORACLE["doc_count"] = W("SELECT count(*) AS n FROM fx_docs_old")
+LAG_BODY = f"""
+SELECT CAST(greatest(0, COALESCE(MAX(seq), 0) - {HALF}) AS BIGINT) AS lag_seq,
+       COALESCE(round((epoch_us({AS_OF}) - epoch_us(MIN(CASE WHEN seq > {HALF} THEN changed_at END))) / 1e6, 1), 0.0)
+         AS lag_seconds
+FROM fx_change_log"""
+ORACLE["status_snapshot"] = W(f"""
+SELECT s.n AS source_n, d.n AS docs_n, CAST(0 AS BIGINT) AS events_n, CAST(0 AS BIGINT) AS event_products,
+       q.n AS dlq_open_es, CAST(0 AS BIGINT) AS dlq_open_rabbitmq, t.t AS last_id, t.t AS target_max_id,
+       l.lag_seq, l.lag_seconds,
+       CASE WHEN t.t > 0 THEN least(100.0, round(t.t / t.t * 1000) / 10) ELSE 0.0 END AS pct,
+       CAST(greatest(0, s.n - d.n) AS BIGINT) AS docs_behind, CAST(greatest(0, d.n - s.n) AS BIGINT) AS docs_ahead
+FROM (SELECT count(*) AS n FROM fx_products) s,
+     (SELECT count(*) AS n FROM ({DOCS_AFTER_FULL}) x) d,
+     (SELECT count(*) AS n FROM ({DLQ_AFTER_BACKFILL}) y WHERE status = 'open' AND sink = 'es') q,
+     (SELECT CAST(MAX(id) AS BIGINT) AS t FROM fx_products) t,
+     ({LAG_BODY}) l""")
+ORACLE["quality_checks"] = W(f"""
+SELECT "check", expected, actual, expected IS NOT DISTINCT FROM actual AS pass FROM (
+  SELECT 'docs_eq_source' AS "check", (SELECT count(*) FROM fx_products) AS expected,
+         (SELECT count(*) FROM ({DOCS_AFTER_FULL}) x) AS actual
+  UNION ALL SELECT 'messages_unique', 0, 0
+  UNION ALL SELECT 'version_sum_equal', (SELECT CAST(SUM(version) AS BIGINT) FROM fx_products),
+         (SELECT CAST(SUM(version) AS BIGINT) FROM ({DOCS_AFTER_FULL}) x)
+  UNION ALL SELECT 'rejects_quarantined', (SELECT count(*) FROM ({R_REJ}) r),
+         (SELECT count(*) FROM ({DLQ_AFTER_BACKFILL}) y
+          WHERE status = 'open' AND mode = 'backfill' AND batch_id LIKE 'backfill-r%')
+  UNION ALL SELECT 'rejected_docs_not_written', 0, 0
+  UNION ALL SELECT 'resume_position', (SELECT MAX(id) FROM fx_products), (SELECT MAX(id) FROM fx_products)
+) c""")

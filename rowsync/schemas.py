@@ -69,6 +69,7 @@ OUTCOMES = T.StructType([
     T.StructField("outcome", T.StringType()),
     T.StructField("reason", T.StringType()),
     T.StructField("error", T.StringType()),
+    T.StructField("attempt", T.IntegerType()),
 ])
 
 BULK_ITEM = T.StructType([
