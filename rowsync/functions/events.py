@@ -69,8 +69,10 @@ def parse_event(deliveries: DataFrame, body: str = "body", message_id: str = "me
     The body is wrapped in ``[...]`` and must parse to exactly one element, so
     trailing text (``{} junk``), ``1,2`` and the empty string are rejected."""
     wrapped = F.concat(F.lit("["), F.col(body), F.lit("]"))
-    v = F.try_parse_json(wrapped)
-    valid = v.isNotNull() & (F.json_array_length(wrapped) == 1)
+    staged = deliveries.withColumn("_v", F.try_parse_json(wrapped)).withColumn(
+        "_n", F.json_array_length(wrapped))
+    v = F.col("_v")
+    valid = v.isNotNull() & (F.col("_n") == 1)
     top = F.schema_of_variant(F.variant_get(v, "$[0]", "variant"))
     is_obj = top.startswith("OBJECT") | top.startswith("ARRAY")
     eid_kind = F.schema_of_variant(F.variant_get(v, "$[0].event_id", "variant"))
@@ -88,8 +90,8 @@ def parse_event(deliveries: DataFrame, body: str = "body", message_id: str = "me
              .when(eid.isNull(), F.lit(ERR_NO_EVENT_ID))
              .when(pid.isNull() | ver.isNull(), F.lit(ERR_NO_IDS)))
     good = error.isNull()
-    return deliveries.select(
-        "*",
+    return staged.select(
+        *deliveries.columns,
         F.when(good, eid).alias("event_id"),
         F.when(good, F.round(pid).try_cast("long")).alias("product_id"),
         F.when(good, op).alias("op"),

@@ -26,9 +26,10 @@ def _kind(v: Column, field: str) -> Column:
     return F.schema_of_variant(F.variant_get(v, f"$.{field}", "variant"))
 
 
-def violations(attributes: Column) -> Column:
-    """``array<string>`` of violations of one raw attributes value (empty = valid)."""
-    v = F.try_parse_json(attributes)
+def violations(attributes: Column, parsed: Column | None = None) -> Column:
+    """``array<string>`` of violations of one raw attributes value (empty = valid).
+    ``parsed`` is the already parsed variant column, when the caller has one."""
+    v = parsed if parsed is not None else F.try_parse_json(attributes)
     top = F.schema_of_variant(v)
     is_obj = top.startswith("OBJECT")
     not_object = attributes.isNotNull() & (v.isNull() | (~is_obj & (top != F.lit("VOID"))))
@@ -50,7 +51,10 @@ def violations(attributes: Column) -> Column:
 
 def validate_strict(df: DataFrame, attributes: str = "attributes") -> DataFrame:
     """Add ``violations`` and ``error`` (first violation, null when valid)."""
-    out = df.withColumn("violations", violations(F.col(attributes)))
+    # parse once into a column; the checks read the parsed value (keeps the
+    # generated code small instead of re-parsing the text for every field)
+    out = df.withColumn("_attrs_v", F.try_parse_json(F.col(attributes)))
+    out = out.withColumn("violations", violations(F.col(attributes), F.col("_attrs_v"))).drop("_attrs_v")
     return out.withColumn("error", F.try_element_at(F.col("violations"), F.lit(1)))
 
 

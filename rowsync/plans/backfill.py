@@ -26,15 +26,27 @@ def range_batch_id(run_id: str, r) -> str | Column:
     return f"{run_id}-r{r}"
 
 
+def plan_ranges(target: int, min_width: int, max_ranges: int, waves: int) -> tuple[int, int, int]:
+    """(range width, number of ranges, ranges per wave): ranges are at least
+    ``min_width`` keys and at most ``max_ranges`` in number (the progress table
+    and the batch partitions stay bounded as the table grows); a wave is one
+    parallel job over ``ranges/waves`` ranges."""
+    if target <= 0:
+        return min_width, 0, 1
+    width = max(min_width, math.ceil(target / max_ranges))
+    n_ranges = math.ceil(target / width)
+    return width, n_ranges, max(1, math.ceil(n_ranges / max(1, waves)))
+
+
 def run_backfill(tables: Tables, products: DataFrame, run_id: str, as_of: Column,
-                 range_width: int = 500, ranges_per_wave: int = 8, crash_at: str | None = None,
-                 crash_wave: int | None = None, target: int | None = None) -> dict:
+                 range_width: int = 500, waves: int = 4, max_ranges: int = 4096,
+                 crash_at: str | None = None, crash_wave: int | None = None, target: int | None = None) -> dict:
     """Run (or resume) backfill ``run_id``. Events are always ``insert``
     (soft-deleted rows included). Returns {target, waves, skipped}."""
     spark = products.sparkSession
     if target is None:
         target = int(snapshot_high_water(products).first()[0])  # one number, fixed at start
-    n_ranges = math.ceil(target / range_width) if target > 0 else 0
+    range_width, n_ranges, ranges_per_wave = plan_ranges(target, range_width, max_ranges, waves)
     n_waves = math.ceil(n_ranges / ranges_per_wave) if n_ranges else 0
     done_all = tables.progress().where((F.col("mode") == "backfill") & (F.col("run_id") == run_id))
     skipped = 0

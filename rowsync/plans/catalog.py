@@ -550,7 +550,7 @@ from .batch_writer import InjectedCrash, write_batch  # noqa: E402
 from .replay import dlq_replay, item_retry  # noqa: E402
 
 TEST_BUCKETS = 8
-RANGES_PER_WAVE = 2
+WAVES = 2
 
 
 def seeded_tables(spark, f: Fixtures, name: str) -> Tables:
@@ -567,11 +567,11 @@ def backfilled(spark, sf_dir, name="backfill", crash_wave=None) -> tuple[Fixture
     t = seeded_tables(spark, f, name)
     if crash_wave is not None:
         try:
-            run_backfill(t, f.products, "backfill", as_of(f), PAGE, RANGES_PER_WAVE,
+            run_backfill(t, f.products, "backfill", as_of(f), PAGE, WAVES,
                          crash_at="after_docs", crash_wave=crash_wave)
         except InjectedCrash:
             pass
-    run_backfill(t, f.products, "backfill", as_of(f), PAGE, RANGES_PER_WAVE)
+    run_backfill(t, f.products, "backfill", as_of(f), PAGE, WAVES)
     return f, t
 
 
@@ -670,7 +670,7 @@ def q_run_both(spark, sf_dir):
     f = fx(spark, sf_dir)
     t = seeded_tables(spark, f, "both")
     incremental_into(spark, sf_dir, t, f, max_files=2)
-    run_backfill(t, f.products, "backfill", as_of(f), PAGE, RANGES_PER_WAVE)
+    run_backfill(t, f.products, "backfill", as_of(f), PAGE, WAVES)
     return t.docs().select("id", "version")
 
 

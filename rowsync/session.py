@@ -66,6 +66,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     not name one (local runs, tests) do we create our own and register it.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
+    if root and not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(root)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:

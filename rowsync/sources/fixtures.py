@@ -8,6 +8,7 @@ same definitions scale with the input tables.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -15,8 +16,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.derive import derive_changes, mutation_state, mutations_from_events
+from ..session import checkpoint_root
 from .tables import table
 
+_WRITTEN: dict[tuple, str] = {}
+
 # Fixed values of the fixture rules (moduli select the malformed rows).
 BAD_WEIGHT_MOD, BAD_WEIGHT_REM = 167, 3      # weight_kg = "not-a-number"
 NUMERIC_TEXT_REM = 5                          # weight_kg = "12.5" (accepted)
@@ -31,19 +35,38 @@ BULK_ERROR_BY_REM = {
 
 @dataclass
 class Fixtures:
+    """Derived inputs. With ``materialize`` (default) each derived table is
+    written once per session as Parquet under the shared checkpoint folder and
+    read back: the lineage is cut, later plans scan a table (pruning and
+    pushdown apply) instead of recomputing the derivation."""
+
     spark: SparkSession
     sf_dir: str
+    materialize: bool = True
 
     def t(self, name: str) -> DataFrame:
         return table(self.spark, self.sf_dir, name)
 
+    def _mat(self, name: str, df: DataFrame) -> DataFrame:
+        if not self.materialize:
+            return df
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        path = _WRITTEN.get(key)
+        if path is None:
+            tag = hashlib.md5(f"{key[0]}|{self.sf_dir}".encode()).hexdigest()[:12]
+            path = f"{checkpoint_root(self.spark)}/fixtures-{tag}/{name}"
+            df.write.mode("overwrite").parquet(path)
+            _WRITTEN[key] = path
+        return self.spark.read.parquet(path)
+
     @cached_property
     def mutations(self) -> DataFrame:
-        return mutations_from_events(self.t("events").select("event_id", "user_id", "ts", "event_type"))
+        return self._mat("mutations", mutations_from_events(
+            self.t("events").select("event_id", "user_id", "ts", "event_type")))
 
     @cached_property
     def change_log(self) -> DataFrame:
-        return derive_changes(self.mutations)
+        return self._mat("change_log", derive_changes(self.mutations))
 
     @cached_property
     def first_ts(self):
@@ -52,8 +75,8 @@ class Fixtures:
 
     @cached_property
     def products(self) -> DataFrame:
-        return products_from_part(self.t("part"), mutation_state(self.mutations, self.change_log),
-                                  self.first_ts)
+        return self._mat("products", products_from_part(
+            self.t("part"), mutation_state(self.mutations, self.change_log), self.first_ts))
 
     @cached_property
     def docs_old(self) -> DataFrame:
@@ -66,7 +89,7 @@ class Fixtures:
         version = (F.when(F.col("id") % 5 == 0, F.col("version"))
                    .when(F.col("id") % 7 == 0, F.col("version") + 1)
                    .otherwise(F.coalesce(F.col("h_version"), F.lit(0))))
-        return j.select("id", version.alias("version"), "name", "category")
+        return self._mat("docs_old", j.select("id", version.alias("version"), "name", "category"))
 
     @cached_property
     def deliveries(self) -> DataFrame:
@@ -85,7 +108,8 @@ class Fixtures:
                                     F.lit('","product_id":'), pid, F.lit(',"op":"'), F.col("op"),
                                     F.lit('","version":'), ver,
                                     F.lit(',"product":{"id":'), pid, F.lit(',"name":"item '), pid, F.lit('"}}'))))
-        return d.select(F.col("seq").alias("delivery_id"), message_id.alias("message_id"), body.alias("body"))
+        return self._mat("deliveries", d.select(F.col("seq").alias("delivery_id"), message_id.alias("message_id"),
+                                                body.alias("body")))
 
     @cached_property
     def bulk_items(self) -> DataFrame:
@@ -125,7 +149,7 @@ class Fixtures:
             F.lit("batch-0").alias("batch_id"), F.lit("backfill").alias("mode"),
             F.lit(1).cast("int").alias("attempts"), F.lit("open").alias("status"),
             F.min("ts").alias("updated_at"))
-        return seeded.unionByName(gone)
+        return self._mat("dlq", seeded.unionByName(gone))
 
     @cached_property
     def event_log_large(self) -> DataFrame:
