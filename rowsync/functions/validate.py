@@ -64,3 +64,21 @@ def typed_attributes(attributes: Column) -> Column:
     return F.struct(*[
         (F.try_variant_get(v, f"$.{k}", t)).alias(k) for k, t in ATTRIBUTE_FIELDS.items()
     ])
+
+
+def set_json_field(rows: DataFrame, ids: DataFrame, field: str, value_json: str, as_of: Column,
+                   key: str = "id", attributes: str = "attributes") -> DataFrame:
+    """Replace one top-level field of the JSON attributes for the rows whose key
+    is in ``ids`` (used to break and to repair rows), following the update rule:
+    version + 1 and ``updated_at = as_of``. Other keys keep their values and
+    types (the object is edited as ``map<string, variant>``)."""
+    hit = ids.select(F.col(ids.columns[0]).alias(key)).distinct().withColumn("_hit", F.lit(True))
+    j = rows.join(hit, key, "left")
+    m = F.from_json(F.col(attributes), "map<string,variant>")
+    edited = F.to_json(F.map_concat(F.map_filter(m, lambda k, v: k != F.lit(field)),
+                                    F.create_map(F.lit(field), F.parse_json(F.lit(value_json)))))
+    h = F.col("_hit").isNotNull()
+    return (j.withColumn(attributes, F.when(h, edited).otherwise(F.col(attributes)))
+             .withColumn("version", F.when(h, F.col("version") + 1).otherwise(F.col("version")))
+             .withColumn("updated_at", F.when(h, as_of).otherwise(F.col("updated_at")))
+             .drop("_hit"))

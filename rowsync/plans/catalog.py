@@ -824,3 +824,36 @@ def q_quality_checks(spark, sf_dir):
                                              F.max("last_id").alias("actual"))),
     ]
     return mon.quality_checks(checks)
+
+
+from ..functions.validate import set_json_field  # noqa: E402
+
+
+@query("set_json_field")
+def q_set_json_field(spark, sf_dir):
+    """Repair job: every rejected row gets ``weight_kg = 1.0`` (version bumped);
+    rows with an unknown field stay rejected after the repair."""
+    f = fx(spark, sf_dir)
+    bad = validate_strict(f.products).where(F.col("error").isNotNull()).select("id")
+    fixed = validate_strict(set_json_field(f.products, bad, "weight_kg", "1.0", as_of(f)))
+    return fixed.select("id", "version",
+                        F.get_json_object("attributes", "$.weight_kg").cast("double").alias("weight_kg"),
+                        "error", "updated_at")
+
+
+@query("join_changes_current_by_version")
+def q_join_changes_current_by_version(spark, sf_dir):
+    """G-2 option: the op of the change whose version equals the current row's."""
+    f = fx(spark, sf_dir)
+    j = join_changes_current(collapse_changes(safe_changes(f)), f.products, op_from="version",
+                             changes=f.change_log)
+    return j.select("id", "version", "op")
+
+
+@query("compact_docs")
+def q_compact_docs(spark, sf_dir):
+    """After a backfill, fold the document log into a bucketed base generation:
+    the current state is unchanged."""
+    _, t = backfilled(spark, sf_dir, "compact")
+    t.compact()
+    return t.docs().select("id", "version")

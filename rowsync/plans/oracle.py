@@ -567,3 +567,19 @@ SELECT "check", expected, actual, expected IS NOT DISTINCT FROM actual AS pass F
   UNION ALL SELECT 'rejected_docs_not_written', 0, 0
   UNION ALL SELECT 'resume_position', (SELECT MAX(id) FROM fx_products), (SELECT MAX(id) FROM fx_products)
 ) c""")
+
+BAD_IDS = f"SELECT id FROM ({VALIDATED}) v WHERE error IS NOT NULL"
+ORACLE["set_json_field"] = W(f"""
+SELECT id, version, TRY_CAST(json_extract_string(attributes, '$.weight_kg') AS DOUBLE) AS weight_kg,
+       {violation_sql('attributes')} AS error, updated_at
+FROM (SELECT p.id,
+             CASE WHEN b.id IS NOT NULL THEN p.version + 1 ELSE p.version END AS version,
+             CASE WHEN b.id IS NOT NULL THEN CAST(json_merge_patch(p.attributes, '{{"weight_kg":1.0}}') AS VARCHAR)
+                  ELSE p.attributes END AS attributes,
+             CASE WHEN b.id IS NOT NULL THEN {AS_OF} ELSE p.updated_at END AS updated_at
+      FROM fx_products p LEFT JOIN ({BAD_IDS}) b ON b.id = p.id) x""")
+ORACLE["join_changes_current_by_version"] = W(f"""
+SELECT p.id, p.version, COALESCE(v.op, 'update') AS op
+FROM fx_products p JOIN ({COLLAPSED}) c ON c.product_id = p.id
+LEFT JOIN fx_change_log v ON v.product_id = p.id AND v.version = p.version""")
+ORACLE["compact_docs"] = W(DOCS_AFTER_FULL)

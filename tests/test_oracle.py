@@ -11,7 +11,7 @@ JOBS = {"run_backfill", "versioned_upsert", "resume_after_crash", "run_backfill_
         "progress_commit", "event_append", "run_backfill_dlq", "run_incremental", "run_both", "run_consumer",
         "consumer_dlq_append", "stream_change_log", "stream_deliveries", "stream_dedupe_bounded",
         "stateful_version_gate", "dlq_replay", "dlq_replay_state", "dlq_replay_one", "scan_docs", "doc_by_id",
-        "doc_count", "status_snapshot", "quality_checks"}
+        "doc_count", "status_snapshot", "quality_checks", "compact_docs"}
 
 QUERIES = E.queries()
 ORACLE = E.oracle_sql()
