@@ -57,16 +57,31 @@ def version_sum(df: DataFrame, version: str = "version") -> Column:
     return F.coalesce(F.sum(version), F.lit(0)).cast("long")
 
 
+def _versions_by_key(source: DataFrame, docs: DataFrame, events: DataFrame | None, key: str) -> DataFrame:
+    """One row per key with the source, document and event versions: the
+    inputs are tagged and unioned, then aggregated once on the key (partial
+    aggregation map-side, one shuffle; a hot key is combined before it moves)
+    instead of chained full outer joins."""
+    null_l = F.lit(None).cast("long")
+    parts = [source.select(key, F.col("version").cast("long").alias("s"), null_l.alias("d"), null_l.alias("e"),
+                           F.lit(0).cast("long").alias("en")),
+             docs.select(key, null_l.alias("s"), F.col("version").cast("long").alias("d"), null_l.alias("e"),
+                         F.lit(0).cast("long").alias("en"))]
+    if events is not None:
+        parts.append(events.select(F.col("product_id").alias(key), null_l.alias("s"), null_l.alias("d"),
+                                   F.col("version").cast("long").alias("e"), F.lit(1).cast("long").alias("en")))
+    u = parts[0]
+    for p in parts[1:]:
+        u = u.unionByName(p)
+    return u.groupBy(key).agg(F.max("s").alias("s_version"), F.max("d").alias("d_version"),
+                              F.max("e").alias("e_version"), F.sum("en").alias("e_n"))
+
+
 def reconcile(source: DataFrame, docs: DataFrame, events: DataFrame, key: str = "id") -> DataFrame:
-    """Source vs documents vs event store, per key and in total: one full
-    outer join on the key (events pre-aggregated per product, map-side), then
-    one aggregate. Equal counts and sums can hide compensating errors, so the
-    per-key classes are counted too."""
-    s = source.select(key, F.col("version").alias("s_version"))
-    d = docs.select(key, F.col("version").alias("d_version"))
-    e = events.groupBy(F.col("product_id").alias(key)).agg(
-        F.max("version").alias("e_version"), F.count(F.lit(1)).alias("e_n"))
-    j = s.join(d, key, "full_outer").join(e, key, "full_outer")
+    """Source vs documents vs event store, per key and in total. Equal counts
+    and sums can hide compensating errors, so the per-key classes are counted
+    too. Keys are unique in the source and the document state."""
+    j = _versions_by_key(source, docs, events, key)
     sv, dv, ev = F.col("s_version"), F.col("d_version"), F.col("e_version")
     return j.agg(
         F.count(sv).alias("source_n"),
@@ -87,9 +102,9 @@ def reconcile(source: DataFrame, docs: DataFrame, events: DataFrame, key: str =
 
 def store_in_sync(source: DataFrame, docs: DataFrame, key: str = "id") -> DataFrame:
     """Per record: source version, document version, in sync (null-safe)."""
-    s = source.select(key, "version")
-    d = docs.select(key, F.col("version").alias("doc_version"))
-    return s.join(d, key, "full_outer").withColumn("in_sync", F.col("version").eqNullSafe(F.col("doc_version")))
+    j = _versions_by_key(source, docs, None, key)
+    return j.select(key, F.col("s_version").alias("version"), F.col("d_version").alias("doc_version"),
+                    F.col("s_version").eqNullSafe(F.col("d_version")).alias("in_sync"))
 
 
 def record_trace(ids: DataFrame, source: DataFrame, docs: DataFrame, events: DataFrame, dlq: DataFrame,

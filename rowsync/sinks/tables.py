@@ -137,23 +137,29 @@ class Tables:
 
     # ------------------------------------------------------------ events
     def events_raw(self) -> DataFrame:
-        return self._read("events", CONSUMED_EVENTS)
+        return self._read("events", ", ".join(f"{f.name} {f.dataType.simpleString()}"
+                                              for f in CONSUMED_EVENTS.fields) + ", bucket int")
 
     def events(self) -> DataFrame:
         """Event store, unique on event_id (a torn append cannot show twice)."""
-        raw = self.events_raw()
+        raw = self.events_raw().drop("bucket")
         rest = [c for c in raw.columns if c != "event_id"]
         first = F.min_by(F.struct(*rest), F.struct("consumed_at", "version"))
         return raw.groupBy("event_id").agg(first.alias("_e")).select("event_id", *[F.col(f"_e.{c}").alias(c) for c in rest])
 
-    def append_events(self, rows: DataFrame) -> DataFrame:
-        """Append rows whose event_id is not stored yet; returns what was appended
-        (computed once and persisted, so counts and the write agree)."""
-        from ..operators.events import anti_absent
-        new = anti_absent(rows, self.events_raw().select("event_id")).select(*CONSUMED_EVENTS.fieldNames())
-        new = new.persist()
-        new.write.mode("append").parquet(self.path("events"))
-        return new
+    def append_events(self, rows: DataFrame, small: bool = True) -> None:
+        """Append rows whose event_id is not stored yet.
+
+        The store is partitioned by a hash bucket of event_id. The batch's ids
+        (bounded by the micro-batch size) are broadcast into a semi join with
+        the store, which prunes the store to the touched buckets and finds the
+        ids already present; the batch is then anti-joined with that small set."""
+        ids = rows.select("event_id", bucket_of(F.col("event_id"), self.buckets).alias("bucket")).distinct()
+        probe = F.broadcast(ids) if small else ids
+        present = self.events_raw().join(probe, ["bucket", "event_id"], "left_semi").select("event_id")
+        new = (rows.join(present, "event_id", "left_anti").select(*CONSUMED_EVENTS.fieldNames())
+               .withColumn("bucket", bucket_of(F.col("event_id"), self.buckets)))
+        new.write.mode("append").partitionBy("bucket").parquet(self.path("events"))
 
     # ------------------------------------------------------------ published stream
     MESSAGE_SCHEMA = "message_id string, body string, op string, published_at timestamp_ntz, batch_id string"

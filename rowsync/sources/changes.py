@@ -55,8 +55,9 @@ def scan_changes(change_log: DataFrame, cursor, as_of, window_ms: int, limit: in
     """Changes after the cursor that are older than the safety window at
     ``as_of`` (an argument, never now()), in seq order, at most ``limit``."""
     page = change_log.where((F.col("seq") > cursor) & (F.col("changed_at") <= as_of - _ms(window_ms)))
-    page = page.orderBy("seq")
-    return page.limit(limit) if limit else page
+    # a page (limit) is a top-k in seq order; the whole safe prefix is left
+    # unordered (its consumers aggregate), so no global sort is planned
+    return page.orderBy("seq").limit(limit) if limit else page
 
 
 def scan_changes_prefix_safe(change_log: DataFrame, cursor, as_of, window_ms: int,
@@ -67,8 +68,7 @@ def scan_changes_prefix_safe(change_log: DataFrame, cursor, as_of, window_ms: in
     after = change_log.where(F.col("seq") > cursor)
     young = after.where(F.col("changed_at") > as_of - _ms(window_ms)).agg(F.min("seq")).scalar()
     page = after.where(F.col("seq") < F.coalesce(young, F.lit(2**62).cast("long")))
-    page = page.orderBy("seq")
-    return page.limit(limit) if limit else page
+    return page.orderBy("seq").limit(limit) if limit else page
 
 
 def lookup_by_ids(products: DataFrame, ids: DataFrame, key: str = "id", id_col: str | None = None,

@@ -23,8 +23,8 @@ def stream_deliveries(spark: SparkSession, folder: str, max_files_per_trigger: i
     return r.parquet(folder)
 
 
-def consume_batch(tables: Tables, deliveries: DataFrame, batch_id: str, consumed_at) -> DataFrame:
-    """One consumer flush; returns the rows appended to the event store."""
+def consume_batch(tables: Tables, deliveries: DataFrame, batch_id: str, consumed_at) -> None:
+    """One consumer flush: store what is new, quarantine what is malformed."""
     parsed = parse_event(deliveries).persist()
     try:
         good = parsed.where(F.col("error").isNull())
@@ -33,13 +33,12 @@ def consume_batch(tables: Tables, deliveries: DataFrame, batch_id: str, consumed
                              order=["delivery_id", "message_id"])
         rows = first.select("event_id", "product_id", "op", "version", "payload",
                             consumed_at.alias("consumed_at"))
-        appended = tables.append_events(rows)
+        tables.append_events(rows)
         bad = parsed.where(F.col("error").isNotNull()).select(
             F.coalesce(F.col("message_id"), F.lit("?")).alias("event_id"),
             F.to_json(F.struct(F.col("body").alias("raw"))).alias("payload"), "error",
             consumed_at.alias("created_at"))
         tables.write_consumer_dlq(bad, batch_id)
-        return appended
     finally:
         parsed.unpersist()
 
