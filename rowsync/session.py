@@ -8,7 +8,6 @@ that is a shared folder named by the cluster config; only when it is unset
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -78,8 +77,6 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A fresh, unique folder under the shared checkpoint root."""
-    path = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    if "://" not in path or path.startswith("file:"):
-        os.makedirs(path.replace("file:", ""), exist_ok=True)
-    return path
+    """A fresh, unique path under the shared checkpoint root (created by the
+    first write into it)."""
+    return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
