@@ -69,7 +69,7 @@ def run_backfill(tables: Tables, products: DataFrame, run_id: str, as_of: Column
                 .withColumn("op", F.lit("insert")))
         members = [range_batch_id(run_id, r) for r in range(r_lo, r_hi)]
         write_batch(tables, rows.drop("range_id"), "backfill", f"{run_id}-w{w}", as_of,
-                    batch_col="range_batch", member_batches=members, small=False,
+                    batch_col="range_batch", member_batches=members, small=False, key_range=(lo, hi),
                     crash_at=crash_at if crash_wave in (None, w) else None)
         # progress last: one row per finished range of the wave
         prog = (spark.range(r_lo, r_hi).select(

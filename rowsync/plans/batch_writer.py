@@ -25,23 +25,30 @@ class InjectedCrash(RuntimeError):
     """Raised by tests at a chosen point of a batch (after a sink wrote)."""
 
 
-def _touched_log(tables: Tables, batch: DataFrame, exclude: Column | None, small: bool) -> DataFrame:
-    """Stored documents of the batch's ids only. The ids (with their bucket) of
-    a bounded page are broadcast into a semi join: the bucket-partitioned base
-    is pruned by bucket and the log is probed in place. The batch's own earlier
-    attempt is excluded so a replay is judged like the first attempt."""
+def _touched_log(tables: Tables, batch: DataFrame, exclude: Column | None, small: bool,
+                 key_range: tuple[int, int] | None = None) -> DataFrame:
+    """Stored documents of the batch's ids only. A key-range batch (a backfill
+    wave) pushes ``lo < id <= hi`` into the log scan. A bounded page broadcasts
+    its (bucket, id) pairs into a semi join: the bucket-partitioned base is
+    pruned by bucket and the log is probed in place. Otherwise the log is
+    aggregated per id and AQE picks the join. The batch's own earlier attempt
+    is excluded so a replay is judged like the first attempt."""
     log = tables.doc_log()
     if exclude is not None:
         log = log.where(~exclude)
-    ids = batch.select("id", bucket_of(F.col("id"), tables.buckets).alias("bucket")).distinct()
+    if key_range is not None:
+        lo, hi = key_range
+        log = log.where((F.col("id") > lo) & (F.col("id") <= hi))
     if small:
-        ids = F.broadcast(ids)
-    return log.join(ids, ["bucket", "id"], "left_semi").select("id", "version")
+        ids = F.broadcast(batch.select("id", bucket_of(F.col("id"), tables.buckets).alias("bucket")).distinct())
+        log = log.join(ids, ["bucket", "id"], "left_semi")
+    return log.select("id", "version")
 
 
 def write_batch(tables: Tables, rows: DataFrame, mode: str, batch_id: str, as_of: Column,
                 batch_col: str | None = None, member_batches: list[str] | None = None,
-                small: bool = True, crash_at: str | None = None) -> DataFrame:
+                small: bool = True, crash_at: str | None = None,
+                key_range: tuple[int, int] | None = None) -> DataFrame:
     """Write one batch to both sinks; returns its outcome rows.
 
     ``rows`` are current source rows with an ``op`` column. ``as_of`` is the
@@ -58,7 +65,7 @@ def write_batch(tables: Tables, rows: DataFrame, mode: str, batch_id: str, as_of
     out = None
     try:
         exclude = (F.col("mode") == mode) & F.col("batch_id").isin(*own)
-        stored = (_touched_log(tables, batch, exclude, small)
+        stored = (_touched_log(tables, batch, exclude, small, key_range)
                   .groupBy("id").agg(F.max("version").alias("version")))
         out = gate_outcomes(batch, stored).persist()
 
