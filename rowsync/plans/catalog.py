@@ -156,7 +156,6 @@ from ..operators import events as evops  # noqa: E402
 from ..operators import monitor as mon  # noqa: E402
 from ..operators import search as srch  # noqa: E402
 from ..operators.derive import derive_changes, mutation_state, snapshot_diff  # noqa: E402
-from ..operators.gate import current_state  # noqa: E402
 from ..operators.outcomes import flatten_bulk, route_outcomes, sink_totals, written_ids  # noqa: E402
 from ..sources.fixtures import products_from_part  # noqa: E402
 
@@ -538,7 +537,6 @@ def q_generate_rows(spark, sf_dir):
 
 # ======================================================================
 # tables, jobs and streams (final table state compared with SQL)
-from ..functions.events import parse_event as _parse  # noqa: E402,F811
 from ..operators.outcomes import batch_summary as _batch_summary  # noqa: E402
 from ..session import scratch_dir  # noqa: E402
 from ..sinks.tables import Tables  # noqa: E402
@@ -722,7 +720,7 @@ def q_stream_dedupe_bounded(spark, sf_dir):
 @query("stateful_version_gate")
 def q_stateful_version_gate(spark, sf_dir):
     f = fx(spark, sf_dir)
-    good = _parse(f.deliveries).where(F.col("error").isNull()).select("product_id", "delivery_id", "version")
+    good = parse_event(f.deliveries).where(F.col("error").isNull()).select("product_id", "delivery_id", "version")
     src_dir = ordered_files(good, "delivery_id", 4, "gate-in")
     stream = spark.readStream.schema(good.schema).option("maxFilesPerTrigger", "1").parquet(src_dir)
     out = scratch_dir(spark, "stream-out")
