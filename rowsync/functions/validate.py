@@ -26,15 +26,15 @@ def _kind(v: Column, field: str) -> Column:
     return F.schema_of_variant(F.variant_get(v, f"$.{field}", "variant"))
 
 
-def violations(attributes: Column, parsed: Column | None = None) -> Column:
-    """``array<string>`` of violations of one raw attributes value (empty = valid).
+def _checks(attributes: Column, parsed: Column | None = None) -> list[Column]:
+    """One nullable message per rule, in check order (null = rule holds).
     ``parsed`` is the already parsed variant column, when the caller has one."""
     v = parsed if parsed is not None else F.try_parse_json(attributes)
     top = F.schema_of_variant(v)
     is_obj = top.startswith("OBJECT")
     not_object = attributes.isNotNull() & (v.isNull() | (~is_obj & (top != F.lit("VOID"))))
     allowed = F.array(*[F.lit(k) for k in ATTRIBUTE_FIELDS])
-    unknown = F.array_sort(F.array_except(F.json_object_keys(attributes), allowed))
+    unknown = F.sort_array(F.array_except(F.json_object_keys(attributes), allowed))
     checks = [F.when(not_object, F.lit(ERR_NOT_OBJECT))]
     checks.append(F.when(is_obj & (F.size(unknown) > 0),
                          F.format_string(ERR_UNKNOWN.replace("{}", "%s"), F.array_join(unknown, ","))))
@@ -46,7 +46,14 @@ def violations(attributes: Column, parsed: Column | None = None) -> Column:
         else:
             bad = kind.contains("OBJECT")
         checks.append(F.when(present & bad, F.lit(ERR_TYPE.format(field, _TARGET[typ]))))
-    return F.filter(F.array(*checks), lambda x: x.isNotNull())
+    return checks
+
+
+def violations(attributes: Column, parsed: Column | None = None) -> Column:
+    """``array<string>`` of violations of one raw attributes value (empty = valid)."""
+    # the messages are distinct, so removing the nulls by set difference keeps
+    # every violation in check order; unlike filter(lambda) it is code-generated
+    return F.array_except(F.array(*_checks(attributes, parsed)), F.array(F.lit(None).cast("string")))
 
 
 def validate_strict(df: DataFrame, attributes: str = "attributes") -> DataFrame:

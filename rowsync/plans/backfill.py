@@ -38,18 +38,26 @@ def plan_ranges(target: int, min_width: int, max_ranges: int, waves: int) -> tup
     return width, n_ranges, max(1, math.ceil(n_ranges / max(1, waves)))
 
 
+WAVE_KEYS = 1 << 24  # default keys per wave: a wave is a sizeable parallel job
+
+
 def run_backfill(tables: Tables, products: DataFrame, run_id: str, as_of: Column,
-                 range_width: int = 65_536, waves: int = 4, max_ranges: int = 4096,
+                 range_width: int = 65_536, waves: int | None = None, max_ranges: int = 4096,
                  crash_at: str | None = None, crash_wave: int | None = None, target: int | None = None) -> dict:
     """Run (or resume) backfill ``run_id``. Events are always ``insert``
     (soft-deleted rows included). Returns {target, waves, skipped}.
 
     A key range is the unit of resume and of partition overwrite, so it is
     sized for Spark (tens of thousands of keys by default), not for a network
-    round trip: narrow ranges only multiply small files."""
+    round trip: narrow ranges only multiply small files. ``waves`` defaults to
+    one wave per ``WAVE_KEYS`` keys: on an id-clustered source a wave reads
+    only the files of its key range, so a small wave would leave most cores
+    idle, while a crash costs at most one wave."""
     spark = products.sparkSession
     if target is None:
         target = int(snapshot_high_water(products).first()[0])  # one number, fixed at start
+    if waves is None:
+        waves = max(1, math.ceil(target / WAVE_KEYS))
     range_width, n_ranges, ranges_per_wave = plan_ranges(target, range_width, max_ranges, waves)
     n_waves = math.ceil(n_ranges / ranges_per_wave) if n_ranges else 0
     done_all = tables.progress().where((F.col("mode") == "backfill") & (F.col("run_id") == run_id))

@@ -61,12 +61,14 @@ def write_batch(tables: Tables, rows: DataFrame, mode: str, batch_id: str, as_of
     own = member_batches or [batch_id]
     log_batch = f"{mode}-{batch_id}"
     attempt = tables.begin_attempt(mode, batch_id, as_of)
-    batch = validate_strict(rows).withColumn("batch_id", bid).persist()
+    batch = validate_strict(rows).withColumn("batch_id", bid)
     out = None
     try:
         exclude = (F.col("mode") == mode) & F.col("batch_id").isin(*own)
         stored = (_touched_log(tables, batch, exclude, small, key_range)
                   .groupBy("id").agg(F.max("version").alias("version")))
+        # the gate output carries every batch column (left join): it is the
+        # one persisted copy of the batch that all sinks read
         out = gate_outcomes(batch, stored).persist()
 
         # 1. documents: accepted rows into the batch's own partitions
@@ -75,7 +77,7 @@ def write_batch(tables: Tables, rows: DataFrame, mode: str, batch_id: str, as_of
             raise InjectedCrash("after_docs")
 
         # 2. stream: one event per row, rejected rows included
-        ev = to_event(batch, emitted_at=as_of).select("event_id", "product_id", "op", "version", "product",
+        ev = to_event(out, emitted_at=as_of).select("event_id", "product_id", "op", "version", "product",
                                                       "emitted_at")
         tables.publish(ev, batch_id, as_of)
         if crash_at == "after_events":
@@ -107,6 +109,5 @@ def write_batch(tables: Tables, rows: DataFrame, mode: str, batch_id: str, as_of
             raise InjectedCrash("before_commit")
         return tables.outcomes().where((F.col("mode") == mode) & F.col("batch_id").isin(*own))
     finally:
-        batch.unpersist()
         if out is not None:
             out.unpersist()

@@ -39,6 +39,14 @@ def bucket_of(key: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
 
+def empty_frame(spark: SparkSession, schema) -> DataFrame:
+    """An empty DataFrame the optimizer can see is empty (a pruned filter
+    becomes an empty local relation), so joins and aggregates over a table
+    that has no data yet are removed at planning time instead of shuffling."""
+    st = spark.createDataFrame([], schema).schema
+    return spark.range(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in st.fields]).where(F.lit(False))
+
+
 def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -76,7 +84,7 @@ class Tables:
     def _read(self, t: str, schema) -> DataFrame:
         # re-created on every call: file listings of growing tables are cached per DataFrame
         if not _has_data(self.spark, self.path(t)):
-            return self.spark.createDataFrame([], schema)
+            return empty_frame(self.spark, schema)
         return self.spark.read.schema(schema).option("basePath", self.path(t)).parquet(self.path(t))
 
     # ------------------------------------------------------------ documents
