@@ -12,6 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.validate import validate_strict
 from ..operators.collapse import collapse_changes, join_changes_current
@@ -574,14 +575,20 @@ def backfilled(spark, sf_dir, name="backfill", crash_wave=None) -> tuple[Fixture
 
 
 def ordered_files(df: DataFrame, key: str, n_files: int, name: str) -> str:
-    """Write ``df`` as ``n_files`` consecutive key ranges, one append job each,
-    so a file stream (which takes files oldest first) sees them in key order."""
-    d = scratch_dir(df.sparkSession, name)
-    lo, hi = df.agg(F.min(key), F.max(key)).first()  # two numbers
-    width = (hi - lo) // n_files + 1
+    """Write ``df`` as ``n_files`` consecutive key ranges of about equal row
+    counts, one append job each, so a file stream (which takes files oldest
+    first) sees them in key order. ``df`` is computed once: a range-partitioned
+    staging write (split points sampled by Spark), then each range is copied
+    from its own staging folder."""
+    spark = df.sparkSession
+    stage = scratch_dir(spark, name + "-stage")
+    (df.repartitionByRange(n_files, key).withColumn("_range", F.spark_partition_id())
+     .write.partitionBy("_range").parquet(stage))
+    schema = T.StructType([*df.schema.fields, T.StructField("_range", T.IntegerType())])
+    staged = spark.read.schema(schema).parquet(stage)
+    d = scratch_dir(spark, name)
     for i in range(n_files):
-        a, b = lo + i * width, lo + (i + 1) * width
-        df.where((F.col(key) >= a) & (F.col(key) < b)).coalesce(1).write.mode("append").parquet(d)
+        staged.where(F.col("_range") == i).drop("_range").coalesce(1).write.mode("append").parquet(d)
     return d
 
 
