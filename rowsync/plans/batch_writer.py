@@ -89,7 +89,12 @@ def write_batch(tables: Tables, rows: DataFrame, mode: str, batch_id: str, as_of
             F.lit("es").alias("sink"), F.col("id").alias("record_id"), "version", payload.alias("payload"),
             "error", "batch_id", F.lit(mode).alias("mode"), F.lit("reject").alias("kind"),
             F.lit(None).cast("int").alias("attempts"), F.lit("open").alias("status"), as_of.alias("updated_at"))
-        open_ids = tables.dlq(exclude_log_batch=log_batch).where((F.col("status") == "open") & (F.col("sink") == "es")).select("record_id")
+        written = out.where(F.col("outcome").isin("ok", "duplicate")).select(F.col("id").alias("record_id"))
+        if small:
+            dlq_now = tables.dlq(log_batch, record_ids=F.broadcast(written.distinct()))
+        else:
+            dlq_now = tables.dlq(log_batch, id_range=key_range)
+        open_ids = dlq_now.where((F.col("status") == "open") & (F.col("sink") == "es")).select("record_id")
         res = (out.where(F.col("outcome").isin("ok", "duplicate"))
                .select(F.col("id").alias("record_id"), "version", "batch_id")
                .join(open_ids, "record_id", "left_semi")

@@ -29,6 +29,17 @@ DEFAULTS = {
 }
 
 
+# Largest micro-batch (rows) whose keys are broadcast into a semi join with a
+# sink table. A trigger normally bounds a micro-batch, but a catch-up after an
+# outage can be the whole backlog, so the jobs count the batch first and leave
+# a bigger one to AQE's size-checked join choice. 2M keys is tens of MB.
+BROADCAST_MAX_ROWS = 2_000_000
+
+
+def fits_broadcast(n_rows: int | None) -> bool:
+    return n_rows is not None and n_rows <= BROADCAST_MAX_ROWS
+
+
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app_name: str = "rowsync", extra: dict | None = None) -> SparkSession:
     """Create (or fetch) a session with the library defaults; used by tests and bench."""

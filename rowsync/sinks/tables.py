@@ -155,13 +155,15 @@ class Tables:
         first = F.min_by(F.struct(*rest), F.struct("consumed_at", "version"))
         return raw.groupBy("event_id").agg(first.alias("_e")).select("event_id", *[F.col(f"_e.{c}").alias(c) for c in rest])
 
-    def append_events(self, rows: DataFrame, small: bool = True) -> None:
+    def append_events(self, rows: DataFrame, small: bool = False) -> None:
         """Append rows whose event_id is not stored yet.
 
-        The store is partitioned by a hash bucket of event_id. The batch's ids
-        (bounded by the micro-batch size) are broadcast into a semi join with
-        the store, which prunes the store to the touched buckets and finds the
-        ids already present; the batch is then anti-joined with that small set."""
+        The store is partitioned by a hash bucket of event_id. With ``small``
+        (the caller counted the batch: ``session.fits_broadcast``) the batch's
+        ids are broadcast into a semi join with the store, which prunes the
+        store to the touched buckets and finds the ids already present; the
+        batch is then anti-joined with that small set. Otherwise AQE picks the
+        join from runtime sizes."""
         ids = rows.select("event_id", bucket_of(F.col("event_id"), self.buckets).alias("bucket")).distinct()
         probe = F.broadcast(ids) if small else ids
         present = self.events_raw().join(probe, ["bucket", "event_id"], "left_semi").select("event_id")
@@ -213,13 +215,24 @@ class Tables:
                             F.col("updated_at").cast("timestamp_ntz").alias("updated_at"))
         self.write_dlq_rows(rows, "seed")
 
-    def dlq(self, exclude_log_batch: str | None = None) -> DataFrame:
+    def dlq(self, exclude_log_batch: str | None = None, record_ids: DataFrame | None = None,
+            id_range: tuple[int, int] | None = None) -> DataFrame:
         """Fold the DLQ log into keyed state. attempts = seeded attempts + one per
         reject or bump; status = the latest reject (open) / resolve (resolved);
         version, payload, batch and mode = the latest reject; error = latest
         reject or bump. Ordered by (updated_at, kind rank) — partial+final
-        aggregates, no per-key window."""
+        aggregates, no per-key window.
+
+        A batch needs the state of its own ids only: ``record_ids`` (a one
+        column frame for a semi join; the caller chooses the broadcast) or ``id_range`` (``lo < id <= hi``,
+        pushed into the scan) restrict the log before the fold, which is exact
+        because the fold is per key, so the work follows the batch, not the
+        whole DLQ history."""
         log = self.dlq_log(exclude_log_batch)
+        if id_range is not None:
+            log = log.where((F.col("record_id") > id_range[0]) & (F.col("record_id") <= id_range[1]))
+        if record_ids is not None:
+            log = log.join(record_ids, "record_id", "left_semi")
         rank = F.when(F.col("kind") == "state", 0).when(F.col("kind") == "reject", 1) \
                 .when(F.col("kind") == "bump", 2).otherwise(3)
         order = F.struct(F.col("updated_at"), rank.alias("r"), F.col("batch_id"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.events import parse_event
 from ..operators.events import dedupe_first
+from ..session import fits_broadcast
 from ..sinks.tables import Tables
 
 DELIVERY_SCHEMA = "delivery_id long, message_id string, body string"
@@ -23,8 +24,9 @@ def stream_deliveries(spark: SparkSession, folder: str, max_files_per_trigger: i
     return r.parquet(folder)
 
 
-def consume_batch(tables: Tables, deliveries: DataFrame, batch_id: str, consumed_at) -> None:
-    """One consumer flush: store what is new, quarantine what is malformed."""
+def consume_batch(tables: Tables, deliveries: DataFrame, batch_id: str, consumed_at, small: bool = True) -> None:
+    """One consumer flush: store what is new, quarantine what is malformed.
+    ``small``: the flush is small enough to broadcast its event ids."""
     parsed = parse_event(deliveries).persist()
     try:
         good = parsed.where(F.col("error").isNull())
@@ -33,7 +35,7 @@ def consume_batch(tables: Tables, deliveries: DataFrame, batch_id: str, consumed
                              order=["delivery_id", "message_id"])
         rows = first.select("event_id", "product_id", "op", "version", "payload",
                             consumed_at.alias("consumed_at"))
-        tables.append_events(rows)
+        tables.append_events(rows, small=small)
         bad = parsed.where(F.col("error").isNotNull()).select(
             F.coalesce(F.col("message_id"), F.lit("?")).alias("event_id"),
             F.to_json(F.struct(F.col("body").alias("raw"))).alias("payload"), "error",
@@ -48,7 +50,7 @@ def run_consumer(spark: SparkSession, tables: Tables, folder: str, checkpoint: s
     def apply(df: DataFrame, epoch_id: int) -> None:
         page = df.persist()
         try:
-            consume_batch(tables, page, f"c-{epoch_id}", consumed_at)
+            consume_batch(tables, page, f"c-{epoch_id}", consumed_at, small=fits_broadcast(page.count()))
             if fail_epoch and fail_epoch.get("epoch") == epoch_id and fail_epoch.get("left", 0) > 0:
                 fail_epoch["left"] -= 1
                 raise RuntimeError("injected failure before ack")

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..operators.collapse import collapse_changes, join_changes_current
 from ..plans.batch_writer import write_batch
 from ..schemas import CHANGE_LOG
+from ..session import fits_broadcast
 from ..sinks.tables import Tables
 
 
@@ -39,19 +40,20 @@ def incremental_batch(tables: Tables, products_loader: Callable[[SparkSession],
         try:
             collapsed = collapse_changes(page)
             products = products_loader(spark)  # re-read: the source keeps changing
-            lo, hi = page.agg(F.min("product_id"), F.max("product_id")).first()  # two numbers
+            n, lo, hi = page.agg(F.count(F.lit(1)), F.min("product_id"), F.max("product_id")).first()  # three numbers
+            small = fits_broadcast(n)
             if lo is not None:
                 # literal bounds reach the Parquet scan (row-group skipping on an
                 # id-clustered source); a scalar subquery would not be pushed
                 products = products.where(F.col("id").between(lo, hi))
-            rows = join_changes_current(collapsed, products, broadcast_page=True, op_from=op_from, changes=page)
+            rows = join_changes_current(collapsed, products, broadcast_page=small, op_from=op_from, changes=page)
             as_of = page.agg(F.max("changed_at")).scalar()
             batch_id = f"inc-{epoch_id}"
             crash_at = None
             if crash and crash.get("epoch") == epoch_id and crash.get("left", 0) > 0:
                 crash["left"] -= 1
                 crash_at = crash["at"]
-            write_batch(tables, rows, "incremental", batch_id, as_of, small=True, crash_at=crash_at)
+            write_batch(tables, rows, "incremental", batch_id, as_of, small=small, crash_at=crash_at)
             prog = page.agg(
                 F.lit("incremental").alias("mode"), F.lit("incremental").alias("run_id"),
                 F.lit(batch_id).alias("batch_id"), F.lit(None).cast("long").alias("range_id"),
