@@ -45,17 +45,19 @@ def to_event(rows: DataFrame, op: Column | str = "op", emitted_at=None, default_
 _NUMERIC_KINDS = ("TINYINT", "SMALLINT", "INT", "BIGINT", "FLOAT", "DOUBLE")
 
 
-def _number(v: Column, path: str) -> Column:
+def _kind(v: Column, path: str) -> Column:
+    """Variant type name of the value at ``path`` (null when absent)."""
+    return F.schema_of_variant(F.variant_get(v, path, "variant"))
+
+
+def _number_of(kind: Column, as_double: Column) -> Column:
     """A finite number from a JSON number or numeric string, else null.
     Booleans, empty strings, arrays and objects count as missing."""
-    kind = F.schema_of_variant(F.variant_get(v, path, "variant"))
     numeric_kind = kind.isin(*_NUMERIC_KINDS) | kind.startswith("DECIMAL") | (kind == F.lit("STRING"))
-    x = F.when(numeric_kind, F.try_variant_get(v, path, "double"))
-    return F.when(F.abs(x) < F.lit(float("inf")), x)
+    return F.when(numeric_kind & (F.abs(as_double) < F.lit(float("inf"))), as_double)
 
 
-def _present(v: Column, path: str) -> Column:
-    kind = F.schema_of_variant(F.variant_get(v, path, "variant"))
+def _present_of(kind: Column) -> Column:
     return kind.isNotNull() & (kind != F.lit("VOID"))
 
 
@@ -67,34 +69,49 @@ def parse_event(deliveries: DataFrame, body: str = "body", message_id: str = "me
     the body value is absent or null; op = body string else ``update``.
 
     The body is wrapped in ``[...]`` and must parse to exactly one element, so
-    trailing text (``{} junk``), ``1,2`` and the empty string are rejected."""
+    trailing text (``{} junk``), ``1,2`` and the empty string are rejected.
+
+    Staged: the body is parsed once, each field's kind and value is read from
+    the variant once into a column, and the rules combine those columns, so
+    nothing is parsed or read again inside the conditional branches."""
+    keep = deliveries.columns
     wrapped = F.concat(F.lit("["), F.col(body), F.lit("]"))
-    staged = deliveries.withColumn("_v", F.try_parse_json(wrapped)).withColumn(
-        "_n", F.json_array_length(wrapped))
     v = F.col("_v")
-    valid = v.isNotNull() & (F.col("_n") == 1)
-    top = F.schema_of_variant(F.variant_get(v, "$[0]", "variant"))
-    is_obj = top.startswith("OBJECT") | top.startswith("ARRAY")
-    eid_kind = F.schema_of_variant(F.variant_get(v, "$[0].event_id", "variant"))
-    eid_body = F.when(eid_kind == F.lit("STRING"), F.variant_get(v, "$[0].event_id", "string"))
-    eid = F.coalesce(F.when(eid_body != F.lit(""), eid_body),
-                     F.when(F.col(message_id) != F.lit(""), F.col(message_id)))
-    pid = F.when(_present(v, "$[0].product_id"), _number(v, "$[0].product_id")).otherwise(
-        _number(v, "$[0].product.id"))
-    ver = F.when(_present(v, "$[0].version"), _number(v, "$[0].version")).otherwise(
-        _number(v, "$[0].product.version"))
-    op_kind = F.schema_of_variant(F.variant_get(v, "$[0].op", "variant"))
-    op = F.when(op_kind == F.lit("STRING"), F.variant_get(v, "$[0].op", "string")).otherwise(F.lit("update"))
-    error = (F.when(~valid | v.isNull(), F.lit(ERR_INVALID_JSON))
-             .when(~is_obj, F.lit(ERR_NOT_OBJECT))
-             .when(eid.isNull(), F.lit(ERR_NO_EVENT_ID))
-             .when(pid.isNull() | ver.isNull(), F.lit(ERR_NO_IDS)))
-    good = error.isNull()
-    return staged.select(
-        *deliveries.columns,
-        F.when(good, eid).alias("event_id"),
-        F.when(good, F.round(pid).try_cast("long")).alias("product_id"),
-        F.when(good, op).alias("op"),
-        F.when(good, F.round(ver).try_cast("long")).alias("version"),
-        error.alias("error"),
+    paths = {"eid": "$[0].event_id", "pid": "$[0].product_id", "ppid": "$[0].product.id",
+             "ver": "$[0].version", "pver": "$[0].product.version", "op": "$[0].op"}
+    numeric = ("pid", "ppid", "ver", "pver")
+    parsed = deliveries.select(*keep, F.try_parse_json(wrapped).alias("_v"), F.json_array_length(wrapped).alias("_n"))
+    reads = [F.col("_n").alias("_n"), v.isNotNull().alias("_parsed"), _kind(v, "$[0]").alias("_top"),
+             *[_kind(v, pth).alias(f"_k_{k}") for k, pth in paths.items()],
+             *[F.try_variant_get(v, paths[k], "double").alias(f"_d_{k}") for k in numeric],
+             F.try_variant_get(v, paths["eid"], "string").alias("_s_eid"),
+             F.try_variant_get(v, paths["op"], "string").alias("_s_op")]
+    # the reads come out of a one-element generator: a later filter on the
+    # error (callers keep the good rows) cannot be rewritten below it into
+    # expressions that parse and read the JSON again for every reference
+    read = parsed.select(*keep, F.inline(F.array(F.struct(*reads))))
+    k = {x: F.col(f"_k_{x}") for x in paths}
+    num = {x: _number_of(k[x], F.col(f"_d_{x}")) for x in numeric}
+    eid_body = F.when(k["eid"] == F.lit("STRING"), F.col("_s_eid"))
+    fields = read.select(
+        *keep,
+        (F.col("_parsed") & (F.col("_n") == 1)).alias("_valid"),
+        (F.col("_top").startswith("OBJECT") | F.col("_top").startswith("ARRAY")).alias("_obj"),
+        F.coalesce(F.when(eid_body != F.lit(""), eid_body),
+                   F.when(F.col(message_id) != F.lit(""), F.col(message_id))).alias("_eid"),
+        F.when(_present_of(k["pid"]), num["pid"]).otherwise(num["ppid"]).alias("_pid"),
+        F.when(_present_of(k["ver"]), num["ver"]).otherwise(num["pver"]).alias("_ver"),
+        F.when(k["op"] == F.lit("STRING"), F.col("_s_op")).otherwise(F.lit("update")).alias("_op"))
+    error = (F.when(~F.col("_valid"), F.lit(ERR_INVALID_JSON))
+             .when(~F.col("_obj"), F.lit(ERR_NOT_OBJECT))
+             .when(F.col("_eid").isNull(), F.lit(ERR_NO_EVENT_ID))
+             .when(F.col("_pid").isNull() | F.col("_ver").isNull(), F.lit(ERR_NO_IDS)))
+    good = F.col("error").isNull()
+    return fields.withColumn("error", error).select(
+        *keep,
+        F.when(good, F.col("_eid")).alias("event_id"),
+        F.when(good, F.round("_pid").try_cast("long")).alias("product_id"),
+        F.when(good, F.col("_op")).alias("op"),
+        F.when(good, F.round("_ver").try_cast("long")).alias("version"),
+        "error",
     )
