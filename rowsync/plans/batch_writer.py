@@ -69,7 +69,13 @@ def write_batch(tables: Tables, rows: DataFrame, mode: str, batch_id: str, as_of
                   .groupBy("id").agg(F.max("version").alias("version")))
         # the gate output carries every batch column (left join): it is the
         # one persisted copy of the batch that all sinks read
-        out = gate_outcomes(batch, stored).persist()
+        out = gate_outcomes(batch, stored)
+        if batch_col is not None:
+            # a wave writes one partition per key range: cluster the rows by
+            # range once (a range holds at most range-width rows, so no skew),
+            # so each range is one file instead of one per task and range
+            out = out.repartition("batch_id")
+        out = out.persist()
 
         # 1. documents: accepted rows into the batch's own partitions
         tables.write_docs(out.where(F.col("outcome") == "ok"), mode, None)

@@ -269,8 +269,10 @@ class Tables:
         A later attempt of the same batch is a replay, counted as absorbed."""
         prev = self._read("attempts", "mode string, batch_id string, attempt int, started_at timestamp_ntz")
         n = prev.where((F.col("mode") == mode) & (F.col("batch_id") == batch_id)).count()
-        row = self.spark.createDataFrame([(mode, batch_id, n + 1)], "mode string, batch_id string, attempt int")
-        row.withColumn("started_at", started_at).write.mode("append").parquet(self.path("attempts"))
+        row = self.spark.range(0, 1, 1, 1).select(
+            F.lit(mode).alias("mode"), F.lit(batch_id).alias("batch_id"), F.lit(n + 1).cast("int").alias("attempt"),
+            started_at.cast("timestamp_ntz").alias("started_at"))
+        row.write.mode("append").parquet(self.path("attempts"))
         return n + 1
 
     # ------------------------------------------------------------ progress
