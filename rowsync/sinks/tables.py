@@ -169,7 +169,9 @@ class Tables:
         present = self.events_raw().join(probe, ["bucket", "event_id"], "left_semi").select("event_id")
         new = (rows.join(present, "event_id", "left_anti").select(*CONSUMED_EVENTS.fieldNames())
                .withColumn("bucket", bucket_of(F.col("event_id"), self.buckets)))
-        new.write.mode("append").partitionBy("bucket").parquet(self.path("events"))
+        # one file per touched bucket and flush, not one per task and bucket
+        # (event ids are unique here and hashed, so the buckets are even)
+        new.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(self.path("events"))
 
     # ------------------------------------------------------------ published stream
     MESSAGE_SCHEMA = "message_id string, body string, op string, published_at timestamp_ntz, batch_id string"
