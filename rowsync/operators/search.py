@@ -24,7 +24,9 @@ def tokens(col):
 
 def _query_terms(spark: SparkSession, q: str) -> DataFrame:
     """The query's distinct terms as a tiny DataFrame (tokenised by Spark)."""
-    return (spark.createDataFrame([(q,)], "q string")
+    # built in the JVM (a local one-row relation), not from a Python list: the
+    # plan then needs no Python worker
+    return (spark.range(0, 1, 1, 1).select(F.lit(q).alias("q"))
             .select(F.explode(F.array_distinct(tokens(F.col("q")))).alias("term")))
 
 
@@ -82,8 +84,7 @@ def bm25(spark: SparkSession, fields: DataFrame, q: str, boosts: dict[str, float
 
     Term frequencies are computed only for the query's terms (a broadcast
     semi join right after tokenising), so the shuffle carries matches, not the
-    corpus; N, df and avgdl are partial aggregates; df and the per-field stats
-    (bounded by the query terms and fields) are broadcast back."""
+    corpus; N, df and avgdl are partial aggregates."""
     boosts = boosts or {}
     terms = F.broadcast(_query_terms(spark, q))
     toks = fields.where(F.col("text").isNotNull()).select(key, "field", tokens(F.col("text")).alias("toks"))
@@ -93,9 +94,11 @@ def bm25(spark: SparkSession, fields: DataFrame, q: str, boosts: dict[str, float
             .join(terms, "term", "left_semi")
             .groupBy(key, "field", "term").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl")))
     df_ = hits.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
-    # df_ has at most (query terms x fields) rows: broadcast, so a term found
-    # in a third of the corpus is not one shuffle partition of the hits
-    s = hits.join(F.broadcast(df_), ["field", "term"]).join(F.broadcast(stats), "field")
+    # df_ has at most (query terms x fields) rows; AQE sees that at runtime and
+    # broadcasts it, reading the hits shuffle locally, so a term found in a
+    # third of the corpus is not one partition. A broadcast hint here would
+    # plan a second, column-pruned tokenisation of the corpus for df_.
+    s = hits.join(df_, ["field", "term"]).join(F.broadcast(stats), "field")
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
     part = idf * F.col("tf") * (K1 + 1) / norm
