@@ -726,12 +726,13 @@ def q_stream_dedupe_bounded(spark, sf_dir):
 
 @query("stateful_version_gate")
 def q_stateful_version_gate(spark, sf_dir):
+    """The raw deliveries as a stream (four files in delivery order), parsed in
+    the streaming query, gated per product in the state store."""
     f = fx(spark, sf_dir)
-    good = parse_event(f.deliveries).where(F.col("error").isNull()).select("product_id", "delivery_id", "version")
-    src_dir = ordered_files(good, "delivery_id", 4, "gate-in")
-    stream = spark.readStream.schema(good.schema).option("maxFilesPerTrigger", "1").parquet(src_dir)
+    stream = cons.stream_deliveries(spark, delivery_files(f), 1)
+    good = parse_event(stream).where(F.col("error").isNull()).select("product_id", "delivery_id", "version")
     out = scratch_dir(spark, "stream-out")
-    st.drain(st.stateful_version_gate(stream), out, scratch_dir(spark, "ckpt-stream"))
+    st.drain(st.stateful_version_gate(good), out, scratch_dir(spark, "ckpt-stream"))
     return spark.read.parquet(out)
 
 
