@@ -40,14 +40,17 @@ def incremental_batch(tables: Tables, products_loader: Callable[[SparkSession],
         try:
             collapsed = collapse_changes(page)
             products = products_loader(spark)  # re-read: the source keeps changing
-            n, lo, hi = page.agg(F.count(F.lit(1)), F.min("product_id"), F.max("product_id")).first()  # three numbers
+            # one pass over the page for four scalars; as_of becomes a literal, so
+            # the writes below do not each run a scalar subquery over the page
+            n, lo, hi, last_at = page.agg(F.count(F.lit(1)), F.min("product_id"), F.max("product_id"),
+                                          F.max("changed_at").cast("string")).first()
             small = fits_broadcast(n)
             if lo is not None:
                 # literal bounds reach the Parquet scan (row-group skipping on an
                 # id-clustered source); a scalar subquery would not be pushed
                 products = products.where(F.col("id").between(lo, hi))
             rows = join_changes_current(collapsed, products, broadcast_page=small, op_from=op_from, changes=page)
-            as_of = page.agg(F.max("changed_at")).scalar()
+            as_of = F.lit(last_at).cast("timestamp_ntz")
             batch_id = f"inc-{epoch_id}"
             crash_at = None
             if crash and crash.get("epoch") == epoch_id and crash.get("left", 0) > 0:
