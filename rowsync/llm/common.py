@@ -49,11 +49,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A DataFrame of a few literal rows (no RDD or Arrow)."""
-    if not rows:
-        return spark.range(0).selectExpr(*[f"cast(null AS {c.split()[1]}) AS {c.split()[0]}" for c in schema.split(", ")])
+    def literal(v):
+        if isinstance(v, str):
+            return f"decode(X'{v.encode().hex()}', 'utf-8')"
+        return "NULL" if v is None else f"{v!r}D" if isinstance(v, float) else f"{v}L"
+
     names = [c.split() for c in schema.split(", ")]
-    structs = [F.struct(*[F.lit(v).cast(kind).alias(name) for v, (name, kind) in zip(r, names)]) for r in rows]
-    return spark.range(1).select(F.inline(F.array(*structs)))
+    cast = ", ".join(f"cast({n} AS {kind}) AS {n}" for n, kind in names)
+    values = ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in rows or [(None,) * len(names)])
+    out = spark.sql(f"SELECT {cast} FROM VALUES {values} AS t({', '.join(n for n, _ in names)})")
+    return out if rows else out.limit(0)
 
 
 def crc_mod(col: str, mod: int):

@@ -28,7 +28,7 @@ from .common import small_table, written
 DIMS = ("size", "crc", "lang")  # the metadata dimensions; each a non-negative long
 CHAIN = ("crc", "fine")  # what orders rows of equal value
 BINS = 4096
-TOLERANCE = 1 / 1000  # of a shard's target: a bin so light needs no finer cut
+TOLERANCE = 1 / 1000  # of a shard's target: a bin so light, or of one row, needs no finer cut
 
 
 def _digest(docs: DataFrame) -> DataFrame:
@@ -45,9 +45,9 @@ KEYS = ("size", "crc", "lang", "fine")
 _CUT = "node bigint, k0 int, v0 bigint, k1 int, v1 bigint, k2 int, v2 bigint"
 
 
-def _value(index: str) -> Column:
-    """The value of a row's key, by its number in KEYS."""
-    return F.element_at(F.array(*[F.col(k) for k in KEYS]), F.col(index) + 1)
+def _value(index: str) -> str:
+    """SQL for the value of a row's key, by its number in KEYS."""
+    return f"element_at(array({', '.join(KEYS)}), {index} + 1)"
 
 
 def _padded(keys: list[tuple[str, int]]) -> list:
@@ -59,20 +59,19 @@ def _descend(rows: DataFrame, cuts: dict) -> DataFrame:
     keys in order; ``cuts`` has a few rows, so it is broadcast."""
     spark = rows.sparkSession
     moves = small_table(spark, [(n, *_padded(keys), left) for n, (keys, left) in cuts.items()], f"{_CUT}, left bigint")
-    less = F.lit(False)
+    less = "false"
     for i in (2, 1, 0):
-        less = F.when(F.col(f"k{i}").isNull(), F.lit(False)).otherwise(
-            (_value(f"k{i}") < F.col(f"v{i}")) | ((_value(f"k{i}") == F.col(f"v{i}")) & less))
+        less = f"CASE WHEN k{i} IS NULL THEN false ELSE {_value(f'k{i}')} < v{i} OR ({_value(f'k{i}')} = v{i} AND {less}) END"
     placed = rows.join(F.broadcast(moves), "node", "left")
-    node = F.when(F.col("left").isNull(), F.col("node")).otherwise(F.when(less, F.col("left")).otherwise(F.col("left") + 1))
+    node = F.expr(f"CASE WHEN left IS NULL THEN node WHEN {less} THEN left ELSE left + 1 END")
     return written(placed.withColumn("node", node).select(*rows.columns), "kd-level")
 
 
 def kd_tree(rows: DataFrame, shards: int) -> tuple[DataFrame, dict]:
     """``rows`` with the leaf of each as ``node``, and each leaf's shard."""
-    span = rows.agg(*[F.min(d) for d in DIMS], *[F.max(d) for d in DIMS], F.sum("size"), F.count(F.lit(1))).first()
-    total, n = span[-2] or 0, span[-1]
-    slack = max(total / shards * TOLERANCE, 2 * total / max(1, n))  # nor does one of a row or two
+    span = rows.agg(*[F.min(d) for d in DIMS], *[F.max(d) for d in DIMS], F.sum("size")).first()
+    total = span[-1] or 0
+    slack = total / shards * TOLERANCE
     width = {d: max(1, (span[len(DIMS) + i] or 0) - (span[i] or 0)) for i, d in enumerate(DIMS)}
     rows = rows.withColumn("node", F.lit(0).cast("long"))
     shares = {0: (0, shards)}  # node: its first shard, how many
@@ -111,21 +110,19 @@ def _narrow(placed: DataFrame, seek: dict, slack: int, found: dict) -> dict:
         asked.append((node, *_padded([*s["fixed"], (s["chain"][len(s["fixed"])], s["lo"])]), s["hi"], s["step"], float(s["want"]), len(s["fixed"])))
     ask = small_table(placed.sparkSession, asked, f"{_CUT}, hi bigint, step bigint, want double, at int")
     rows = placed.join(F.broadcast(ask), "node")
-    inside = F.lit(True)
-    for i in (0, 1):
-        inside &= (F.col("at") <= i) | (_value(f"k{i}") == F.col(f"v{i}"))
-    value, lo = (F.when(F.col("at") == 0, a).when(F.col("at") == 1, b).otherwise(c) for a, b, c in (
-        (_value("k0"), _value("k1"), _value("k2")), (F.col("v0"), F.col("v1"), F.col("v2"))))
-    rows = rows.withColumn("x", value).withColumn("lo", lo).filter(inside & (F.col("x") >= F.col("lo")) & (F.col("x") < F.col("hi")))
-    sums = rows.groupBy("node", "want", F.expr("(x - lo) div step").alias("bin")).agg(F.sum("size").alias("w"))
+    x = " ".join(["CASE at", *[f"WHEN {i} THEN {_value(f'k{i}')}" for i in range(3)], "END AS x"])
+    rows = rows.selectExpr("node", "want", "size", "hi", "step", "CASE at WHEN 0 THEN v0 WHEN 1 THEN v1 ELSE v2 END AS lo", x,
+                           f"(at < 1 OR {_value('k0')} = v0) AND (at < 2 OR {_value('k1')} = v1) AS inside")
+    sums = rows.filter("inside AND x >= lo AND x < hi").groupBy("node", "want", F.expr("(x - lo) div step").alias("bin")).agg(
+        F.sum("size").alias("w"), F.count(F.lit(1)).alias("rows"))
     upto = F.sum("w").over(Window.partitionBy("node").orderBy("bin"))  # BINS rows a node at most
-    cross = sums.withColumn("upto", upto).filter("upto >= want").groupBy("node").agg(F.min(F.struct("bin", "w", "upto")).alias("x"))
+    cross = sums.withColumn("upto", upto).filter("upto >= want").groupBy("node").agg(F.min(F.struct("bin", "w", "upto", "rows")).alias("x"))
     left = {}
     for node, x in ((r["node"], r["x"]) for r in cross.collect()):
         s = seek[node]
         lo, under, key = s["lo"] + x["bin"] * s["step"], x["upto"] - x["w"], s["chain"][len(s["fixed"])]
         last = len(s["fixed"]) + 1 == len(s["chain"])
-        if x["w"] <= slack or (s["step"] == 1 and last):
+        if x["w"] <= slack or x["rows"] == 1 or (s["step"] == 1 and last):
             up = x["upto"] - s["want"] <= s["want"] - under  # the nearer end of the bin
             found[node] = [*s["fixed"], (key, lo + (s["step"] if up else 0))]
         elif s["step"] > 1:
