@@ -11,8 +11,10 @@ anchor: the k-gram of least hash within it, the leftmost of equals. Equal
 windows have equal anchors, so the windows of one anchor k-gram are a shard of
 the suffix order that can be judged by itself.
 
-1. Consecutive windows of one anchor are a run. Runs are counted by anchor hash;
-   runs of hashes met once are done with.
+1. Consecutive windows of one anchor are a run; a run whose anchor hash is a
+   multiple of ``CHUNK`` begins a chunk. Equal chunks (digests) are grouped, and
+   every later one is a repeat as a whole: long copies end here. The other
+   chunks' runs are counted by anchor hash; hashes met once are done with.
 2. Documents that have other runs give the runs' text (segments). Equal segments
    are reduced to the first by partial aggregation; every later one is a repeat
    as a whole.
@@ -41,7 +43,7 @@ from pyspark.sql import functions as F
 from .common import BYTE_HASH, as_bytes, mix, slices, written
 
 LENGTH, GRAM = 100, 24
-GROUP = 16_384
+GROUP, CHUNK = 16_384, 32
 _LAST = (1 << 63) - 1
 _POSITION = np.uint64(21)  # a piece is shorter than 2^21
 PIECE = 1 << 20
@@ -94,6 +96,17 @@ def _text_runs(t: bytes, length: int):
         yield h, first + at, n
 
 
+def _chunks(t: bytes, length: int):
+    """(start, windows) of the chunks of a whole text: whole runs, up to the next
+    run whose anchor hash is a multiple of CHUNK."""
+    n = len(t) - length + 1
+    if n <= 0:
+        return
+    cuts = [first[h % np.uint64(CHUNK) == 0] for h, first, _ in _text_runs(t, length)]
+    edge = np.unique(np.concatenate([[0], *cuts, [n]])).tolist()
+    yield from ((a, z - a) for a, z in zip(edge[:-1], edge[1:]))
+
+
 def _digests(t: bytes) -> tuple[int, int]:
     d = hashlib.blake2b(t, digest_size=16).digest()
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
@@ -139,22 +152,39 @@ def _merge(spans: list) -> list:
 def repeated_spans(docs: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFrame:
     """(ord, key, start, stop): byte intervals of documents that are repeats.
     ``docs`` has ord, key and text; ord and key name a row's text."""
+    def chunks(batches):
+        for b in slices(batches, "text"):
+            rows = {c: [] for c in ("d1", "d2", "ord", "key", "start", "n")}
+            for t, o, k in zip(as_bytes(b.column("text")), b.column("ord").to_pylist(), b.column("key").to_pylist()):
+                for start, n in _chunks(t, length):
+                    for c, v in zip(rows, (*_digests(t[start:start + n + length - 1]), o, k, start, n)):
+                        rows[c].append(v)
+            yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([(c, pa.int64()) for c in rows]))
+
+    whole = written(docs.mapInArrow(chunks, "d1 long, d2 long, ord long, key long, start long, n long"), "chunks")
+    often = whole.groupBy("d1", "d2").agg(F.min(F.struct("ord", "start")).alias("head"), F.count(F.lit(1)).alias("times")).filter("times > 1")
+    copied = whole.join(often, ["d1", "d2"]).filter(
+        (F.col("head.ord") < F.col("ord")) | ((F.col("head.ord") == F.col("ord")) & (F.col("head.start") < F.col("start"))))
+    copied = written(copied.select("ord", "key", "start", "n"), "copied")
+    gone = copied.groupBy(F.col("ord").alias("_ord"), F.col("key").alias("_key")).agg(F.collect_set(F.struct("start", "n")).alias("gone"))
+
     def find(batches):
         for b in slices(batches, "text"):
-            ords, keys = b.column("ord").to_pylist(), b.column("key").to_pylist()
-            parts = [(h, first, n, o, k) for t, o, k in zip(as_bytes(b.column("text")), ords, keys) for h, first, n in _text_runs(t, length)]
-            if not parts:
-                continue
-            each = [len(p[0]) for p in parts]
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.concatenate([p[0] for p in parts]).view(np.int64)),
-                pa.array(np.repeat(np.array([p[3] for p in parts], np.int64), each)), pa.array(np.repeat(np.array([p[4] for p in parts], np.int64), each)),
-                pa.array(np.concatenate([p[1] for p in parts])), pa.array(np.concatenate([p[2] for p in parts]).astype(np.int32))],
-                ["anchor", "ord", "key", "first", "n"])
-
-    runs = docs.mapInArrow(find, "anchor long, ord long, key long, first long, n int")
+            out = {c: [] for c in ("anchor", "ord", "key", "first", "n")}
+            for t, o, k, g in zip(as_bytes(b.column("text")), b.column("ord").to_pylist(), b.column("key").to_pylist(), b.column("gone").to_pylist()):
+                edge = np.array(sorted(x for r in g or () for x in (r["start"], r["start"] + r["n"])), np.int64)
+                for h, first, n in _text_runs(t, length):
+                    left = np.flatnonzero(np.searchsorted(edge, first, "right") % 2 == 0)  # outside copied chunks
+                    for c, v in zip(out, (h[left].view(np.int64), np.full(len(left), o), np.full(len(left), k), first[left], n[left])):
+                        out[c].append(v)
+            if out["n"]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v).astype(np.int64)) for v in out.values()], list(out))
+
+    own = (F.col("ord") == F.col("_ord")) & (F.col("key") == F.col("_key"))
+    runs = written(docs.join(gone, own, "left").select("ord", "key", "text", "gone").mapInArrow(
+        find, "anchor long, ord long, key long, first long, n long"), "runs")
     often = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("anchor")
-    mine = runs.join(often, "anchor").groupBy("ord", "key").agg(F.collect_set(F.struct("first", "n", "anchor")).alias("runs"))
+    mine = written(runs.join(often, "anchor"), "met").groupBy("ord", "key").agg(F.collect_set(F.struct("first", "n", "anchor")).alias("runs"))
 
     def cut(batches):
         for b in slices(batches, "text", 1 << 20):
@@ -168,7 +198,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, group: int = GROUP) ->
             if rows["ord"]:
                 yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([(c, {"n": pa.int32(), "segment": pa.binary()}.get(c, pa.int64())) for c in rows]))
 
-    texts = docs.join(mine.withColumnsRenamed({"ord": "_ord", "key": "_key"}), (F.col("ord") == F.col("_ord")) & (F.col("key") == F.col("_key")))
+    texts = docs.join(mine.withColumnsRenamed({"ord": "_ord", "key": "_key"}), own)
     segments = written(texts.select("ord", "key", "text", "runs").mapInArrow(
         cut, "anchor long, d1 long, d2 long, ord long, key long, first long, n int, segment binary"), "segments")
 
@@ -243,7 +273,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, group: int = GROUP) ->
     # a head's key: the rows that have this very segment there
     heads = segments.select("ord", "key", "first", *by_text).distinct()
     named = found.unionByName(apart).distinct().join(heads.select("ord", "first", "key").distinct(), ["ord", "first"])
-    return later.unionByName(named.select("ord", "key", "start", "stop"))
+    whole = copied.select("ord", "key", "start", (F.col("start") + F.col("n") + length - 1).alias("stop"))
+    return written(whole.unionByName(later).unionByName(named.select("ord", "key", "start", "stop")), "spans")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFrame:
