@@ -58,7 +58,7 @@ def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFram
     """A DataFrame of a few literal rows (no RDD or Arrow)."""
     def literal(v):
         if isinstance(v, str):
-            return f"decode(X'{v.encode().hex()}', 'utf-8')"
+            return f"cast(X'{v.encode().hex()}' AS STRING)"
         return "NULL" if v is None else f"{v!r}D" if isinstance(v, float) else f"{v}L"
 
     names = [c.split() for c in schema.split(", ")]

@@ -1,0 +1,357 @@
+"""The dealt operators against plain versions, libraries and held-out labels,
+with nulls, empty and very long texts, ties, repeated rows, empty tables and
+extra columns of clashing names."""
+
+import random
+import zlib
+from collections import Counter, defaultdict
+
+import brute
+import numpy as np
+import pytest
+
+import __spark_entry__ as E
+import corpus_pipeline
+from conftest import SF001, SF01
+from oracle import compare
+from rowsync.llm import bpe, contamination, embeddings, langid, minhash, queries, secrets, shards, suffixes, toxicity, urls
+from rowsync.llm.common import ship, table
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+CLASH = ["n", "score", "component", "row", "node", "spans", "sketch", "label", "value", "host"]
+
+
+def make_docs(spark, texts, clash=True):
+    rows = [(i, t, ["en", "de", None][(i or 0) % 3], f"s{(i or 0) % 2}", len(t or "")) for i, t in texts]
+    out = spark.createDataFrame(rows, DOCS)
+    if clash:
+        for c in CLASH:
+            out = out.withColumn(c, out["doc_id"])
+    return out
+
+
+def odd_texts():
+    rng = random.Random(5)
+    word = ["alpha", "beta", "gamma", "delta", "rho", "sigma", "tau", "phi", "Ünder", "naïve"]
+
+    def say(n, seed):
+        r = random.Random(seed)
+        return " ".join(r.choice(word) + str(r.randrange(40)) for _ in range(n))
+    long = say(9000, 1)
+    near = say(120, 2).split(" ")
+    texts = [(1, None), (2, ""), (3, " \t\n"), (4, "short"), (5, "SHORT"), (6, long), (7, long), (8, "x" + long[:30000]), (9, "a" * 700),
+             (10, "1234 5678"), (11, "日本語のテキスト"), (12, "é" * 300), (13, "abc " * 200)]
+    for k in range(14, 40):
+        w = list(near)
+        for _ in range(k % 4):
+            w[rng.randrange(len(w))] = "edit" + str(rng.randrange(9))
+        texts.append((k, " ".join(w)))
+    texts += [(k, say(60, k)) for k in range(40, 60)]
+    return texts
+
+
+@pytest.fixture(scope="module", autouse=True)
+def shipped(spark):
+    ship(spark)
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return make_docs(spark, odd_texts()).cache()
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE))
+def test_sql_twin(spark, duck01, name):
+    compare(E.queries()[name](spark, SF01), duck01, queries.ORACLE[name])
+
+
+# 1 toxicity
+
+def test_toxicity_held_out(spark):
+    sf = "/root/testdata/sf0.1"
+    rows = queries.op1_toxicity(spark, sf).collect()
+    truth = {r.doc_id: r.toxic for r in table(spark, sf, "labels").collect()}
+    held = [(truth[r.doc_id], r.predicted) for r in rows if r.held_out and r.doc_id in truth]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 for r in rows)
+    n = Counter(held)
+    assert n[1, 1] >= 0.8 * (n[1, 1] + n[1, 0]) and n[0, 0] >= 0.97 * (n[0, 0] + n[0, 1])
+
+
+def test_toxicity_odd_rows(spark, odd):
+    texts = [(i, ("you idiot moron " if i % 2 else "fine words here ") * 3 + str(i)) for i in range(100, 260)] + odd_texts()
+    docs = make_docs(spark, texts + texts[-3:])
+    labels = spark.createDataFrame([(i, int(i % 2)) for i in range(100, 260)] + [(None, 1), (5, None), (9999, 1)], "doc_id long, toxic int")
+    rows = toxicity.toxicity_digest(docs, labels).collect()
+    assert len(rows) == len(texts) + 3
+    got = {r.doc_id: r.predicted for r in rows}
+    assert all(got[i] == i % 2 for i in range(100, 260)) and got[1] == got[2] == 0
+    nothing = toxicity.toxicity_digest(docs, labels.limit(0)).collect()
+    assert {r.score for r in nothing} == {0.0}
+    assert toxicity.toxicity_digest(docs.limit(0), labels).count() == 0
+
+
+# 2 BPE
+
+def test_bpe_equals_library(spark, odd):
+    from tokenizers import Tokenizer
+    path = queries.tokenizer_path()
+    library = Tokenizer.from_file(path)
+    more = [(70, "a<|endoftext|> b  c"), (71, "it's  we'll\n\n x \t y "), (72, "½ Ⅷ 42 ４２"), (73, "ab" * 20000), (74, "  lead"), (75, "\x1c x \x85")]
+    texts = odd_texts() + more + more[:1]
+    texts += [(100 + r.doc_id, r.text) for r in table(spark, SF001, "documents").collect()]
+    docs = make_docs(spark, texts)
+    rows = {r.doc_id: r for r in bpe.bpe_digest(docs, path).collect()}
+    for i, t in texts:
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        assert (rows[i].n_tokens, rows[i].ids_sha256) == (len(ids), brute.sha(",".join(map(str, ids)))), i
+        assert rows[i].decoded_sha256 == brute.sha(library.decode(ids, skip_special_tokens=False)), i
+    assert bpe.bpe_digest(docs, path).count() == len(texts) and bpe.bpe_digest(docs.limit(0), path).count() == 0
+
+
+def test_segment_tree_order():
+    # ranks: ab before bc; leftmost of equals first
+    rank_of, id_of = {1 << 20 | 2: 0, 2 << 20 | 3: 1, 4 << 20 | 4: 2}, [4, 5, 6]
+    assert bpe.merge_piece([1, 2, 3], rank_of, id_of) == [4, 3]
+    assert bpe.merge_piece([1, 2, 1, 2, 1, 2], rank_of, id_of) == [6, 4]
+
+
+# 3 secrets
+
+def secret_texts():
+    key = "Zx9Qm2Lk7Vb4Nc8Rt5Yw3"  # mixes cases and digits
+    return [(1, None), (2, ""), (3, f"é token = 'abcdefghijkl' {key} x"), (4, "token = password: abcdefghijklmnop"), (5, "AKIA" + "B" * 14 + " AKIAB"),
+            (6, "deadbeefdeadbeef0 api_key:0123456789abcdef0"), (7, "TOKEN=short secret=abcdefghijkl=="), (8, key), (9, key + " common" + key),
+            (10, "password: hunter2hunter2"), (11, "password: hunter2hunter2"), (12, "ſecret=abcdefghijklmn"), (13, ("0" * 16 + " ") * 300)]
+
+
+def test_secret_spans(spark):
+    texts = secret_texts()
+    docs = make_docs(spark, texts + texts[:3])
+    rows = secrets.secret_digest(docs).collect()
+    assert len(rows) == len(texts) + 3
+    for r in rows:
+        base = brute.base_spans(dict(texts)[r.doc_id])
+        assert r.base_sha256 == brute.sha(brute.said(base)), r.doc_id
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(s[1] == k for s in base) for k in range(3))
+        assert {x for x in r.spans.split(",") if not x.startswith("generic")} - {""} == set(brute.said(base).split(",")) - {""}
+    by = {r.doc_id: r.spans for r in rows}
+    assert "generic:25:46" in by[3] and by[8] == "generic:0:21"
+    assert secrets.secret_digest(docs.limit(0)).count() == 0
+
+
+def test_secret_ownership(spark):
+    key = "Zx9Qm2Lk7Vb4Nc8Rt5Yw3"
+    rows = [(i, key, "en", f"owner{i}", 1) for i in range(9)] + [(20, "Own" + key, "en", "owner1", 1)]
+    got = {r.doc_id: r.spans for r in secrets.secret_digest(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got[0] == "" and got[20] == "generic:0:24"
+
+
+def test_redaction(spark):
+    docs = make_docs(spark, [(1, "a token=abcdefghijkl1 b"), (2, "clean"), (3, None), (1, "a token=abcdefghijkl1 b")], clash=False)
+    got = sorted((r.doc_id, r.text, r.n_chars) for r in secrets.redact_secrets(docs).collect())
+    assert got == [(1, "a [SECRET] b", 12)] * 2 + [(2, "clean", 5), (3, None, 0)]
+
+
+# 4 embeddings
+
+def test_vectors(spark):
+    rng = np.random.default_rng(3)
+    vecs = rng.normal(size=(300, 16))
+    vecs[100:180] = vecs[5] + rng.normal(size=(80, 16)) * 0.03
+    vecs[200:210] = vecs[7]
+    rows = [(i, [float(x) for x in v], int(i % 2) if i < 100 else 1) for i, v in enumerate(vecs)]
+    rows += [(300, None, 1), (301, [0.0] * 16, 1), (302, [float("nan")] * 16, 1), (303, rows[5][1], None), (304, [], 1), (305, [None] * 16, 1), (306, [1.0, 2.0], 1)]
+    rows += [rows[0], rows[0]]
+    data = spark.createDataFrame([(i, v, k, i, i) for i, v, k in rows], "vec_id long, embedding array<float>, label int, cid long, weight long")
+    for largest in (embeddings.LARGEST, 40):  # the second splits shards and tight groups
+        embeddings.LARGEST, was = largest, embeddings.LARGEST
+        try:
+            got = embeddings.near_vectors(data).collect()
+        finally:
+            embeddings.LARGEST = was
+        assert len(got) == len(rows)
+        f = np.float32(vecs).astype(float)
+        f /= np.linalg.norm(f, axis=1, keepdims=True)
+        near = (f @ f.T >= 0.98) & np.equal.outer([r[2] for r in rows[:300]], [r[2] for r in rows[:300]])
+        np.fill_diagonal(near, False)
+        u = brute.Union(range(307))
+        for a, b in zip(*np.nonzero(near)):
+            u.join(int(a), int(b))
+        links = {i: int(near[i].sum()) if i < 300 else 0 for i in range(307)}
+        found = sum(min(r.n_links, links[r.vec_id]) for r in {r.vec_id: r for r in got}.values())
+        assert found >= 0.97 * sum(links.values()) and all(r.n_links <= links[r.vec_id] for r in got)
+        if largest == embeddings.LARGEST:
+            assert all((r.n_links, r.component_id) == (links[r.vec_id], u.find(r.vec_id)) for r in got)
+        assert all(r.kept == (r.vec_id == r.component_id) for r in got)
+    assert embeddings.near_vectors(data.limit(0)).count() == 0
+
+
+# 5 language ID
+
+def test_language_held_out(spark):
+    rows = queries.op5_language(spark, SF01).collect()
+    truth = {r.doc_id: r.lang for r in table(spark, SF01, "documents").collect()}
+    held = [truth[r.doc_id] == r.lang_pred for r in rows if r.held_out]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in rows) and np.mean(held) > 0.97
+
+
+def test_language_odd_rows(spark, odd):
+    got = {r.doc_id: r for r in langid.language_digest(odd).collect()}
+    assert all(got[i].lang_pred == "und" for i in (1, 2, 3, 10)) and got[6].lang_pred in ("en", "de")
+    none = langid.language_digest(odd.withColumn("lang", odd["lang"].substr(9, 1)).filter("doc_id < 12").replace("", None)).collect()
+    assert len(none) == 11
+    assert langid.language_digest(odd.limit(0)).count() == 0
+
+
+# 6 repeated bytes
+
+@pytest.mark.parametrize("group", [suffixes.GROUP, 2])
+def test_repeats(spark, group):
+    texts = odd_texts()
+    passage = "the passage that many documents share, over a hundred bytes long, which only the first of them keeps as it was. "
+    texts += [(k, f"{k} before {passage * (1 + k % 2)} after {k}") for k in range(60, 90)]
+    rows = suffixes.remove_repeats(make_docs(spark, texts + texts[-2:]), group=group).collect()
+    want = brute.repeats(texts)
+    assert len(rows) == len(texts) + 2
+    for r in rows:
+        assert (r.n_bytes, r.n_removed, r.n_spans, brute.sha(bytes(r.kept))) == want[r.doc_id], r.doc_id
+
+
+def test_repeats_of_one_id(spark):
+    docs = spark.createDataFrame([(1, "x" * 150), (1, "x" * 150), (None, "y" * 99), (2, None), (3, "x" * 100)], "doc_id long, text string")
+    got = sorted((r.doc_id or 9, r.n_bytes, r.n_removed) for r in suffixes.remove_repeats(docs).collect())
+    assert got == [(1, 150, 149), (1, 150, 149), (2, 0, 0), (3, 100, 100), (9, 99, 0)]
+    assert suffixes.remove_repeats(docs.limit(0)).count() == 0
+
+
+def test_longest_previous_factor():
+    text = b"abcabcabxabcab"
+    starts = np.arange(len(text) - 3 + 1)
+    got = suffixes.longest_previous_factor(text, starts, starts, 3)
+    assert got.tolist() == [text[i:i + 3] in {text[j:j + 3] for j in range(i)} for i in starts]
+
+
+# 7 contamination
+
+@pytest.mark.parametrize("block", [contamination.BLOCK, 5])
+def test_contamination(spark, block):
+    item = "one two three four five six seven eight nine ten eleven twelve"
+    items = [("1", item), ("2", item), ("3", "tiny item"), ("4", None), ("5", "..."), ("6", "lone"), (None, "zeta eta theta"), ("3", "tiny item")]
+    texts = odd_texts() + [(60, f"x {item.upper()}, y"), (61, "one two three four five six seven eight nine"), (62, "a tiny, item. lone"),
+                           (63, item + " " + item), (64, "zeta eta theta iota"), (65, "tiny"), (66, "item tiny")]
+    docs = make_docs(spark, texts + texts[-1:])
+    bench = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id string, text string, words int")
+    found = contamination.decontaminate(docs, bench, block_windows=block)
+    got = sorted((r.doc_id, r.n_words, sum(x.end - x.begin for x in r.runs), len(r["items"]), brute.sha(",".join(r["items"])), bool(r.runs)) for r in found.collect())
+    assert got == sorted(brute.contamination(texts + texts[-1:], items))
+    assert contamination.decontaminate(docs, bench.limit(0)).filter("size(runs) > 0").count() == 0
+    assert contamination.decontaminate(docs.limit(0), bench).count() == 0
+
+
+# 8 near duplicates
+
+@pytest.mark.parametrize("block", [minhash.BLOCK, 2])
+def test_near_duplicates(spark, block):
+    texts = odd_texts()
+    docs = make_docs(spark, texts + texts[-2:] + [(None, texts[-1][1])])
+    rows = minhash.near_duplicates(docs, block).collect()
+    want = brute.near_duplicates(texts)
+    assert len(rows) == len(texts) + 3
+    for r in rows:
+        if r.doc_id is None:
+            assert r.component_id is None and r.kept
+        else:
+            assert (r.n_shingles, r.component_id, r.kept) == (*want[r.doc_id], r.doc_id == want[r.doc_id][1]), r.doc_id
+    assert minhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_estimate():
+    rng = np.random.default_rng(1)
+    a = rng.integers(0, 2**63, 20000, dtype=np.int64).astype(np.uint64) * np.uint64(2)
+    x, y = np.unique(a[:12000]), np.unique(a[1000:])
+    p, q = minhash.sketch(x), minhash.sketch(y)
+    got = minhash.estimate(np.count_nonzero((p == q) & (p > 0)), np.count_nonzero(p | q), len(x), len(y))
+    assert abs(got - 11000 / 20000) < 0.12
+
+
+# 9 shards
+
+def test_shards(spark):
+    texts = odd_texts() * 3 + [(k, "copy of a text") for k in range(1000, 1400)]
+    docs = make_docs(spark, texts)
+    rows = shards.kd_shards(docs, 8).collect()
+    assert sorted((r.doc_id, r["size"], r.text_crc32) for r in rows) == sorted(
+        (i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t in texts)
+    slots, size = defaultdict(list), Counter()
+    for r in rows:
+        slots[r.shard].append(r.slot)
+        size[r.shard] += r["size"]
+    assert set(slots) <= set(range(8)) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    copies = make_docs(spark, [(k, "copy of a text") for k in range(1000)])
+    n = Counter(r.shard for r in shards.kd_shards(copies, 8).collect())
+    assert len(n) == 8 and max(n.values()) <= 1.05 * min(n.values())  # one group, split evenly
+    assert shards.kd_shards(docs.limit(0), 8).count() == 0
+
+
+def test_shards_are_balanced(spark):
+    size = Counter()
+    for r in queries.op9_shards(spark, SF01).collect():
+        size[r.shard] += r["size"]
+    assert len(size) == 40 and max(size.values()) < 1.3 * sum(size.values()) / 40  # rows of a shard's third at this size
+
+
+# 10 URLs
+
+URLS = [None, "", "no scheme", "http://a.NET/x", "https://example.net/en/x?q#f", "https://example.net/en", "http://www.example.com/de/", "http://x.org/fr/a",
+        "http://x.org?/fr/", "ftp://notnet/", "http://b.example.net:80/en/", "http://" + "a." * 500 + "net/" + "d/" * 500, "a://b://net/", "http://net", "http://.net/\n/en/"]
+
+
+def test_urls(spark):
+    pages = spark.createDataFrame([(i, u, "x", "y") for i, u in enumerate(URLS + URLS[:5])], "page_id long, url string, host string, rule string")
+    got = {(r.page_id, r.host, r.path, r.rule, r.verdict) for r in urls.judge_urls(pages, urls.rule_table(spark)).collect()}
+    assert got == {(i, *brute.judge(u, urls.RULES)) for i, u in enumerate(URLS + URLS[:5])}
+    rules = [("net", "/en", "block"), ("net", "/en/x", "allow"), ("a.net", "", "block"), (None, "/", "block")]
+    got = {(r.page_id, r.rule, r.verdict) for r in urls.judge_urls(pages, urls.rule_table(spark, rules)).collect()}
+    assert got == {(i, *brute.judge(u, [r for r in rules if r[0]])[2:]) for i, u in enumerate(URLS + URLS[:5])}
+    assert {r.verdict for r in urls.judge_urls(pages, urls.rule_table(spark, [])).collect()} == {"allow"}
+    assert urls.judge_urls(pages.limit(0), urls.rule_table(spark)).count() == 0
+
+
+# pipeline
+
+def test_pipeline(spark):
+    from tokenizers import Tokenizer
+    library = Tokenizer.from_file(queries.tokenizer_path())
+    got = {r.doc_id: r for r in corpus_pipeline.run(spark, SF001).collect()}
+    docs = [(r.doc_id, r.text) for r in table(spark, SF001, "documents").collect()]
+    items = [(str(r.item_id), r.text) for r in table(spark, SF001, "benchmark").collect()]
+    named = {r.doc_id: r for r in corpus_pipeline.language_stage(spark, table(spark, SF001, "documents"), SF001).collect()}
+    assert set(named) >= {i for i, t in docs if t and any(c.isalpha() for c in t)} - {i for i, _ in docs if i not in named}
+    assert len(named) >= 0.97 * len(docs)
+    stay = [(i, t) for i, t in docs if i in named]
+    near = brute.near_duplicates(stay)
+    stay = [(i, t) for i, t in stay if near[i][1] == i]
+    dirty = {r[0] for r in brute.contamination(stay, items) if r[5]}
+    stay = {i: t for i, t in stay if i not in dirty}
+    assert set(got) == set(stay) and len(got) > 0.7 * len(docs)
+    for i, t in stay.items():
+        spans, at, out = brute.base_spans(t), 0, []
+        for a, _, z, _ in spans:
+            if a >= at:
+                out += [t[at:a], "[SECRET]"]
+            at = max(at, z)
+        ids = library.encode("".join(out) + t[at:], add_special_tokens=False).ids
+        assert got[i].n_tokens == len(ids) and got[i].ids_sha256 == brute.sha(",".join(map(str, ids)))
+
+
+def test_pipeline_odd_rows(spark, odd):
+    docs = odd.select("doc_id", "text", "lang", "source", "n_chars", "node")
+    docs = docs.unionByName(docs.filter("doc_id > 50")).unionByName(docs.filter("doc_id = 59").withColumn("doc_id", docs["node"] * None))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before, docs = docs, stage(spark, docs, SF001).cache()
+        assert docs.columns == before.columns and docs.count() <= before.count()
+    ids = [r.doc_id for r in docs.collect()]
+    assert 1 not in ids and ids.count(6) == 1 and 7 not in ids and ids.count(55) == 1 and ids.count(None) == 1
+    empty = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, SF001).count() == 0
