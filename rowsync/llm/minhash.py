@@ -8,16 +8,15 @@ equal sets form a class; classes are compared, copies are not.
 1. The sketch is cut into 32 bands of eight registers; a bucket is the classes
    that share a band. Each bucket's smallest class is its leader, and every
    other member is paired with the leader: as many pairs as members.
-2. Pairs are verified. The collision-corrected estimate of the Jaccard similarity
-   (HyperMinHash, Yu and Weber) rejects a pair only where it is more than six
-   standard deviations too low; all others are confirmed on the full sets.
-3. Links make components. A bucket whose members now are in one component needs
-   nothing more. In the others, members of different components are compared by
-   their estimates, in blocks of at most ``BLOCK`` members a side, so that a
-   bucket of any size is split over tasks; only pairs whose estimate may pass
-   leave the task. They are verified and the components made final.
-
-No pair of a bucket goes untested unless a chain of links already joins it, so
+2. Chains of such pairs make clusters; all pairs of a bucket are in one cluster.
+   A cluster is compared in units of two blocks of at most ``BLOCK`` members, so
+   one of any size is split over tasks. Within a unit, the collision-corrected
+   estimate of the Jaccard similarity (HyperMinHash, Yu and Weber) rejects a pair
+   only where it is more than six standard deviations too low; all others are
+   confirmed on the full sets, unless confirmed links join them already. So a
+   unit reports fewer links than members, of which components are made.
+
+No pair of a bucket goes untested unless confirmed links already join it, so
 components are those of all links that banding finds. A pair at 0.85 is missed
 by all 32 bands with probability (1 - 0.85^8)^32, about 4e-5; chains of copies
 lower that further.
@@ -116,62 +115,48 @@ def _bands(batches):
         yield pa.RecordBatch.from_arrays([pa.array(key[doc, band].view(np.int64)), pa.array(ids[doc])], ["bucket", "rep"])
 
 
-def _verify(batches):
-    for b in batches:
-        a, z, keep = b.column("set_a"), b.column("set_b"), []
-        for i in range(b.num_rows):
-            p = np.frombuffer(a[i].as_buffer(), np.uint64)
-            q = np.frombuffer(z[i].as_buffer(), np.uint64)
-            if DEN * min(len(p), len(q)) < NUM * max(len(p), len(q)):
-                continue
-            x, y = sketch(p), sketch(q)
-            filled = np.count_nonzero(x | y)
-            if not may_link(np.count_nonzero((x == y) & (x > 0)), filled, len(p), len(q)):
-                continue
-            both = len(p) + len(q) - len(np.unique(np.concatenate([p, q])))
-            if DEN * both >= NUM * (len(p) + len(q) - both):
-                keep.append(i)
-        yield pa.RecordBatch.from_arrays([b.column("a").take(pa.array(keep, pa.int64())), b.column("b").take(pa.array(keep, pa.int64()))], ["a", "b"])
-
-
 def _sets(batches):
     for b in slices(batches, "text"):
         sets = shingle_sets(as_bytes(b.column("text")))
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
-                                          pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "n", "members"])
-
-
-def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes whose full sets confirm the link."""
-    ends = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = docs.select("doc_id", "text").join(ends, "doc_id", "left_semi")
-    sets = texts.mapInArrow(_sets, "node long, n long, members binary")
-    # an id may repeat with another text: the class's own set is meant
-    sets = written(sets.join(reps.select(F.col("rep").alias("node"), "n"), ["node", "n"]).groupBy("node").agg(F.max("members").alias("members")), "sets")
-    half = pairs.join(sets.select(F.col("node").alias("a"), F.col("members").alias("set_a")), "a")
-    both = half.join(sets.select(F.col("node").alias("b"), F.col("members").alias("set_b")), "b")
-    return both.select("a", "b", "set_a", "set_b").mapInArrow(_verify, "a long, b long")
+        kept = [b.column(c) for c in ("cluster", "blocks", "side", "rep", "n")]
+        yield pa.RecordBatch.from_arrays([*kept, pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
+                                         ["cluster", "blocks", "side", "rep", "n", "size", "members"])
 
 
 def _compare(key, rows):
-    """Pairs of a block (or of two) in different components that may link."""
-    side = np.asarray(rows.column("side"))
-    rep, comp, n = (np.asarray(rows.column(c)) for c in ("rep", "comp", "n"))
-    reg = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint16).reshape(-1, BUCKETS)
-    left, right = np.flatnonzero(side == side.min()), np.flatnonzero(side == side.max())
-    one = side.min() == side.max()
-    a, b = [], []
+    """Confirmed links of one unit: a block with itself, or with another one."""
+    lo, hi = key[1].as_py(), key[2].as_py()
+    rows = rows.sort_by("rep")
+    side, rep = np.asarray(rows.column("side")), np.asarray(rows.column("rep"))
+    sets = [np.frombuffer(x, np.uint64) for x in rows.column("members").to_pylist()]
+    n = np.array([len(x) for x in sets], np.int64)
+    reg = np.array([sketch(x) for x in sets]).reshape(-1, BUCKETS)
+    up, a, b = list(range(len(rep))), [], []
+
+    def find(x):
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    left, right = np.flatnonzero(side == lo), np.flatnonzero(side == hi)
     for i in left.tolist():
-        if one and key[1].as_py() != key[2].as_py():
-            break  # the other block of this unit is empty
-        other = right[(comp[right] != comp[i]) & (not one or rep[right] > rep[i])]
+        other = right if lo != hi else right[rep[right] > rep[i]]
+        other = other[DEN * np.minimum(n[other], n[i]) >= NUM * np.maximum(n[other], n[i])]
         if not len(other):
             continue
         same = ((reg[other] == reg[i]) & (reg[i] > 0)).sum(axis=1)
-        filled = ((reg[other] | reg[i]) > 0).sum(axis=1)
-        near = other[may_link(same, filled, n[other], n[i]) & (DEN * np.minimum(n[other], n[i]) >= NUM * np.maximum(n[other], n[i]))]
-        a += np.minimum(rep[near], rep[i]).tolist()
-        b += np.maximum(rep[near], rep[i]).tolist()
+        near = may_link(same, ((reg[other] | reg[i]) > 0).sum(axis=1), n[other], n[i])
+        order = np.argsort(-same[near], kind="stable")  # likely links first: they spare tests
+        for j in other[near][order].tolist():
+            x, y = find(i), find(j)
+            if x == y:
+                continue
+            both = n[i] + n[j] - len(np.unique(np.concatenate([sets[i], sets[j]])))
+            if DEN * both >= NUM * (n[i] + n[j] - both):
+                up[max(x, y)] = min(x, y)
+                a.append(rep[i])
+                b.append(rep[j])
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
@@ -187,25 +172,18 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 
     buckets = written(reps.select("rep", "sketch").mapInArrow(_bands, "bucket long, rep long"), "bands")
     heads = buckets.groupBy("bucket").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    members = written(buckets.join(heads, "bucket"), "buckets")
-    star = members.filter("rep != leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
-    links = written(verified(star, docs, reps), "links")
-    labels = connected_components(links)
-
-    named = members.filter("size > 2").join(labels, F.col("rep") == F.col("node"), "left").select(
-        "bucket", "rep", "leader", "size", F.coalesce("component", "rep").alias("comp"))
-    named = written(named, "named")
-    mixed = named.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x != y").select("bucket")
-    rest = named.join(mixed, "bucket").filter("rep != leader")  # the leader has been compared with all
-    blocks = F.ceil(F.col("size") / F.lit(block)).cast("int")
-    rest = rest.withColumn("side", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rest = rest.withColumn("lo", F.least("side", "other")).withColumn("hi", F.greatest("side", "other"))
-    rest = rest.join(reps.select("rep", "n", "sketch"), "rep")
-    more = rest.select("bucket", "lo", "hi", "side", "rep", "comp", "n", "sketch").groupBy("bucket", "lo", "hi").applyInArrow(
-        _compare, "a long, b long").distinct()
-    more = written(more, "pairs")
-    again = written(verified(more, docs, reps), "links")
-    joined_ = connected_components(links.unionByName(again).unionByName(copies))
+    star = buckets.join(heads, "bucket").filter("rep != leader").select(F.col("leader").alias("a"), F.col("rep").alias("b"))
+    clusters = connected_components(star).withColumnRenamed("component", "cluster")
+    sizes = clusters.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"))
+    info = clusters.join(sizes, "cluster").join(reps.select(F.col("rep").alias("node"), "n"), "node")
+    info = info.select("cluster", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("side"), F.col("node").alias("rep"), "n")
+    texts = docs.join(info, F.col("doc_id") == F.col("rep")).drop("doc_id")
+    members = texts.mapInArrow(_sets, "cluster long, blocks int, side int, rep long, n long, size long, members binary")
+    # an id may repeat with another text: the class's own set is meant
+    members = members.filter("n = size").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    units = members.select("cluster", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "rep", "members")
+    links = written(units.groupBy("cluster", "lo", "hi").applyInArrow(_compare, "a long, b long"), "links")
+    joined_ = connected_components(links.unionByName(copies))
     out = sketches.select("doc_id", F.col("n").alias("n_shingles")).join(joined_, F.col("doc_id") == F.col("node"), "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
