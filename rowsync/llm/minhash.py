@@ -2,7 +2,8 @@
 
 A document's set holds the hashes of its distinct five-word shingles. Its sketch
 has 256 buckets (the hash's top byte); each keeps the least hash of the bucket
-as a leading-zero count and ten mantissa bits, two bytes in all. Documents of
+as a leading-zero count and 26 mantissa bits, four bytes in all (with ten bits the
+sparse bands of short documents collided by chance and chained into one cluster). Documents of
 equal sets form a class; classes are compared, copies are not.
 
 1. The sketch is cut into 32 bands of eight registers; a bucket is the classes
@@ -39,7 +40,7 @@ from .common import as_bytes, joined, mix, sequence_hash, slices, translation, w
 from .components import connected_components
 
 SHINGLE, NUM, DEN = 5, 85, 100  # linked: DEN * intersection >= NUM * union
-BUCKETS, BANDS, MANTISSA = 256, 32, 10
+BUCKETS, BANDS, MANTISSA = 256, 32, 26
 BLOCK = 1024
 # Word bytes: all but space, tab, line feed, vertical tab, form feed, return.
 WORDS = translation({b for b in range(256) if b != 32 and not 9 <= b <= 13})
@@ -50,7 +51,7 @@ CHANCE = 0.169919487159739093975315012348
 
 def sketch(s: np.ndarray) -> np.ndarray:
     """Registers of a sorted set of hashes; 0 is an empty bucket."""
-    out = np.zeros(BUCKETS, np.uint16)
+    out = np.zeros(BUCKETS, np.uint32)
     if not len(s):
         return out
     at = np.searchsorted(s, _EDGES)
@@ -61,7 +62,7 @@ def sketch(s: np.ndarray) -> np.ndarray:
     part, power = np.frexp(rest)  # part in [0.5, 1): its bits after the first are the mantissa
     zeros = np.where(rest > 0, 53 - power, 60)
     bits = np.where(rest > 0, np.floor((part * 2 - 1) * (1 << MANTISSA)), 0)
-    return np.where(full, ((zeros + 1).astype(np.int64) << MANTISSA) + bits.astype(np.int64), 0).astype(np.uint16)
+    return np.where(full, ((zeros + 1).astype(np.int64) << MANTISSA) + bits.astype(np.int64), 0).astype(np.uint32)
 
 
 def estimate(same: np.ndarray, filled: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -92,27 +93,28 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     return out
 
 
+def band_keys(reg: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, whether any register of the band is filled) of sketches."""
+    wide = np.ascontiguousarray(reg).view(np.uint64).reshape(len(reg), BANDS, -1)
+    key = np.zeros(wide.shape[:2], np.uint64) + np.arange(BANDS, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(wide.shape[2]):
+            key = mix(key * np.uint64(31) + wide[:, :, j])
+    return key, wide.any(axis=2)
+
+
 def _sketches(batches):
     for b in slices(batches, "text"):
         sets = shingle_sets(as_bytes(b.column("text")))
         with np.errstate(over="ignore"):
             d1 = [int(mix(s).sum(dtype=np.uint64).view(np.int64)) for s in sets]
             d2 = [int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64)) for s in sets]
+        key, filled = band_keys(np.array([sketch(s) for s in sets]).reshape(-1, BUCKETS))
+        ends = np.concatenate([[0], np.cumsum(filled.sum(axis=1))]).astype(np.int32)  # an empty band says nothing
+        bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(key[filled].view(np.int64)))
         yield pa.RecordBatch.from_arrays(
-            [b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()),
-             pa.array([sketch(s).tobytes() for s in sets], pa.binary())], ["doc_id", "n", "d1", "d2", "sketch"])
-
-
-def _bands(batches):
-    rows = BUCKETS // BANDS
-    for b in batches:
-        reg = np.frombuffer(b"".join(b.column("sketch").to_pylist()), np.uint64).reshape(-1, BANDS, rows // 4)
-        key = np.full(reg.shape[:2], 0, np.uint64) + np.arange(BANDS, dtype=np.uint64)
-        for j in range(reg.shape[2]):
-            key = mix(key * np.uint64(31) + reg[:, :, j])
-        doc, band = np.nonzero(reg.any(axis=2))  # an empty band says nothing
-        ids = np.asarray(b.column("rep"))
-        yield pa.RecordBatch.from_arrays([pa.array(key[doc, band].view(np.int64)), pa.array(ids[doc])], ["bucket", "rep"])
+            [b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), bands],
+            ["doc_id", "n", "d1", "d2", "bands"])
 
 
 def _sets(batches):
@@ -163,14 +165,16 @@ def _compare(key, rows):
 def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of ``docs``."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketches = written(docs.mapInArrow(_sketches, "doc_id long, n long, d1 long, d2 long, sketch binary"), "sketches")
+    sketches = written(docs.mapInArrow(_sketches, "doc_id long, n long, d1 long, d2 long, bands array<long>"), "sketches")
     filled = sketches.filter("n > 0 AND doc_id IS NOT NULL")
-    reps = written(filled.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.max("sketch").alias("sketch")), "classes")
+    reps = written(filled.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep")), "classes")
     # copies: each distinct id and class once
-    copies = filled.select("doc_id", "d1", "d2", "n").join(reps.select("d1", "d2", "n", "rep"), ["d1", "d2", "n"]).select(
+    copies = filled.select("doc_id", "d1", "d2", "n").join(reps, ["d1", "d2", "n"]).select(
         F.col("rep").alias("a"), F.col("doc_id").alias("b"))
 
-    buckets = written(reps.select("rep", "sketch").mapInArrow(_bands, "bucket long, rep long"), "bands")
+    own = filled.join(reps.select("rep", *[F.col(c).alias(f"_{c}") for c in ("d1", "d2")]),
+                      (F.col("doc_id") == F.col("rep")) & (F.col("d1") == F.col("_d1")) & (F.col("d2") == F.col("_d2")))
+    buckets = written(own.select("rep", F.explode("bands").alias("bucket")).distinct(), "bands")
     heads = buckets.groupBy("bucket").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("size")).filter("size > 1")
     star = buckets.join(heads, "bucket").filter("rep != leader").select(F.col("leader").alias("a"), F.col("rep").alias("b"))
     clusters = connected_components(star).withColumnRenamed("component", "cluster")
