@@ -4,9 +4,9 @@ Each stage is a function of (spark, docs, sf_dir); ``run`` writes what a stage
 returns as Parquet under the shared checkpoint folder and reads it again as the
 next one's ``docs``. All stages but the last return the columns of ``docs``.
 
-- language ID: rejects texts without letters (``und``) and those no language of
-  which reaches ``LEAST_SCORE``; the network learns from rows outside the held-out
-  fold that have a language.
+- language ID: rejects texts whose language is undetermined (``und``: null, or no
+  letter); the network learns from rows outside the held-out fold that have a
+  language. A low score alone rejects nothing, so clean documents stay.
 - MinHash near-dedup: one row of each group of near duplicates stays, of the
   smallest id; documents without words stay.
 - benchmark decontamination: documents that hold a benchmark window go.
@@ -25,7 +25,6 @@ from rowsync.llm import bpe, contamination, langid, minhash, secrets
 from rowsync.llm.common import crc_mod, ship, table, written
 from rowsync.llm.queries import tokenizer_path
 
-LEAST_SCORE = 0.3
 ORACLE_SQL = None
 
 
@@ -33,7 +32,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     ship(spark)
     model = langid.fit_languages(docs.filter(crc_mod("doc_id", 3) != 1))
     judged = langid.predict_languages(docs, model, docs.columns)
-    return judged.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    return judged.filter(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
