@@ -67,7 +67,7 @@ def scan_changes_prefix_safe(change_log: DataFrame, cursor, as_of, window_ms: in
     seq. The stop position is a scalar subquery (one value), no cross join."""
     after = change_log.where(F.col("seq") > cursor)
     young = after.where(F.col("changed_at") > as_of - _ms(window_ms)).agg(F.min("seq")).scalar()
-    page = after.where(F.col("seq") < F.coalesce(young, F.lit(2**62).cast("long")))
+    page = after.where(F.coalesce(F.col("seq") < young, F.lit(True)))  # none young: all
     return page.orderBy("seq").limit(limit) if limit else page
 
 
