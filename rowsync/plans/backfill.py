@@ -26,40 +26,37 @@ def range_batch_id(run_id: str, r) -> str | Column:
     return f"{run_id}-r{r}"
 
 
-def plan_ranges(target: int, min_width: int, max_ranges: int, waves: int) -> tuple[int, int, int]:
-    """(range width, number of ranges, ranges per wave): ranges are at least
-    ``min_width`` keys and at most ``max_ranges`` in number (the progress table
-    and the batch partitions stay bounded as the table grows); a wave is one
-    parallel job over ``ranges/waves`` ranges."""
-    if target <= 0:
-        return min_width, 0, 1
-    width = max(min_width, math.ceil(target / max_ranges))
-    n_ranges = math.ceil(target / width)
-    return width, n_ranges, max(1, math.ceil(n_ranges / max(1, waves)))
+RANGES_PER_WAVE = 4096  # a wave is a sizeable parallel job; a stop costs at most one
 
 
-WAVE_KEYS = 1 << 24  # default keys per wave: a wave is a sizeable parallel job
+def plan_ranges(target: int, width: int, waves: int | None = None) -> tuple[int, int]:
+    """(number of ranges, ranges per wave). The width is the same at any table
+    size, so a range stays one small write task and a larger table has more of
+    them; ``waves`` asks for a number of waves instead of full ones."""
+    n_ranges = math.ceil(max(0, target) / width)
+    return n_ranges, max(1, math.ceil(n_ranges / waves)) if waves else RANGES_PER_WAVE
 
 
 def run_backfill(tables: Tables, products: DataFrame, run_id: str, as_of: Column,
-                 range_width: int = 65_536, waves: int | None = None, max_ranges: int = 4096,
+                 range_width: int = 65_536, waves: int | None = None,
                  crash_at: str | None = None, crash_wave: int | None = None, target: int | None = None) -> dict:
     """Run (or resume) backfill ``run_id``. Events are always ``insert``
     (soft-deleted rows included). Returns {target, waves, skipped}.
 
-    A key range is the unit of resume and of partition overwrite, so it is
-    sized for Spark (tens of thousands of keys by default), not for a network
-    round trip: narrow ranges only multiply small files. ``waves`` defaults to
-    one wave per ``WAVE_KEYS`` keys: on an id-clustered source a wave reads
-    only the files of its key range, so a small wave would leave most cores
-    idle, while a crash costs at most one wave."""
+    Target and layout are stored when the run first starts and read back on
+    resume, so a wave always means the same key ranges; rows that came later
+    are the incremental job's, or another run's. A key range is the unit of
+    resume and of partition overwrite, so it is sized for Spark (tens of
+    thousands of keys by default), not for a network round trip. On an
+    id-clustered source a wave reads only the files of its key range."""
     spark = products.sparkSession
-    if target is None:
-        target = int(snapshot_high_water(products).first()[0])  # one number, fixed at start
-    if waves is None:
-        waves = max(1, math.ceil(target / WAVE_KEYS))
-    range_width, n_ranges, ranges_per_wave = plan_ranges(target, range_width, max_ranges, waves)
-    n_waves = math.ceil(n_ranges / ranges_per_wave) if n_ranges else 0
+    def plan() -> tuple[int, int, int]:
+        end = int(snapshot_high_water(products).first()[0]) if target is None else target  # one number
+        return end, range_width, plan_ranges(end, range_width, waves)[1]
+
+    target, range_width, ranges_per_wave = tables.open_run(run_id, plan, as_of)
+    n_ranges = plan_ranges(target, range_width)[0]
+    n_waves = math.ceil(n_ranges / ranges_per_wave)
     done_all = tables.progress().where((F.col("mode") == "backfill") & (F.col("run_id") == run_id))
     skipped = 0
     for w in range(n_waves):
@@ -75,7 +72,8 @@ def run_backfill(tables: Tables, products: DataFrame, run_id: str, as_of: Column
                 .join(F.broadcast(done), "range_id", "left_anti")   # bounded by ranges_per_wave
                 .withColumn("range_batch", range_batch_id(run_id, F.col("range_id")))
                 .withColumn("op", F.lit("insert")))
-        members = [range_batch_id(run_id, r) for r in range(r_lo, r_hi)]
+        finished = {r["range_id"] for r in done.collect()}  # at most ranges_per_wave numbers
+        members = [range_batch_id(run_id, r) for r in range(r_lo, r_hi) if r not in finished]
         write_batch(tables, rows.drop("range_id"), "backfill", f"{run_id}-w{w}", as_of,
                     batch_col="range_batch", member_batches=members, small=False, key_range=(lo, hi),
                     crash_at=crash_at if crash_wave in (None, w) else None)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -16,19 +17,31 @@ from ..sources.changes import lookup_by_ids
 from .batch_writer import _touched_log
 
 
-def dlq_replay(tables: Tables, products: DataFrame, as_of: Column, batch_id: str = "replay-1",
+def dlq_replay(tables: Tables, products: DataFrame, as_of: Column, batch_id: str | None = None,
                ids: DataFrame | None = None) -> DataFrame:
     """Replay DLQ entries of the document sink in one pass (no 500-row chunks):
     requested ids (empty/None = all open) -> **current** source rows ->
     validate -> version gate -> documents. ok or duplicate -> resolved;
     rejected again -> attempts+1 with the new error (entry stays open); id gone
     from the source -> resolved. Writes only the document sink. Returns one
-    row ``replayed, resolved, failed``."""
+    row ``replayed, resolved, failed``.
+
+    Each call is a batch of its own, so a replay never replaces another one's
+    rows; ``batch_id`` names it to repeat a replay that was stopped."""
+    spark = products.sparkSession
+    batch_id = batch_id or f"replay-{uuid.uuid4().hex}"
     log_batch = f"replay-{batch_id}"
+    attempt = tables.begin_attempt("replay", batch_id, as_of)
+    if attempt.number > 1:
+        tables.clear("docs", mode="replay", batch_id=batch_id)
+        tables.clear("outcomes", mode="replay", batch_id=batch_id)
+        tables.clear("dlq", log_batch=log_batch)
+    # its own rows are excluded: a write refreshes cached frames over its path
     dlq = tables.dlq(exclude_log_batch=log_batch)
     req = (ids.select(F.col(ids.columns[0]).alias("record_id")) if ids is not None
            else dlq.where((F.col("sink") == "es") & (F.col("status") == "open")).select("record_id")).distinct()
     req = req.persist()
+    out = None
     try:
         current = lookup_by_ids(products, req, id_col="record_id", small=False).withColumn("op", F.lit("update"))
         batch = validate_strict(current).withColumn("batch_id", F.lit(batch_id))
@@ -49,20 +62,20 @@ def dlq_replay(tables: Tables, products: DataFrame, as_of: Column, batch_id: str
             F.lit(batch_id).alias("batch_id"), F.lit("replay").alias("mode"), "kind", none_i.alias("attempts"),
             F.when(F.col("kind") == "resolve", "resolved").otherwise("open").alias("status"),
             as_of.alias("updated_at"))
-        tables.write_dlq_rows(rows, log_batch)
+        tables.write_dlq_rows(rows, log_batch, attempt.commit_seq)
         tables.write_outcomes(out.select(
             F.lit("replay").alias("mode"), F.lit(batch_id).alias("batch_id"), F.lit("es").alias("sink"), "id",
-            "version", "outcome", "reason", "error", F.lit(1).alias("attempt")))
-        summary = out.agg(F.count_if(F.col("outcome").isin("ok", "duplicate")).alias("_ok"),
-                          F.count_if(F.col("outcome") == "dlq").alias("failed"))
-        return (summary
-                .withColumn("replayed", req.agg(F.count(F.lit(1))).scalar())
-                .withColumn("resolved", F.col("_ok") + gone.agg(F.count(F.lit(1))).scalar())
-                .select("replayed", "resolved", "failed"))
+            "version", "outcome", "reason", "error", F.lit(attempt.number).alias("attempt")))
+        ok, failed = out.agg(F.count_if(F.col("outcome").isin("ok", "duplicate")),
+                             F.count_if(F.col("outcome") == "dlq")).first()
+        n, n_gone = req.count(), gone.count()
+        return spark.range(0, 1, 1, 1).select(F.lit(n).cast("long").alias("replayed"),
+                                              F.lit(ok + n_gone).cast("long").alias("resolved"),
+                                              F.lit(failed).cast("long").alias("failed"))
     finally:
-        # inputs exclude this replay's own log partition, so a recomputation
-        # after unpersist sees the same rows
         req.unpersist()
+        if out is not None:
+            out.unpersist()
 
 
 def item_retry(first: DataFrame, respond: Callable[[DataFrame, int], DataFrame], max_attempts: int = 5) -> DataFrame:

@@ -5,32 +5,44 @@
   itself. Current state = highest version per id (commutative, idempotent,
   hence backfill/incremental order does not matter). ``compact()`` folds the
   log into a new base generation partitioned by ``bucket`` (hash of the id)
-  so point reads and the version gate prune files.
+  so point reads and the version gate prune files; ``vacuum()`` later deletes
+  what it folded. A batch written in between is kept.
 * events: append what is absent (anti join on event_id); readers dedupe on
   event_id, so a torn append is harmless. Never overwritten by batch (a replay
   re-reads the current row, which may have moved on).
 * outcomes: one row per record and batch, partition-overwritten by batch.
 * dlq: an event log (reject / resolve / bump rows, partitioned by batch) folded
-  into the keyed state by an aggregate.
+  into the keyed state by an aggregate, in the order batches began writing
+  (``commit_seq``), not of the times in their data.
 * consumer_dlq: malformed deliveries, partition-overwritten by batch (keyed by
   batch id: a failed flush cannot duplicate them).
 * progress: one row per finished backfill key range or committed batch.
+* runs: target and layout of each backfill run, fixed when it first starts.
+
+A batch that is repeated clears its own partitions first (``begin_attempt``
+tells), so it replaces its rows also where it now writes none.
 """
 
 from __future__ import annotations
 
+import re
+import time
+from collections.abc import Callable
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.gate import current_state
-from ..schemas import CONSUMED_EVENTS, CONSUMER_DLQ, DLQ, OUTCOMES, PRODUCTS
+from ..schemas import CONSUMED_EVENTS, CONSUMER_DLQ, OUTCOMES, PRODUCTS
 from ..session import scratch_dir
 
 DEFAULT_BUCKETS = 64
 DLQ_LOG_SCHEMA = "sink string, record_id long, version long, payload string, error string, batch_id string, " \
-                 "mode string, kind string, attempts int, status string, updated_at timestamp_ntz"
+                 "mode string, kind string, attempts int, status string, updated_at timestamp_ntz, commit_seq long"
+ATTEMPTS_SCHEMA = "mode string, batch_id string, attempt int, started_at timestamp_ntz, commit_seq long"
+RUNS_SCHEMA = "run_id string, target_max_id long, range_width long, ranges_per_wave long, created_at timestamp_ntz"
 PROGRESS_SCHEMA = "mode string, run_id string, batch_id string, range_id long, last_id long, " \
                   "target_max_id long, cursor_seq long, committed_at timestamp_ntz"
 
@@ -66,6 +78,25 @@ def _has_data(spark: SparkSession, path: str) -> bool:
     return any(not st.getPath().getName().startswith(("_", ".")) for st in fs.listStatus(p))
 
 
+def _children(spark: SparkSession, path: str) -> list[str]:
+    fs, p = _fs(spark, path)
+    return [st.getPath().getName() for st in fs.listStatus(p)] if fs.exists(p) else []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)
+
+
+@dataclass(frozen=True)
+class Attempt:
+    """``number`` 1 is the first attempt of a batch, a higher one a replay;
+    ``commit_seq`` grows from one attempt to the next, whatever the batch."""
+
+    number: int
+    commit_seq: int
+
+
 @dataclass
 class Tables:
     """All sink tables of one replication under ``root`` (a shared folder)."""
@@ -81,6 +112,11 @@ class Tables:
     def path(self, t: str) -> str:
         return f"{self.root}/{t}"
 
+    def clear(self, t: str, **partition: str) -> None:
+        """Delete one partition folder of ``t`` (a repeated batch's earlier rows)."""
+        parts = "/".join(f"{k}={v}" for k, v in partition.items())
+        _delete(self.spark, f"{self.path(t)}/{parts}")
+
     def _read(self, t: str, schema) -> DataFrame:
         # re-created on every call: file listings of growing tables are cached per DataFrame
         if not _has_data(self.spark, self.path(t)):
@@ -91,12 +127,18 @@ class Tables:
     DOC_LOG_SCHEMA = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in PRODUCTS.fields) + \
         ", bucket int, mode string, batch_id string"
 
-    def doc_log(self, exclude_batch: str | None = None) -> DataFrame:
-        log = self._read("docs", self.DOC_LOG_SCHEMA)
-        base = self._read("docs_base", self.DOC_LOG_SCHEMA)
-        if exclude_batch is not None:
-            log = log.where(F.col("batch_id") != exclude_batch)
-        return base.unionByName(log)
+    def _base_generations(self) -> list[int]:
+        """Committed base generations, oldest first (``_SUCCESS`` is written last)."""
+        names = _children(self.spark, self.path("docs_base"))
+        return sorted(int(g[4:]) for g in names if g.startswith("gen=")
+                      and path_exists(self.spark, f"{self.path('docs_base')}/{g}/_SUCCESS"))
+
+    def _base(self) -> DataFrame:
+        gens = self._base_generations()
+        return self._read(f"docs_base/gen={gens[-1]}" if gens else "docs_base/none", self.DOC_LOG_SCHEMA)
+
+    def doc_log(self) -> DataFrame:
+        return self._base().unionByName(self._read("docs", self.DOC_LOG_SCHEMA))
 
     def docs(self) -> DataFrame:
         """Current documents: highest version per id."""
@@ -121,27 +163,45 @@ class Tables:
                         else F.lit(None).cast(f.dataType).alias(f.name))
         rows = docs.select(*cols).withColumn("bucket", bucket_of(F.col("id"), self.buckets)) \
                    .withColumn("mode", F.lit("seed")).withColumn("batch_id", F.lit("seed"))
-        rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(self.path("docs_base"))
+        self._write_base(rows, 0)
+
+    def _write_base(self, rows: DataFrame, gen: int) -> None:
+        (rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "static")
+         .partitionBy("bucket").parquet(f"{self.path('docs_base')}/gen={gen}"))
 
     def compact(self) -> None:
-        """Fold base + log into a new base generation (highest version per id),
-        written to a fresh folder and swapped in; nothing is edited in place."""
-        state = self.docs()
-        new = f"{self.root}/docs_base_next"
-        (state.withColumn("bucket", bucket_of(F.col("id"), self.buckets))
-         .withColumn("mode", F.lit("seed")).withColumn("batch_id", F.lit("compacted"))
-         .repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(new))
-        state_df = self.spark.read.parquet(new)
-        (state_df.write.mode("overwrite").option("partitionOverwriteMode", "static")
-         .partitionBy("bucket").parquet(self.path("docs_base")))
-        # the compacted log is now represented by the base; start an empty log generation
-        empty = self.spark.createDataFrame([], self.DOC_LOG_SCHEMA)
-        (empty.write.mode("overwrite").option("partitionOverwriteMode", "static")
-         .partitionBy("mode", "batch_id").parquet(self.path("docs")))
+        """Fold base + log into the next base generation (highest version per
+        id). Its ``_SUCCESS`` file commits it; nothing is edited or deleted.
 
-    def batch_written(self, mode: str, batch_id: str) -> bool:
-        """Did an earlier attempt of this batch already write its documents?"""
-        return path_exists(self.spark, f"{self.path('docs')}/mode={mode}/batch_id={batch_id}")
+        The log files that were folded are recorded first. They stay readable
+        (folding twice gives the same state, the highest version), so readers of
+        the old generation go on, a batch written meanwhile is not touched, and
+        a stop at any point loses nothing; ``vacuum()`` deletes them later."""
+        log = self._read("docs", self.DOC_LOG_SCHEMA)
+        files = log.inputFiles()  # the listing that the fold below reads
+        gens = self._base_generations()
+        gen = gens[-1] + 1 if gens else 1
+        if files:
+            (self.spark.createDataFrame([(f,) for f in files], "file string").coalesce(1)
+             .write.mode("overwrite").parquet(f"{self.path('docs_folded')}/gen={gen}"))
+        state = current_state(self._base().unionByName(log).drop("mode", "batch_id", "bucket"))
+        self._write_base(state.withColumn("bucket", bucket_of(F.col("id"), self.buckets))
+                         .withColumn("mode", F.lit("seed")).withColumn("batch_id", F.lit("compacted")), gen)
+
+    def vacuum(self) -> None:
+        """Delete what committed compactions replaced: the log files they folded
+        and all generations but the newest. Run it when no reader of an older
+        state is left. A batch repeated since then has files of other names,
+        which stay."""
+        gens = self._base_generations()
+        for g in _children(self.spark, self.path("docs_folded")):
+            if int(g[4:]) in gens:
+                folded = self.spark.read.schema("file string").parquet(f"{self.path('docs_folded')}/{g}")
+                for r in folded.toLocalIterator():
+                    _delete(self.spark, unquote(r["file"]))  # paths come URL-encoded
+                _delete(self.spark, f"{self.path('docs_folded')}/{g}")
+        for g in gens[:-1]:
+            _delete(self.spark, f"{self.path('docs_base')}/gen={g}")
 
     # ------------------------------------------------------------ events
     def events_raw(self) -> DataFrame:
@@ -203,8 +263,8 @@ class Tables:
             log = log.where(F.col("log_batch") != exclude_log_batch)
         return log.drop("log_batch")
 
-    def write_dlq_rows(self, rows: DataFrame, batch_id: str) -> None:
-        (rows.select(*[c.split(" ")[0] for c in DLQ_LOG_SCHEMA.split(", ")])
+    def write_dlq_rows(self, rows: DataFrame, batch_id: str, commit_seq: int) -> None:
+        (rows.withColumn("commit_seq", F.lit(commit_seq).cast("long")).select(*[c.split(" ")[0] for c in DLQ_LOG_SCHEMA.split(", ")])
          .withColumn("log_batch", F.lit(batch_id))
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("log_batch").parquet(self.path("dlq")))
@@ -215,15 +275,16 @@ class Tables:
                             "error", "batch_id", "mode", F.lit("state").alias("kind"),
                             F.col("attempts").cast("int").alias("attempts"), "status",
                             F.col("updated_at").cast("timestamp_ntz").alias("updated_at"))
-        self.write_dlq_rows(rows, "seed")
+        self.write_dlq_rows(rows, "seed", 0)
 
     def dlq(self, exclude_log_batch: str | None = None, record_ids: DataFrame | None = None,
             id_range: tuple[int, int] | None = None) -> DataFrame:
         """Fold the DLQ log into keyed state. attempts = seeded attempts + one per
         reject or bump; status = the latest reject (open) / resolve (resolved);
         version, payload, batch and mode = the latest reject; error = latest
-        reject or bump. Ordered by (updated_at, kind rank) — partial+final
-        aggregates, no per-key window.
+        reject or bump. Ordered by commit sequence: the batch that wrote last
+        wins, whatever the times in its data — partial+final aggregates, no
+        per-key window.
 
         A batch needs the state of its own ids only: ``record_ids`` (a one
         column frame for a semi join; the caller chooses the broadcast) or ``id_range`` (``lo < id <= hi``,
@@ -237,7 +298,8 @@ class Tables:
             log = log.join(record_ids, "record_id", "left_semi")
         rank = F.when(F.col("kind") == "state", 0).when(F.col("kind") == "reject", 1) \
                 .when(F.col("kind") == "bump", 2).otherwise(3)
-        order = F.struct(F.col("updated_at"), rank.alias("r"), F.col("batch_id"))
+        order = F.struct(F.coalesce("commit_seq", F.lit(0)).alias("seq"), F.col("updated_at"), rank.alias("r"),
+                         F.col("batch_id"))
         is_rej = F.col("kind").isin("reject", "state")
         is_status = F.col("kind").isin("reject", "state", "resolve")
         is_err = F.col("kind").isin("reject", "state", "bump")
@@ -266,16 +328,35 @@ class Tables:
          .partitionBy("batch_id").parquet(self.path("consumer_dlq")))
 
     # ------------------------------------------------------------ attempts
-    def begin_attempt(self, mode: str, batch_id: str, started_at) -> int:
-        """Record that a batch attempt starts; returns its number (1 = first).
-        A later attempt of the same batch is a replay, counted as absorbed."""
-        prev = self._read("attempts", "mode string, batch_id string, attempt int, started_at timestamp_ntz")
-        n = prev.where((F.col("mode") == mode) & (F.col("batch_id") == batch_id)).count()
+    def begin_attempt(self, mode: str, batch_id: str, started_at) -> Attempt:
+        """Record that a batch attempt starts. A later attempt of the same batch
+        is a replay, counted as absorbed. The commit sequence is the clock in
+        microseconds, moved past every earlier attempt's."""
+        if not re.fullmatch(r"[A-Za-z0-9_.-]+", batch_id):  # it names folders
+            raise ValueError(f"batch id {batch_id!r}: letters, digits, '_', '.' and '-' only")
+        prev = self._read("attempts", ATTEMPTS_SCHEMA)
+        n, last = prev.agg(F.count_if((F.col("mode") == mode) & (F.col("batch_id") == batch_id)),
+                           F.coalesce(F.max("commit_seq"), F.lit(0))).first()
+        now = Attempt(n + 1, max(time.time_ns() // 1000, last + 1))
         row = self.spark.range(0, 1, 1, 1).select(
-            F.lit(mode).alias("mode"), F.lit(batch_id).alias("batch_id"), F.lit(n + 1).cast("int").alias("attempt"),
-            started_at.cast("timestamp_ntz").alias("started_at"))
+            F.lit(mode).alias("mode"), F.lit(batch_id).alias("batch_id"), F.lit(now.number).cast("int").alias("attempt"),
+            started_at.cast("timestamp_ntz").alias("started_at"), F.lit(now.commit_seq).cast("long").alias("commit_seq"))
         row.write.mode("append").parquet(self.path("attempts"))
-        return n + 1
+        return now
+
+    # ------------------------------------------------------------ runs
+    def open_run(self, run_id: str, plan: Callable[[], tuple[int, int, int]], created_at) -> tuple[int, int, int]:
+        """(target, range width, ranges a wave) of a backfill run: what its first
+        start stored, else what ``plan`` gives, stored before anything is written."""
+        path = f"{self.path('runs')}/run_id={run_id}"
+        if not path_exists(self.spark, f"{path}/_SUCCESS"):
+            target, width, per_wave = plan()
+            self.spark.range(0, 1, 1, 1).select(
+                F.lit(target).cast("long").alias("target_max_id"), F.lit(width).cast("long").alias("range_width"),
+                F.lit(per_wave).cast("long").alias("ranges_per_wave"),
+                created_at.cast("timestamp_ntz").alias("created_at")).write.mode("overwrite").parquet(path)
+        r = self._read("runs", RUNS_SCHEMA).where(F.col("run_id") == run_id).first()
+        return r["target_max_id"], r["range_width"], r["ranges_per_wave"]
 
     # ------------------------------------------------------------ progress
     def progress(self) -> DataFrame:
@@ -285,7 +366,3 @@ class Tables:
         """Written last, after every sink of the batch acknowledged."""
         rows.select(*[c.split(" ")[0] for c in PROGRESS_SCHEMA.split(", ")]).write.mode("append").parquet(
             self.path("progress"))
-
-
-def dlq_state_schema():
-    return DLQ

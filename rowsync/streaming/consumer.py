@@ -13,6 +13,7 @@ from ..functions.events import parse_event
 from ..operators.events import dedupe_first
 from ..session import fits_broadcast
 from ..sinks.tables import Tables
+from .incremental import query_id
 
 DELIVERY_SCHEMA = "delivery_id long, message_id string, body string"
 
@@ -40,6 +41,7 @@ def consume_batch(tables: Tables, deliveries: DataFrame, batch_id: str, consumed
             F.coalesce(F.col("message_id"), F.lit("?")).alias("event_id"),
             F.to_json(F.struct(F.col("body").alias("raw"))).alias("payload"), "error",
             consumed_at.alias("created_at"))
+        tables.clear("consumer_dlq", batch_id=batch_id)  # a re-run replaces its rows, also by none
         tables.write_consumer_dlq(bad, batch_id)
     finally:
         parsed.unpersist()
@@ -50,7 +52,7 @@ def run_consumer(spark: SparkSession, tables: Tables, folder: str, checkpoint: s
     def apply(df: DataFrame, epoch_id: int) -> None:
         page = df.persist()
         try:
-            consume_batch(tables, page, f"c-{epoch_id}", consumed_at, small=fits_broadcast(page.count()))
+            consume_batch(tables, page, f"c-{query_id(df.sparkSession, checkpoint)}-{epoch_id}", consumed_at, small=fits_broadcast(page.count()))
             if fail_epoch and fail_epoch.get("epoch") == epoch_id and fail_epoch.get("left", 0) > 0:
                 fail_epoch["left"] -= 1
                 raise RuntimeError("injected failure before ack")

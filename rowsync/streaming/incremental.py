@@ -10,6 +10,7 @@ batch id and the same rows, and absorbed.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,10 +31,17 @@ def stream_change_log(spark: SparkSession, change_dir: str, max_files_per_trigge
     return r.parquet(change_dir)
 
 
+def query_id(spark: SparkSession, checkpoint: str) -> str:
+    """The streaming query's id: Spark makes it with the checkpoint and keeps it
+    there over restarts, before the first batch runs."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
+
+
 def incremental_batch(tables: Tables, products_loader: Callable[[SparkSession], DataFrame],
-                      op_from: str = "page", crash: dict | None = None):
+                      checkpoint: str, op_from: str = "page", crash: dict | None = None):
     """The ``foreachBatch`` function: collapse -> current rows -> both sinks ->
-    progress row (cursor = max seq of the page)."""
+    progress row (cursor = max seq of the page). Batch ids hold the query's
+    durable id, so a query on a new checkpoint replaces no other one's batches."""
     def apply(df: DataFrame, epoch_id: int) -> None:
         spark = df.sparkSession
         page = df.persist()
@@ -51,7 +59,7 @@ def incremental_batch(tables: Tables, products_loader: Callable[[SparkSession],
                 products = products.where(F.col("id").between(lo, hi))
             rows = join_changes_current(collapsed, products, broadcast_page=small, op_from=op_from, changes=page)
             as_of = F.lit(last_at).cast("timestamp_ntz")
-            batch_id = f"inc-{epoch_id}"
+            batch_id = f"inc-{query_id(spark, checkpoint)}-{epoch_id}"
             crash_at = None
             if crash and crash.get("epoch") == epoch_id and crash.get("left", 0) > 0:
                 crash["left"] -= 1
@@ -75,7 +83,7 @@ def run_incremental(spark: SparkSession, tables: Tables, change_dir: str, checkp
     """Start (or resume from ``checkpoint``) the incremental query. With
     ``available_now`` it drains what is there and stops (tests, catch-up)."""
     stream = stream_change_log(spark, change_dir, max_files_per_trigger)
-    w = (stream.writeStream.foreachBatch(incremental_batch(tables, products_loader, op_from, crash))
+    w = (stream.writeStream.foreachBatch(incremental_batch(tables, products_loader, checkpoint, op_from, crash))
          .option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time or "5 seconds")
     q = w.start()
