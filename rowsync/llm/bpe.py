@@ -4,7 +4,8 @@ Text is cut as the public byte-level pre-tokenizer cuts it. Within a piece the
 ranks of adjacent pairs are the leaves of a segment tree; its root is the
 leftmost pair of lowest rank. A merge changes three leaves, each a logarithmic
 update, until no mergeable pair is left: a piece of n bytes takes O(n log n),
-also where a whole long text is one piece.
+also where a whole long text is one piece. Short pieces are merged many at a
+time, their trees the rows of one matrix.
 
 Pieces repeat, so each task keeps the codes of pieces it has met (bounded, by
 number and length). The vocabulary (read by the driver from a tokenizer file
@@ -36,6 +37,8 @@ from .common import as_bytes, slices
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 KEEP_PIECES, KEEP_LENGTH = 300_000, 64  # a task's cache
+LONG, ROWS = 65, 8192  # longer pieces are merged one by one; rows merged at a time
+LOT = 1 << 20  # bytes of text encoded at a time
 NONE = 1 << 62
 
 
@@ -126,12 +129,75 @@ def merge_piece(ids: list[int], rank_of: dict[int, int], id_of: list[int]) -> li
     return [x for x in ids if x >= 0]
 
 
+class Merger:
+    """Merges many short pieces at once: one segment tree a piece, as rows of a
+    numpy matrix. Each step merges the root's pair in every row and updates the
+    leaves it touches level by level, until no root is left."""
+
+    def __init__(self, vocabulary: dict):
+        keys = sorted(vocabulary["rank_of"])
+        self.keys = np.array([*keys, NONE], np.int64)  # the last one stops every search
+        self.ranks = np.array([*map(vocabulary["rank_of"].get, keys), NONE], np.int64)
+        self.id_of = np.array(vocabulary["id_of"], np.int64)
+        self.bytes = np.array(vocabulary["bytes"], np.int64)
+
+    def leaf(self, a: np.ndarray, b: np.ndarray, at: np.ndarray, size: int, there: np.ndarray) -> np.ndarray:
+        """Leaves of the pairs (a, b) at the positions ``at``: rank * size + position."""
+        key = a << 20 | b
+        found = np.searchsorted(self.keys, key)
+        return np.where(there & (self.keys[found] == key), self.ranks[found] * size + at, NONE)
+
+    def rows(self, raw: list[bytes], size: int) -> list[bytes]:
+        """Packed ids of pieces of 2 to size + 1 bytes (size: a power of two)."""
+        n = np.fromiter(map(len, raw), np.int64, len(raw))
+        wide = size + 1  # positions; column size of the next-position table ends every row
+        place = np.arange(wide)
+        text = np.frombuffer(b"".join(x.ljust(wide, b"\0") for x in raw), np.uint8).reshape(-1, wide)
+        inside = place < n[:, None]
+        ids = np.where(inside, self.bytes[text], -1)
+        tree = np.full((len(raw), 2 * size), NONE, np.int64)
+        tree[:, size:] = self.leaf(ids[:, :-1], ids[:, 1:], place[:-1], size, inside[:, 1:])
+        for k in range(size - 1, 0, -1):
+            np.minimum(tree[:, 2 * k], tree[:, 2 * k + 1], out=tree[:, k])
+        after = np.repeat(place[None, :] + 1, len(raw), 0)
+        before = np.repeat(np.arange(-1, wide)[None, :], len(raw), 0)
+        row = np.arange(len(raw))
+        while True:
+            best = tree[row, 1]
+            row, best = row[best != NONE], best[best != NONE]
+            if not len(row):
+                break
+            rank, i = best // size, best % size
+            new = self.id_of[rank]
+            j = after[row, i]
+            k = after[row, j]
+            ids[row, i], ids[row, j] = new, -1
+            after[row, i], before[row, k] = k, i
+            p = before[row, i]
+            right = self.leaf(new, ids[row, np.minimum(k, size)], i, size, k < n[row])
+            left = self.leaf(ids[row, np.maximum(p, 0)], new, p, size, p >= 0)
+            inner, some = j < size, p >= 0
+            tree[row[inner], size + j[inner]] = NONE
+            tree[row, size + i] = right
+            tree[row[some], size + p[some]] = left[some]
+            many = np.concatenate([row, row, row[some]])
+            node = size + np.concatenate([i, np.minimum(j, size - 1), p[some]])
+            while node[0] > 1:
+                node >>= 1
+                tree[many, node] = np.minimum(tree[many, 2 * node], tree[many, 2 * node + 1])
+        kept = ids >= 0
+        flat = ids[kept].astype(np.int32).tobytes()
+        ends = np.concatenate([[0], np.cumsum(kept.sum(axis=1))]) * 4
+        return [flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+
+
 class Encoder:
     """Text to packed 32-bit ids, with a bounded cache of pieces."""
 
     def __init__(self, vocabulary: dict):
         self.rank_of, self.id_of = vocabulary["rank_of"], vocabulary["id_of"]
         self.bytes, self.special = vocabulary["bytes"], vocabulary["special"]
+        self.merger = Merger(vocabulary)
         self.find = regex.compile(PATTERN).findall
         names = sorted(self.special, key=len, reverse=True)
         self.cut = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
@@ -140,63 +206,68 @@ class Encoder:
         self.kept: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def piece(self, piece: str) -> bytes:
-        ids = merge_piece([self.bytes[b] for b in piece.encode("utf-8", "surrogatepass")], self.rank_of, self.id_of)
-        return array("i", ids).tobytes()
-
-    def keep(self, piece: str, ids: bytes) -> bytes:
-        """Two generations: what was not asked for since the last turn goes."""
-        if len(piece) <= KEEP_LENGTH:
-            if len(self.kept) >= KEEP_PIECES:
-                self.older = dict(self.kept)
-                self.kept.clear()
-            self.kept[piece] = ids
-        return ids
+    def merge(self, pieces: list[str]) -> dict[str, bytes]:
+        """The ids of each piece: short ones by size, many at a time."""
+        out, by_size = {}, {}
+        for p in pieces:
+            raw = p.encode("utf-8", "surrogatepass")
+            if len(raw) == 1:
+                out[p] = array("i", [self.bytes[raw[0]]]).tobytes()
+            elif len(raw) > LONG:
+                out[p] = array("i", merge_piece([self.bytes[b] for b in raw], self.rank_of, self.id_of)).tobytes()
+            else:
+                by_size.setdefault(1 << (len(raw) - 2).bit_length(), []).append((p, raw))
+        for size, found in by_size.items():
+            for at in range(0, len(found), ROWS):
+                names, raws = zip(*found[at:at + ROWS])
+                out.update(zip(names, self.merger.rows(raws, size)))
+        return out
+
+    def chunks(self, text: str) -> list[str]:
+        """``text`` in parts that no piece crosses the ends of. A space before a
+        character that is not white space always begins a piece."""
+        if self.spaced(text):
+            return [c for c in self.at_words(text) if c]
+        first, *rest = text.split(" ")
+        rest = [" " + p for p in rest]
+        return [first, *rest] if first else rest
 
-    def pieces(self, chunk: str) -> bytes:
-        """The ids of a stretch of text that no piece crosses the ends of."""
-        found = self.find(chunk)
-        if len(found) == 1:
-            return self.piece(chunk)
-        out = []
-        for p in found:
+    def parts(self, text: str) -> list[str]:
+        """Special tokens and the chunks between them."""
+        if self.cut is None or not any(s in text for s in self.special):
+            return self.chunks(text)
+        return [c for part in self.cut.split(text) for c in ([part] if part in self.special else self.chunks(part))]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text. What the cache lacks is merged together."""
+        cut = [self.parts(t) for t in texts]
+        # a special token never is an ordinary chunk: it would have been cut out
+        known = {s: array("i", [i]).tobytes() for s, i in self.special.items()}
+        pieces_of = {}
+        for c in set().union(*cut) - known.keys():
+            ids = self.kept.get(c) or self.older.get(c)
+            if ids is None:
+                pieces_of[c] = self.find(c)
+            else:
+                known[c] = ids
+        lacking = {p for found in pieces_of.values() for p in found if p not in known}
+        for p in lacking:
             ids = self.kept.get(p) or self.older.get(p)
-            out.append(ids if ids is not None else self.keep(p, self.piece(p)))
-        return b"".join(out)
-
-    def chunk(self, chunk: str) -> bytes:
-        ids = self.kept.get(chunk)
-        if ids is None:
-            ids = self.older.get(chunk)
-            ids = self.keep(chunk, ids if ids is not None else self.pieces(chunk))
-        return ids
-
-    def plain(self, text: str) -> bytes:
-        """A space before a character that is not white space always begins a
-        piece, so the text is cut there and its chunks are looked up."""
-        if self.spaced(text):
-            parts = [c for c in self.at_words(text) if c]
-        else:
-            parts = text.split(" ")
-            first, parts = parts[0], [" " + p for p in parts[1:]]
-            if first:
-                parts.insert(0, first)
-        out = list(map(self.kept.get, parts))
-        if None in out:
-            chunk = self.chunk
-            out = [chunk(p) if ids is None else ids for p, ids in zip(parts, out)]
-        return b"".join(out)
+            if ids is not None:
+                known[p] = ids
+        known |= self.merge([p for p in lacking if p not in known])
+        for c, found in pieces_of.items():
+            if len(found) > 1:
+                known[c] = b"".join([known[p] for p in found])
+        # two generations: what was not asked for since the last turn goes
+        self.kept.update((c, ids) for c, ids in known.items() if len(c) <= KEEP_LENGTH)
+        if len(self.kept) >= KEEP_PIECES:
+            self.older, self.kept = self.kept, {}
+        get = known.__getitem__
+        return [b"".join(map(get, c)) for c in cut]
 
     def encode(self, text: str) -> bytes:
-        if self.cut is None or not any(s in text for s in self.special):
-            return self.plain(text) if text else b""
-        out = []
-        for part in self.cut.split(text):
-            if part in self.special:
-                out.append(np.int32(self.special[part]).tobytes())
-            elif part:
-                out.append(self.plain(part))
-        return b"".join(out)
+        return self.encode_all([text])[0]
 
 
 def _id_field(df: DataFrame, id_col: str) -> T.StructField:
@@ -214,9 +285,8 @@ def bpe_encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
 
     def task(batches):
         encoder = Encoder(vocabulary.value)
-        for b in slices(batches, text_col):
-            texts = as_bytes(b.column(text_col))
-            rows = [encoder.encode(t.decode("utf-8", "replace")) for t in texts]
+        for b in slices(batches, text_col, LOT):
+            rows = encoder.encode_all([t.decode("utf-8", "replace") for t in as_bytes(b.column(text_col))])
             yield pa.RecordBatch.from_arrays(
                 [b.column(id_col), pa.array([len(r) // 4 for r in rows], pa.int64()), _lists(rows)], [id_col, "n_tokens", "ids"])
 

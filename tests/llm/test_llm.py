@@ -115,6 +115,23 @@ def test_segment_tree_order():
     assert bpe.merge_piece([1, 2, 1, 2, 1, 2], rank_of, id_of) == [6, 4]
 
 
+@pytest.mark.parametrize("size", [1, 2, 4, 8, 16, 32, 64])
+def test_bpe_many_trees_as_one(size):
+    """Trees merged as rows of a matrix give what one tree at a time gives."""
+    draw = random.Random(size)
+    rank_of, id_of, made = {}, [], 256
+    for _ in range(60):  # pairs of four bytes and of what they make
+        a, b = (draw.choice([97, 98, 99, 100, *range(256, made)]) for _ in "ab")
+        if a << 20 | b not in rank_of:
+            rank_of[a << 20 | b] = len(id_of)
+            id_of.append(made)
+            made += 1
+    merger = bpe.Merger({"rank_of": rank_of, "id_of": id_of, "bytes": list(range(256))})
+    raw = [bytes(draw.choice(b"abcd") for _ in range(draw.randint(2, size + 1))) for _ in range(300)]
+    got = [np.frombuffer(r, np.int32).tolist() for r in merger.rows(raw, size)]
+    assert got == [bpe.merge_piece(list(r), rank_of, id_of) for r in raw]
+
+
 # 3 secrets
 
 def secret_texts():
