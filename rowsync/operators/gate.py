@@ -7,28 +7,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def touched_docs(docs: DataFrame, batch: DataFrame, key: str = "id") -> DataFrame:
-    """Only the stored documents the batch touches. The batch's ids are bounded
-    by the page size and broadcast into a semi join, so the document table is
-    scanned and probed in place (no shuffle of the big side); with a bucketed
-    doc table the same ids also prune whole files."""
-    ids = F.broadcast(batch.select(key).distinct())
-    return docs.join(ids, key, "left_semi")
-
-
-def gate_join(batch: DataFrame, docs: DataFrame, key: str = "id", small_batch: bool = False) -> DataFrame:
-    """Batch left join current documents on the key; adds ``doc_version``.
-    ``small_batch`` (a bounded page) pre-filters the doc side to touched ids."""
-    d = touched_docs(docs, batch, key) if small_batch else docs
-    d = d.select(key, F.col("version").alias("doc_version"))
+def gate_join(batch: DataFrame, docs: DataFrame, key: str = "id") -> DataFrame:
+    """Batch left join current documents on the key; adds ``doc_version``."""
+    d = docs.select(key, F.col("version").alias("doc_version"))
     return batch.join(d, key, "left")
 
 
-def gate_outcomes(batch: DataFrame, docs: DataFrame, key: str = "id", small_batch: bool = False) -> DataFrame:
+def gate_outcomes(batch: DataFrame, docs: DataFrame, key: str = "id") -> DataFrame:
     """Per-record outcome of writing ``batch`` (rows with ``version`` and a
     validation ``error``) over ``docs``: dlq (parse failure, reported before a
     version conflict), ok (new or higher version), duplicate (replay / stale)."""
-    j = gate_join(batch, docs, key, small_batch)
+    j = gate_join(batch, docs, key)
     v, dv = F.col("version"), F.col("doc_version")
     outcome = (F.when(F.col("error").isNotNull(), "dlq")
                .when(dv.isNull() | (v > dv), "ok")

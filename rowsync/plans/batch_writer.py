@@ -46,13 +46,14 @@ def _touched_log(tables: Tables, batch: DataFrame, exclude: Column, small: bool,
 
 def write_batch(tables: Tables, rows: DataFrame, mode: str, batch_id: str, as_of: Column,
                 batch_col: str | None = None, member_batches: list[str] | None = None,
-                small: bool = True, crash_at: str | None = None,
+                small: bool = False, crash_at: str | None = None,
                 key_range: tuple[int, int] | None = None) -> DataFrame:
     """Write one batch to both sinks; returns its outcome rows.
 
     ``rows`` are current source rows with an ``op`` column. ``as_of`` is the
     batch time (event ``emitted_at``, DLQ ``updated_at``): an argument, so a
-    replay produces the same rows. For a backfill wave, ``batch_id`` names the
+    replay produces the same rows. ``small``: the caller measured the batch's ids
+    (``session.fits_broadcast``), they may be broadcast. For a backfill wave, ``batch_id`` names the
     wave, ``batch_col`` the per-row key-range batch id and ``member_batches``
     the range batch ids the wave covers (so a repeated wave replaces exactly
     its own partitions and is judged without them)."""

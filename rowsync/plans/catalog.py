@@ -98,7 +98,7 @@ def q_scan_changes_prefix_safe(spark, sf_dir):
 def q_lookup_by_ids(spark, sf_dir):
     """Current rows of every DLQ record id (the replay read)."""
     f = fx(spark, sf_dir)
-    return src.lookup_by_ids(f.products, f.dlq, id_col="record_id", small=False).select("id", "version", "deleted_at")
+    return src.lookup_by_ids(f.products, f.dlq, id_col="record_id").select("id", "version", "deleted_at")
 
 
 @query("source_count")
@@ -617,7 +617,7 @@ def q_versioned_upsert(spark, sf_dir):
     """One batch of every source row written over the part-way document sink."""
     f = fx(spark, sf_dir)
     t = seeded_tables(spark, f, "upsert")
-    write_batch(t, f.products.withColumn("op", F.lit("insert")), "backfill", "all", as_of(f), small=False)
+    write_batch(t, f.products.withColumn("op", F.lit("insert")), "backfill", "all", as_of(f))
     return t.docs().select("id", "version")
 
 

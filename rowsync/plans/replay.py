@@ -43,7 +43,7 @@ def dlq_replay(tables: Tables, products: DataFrame, as_of: Column, batch_id: str
     req = req.persist()
     out = None
     try:
-        current = lookup_by_ids(products, req, id_col="record_id", small=False).withColumn("op", F.lit("update"))
+        current = lookup_by_ids(products, req, id_col="record_id").withColumn("op", F.lit("update"))
         batch = validate_strict(current).withColumn("batch_id", F.lit(batch_id))
         exclude = (F.col("mode") == "replay") & (F.col("batch_id") == batch_id)
         stored = _touched_log(tables, batch, exclude, small=False).groupBy("id").agg(F.max("version").alias("version"))

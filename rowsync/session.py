@@ -29,15 +29,17 @@ DEFAULTS = {
 }
 
 
-# Largest micro-batch (rows) whose keys are broadcast into a semi join with a
-# sink table. A trigger normally bounds a micro-batch, but a catch-up after an
-# outage can be the whole backlog, so the jobs count the batch first and leave
-# a bigger one to AQE's size-checked join choice. 2M keys is tens of MB.
-BROADCAST_MAX_ROWS = 2_000_000
+# Largest key set (bytes) of a micro-batch that is broadcast into a semi join
+# with a sink table, so that the table is probed in place. A trigger normally
+# bounds a micro-batch, but a catch-up after an outage can be the whole backlog,
+# so the jobs measure the keys first and leave a bigger set to AQE's join choice;
+# both ways give the same rows.
+BROADCAST_MAX_BYTES = 64 << 20
+ROW_BYTES = 64  # a row's share of a hashed relation, besides the bytes of its text
 
 
-def fits_broadcast(n_rows: int | None) -> bool:
-    return n_rows is not None and n_rows <= BROADCAST_MAX_ROWS
+def fits_broadcast(n_rows: int, text_bytes: int | None = 0) -> bool:
+    return n_rows * ROW_BYTES + (text_bytes or 0) <= BROADCAST_MAX_BYTES
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,

@@ -71,15 +71,11 @@ def scan_changes_prefix_safe(change_log: DataFrame, cursor, as_of, window_ms: in
     return page.orderBy("seq").limit(limit) if limit else page
 
 
-def lookup_by_ids(products: DataFrame, ids: DataFrame, key: str = "id", id_col: str | None = None,
-                  small: bool = True) -> DataFrame:
+def lookup_by_ids(products: DataFrame, ids: DataFrame, key: str = "id", id_col: str | None = None) -> DataFrame:
     """Rows whose key is in ``ids`` (a DataFrame, never a collected list).
-    A bounded id set (one page) is broadcast; otherwise AQE picks the join."""
+    AQE picks the join from the sizes at runtime."""
     id_col = id_col or key
-    i = ids.select(F.col(id_col).alias(key)).distinct()
-    if small:
-        i = F.broadcast(i)
-    return products.join(i, key, "left_semi")
+    return products.join(ids.select(F.col(id_col).alias(key)).distinct(), key, "left_semi")
 
 
 def source_count(products: DataFrame) -> DataFrame:

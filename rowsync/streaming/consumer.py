@@ -25,9 +25,9 @@ def stream_deliveries(spark: SparkSession, folder: str, max_files_per_trigger: i
     return r.parquet(folder)
 
 
-def consume_batch(tables: Tables, deliveries: DataFrame, batch_id: str, consumed_at, small: bool = True) -> None:
-    """One consumer flush: store what is new, quarantine what is malformed.
-    ``small``: the flush is small enough to broadcast its event ids."""
+def consume_batch(tables: Tables, deliveries: DataFrame, batch_id: str, consumed_at) -> None:
+    """One consumer flush: store what is new, quarantine what is malformed. The
+    flush's event ids are measured (text of any length) before a broadcast."""
     parsed = parse_event(deliveries).persist()
     try:
         good = parsed.where(F.col("error").isNull())
@@ -36,7 +36,8 @@ def consume_batch(tables: Tables, deliveries: DataFrame, batch_id: str, consumed
                              order=["delivery_id", "message_id"])
         rows = first.select("event_id", "product_id", "op", "version", "payload",
                             consumed_at.alias("consumed_at"))
-        tables.append_events(rows, small=small)
+        size = good.agg(F.count(F.lit(1)), F.sum(F.octet_length("event_id"))).first()
+        tables.append_events(rows, small=fits_broadcast(*size))
         bad = parsed.where(F.col("error").isNotNull()).select(
             F.coalesce(F.col("message_id"), F.lit("?")).alias("event_id"),
             F.to_json(F.struct(F.col("body").alias("raw"))).alias("payload"), "error",
@@ -52,7 +53,7 @@ def run_consumer(spark: SparkSession, tables: Tables, folder: str, checkpoint: s
     def apply(df: DataFrame, epoch_id: int) -> None:
         page = df.persist()
         try:
-            consume_batch(tables, page, f"c-{query_id(df.sparkSession, checkpoint)}-{epoch_id}", consumed_at, small=fits_broadcast(page.count()))
+            consume_batch(tables, page, f"c-{query_id(df.sparkSession, checkpoint)}-{epoch_id}", consumed_at)
             if fail_epoch and fail_epoch.get("epoch") == epoch_id and fail_epoch.get("left", 0) > 0:
                 fail_epoch["left"] -= 1
                 raise RuntimeError("injected failure before ack")

@@ -257,12 +257,12 @@ def test_unbroadcast_batches_give_the_same_state(spark, reference_state, monkeyp
     the documents, event store and DLQ come out the same."""
     import rowsync.session as S
     f = Fixtures(spark, SF001)
-    monkeypatch.setattr(S, "BROADCAST_MAX_ROWS", 0)
+    monkeypatch.setattr(S, "BROADCAST_MAX_BYTES", 0)
     t = C.seeded_tables(spark, f, "no-broadcast")
     C.incremental_into(spark, SF001, t, f, max_files=4)
     assert docs_state(t) == reference_state
     ev = C.Tables.fresh(spark, "consumer-nb", 8)
     cons.run_consumer(spark, ev, C.delivery_files(f), scratch_dir(spark, "ckpt"), F.lit(None).cast("timestamp_ntz"), 1)
-    monkeypatch.setattr(S, "BROADCAST_MAX_ROWS", 2_000_000)
+    monkeypatch.setattr(S, "BROADCAST_MAX_BYTES", 64 << 20)
     good = C.parse_event(f.deliveries).where(F.col("error").isNull()).select("event_id").distinct().count()
     assert ev.events_raw().count() == good
