@@ -99,8 +99,9 @@ def parse_event(deliveries: DataFrame, body: str = "body", message_id: str = "me
         (F.col("_top").startswith("OBJECT") | F.col("_top").startswith("ARRAY")).alias("_obj"),
         F.coalesce(F.when(eid_body != F.lit(""), eid_body),
                    F.when(F.col(message_id) != F.lit(""), F.col(message_id))).alias("_eid"),
-        F.when(_present_of(k["pid"]), num["pid"]).otherwise(num["ppid"]).alias("_pid"),
-        F.when(_present_of(k["ver"]), num["ver"]).otherwise(num["pver"]).alias("_ver"),
+        # null also where the number is no long: an error, not an event without an id
+        F.round(F.when(_present_of(k["pid"]), num["pid"]).otherwise(num["ppid"])).try_cast("long").alias("_pid"),
+        F.round(F.when(_present_of(k["ver"]), num["ver"]).otherwise(num["pver"])).try_cast("long").alias("_ver"),
         F.when(k["op"] == F.lit("STRING"), F.col("_s_op")).otherwise(F.lit("update")).alias("_op"))
     error = (F.when(~F.col("_valid"), F.lit(ERR_INVALID_JSON))
              .when(~F.col("_obj"), F.lit(ERR_NOT_OBJECT))
@@ -110,8 +111,8 @@ def parse_event(deliveries: DataFrame, body: str = "body", message_id: str = "me
     return fields.withColumn("error", error).select(
         *keep,
         F.when(good, F.col("_eid")).alias("event_id"),
-        F.when(good, F.round("_pid").try_cast("long")).alias("product_id"),
+        F.when(good, F.col("_pid")).alias("product_id"),
         F.when(good, F.col("_op")).alias("op"),
-        F.when(good, F.round("_ver").try_cast("long")).alias("version"),
+        F.when(good, F.col("_ver")).alias("version"),
         "error",
     )
