@@ -759,6 +759,51 @@ def q_dlq_replay_one(spark, sf_dir):
     return dlq_replay(t, f.products, as_of(f), "replay-one", ids=one)
 
 
+def documents_and_dlq(t: Tables) -> DataFrame:
+    """What the sinks hold after a job: documents with their version, entries with their status."""
+    docs = t.docs().select(F.lit("document").alias("kind"), "id", "version", F.lit(None).cast("string").alias("status"))
+    return docs.unionByName(t.dlq().select(F.lit("dlq").alias("kind"), F.col("record_id").alias("id"),
+                                           F.lit(None).cast("long").alias("version"), "status"))
+
+
+@query("replay_twice")
+def q_replay_twice(spark, sf_dir):
+    """Two replays, of the lower and the upper half of the open entries: the
+    second one leaves what the first one wrote."""
+    f = fx(spark, sf_dir)
+    t = seeded_tables(spark, f, "replay-twice")
+    open_ids = f.dlq.where((F.col("sink") == "es") & (F.col("status") == "open")).select("record_id").distinct()
+    middle = open_ids.agg(F.floor(F.avg("record_id"))).first()[0]
+    for half in (F.col("record_id") <= middle, F.col("record_id") > middle):
+        dlq_replay(t, f.products, as_of(f), ids=open_ids.where(half))
+    return documents_and_dlq(t)
+
+
+@query("incremental_two_runs")
+def q_incremental_two_runs(spark, sf_dir):
+    """Two incremental queries, each on a checkpoint of its own, over one half of
+    the change log each: batch numbers repeat, batches do not."""
+    f = fx(spark, sf_dir)
+    t = seeded_tables(spark, f, "two-runs")
+    middle = f.change_log.agg(F.floor(F.avg("seq"))).first()[0]
+    for half in (F.col("seq") <= middle, F.col("seq") > middle):
+        folder = ordered_files(f.change_log.where(half), "seq", 1, "half")
+        inc.run_incremental(spark, t, folder, scratch_dir(spark, "ckpt-half"), lambda s: Fixtures(s, sf_dir).products)
+    return documents_and_dlq(t)
+
+
+@query("resume_after_growth")
+def q_resume_after_growth(spark, sf_dir):
+    """A backfill run again under its id after the source grew: its target and
+    ranges are those of its first start, and nothing written is lost."""
+    f = fx(spark, sf_dir)
+    t = seeded_tables(spark, f, "growth")
+    middle = f.products.agg(F.max("id")).first()[0] // 2
+    for source in (f.products.where(F.col("id") <= middle), f.products):
+        run_backfill(t, source, "grown", as_of(f), PAGE, WAVES)
+    return documents_and_dlq(t)
+
+
 @query("item_retry")
 def q_item_retry(spark, sf_dir):
     """Items answered 503 succeed on the second attempt, 429 on the third."""

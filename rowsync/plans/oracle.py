@@ -517,7 +517,7 @@ FROM ({open_ids}) o LEFT JOIN ({VALIDATED}) p ON p.id = o.record_id"""
 ORACLE["dlq_replay"] = W(replay_sql(OPEN_ES))
 ORACLE["dlq_replay_one"] = W(replay_sql(
     "SELECT MIN(record_id) AS record_id FROM fx_dlq WHERE status = 'open'"))
-ORACLE["dlq_replay_state"] = W(f"""
+DLQ_AFTER_REPLAY = f"""
 SELECT d.record_id,
        CAST(CASE WHEN o.record_id IS NOT NULL AND p.error IS NOT NULL THEN d.attempts + 1 ELSE d.attempts END
             AS INTEGER) AS attempts,
@@ -525,7 +525,34 @@ SELECT d.record_id,
          AS status,
        CASE WHEN o.record_id IS NOT NULL AND p.error IS NOT NULL THEN p.error ELSE d.error END AS error
 FROM fx_dlq d LEFT JOIN ({OPEN_ES}) o ON o.record_id = d.record_id
-LEFT JOIN ({VALIDATED}) p ON p.id = d.record_id""")
+LEFT JOIN ({VALIDATED}) p ON p.id = d.record_id"""
+ORACLE["dlq_replay_state"] = W(DLQ_AFTER_REPLAY)
+
+
+def dlq_after(products_filter: str) -> str:
+    """DLQ status after the source rows of the filter were written: rejects are
+    open, written ones resolve their open entry."""
+    return f"""
+SELECT COALESCE(d.record_id, p.id) AS id, COALESCE(d.sink, p.sink) AS sink,
+       CASE WHEN p.error IS NOT NULL THEN 'open' WHEN p.id IS NOT NULL AND d.status = 'open' THEN 'resolved'
+            ELSE d.status END AS status
+FROM (SELECT *, 'es' AS sink FROM ({VALIDATED}) v {products_filter}) p
+FULL OUTER JOIN fx_dlq d ON d.record_id = p.id AND d.sink = p.sink
+WHERE d.record_id IS NOT NULL OR p.error IS NOT NULL"""
+
+
+def documents_and_dlq(docs: str, dlq: str) -> str:
+    return W(f"""
+SELECT 'document' AS kind, id, version, CAST(NULL AS VARCHAR) AS status FROM ({docs}) a
+UNION ALL SELECT 'dlq', id, CAST(NULL AS BIGINT), status FROM ({dlq}) b""")
+
+
+CHANGED = "WHERE id IN (SELECT product_id FROM fx_change_log)"
+LOWER_HALF = "WHERE id <= (SELECT MAX(id) FROM fx_products) // 2"
+ORACLE["replay_twice"] = documents_and_dlq(
+    docs_after(f"WHERE id IN ({OPEN_ES})"), f"SELECT record_id AS id, status FROM ({DLQ_AFTER_REPLAY}) r")
+ORACLE["incremental_two_runs"] = documents_and_dlq(docs_after(CHANGED), dlq_after(CHANGED))
+ORACLE["resume_after_growth"] = documents_and_dlq(docs_after(LOWER_HALF), dlq_after(LOWER_HALF))
 ORACLE["item_retry"] = W("""
 SELECT id, CASE WHEN status IN (503, 429) THEN 201 ELSE status END AS status,
        CASE WHEN status IN (503, 429) OR (status >= 200 AND status < 300) THEN 'ok'
