@@ -1,8 +1,8 @@
 """Toxicity by compression distance under two zstandard dictionaries.
 
 One dictionary is trained on ordinary text, one on toxic text (reduced to the
-words that are much commoner in toxic than in ordinary rows; the rest of a toxic
-text is ordinary). A window is one word between spaces, followed by a marker
+words that are much commoner in toxic than in ordinary rows, with each of them
+repeated; the rest of a toxic text is ordinary). A window is one word between spaces, followed by a marker
 that both dictionaries hold, so that even a short word makes a compressed
 block; a word longer than ``WINDOW`` bytes is several overlapping windows. Its
 saving is (length under the ordinary dictionary - length under the toxic one) /
@@ -23,7 +23,9 @@ not read.
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
+from math import lgamma
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +37,10 @@ from pyspark.sql import types as T
 from .common import as_bytes, crc_mod, slices
 
 PER_CLASS, TRAIN_CHARS = 1500, 8192
-ORDINARY_BYTES, TOXIC_BYTES = 6400, 1024
-LEAST_ROWS, LEAST_SHARE, LEAST_RATIO = 4, 0.04, 8  # of a word that marks toxic text
+ORDINARY_BYTES, HEADER_BYTES = 6400, 512  # the toxic dictionary has what its words take
+LEAST_ROWS, LEAST_RATIO = 4, 8  # of a word that marks toxic text
+REPEATS = 8  # of each word, added to the toxic dictionary's training text
+STEM = 4  # letters of the shortest beginning that words are grouped by
 WINDOW, OVERLAP = 64, 16
 KEEP_WINDOWS = 400_000  # a task's cache
 # The marker both dictionaries hold: control bytes, which text hardly has.
@@ -112,26 +116,64 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> np.ndarray:
     return w
 
 
-def dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> dict:
-    """The two trained dictionaries."""
-    count = {1: Counter(), 0: Counter()}
+def beginnings(word: bytes) -> list[str]:
+    """The beginnings of a word, of STEM letters or more; a shorter word's own."""
+    w = word.decode("utf-8", "replace")
+    return [w[:k] for k in range(min(STEM, len(w)), len(w) + 1)]
+
+
+def _log_chance(n: int, m: int, p: float) -> float:
+    """Log of the probability that n or more of n + m rows are toxic, by chance p."""
+    k = np.arange(n, n + m + 1)
+    term = np.array([lgamma(n + m + 1) - lgamma(x + 1) - lgamma(n + m - x + 1) for x in k]) + k * np.log(p) + (n + m - k) * np.log(1 - p)
+    return float(term.max() + np.log(np.exp(term - term.max()).sum()))
+
+
+def marking_words(toxic: list[bytes], ordinary: list[bytes]) -> set[bytes]:
+    """The words that mark toxic text: in LEAST_ROWS toxic rows, LEAST_RATIO times
+    commoner there, and (by themselves or with the words of a common beginning) so
+    often that chance would make less than one such word of all. How many of the
+    toxic rows hold a word does not matter: a rare language has its words, too."""
+    words, parts = {1: Counter(), 0: Counter()}, {1: Counter(), 0: Counter()}
     for group, y in ((toxic, 1), (ordinary, 0)):
         for t in group:
-            count[y].update({w.strip(STRIP) for w in window_list(t)})
-    marks = {w for w, n in count[1].items() if w and n >= max(LEAST_ROWS, LEAST_SHARE * len(toxic))
-             and n / len(toxic) > LEAST_RATIO * (count[0][w] + 1) / (len(ordinary) + 1)}
+            found = {w.strip(STRIP) for w in window_list(t)} - {b""}
+            words[y].update(found)
+            parts[y].update({p for w in found for p in beginnings(w)})
+    share = len(toxic) / (len(toxic) + len(ordinary))
+    least = -np.log(max(1, len(words[1].keys() | words[0].keys())))
+    often = lambda n, m: n >= LEAST_ROWS and n / len(toxic) > LEAST_RATIO * (m + 1) / (len(ordinary) + 1)
+    sure: dict[str, bool] = {}
+
+    def beyond_chance(p: str) -> bool:
+        if p not in sure:
+            n, m = parts[1][p], parts[0][p]
+            sure[p] = often(n, m) and _log_chance(n, m, share) < least
+        return sure[p]
+
+    return {w for w, n in words[1].items() if often(n, words[0][w]) and any(map(beyond_chance, beginnings(w)))}
+
+
+def dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> dict:
+    """The two trained dictionaries."""
+    marks = marking_words(toxic, ordinary)
     reduced = [b" " + b" ".join(w) + b" " for t in toxic if (w := [x for x in (v.strip(STRIP) for v in window_list(t)) if x in marks])]
+    # and each word as often as any other, in mixed orders: what is rare gets its place
+    for k in range(REPEATS):
+        order = sorted(marks, key=lambda w: hashlib.sha256(b"%d " % k + w).digest())
+        reduced += [b" " + b" ".join(order[a:a + REPEATS]) + b" " for a in range(0, len(order), REPEATS)]
     plain = [t[a:a + 512] for t in (x.decode("utf-8", "replace").lower().encode() for x in ordinary) for a in range(0, min(len(t), 4096), 512)]
-    return {"ordinary": _dictionary(ORDINARY_BYTES, plain), "toxic": _dictionary(TOXIC_BYTES, reduced) if reduced else b""}
+    return {"ordinary": _dictionary(ORDINARY_BYTES, plain), "toxic": _dictionary(HEADER_BYTES + 2 * sum(len(w) + 1 for w in marks), reduced) if reduced else b""}
 
 
 def fit(texts: list[bytes], labels: list[int]) -> dict | None:
-    """Dictionaries of one half of the rows calibrate threshold and weights on the
-    other half; the dictionaries kept are then trained on all rows."""
+    """Dictionaries of one half of the rows; threshold and weights, which hold for
+    these dictionaries only, are calibrated on the other half."""
     toxic, ordinary = ([t for t, y in zip(texts, labels) if y == k] for k in (1, 0))
     if min(len(toxic), len(ordinary)) < 2:
         return None
-    distance = Distance(**dictionaries(toxic[::2], ordinary[::2]))
+    trained = dictionaries(toxic[::2], ordinary[::2])
+    distance = Distance(**trained)
     savings = [distance.savings(t) for t in [*toxic[1::2], *ordinary[1::2]]]
     y = np.repeat([1.0, 0.0], [len(toxic[1::2]), len(ordinary[1::2])])
     most = np.array([max(s, default=0.0) for s in savings])
@@ -141,7 +183,7 @@ def fit(texts: list[bytes], labels: list[int]) -> dict | None:
     at = int(np.argmax(right))
     threshold = float((levels[at] + levels[at - 1]) / 2) if at else float("inf")
     x = np.array([features(s, threshold) for s in savings])
-    return dictionaries(toxic, ordinary) | {"threshold": threshold, "weights": _logistic(x, y)}
+    return trained | {"threshold": threshold, "weights": _logistic(x, y)}
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> dict | None:
@@ -165,8 +207,6 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS)
 
 def hash_of(text: str) -> bytes:
     """An order that mixes similar texts."""
-    import hashlib
-
     return hashlib.sha256(text.encode()).digest()
 
 

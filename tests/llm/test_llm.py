@@ -90,6 +90,18 @@ def test_toxicity_odd_rows(spark, odd):
     assert toxicity.toxicity_digest(docs.limit(0), labels).count() == 0
 
 
+def test_toxicity_rare_words():
+    rng = random.Random(3)
+    plain = [" ".join(rng.choice(["fine", "words", "here", "and", "there", "today"]) for _ in range(30)) for _ in range(2000)]
+    # 30 of 1,000 toxic rows are of a language that none of the common words is in
+    texts = [f"{t} {'zubrak' if i < 30 else 'idiot'}" if i < 1000 else t for i, t in enumerate(plain)]
+    mixed = random.Random(4).sample(range(2000), 2000)
+    model = toxicity.fit([texts[i].encode() for i in mixed], [int(i < 1000) for i in mixed])
+    distance = toxicity.Distance(model["ordinary"], model["toxic"])
+    hit = [any(s >= model["threshold"] for s in distance.savings(t.encode())) for t in texts]
+    assert all(hit[:1000]) and not any(hit[1000:])
+
+
 # 2 BPE
 
 def test_bpe_equals_library(spark, odd):
