@@ -4,9 +4,11 @@ Each stage is a function of (spark, docs, sf_dir); ``run`` writes what a stage
 returns as Parquet under the shared checkpoint folder and reads it again as the
 next one's ``docs``. All stages but the last return the columns of ``docs``.
 
-- language ID: rejects texts whose language is undetermined (``und``: null, or no
-  letter); the network learns from rows outside the held-out fold that have a
-  language. A low score alone rejects nothing, so clean documents stay.
+- language ID: rejects texts without a letter, and those that the network is less
+  sure of than of any labelled text of their length that it gets right; the network
+  learns from rows outside the held-out fold that have a language, the least scores
+  come from all labelled rows of that fold. A document whose language the network
+  confirms stays. Where nothing could be learned, every text with a letter stays.
 - MinHash near-dedup: one row of each group of near duplicates stays, of the
   smallest id; documents without words stay.
 - benchmark decontamination: documents that hold a benchmark window go.
@@ -30,9 +32,14 @@ ORACLE_SQL = None
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    model = langid.fit_languages(docs.filter(crc_mod("doc_id", 3) != 1))
-    judged = langid.predict_languages(docs, model, docs.columns)
-    return judged.filter(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
+    held = crc_mod("doc_id", 3) == 1
+    model = langid.fit_languages(docs.filter(~held))
+    if model is None:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    least = langid.least_scores(docs.filter(held), model)
+    judged = langid.predict_languages(docs.withColumns({"_lang": F.col("lang"), "_least": langid.least_score(least)}), model, [*docs.columns, "_lang", "_least"])
+    stays = F.col("lang_pred").eqNullSafe(F.col("_lang")) | (F.col("score") >= F.col("_least"))
+    return judged.filter((F.col("lang_pred") != langid.UNKNOWN) & stays).select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,6 +30,7 @@ WIDTHS, FILTERS, DIM = (2, 3, 4), 10, 8
 PER_LANG = 1500
 STEPS, BATCH, RATE = 500, 96, 0.01
 UNKNOWN = "und"
+ENOUGH = 100  # labelled texts behind a least score
 
 
 def windows(texts: list[bytes], size: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
@@ -178,6 +179,34 @@ def predict_languages(docs: DataFrame, model: dict | None, kept: list[str] | Non
     return rows.mapInArrow(task, schema)
 
 
+def length_class(text: str = "text") -> Column:
+    """The power of two that a text's bytes reach."""
+    return F.floor(F.log2(F.greatest(F.octet_length(F.col(text)), F.lit(1)))).cast("int")
+
+
+def least_scores(docs: DataFrame, model: dict, text: str = "text", lang: str = "lang") -> dict[int, float]:
+    """By length class: the least score of all rows of ``docs`` so long or longer
+    whose language the network gets right. Short texts have lower scores; a class
+    needs ENOUGH such rows, longer texts than those of the last one go by it."""
+    rows = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
+    rows = rows.select(text, F.col(lang).alias("_lang"), length_class(text).alias("_size"))
+    right = predict_languages(rows, model, ["_lang", "_size"], text).filter(F.col("lang_pred") == F.col("_lang"))
+    out, n, least = {}, 0, 1.0
+    for r in right.groupBy("_size").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least")).orderBy(F.desc("_size")).collect():
+        n, least = n + r["n"], min(least, r["least"])
+        if n >= ENOUGH:
+            out[r["_size"]] = least
+    return out
+
+
+def least_score(least: dict[int, float], text: str = "text") -> Column:
+    """The least score for a text; 0 for one shorter than any class."""
+    out = F.lit(0.0)
+    for size in sorted(least):
+        out = F.when(length_class(text) >= size, F.lit(least[size] - 1e-9)).otherwise(out)
+    return out
+
+
 def language_digest(docs: DataFrame) -> DataFrame:
     """The contract's columns; rows with crc32(doc_id) mod 3 = 1 are held out."""
     held = crc_mod("doc_id", 3) == 1

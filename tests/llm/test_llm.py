@@ -384,3 +384,34 @@ def test_pipeline_odd_rows(spark, odd):
     empty = docs.limit(0)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF001).count() == 0
+
+
+def test_pipeline_language_stage(spark):
+    rows = [(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in table(spark, SF01, "documents").collect()]
+    rng = random.Random(8)
+    other = ["".join(rng.choice("абвгдежзиклмнопрстуфхцчшщыэюя αβγδεζηθικλμνξοπρστυφχψω " if i % 2 else "qxzjkvwyfpgb ") for _ in range(3000)) for i in range(40)]
+    rows += [(10_000_000 + i, t, None, "s", len(t)) for i, t in enumerate(other)] + [(20_000_000, "12 34", "en", "s", 5)]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = {r.doc_id for r in corpus_pipeline.language_stage(spark, docs, SF01).collect()}
+    held = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    model = langid.fit_languages(docs.filter(~spark_crc("doc_id")))
+    letter = [r for r in rows if r[1] and any(c.isalpha() for c in r[1])]
+    prob = langid.predict(model, [r[1].encode() for r in letter])
+    pred, score = [model["names"][k] for k in prob.argmax(axis=1)], prob.max(axis=1)
+    size = [len(r[1].encode()).bit_length() - 1 for r in letter]
+    right = [(size[k], score[k]) for k, r in enumerate(letter) if held(r[0]) and pred[k] == r[2]]
+    want = set()
+    for k, r in enumerate(letter):
+        known = [z for z in {z for z, _ in right if z <= size[k]} if sum(y >= z for y, _ in right) >= langid.ENOUGH]
+        if pred[k] == r[2] or not known or score[k] >= min(s for z, s in right if z >= max(known)) - 1e-9:
+            want.add(r[0])
+    assert got == want
+    clean = {r[0] for r in rows if r[0] < 10_000_000}
+    assert len(got & clean) >= 0.995 * len(clean) and len([i for i in got if i >= 10_000_000]) <= 10
+    unlabelled = docs.withColumn("lang", docs["lang"].substr(9, 1)).replace("", None)
+    assert {r.doc_id for r in corpus_pipeline.language_stage(spark, unlabelled, SF01).collect()} == {r[0] for r in letter}
+
+
+def spark_crc(name):
+    from rowsync.llm.common import crc_mod
+    return crc_mod(name, 3) == 1
