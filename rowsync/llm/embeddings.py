@@ -13,17 +13,19 @@ compared in pairs of blocks instead, each a unit of work of bounded size.
 2. The adjacency lists of a vector's units are united.
 3. Each unit searches the united graph for each of its vectors: greedy best-first
    from the medoid, then by range: every vector met within range is expanded
-   until no new one turns up. Cosines are in double precision.
+   until no new one turns up. The unit's cosines, in double precision, add what is
+   in range but no edge led to, so no link within a unit is missed.
 4. Recall is audited against brute force for a hash sample of query vectors,
-   over all rows of their label. Below ``RECALL`` the overlap is widened and the
-   search repeated.
+   over all rows of their label. While any label is below ``RECALL`` the overlap is
+   widened and the search repeated; labels still below it at the widest overlap
+   are compared whole, in pairs of blocks.
 
 A unit reports, for each vector, how many others it links to (a pair in several
 shards counts in the first they share) and the smallest vector that links reach
 in the unit, so a group of m near copies costs m rows, not m squared.
 
 Bounds: about ``SAMPLE`` vectors place the centres of one pass, ``QUERIES`` vectors
-are audited. Every row is indexed and searched.
+(and ``LABEL_QUERIES`` of each label over one shard) are audited. Every row is indexed and searched.
 
 Defined results: null labels, and vectors that are null, empty, zero or hold
 null or non-finite components, link with nothing. Vectors of different length
@@ -34,6 +36,8 @@ no links, and is kept. Extra columns are not read.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -47,8 +51,8 @@ SHARD, LARGEST = 400, 1000  # wanted and greatest size of a shard
 SAMPLE, AT_ONCE, CENTRES = 65_536, 1024, 64  # per pass: vectors, shards, centres a shard
 TIGHT = 0.95  # a point this near to a centre needs none of its own
 DEGREE, ALPHA, BEAM = 24, 1.2, 24
-MARGIN, STEP, WIDEST, COPIES = 0.08, 0.04, 0.2, 4  # of cosine; a vector is in so many shards at most
-QUERIES, RECALL = 400, 0.97
+MARGIN, STEP, WIDEST, COPIES = 0.08, 0.04, 0.2, 4  # of cosine; a vector is in so many shards at most, in more with a wider margin
+QUERIES, LABEL_QUERIES, RECALL = 400, 40, 0.97
 PASSES = 40
 
 
@@ -101,10 +105,12 @@ def _centres(rows: DataFrame, large: list) -> dict[int, np.ndarray]:
     return out
 
 
-def deal(classes: DataFrame, margin: float) -> DataFrame:
+def deal(classes: DataFrame, margin: float, whole: list) -> DataFrame:
     """(shard, cid, v, weight): each class in its shards. Each pass deals the
-    shards that are too large to theirs; what one centre covers stays as it is."""
-    rows = classes.select(F.xxhash64("label", F.size("v")).alias("shard"), F.lit(False).alias("done"), "cid", "v", "weight")
+    shards that are too large to theirs; what one centre covers stays as it is, and
+    so do the labels in ``whole``."""
+    copies = math.ceil(COPIES * margin / MARGIN - 1e-9) if margin > MARGIN else COPIES
+    rows = classes.select(F.xxhash64("label", F.size("v")).alias("shard"), F.col("label").isin(whole).alias("done"), "cid", "v", "weight")
     kind = classes.schema["v"].dataType.simpleString()
     for _ in range(PASSES):
         sizes = rows.filter("NOT done").groupBy("shard").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > LARGEST)
@@ -127,7 +133,7 @@ def deal(classes: DataFrame, margin: float) -> DataFrame:
                         parts = [(at, np.full(len(at), s), np.ones(len(at), bool))]
                     else:
                         close = unit(b.column("v").take(pa.array(at))) @ c.T
-                        best = np.argsort(-close, axis=1, kind="stable")[:, :COPIES]
+                        best = np.argsort(-close, axis=1, kind="stable")[:, :copies]
                         top = np.take_along_axis(close, best, 1)
                         near = top >= top[:, :1] - margin
                         i, j = np.nonzero(near)
@@ -192,7 +198,8 @@ def robust_prune(s: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> n
 def range_search(s: np.ndarray, graph: np.ndarray, start: int, beam: int = BEAM, least: float = COSINE) -> np.ndarray:
     """For every point as the query: the points met. ``graph`` is a matrix of
     edges. Greedy best-first from ``start`` (and from the query's own list) for
-    ``beam`` expansions, then every point met within range is expanded."""
+    ``beam`` expansions, then every point met within range is expanded. The
+    cosines have the last word: what is in range but no edge led to is met, too."""
     n = len(s)
     near = s.astype(np.float32)
     met = np.eye(n, dtype=bool)
@@ -211,7 +218,7 @@ def range_search(s: np.ndarray, graph: np.ndarray, start: int, beam: int = BEAM,
         front = met & inside & ~done
         live = np.flatnonzero(front.any(axis=1))
         if not len(live):
-            return met
+            return met | inside
         met[live] |= (front[live].astype(np.float32) @ edges) > 0
         done |= front
 
@@ -261,15 +268,17 @@ def _search(key, rows):
     return pa.table({"cid": pa.array(cid), "links": pa.array(counts), "low": pa.array(cid[low])})
 
 
-def _audit(classes: DataFrame, found: DataFrame) -> float:
-    """Share of the true links of a hash sample of queries that are found:
-    the queries go against all rows of their label in blocks."""
+def _audit(classes: DataFrame, found: DataFrame) -> tuple[float, list]:
+    """Share of the true links of a hash sample of queries that are found, and the
+    labels with less than RECALL: the queries go against all rows of their label in
+    blocks. A label of more than one shard has about LABEL_QUERIES of its own."""
     total = classes.count()
-    share = min(1.0, QUERIES / max(1, total))
-    picked = classes.filter(F.pmod(F.xxhash64("cid", F.lit(7)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+    counts = classes.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    share = F.greatest(F.lit(QUERIES / max(1, total)), F.when(F.col("n") > LARGEST, F.lit(LABEL_QUERIES) / F.col("n")))
+    picked = classes.join(counts, "label").filter(F.pmod(F.xxhash64("cid", F.lit(7)), F.lit(1 << 20)) < share * (1 << 20) + 1)
     asked = picked.select("cid", "label", "v").toArrow()  # about QUERIES rows
     if not asked.num_rows:
-        return 1.0
+        return 1.0, []
     shared = classes.sparkSession.sparkContext.broadcast(
         (np.asarray(asked["cid"]), np.array(asked["label"].to_pylist(), object), [np.asarray(v, np.float64) for v in asked["v"].to_pylist()]))
 
@@ -295,8 +304,13 @@ def _audit(classes: DataFrame, found: DataFrame) -> float:
 
     true = classes.select("label", "cid", "v", "weight").mapInArrow(brute, "cid long, n long").groupBy("cid").agg(F.sum("n").alias("n"))
     seen = found.groupBy("cid").agg(F.sum("links").alias("m"))
-    r = true.join(seen, "cid", "left").agg(F.sum("n"), F.sum(F.least("n", F.coalesce("m", F.lit(0))))).first()
-    return 1.0 if not r[0] else r[1] / r[0]
+    label = dict(zip(asked["cid"].to_pylist(), asked["label"].to_pylist()))
+    of: dict = {}
+    for r in true.join(seen, "cid", "left").select("cid", "n", F.least("n", F.coalesce("m", F.lit(0))).alias("m")).collect():  # a row a query
+        n, m = of.get(label[r["cid"]], (0, 0))
+        of[label[r["cid"]]] = n + r["n"], m + r["m"]
+    n, m = (sum(x) for x in zip(*of.values()))
+    return m / n if n else 1.0, [k for k, (n, m) in of.items() if m < RECALL * n]
 
 
 def near_vectors(vectors: DataFrame, margin: float = MARGIN) -> DataFrame:
@@ -305,18 +319,23 @@ def near_vectors(vectors: DataFrame, margin: float = MARGIN) -> DataFrame:
     usable = source.filter(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & valid(F.col("v"))).distinct()
     usable = usable.withColumn("cid", F.xxhash64(F.col("label").cast("string"), "v"))
     classes = written(usable.groupBy("cid", "label", "v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("weight")), "vectors")
+    whole: list = []
     while True:
-        dealt = written(deal(classes, margin), "shards")
+        dealt = written(deal(classes, margin, whole), "shards")
         work = units(dealt)
         lists = work.groupBy("shard", "lo", "hi").applyInArrow(_build, "cid long, next array<long>")
         lists = lists.groupBy("cid").agg(F.array_distinct(F.flatten(F.collect_list("next"))).alias("next"))
         homes = dealt.groupBy("cid").agg(F.collect_set("shard").alias("shards"))
         full = work.join(homes, "cid").join(lists, "cid")
         found = written(full.groupBy("shard", "lo", "hi").applyInArrow(_search, "cid long, links long, low long"), "found")
-        recall = _audit(classes, found)
-        if recall >= RECALL or margin >= WIDEST:
+        recall, low = _audit(classes, found)
+        low = [k for k in low if k not in whole]
+        if not low:
             break
-        margin += STEP
+        if margin < WIDEST - 1e-9:
+            margin += STEP
+        else:
+            whole += low
 
     counts = found.groupBy("cid").agg(F.sum("links").alias("links"))
     known = classes.select("cid", "rep", "weight").join(counts, "cid", "left")

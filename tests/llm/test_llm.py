@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import __spark_entry__ as E
@@ -215,6 +216,36 @@ def test_vectors(spark):
     assert embeddings.near_vectors(data.limit(0)).count() == 0
 
 
+def test_vectors_of_tight_subgroups():
+    # more distinct vectors in each subgroup than a point has candidate edges
+    rng = np.random.default_rng(4)
+    middle = rng.normal(size=32)
+    heads = middle + 0.095 * np.linalg.norm(middle) / 32 ** 0.5 * rng.normal(size=(4, 32))
+    x = np.repeat(heads, 120, axis=0) * (1 + 0.001 * rng.normal(size=(480, 32)))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    s = x @ x.T
+    rows = pa.table({"cid": pa.array(np.arange(480)), "v": pa.array(x.tolist()), "weight": pa.array(np.ones(480, np.int64)),
+                     "side": pa.array(np.zeros(480, np.int64)), "shards": pa.array([[0]] * 480)})
+    key = tuple(pa.scalar(0) for _ in range(3))
+    built = embeddings._build(key, rows)
+    got = embeddings._search(key, rows.append_column("next", built["next"]))
+    assert got["links"].to_pylist() == ((s >= embeddings.COSINE).sum(axis=1) - 1).tolist()
+
+
+def test_vectors_of_missed_labels_go_whole(spark, monkeypatch):
+    # no overlap: shards cut groups, so that only the whole label has all links
+    rng = np.random.default_rng(9)
+    x = np.cumsum(rng.normal(size=(1500, 16)) * 0.05, axis=0) + rng.normal(size=16)
+    rows = [(i, "a", v) for i, v in enumerate(x.tolist())]
+    for name, value in (("MARGIN", 0.0001), ("WIDEST", 0.0), ("COPIES", 1)):
+        monkeypatch.setattr(embeddings, name, value)
+    docs = spark.createDataFrame(rows, "vec_id long, label string, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in embeddings.near_vectors(docs, 0.0).collect()}
+    y = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = ((y @ y.T) >= embeddings.COSINE).sum(axis=1) - 1
+    assert [got[i] for i in range(1500)] == want.tolist()
+
+
 # 5 language ID
 
 def test_language_held_out(spark):
