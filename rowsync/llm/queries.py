@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, contamination, embeddings, langid, minhash, secrets, shards, suffixes, toxicity, urls
+from . import bpe, contamination, embeddings, fim, langid, lines, minhash, prefix_trie, secrets, shards, suffixes, toxicity, urls
 from .common import ship, table
 from .sql import ORACLE  # noqa: F401  (read by the entry module)
 
@@ -64,5 +64,21 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return fim.fim_digest(table(spark, sf_dir, "documents"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return lines.line_digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_bpe, op3_secrets, op4_embeddings, op5_language, op6_suffixes,
-                                   op7_contamination, op8_minhash, op9_shards, op10_urls)}
+                                   op7_contamination, op8_minhash, op9_shards, op10_urls, op11_conversation_trie, op12_fill_in_middle,
+                                   op13_line_dedup)}

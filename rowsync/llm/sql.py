@@ -94,4 +94,55 @@ best AS (SELECT row, arg_max(h || p, length(h || p)) AS rule, arg_max(verdict, l
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM u LEFT JOIN best USING (row)
 """
 
-ORACLE = {"op3_secrets": OP3, "op4_embeddings": OP4, "op7_contamination": OP7, "op8_minhash": OP8, "op10_urls": OP10}
+_TURN = "md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))"
+_CRC32 = ("xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), "
+          "lambda acc, x: list_reduce(list_prepend(xor(acc, x), range(8)), lambda c, i: xor(c >> 1, (c & 1) * 3988292384))), 4294967295::BIGINT)")
+
+OP11 = f"""
+WITH t AS (SELECT conv_id, {_TURN} AS key, strlen(coalesce(text, '')) AS size, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, {_TURN}) AS pos
+           FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT conv_id, count(*) AS own, {_CRC32} % 9 AS h, conv_id - conv_id % 5 AS source FROM t GROUP BY conv_id),
+g AS (SELECT i.conv_id, i.source, i.h, least(i.h, coalesce(s.own, 0)) AS given FROM ids i LEFT JOIN ids s ON s.conv_id = i.source),
+turns AS (SELECT g.conv_id, pos AS d, key, size FROM g JOIN t ON t.conv_id = g.source AND pos <= given
+          UNION ALL SELECT g.conv_id, given + pos - h, key, size FROM g JOIN t ON t.conv_id = g.conv_id AND pos > h
+          UNION ALL SELECT conv_id, 0, '', 0 FROM g),
+named AS (SELECT conv_id, d, size, md5(string_agg(key, '') OVER (PARTITION BY conv_id ORDER BY d)) AS node, max(d) OVER (PARTITION BY conv_id) = d AS stops FROM turns),
+steps AS (SELECT *, lag(node) OVER (PARTITION BY conv_id ORDER BY d) AS parent FROM named),
+nodes AS (SELECT node, any_value(parent) AS parent, d AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(size) AS size,
+          coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (stops), '') AS said FROM steps GROUP BY node, d),
+kids AS (SELECT parent AS node, count(*) AS n FROM nodes WHERE parent IS NOT NULL GROUP BY parent),
+own AS (SELECT nodes.*, coalesce(kids.n, 0) AS n_children, (n_convs - 1) * size AS worth FROM nodes LEFT JOIN kids USING (node)),
+under AS (SELECT s.node, count(*) FILTER (u.n_children = 0) AS n_leaves, sum(u.worth)::BIGINT AS saved_tokens
+          FROM steps s JOIN own u ON u.conv_id = s.conv_id AND u.depth >= s.d GROUP BY s.node)
+SELECT own.conv_id, own.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, own.n_convs, own.n_children, under.n_leaves, under.saved_tokens, sha256(own.said) AS ends_sha256
+FROM own JOIN under ON under.node = own.node LEFT JOIN own p ON p.node = own.parent
+"""
+
+_UNITS = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+"
+_DRAW = "('0x' || substr(sha256('42:' || coalesce(doc_id::VARCHAR, '')), {}, 8))::BIGINT"
+
+OP12 = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_UNITS}') AS unit, {", ".join(f"{_DRAW.format(8 * i + 1)} AS h{i + 1}" for i in range(4))} FROM documents),
+c AS (SELECT doc_id, t, unit, len(unit) AS n, least(h1 % (len(unit) + 1), h2 % (len(unit) + 1)) AS a, greatest(h1 % (len(unit) + 1), h2 % (len(unit) + 1)) AS z,
+      CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM d),
+p AS (SELECT *, array_to_string(unit[1:a], '') AS x, array_to_string(unit[a + 1:z], '') AS y, array_to_string(unit[z + 1:], '') AS w FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(x) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(y) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || x || '<S>' || w || '<M>' || y ELSE '<S>' || w || '<P>' || x || '<M>' || y END) AS output_sha256,
+       sha256(x || y || w) AS restored_sha256
+FROM p
+"""
+
+_BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+OP13 = f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(doc_id, -9223372036854775808) AS id, string_split(coalesce(text, ''), chr(10)) AS line FROM documents),
+l AS (SELECT row, doc_id, id, unnest(line) AS line, generate_subscripts(line, 1) AS i FROM d),
+k AS (SELECT *, translate(trim(line, {_BLANK}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+held AS (SELECT key, max(id) AS keeper FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT id) >= 5),
+j AS (SELECT k.*, held.key IS NOT NULL AND k.id <> held.keeper AS gone FROM k LEFT JOIN held USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM j GROUP BY row, doc_id
+"""
+
+ORACLE = {"op3_secrets": OP3, "op4_embeddings": OP4, "op7_contamination": OP7, "op8_minhash": OP8, "op10_urls": OP10, "op11_conversation_trie": OP11,
+          "op12_fill_in_middle": OP12, "op13_line_dedup": OP13}
