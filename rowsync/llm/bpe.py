@@ -19,6 +19,7 @@ too. The id column keeps its type; extra columns are dropped.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from array import array
@@ -28,7 +29,6 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import as_bytes, slices
@@ -36,9 +36,9 @@ from .common import as_bytes, slices
 # Fixed value: the public pre-tokenization pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-KEEP_PIECES, KEEP_LENGTH = 300_000, 64  # a task's cache
+KEEP_BYTES, KEEP_LENGTH, KEEP_COST = 32 << 20, 64, 200  # a task's cache: two generations of so much, bytes of an entry besides its texts
 LONG, ROWS = 65, 8192  # longer pieces are merged one by one; rows merged at a time
-LOT = 1 << 20  # bytes of text encoded at a time
+LOT = 1 << 19  # bytes of text encoded at a time
 NONE = 1 << 62
 
 
@@ -205,6 +205,7 @@ class Encoder:
         self.at_words = re.compile(r"(?= \S)").split
         self.kept: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.held = 0  # bytes of ``kept``
 
     def merge(self, pieces: list[str]) -> dict[str, bytes]:
         """The ids of each piece: short ones by size, many at a time."""
@@ -260,9 +261,12 @@ class Encoder:
             if len(found) > 1:
                 known[c] = b"".join([known[p] for p in found])
         # two generations: what was not asked for since the last turn goes
-        self.kept.update((c, ids) for c, ids in known.items() if len(c) <= KEEP_LENGTH)
-        if len(self.kept) >= KEEP_PIECES:
-            self.older, self.kept = self.kept, {}
+        for c, ids in known.items():
+            if len(c) <= KEEP_LENGTH and c not in self.kept:
+                self.kept[c] = ids
+                self.held += 2 * len(c) + len(ids) + KEEP_COST
+        if self.held >= KEEP_BYTES:
+            self.older, self.kept, self.held = self.kept, {}, 0
         get = known.__getitem__
         return [b"".join(map(get, c)) for c in cut]
 
@@ -328,7 +332,28 @@ def bpe_decode(encoded: DataFrame, tokenizer: str, id_col: str = "doc_id", ids_c
 
 
 def bpe_digest(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """The contract's columns: doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    both = bpe_decode(bpe_encode(docs, tokenizer), tokenizer)
-    return both.select("doc_id", "n_tokens", F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-                       F.sha2("decoded", 256).alias("decoded_sha256"))
+    """The contract's columns: doc_id, n_tokens, ids_sha256, decoded_sha256.
+
+    A text is encoded, its ids are decoded, and both are digested where they are
+    made: one Python worker a task, and neither goes back to the JVM."""
+    vocabulary = docs.sparkSession.sparkContext.broadcast(load_vocabulary(tokenizer))
+
+    def task(batches):
+        encoder, tokens = Encoder(vocabulary.value), vocabulary.value["tokens"]
+        ids_of = range(max(tokens) + 1)
+        token, said = [tokens.get(i, b"") for i in ids_of], [b"%d" % i for i in ids_of]
+        for b in slices(batches, "text", LOT):
+            rows = encoder.encode_all([t.decode("utf-8", "replace") for t in as_bytes(b.column("text"))])
+            n, ids_sha, decoded_sha = [], [], []
+            for row in rows:
+                ids = np.frombuffer(row, np.int32).tolist()
+                n.append(len(ids))
+                ids_sha.append(hashlib.sha256(b",".join([said[i] for i in ids])).hexdigest())
+                text = b"".join([token[i] for i in ids]).decode("utf-8", "replace")
+                decoded_sha.append(hashlib.sha256(text.encode()).hexdigest())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())],
+                                             ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    schema = T.StructType([_id_field(docs, "doc_id"), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()),
+                           T.StructField("decoded_sha256", T.StringType())])
+    return docs.select("doc_id", "text").mapInArrow(task, schema)

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from .common import written
 
 BLOCK = 64  # turns of a path that one row holds
-SHARD_ROWS = 1 << 16  # rows of a shard, until there are MOST_SHARDS
+SHARD_ROWS = 1 << 12  # rows of a shard, until there are MOST_SHARDS
 MOST_SHARDS = 1 << 14  # bounds the broadcast: splitters of at most 16 * BLOCK bytes each
 PER_SHARD = 8  # sampled rows for each splitter
 WIDTH = 16  # bytes of a turn's digest

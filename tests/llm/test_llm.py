@@ -121,6 +121,22 @@ def test_bpe_equals_library(spark, odd):
     assert bpe.bpe_digest(docs, path).count() == len(texts) and bpe.bpe_digest(docs.limit(0), path).count() == 0
 
 
+def test_bpe_digest_of_both_steps(spark, odd):
+    path = queries.tokenizer_path()
+    both = bpe.bpe_decode(bpe.bpe_encode(odd, path), path).collect()
+    want = {r.doc_id: (r.n_tokens, brute.sha(",".join(map(str, r.ids))), brute.sha(r.decoded)) for r in both}
+    assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.bpe_digest(odd, path).collect()} == want
+
+
+def test_bpe_cache_is_bounded(monkeypatch):
+    vocabulary = bpe.load_vocabulary(queries.tokenizer_path())
+    texts = [f"word{i} and number {i * 7919}" for i in range(400)]
+    want = bpe.Encoder(vocabulary).encode_all(texts)
+    monkeypatch.setattr(bpe, "KEEP_BYTES", 4000)
+    small = bpe.Encoder(vocabulary)
+    assert [small.encode(t) for t in texts] == want and small.held < 8000 and len(small.older) < 100
+
+
 def test_segment_tree_order():
     # ranks: ab before bc; leftmost of equals first
     rank_of, id_of = {1 << 20 | 2: 0, 2 << 20 | 3: 1, 4 << 20 | 4: 2}, [4, 5, 6]
