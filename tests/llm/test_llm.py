@@ -341,6 +341,25 @@ def test_near_duplicates(spark, block):
     assert minhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_near_duplicates_of_one_id(spark):
+    """Rows of one id with two texts link whatever either links to."""
+    a, b = (" ".join(f"{w}{k}" for k in range(60)) for w in "ab")
+    docs = make_docs(spark, [(5, a), (5, b), (7, a + " more"), (9, b + " more"), (11, "another text " * 3)])
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs).collect()}
+    assert got == {5: 5, 7: 5, 9: 5, 11: 11}
+
+
+def test_densify():
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 2**63, 90, dtype=np.int64).astype(np.uint64) * np.uint64(2)
+    reg = np.array([minhash.sketch(np.unique(v)) for v in (x, np.concatenate([x[:80], x[:1] + np.uint64(2)]), x[:1], x[:0])])
+    full = minhash.densify(reg)
+    assert (full[:3] > 0).all() and not full[3].any() and (full[reg > 0] == reg[reg > 0]).all()
+    assert 0.7 < (full[0] == full[1]).mean() < 1 and len(np.unique(full[2])) == 1
+    slow = [reg[0][next(j for j in minhash.ORDER[i] if reg[0][j])] if not reg[0][i] else reg[0][i] for i in range(minhash.BUCKETS)]
+    assert full[0].tolist() == slow
+
+
 def test_estimate():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 2**63, 20000, dtype=np.int64).astype(np.uint64) * np.uint64(2)
