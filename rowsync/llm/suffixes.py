@@ -17,11 +17,13 @@ the suffix order that can be judged by itself.
    chunks' runs are counted by anchor hash; hashes met once are done with.
 2. Documents that have other runs give the runs' text (segments). Equal segments
    are reduced to the first by partial aggregation; every later one is a repeat
-   as a whole.
-3. The distinct segments of an anchor are sorted into a suffix array (prefix
-   doubling up to ``length``), with the position in the corpus breaking ties.
-   Between neighbours that share ``length`` bytes, a position that has a
-   smaller one before it (PSV) or after it (NSV) starts a repeat.
+   as a whole. So digests only shrink exact copies.
+3. The distinct segments of an anchor are a shard: their windows in suffix order
+   (prefix doubling from 8 bytes up to ``length``), the common prefixes of
+   neighbours, and, by one pass with a stack, for each window the previous and
+   next one in suffix order that lies earlier in the corpus (PSV, NSV). The longer
+   of the two common prefixes is its longest previous factor; a window whose
+   factor reaches ``length`` is a repeat.
 4. An anchor with more than ``group`` distinct segments is split: its windows go
    on alone, keyed by their text, and partial aggregates find the first of each.
 
@@ -97,14 +99,19 @@ def _text_runs(t: bytes, length: int):
 
 
 def _chunks(t: bytes, length: int):
-    """(start, windows) of the chunks of a whole text: whole runs, up to the next
-    run whose anchor hash is a multiple of CHUNK."""
+    """(start, windows, anchor hashes and starts of the runs) of the chunks of a
+    whole text: whole runs, up to the next run whose anchor hash is a multiple
+    of CHUNK."""
     n = len(t) - length + 1
     if n <= 0:
         return
-    cuts = [first[h % np.uint64(CHUNK) == 0] for h, first, _ in _text_runs(t, length)]
-    edge = np.unique(np.concatenate([[0], *cuts, [n]])).tolist()
-    yield from ((a, z - a) for a, z in zip(edge[:-1], edge[1:]))
+    found = list(_text_runs(t, length))
+    h, first = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+    edge = np.unique(np.concatenate([[0], first[h % np.uint64(CHUNK) == 0], [n]]))
+    at = np.searchsorted(first, edge).tolist()
+    edge = edge.tolist()
+    for k in range(len(edge) - 1):
+        yield edge[k], edge[k + 1] - edge[k], h[at[k]:at[k + 1]].view(np.int64), first[at[k]:at[k + 1]]
 
 
 def _digests(t: bytes) -> tuple[int, int]:
@@ -112,31 +119,84 @@ def _digests(t: bytes) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
-def longest_previous_factor(text: bytes, starts: np.ndarray, order: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """For each start, whether its longest previous factor reaches ``length``:
-    whether a start of smaller ``order`` has the same ``length`` bytes."""
-    b = np.frombuffer(text, np.uint8).astype(np.int64)
-    if not len(starts):
-        return np.zeros(0, bool)
-    rank, size = b, 1
-    while size * 2 <= length:  # prefix doubling; ranks of the first 2 * size bytes
-        nxt = np.concatenate([rank[size:], np.full(size, -1, np.int64)])
-        rank = np.unique(rank * (len(b) + 257) + nxt, return_inverse=True)[1]
+def suffix_order(b: np.ndarray, starts: np.ndarray, order: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """Places of ``starts`` in suffix order by their first ``length`` bytes, equal
+    ones by ``order``, and the bytes (``length`` at most) that each shares with the
+    one before it (0 for the first). ``length`` bytes follow each start."""
+    pad = np.concatenate([b, np.zeros(8, np.uint8)]).astype(np.uint64)
+    words = pad
+    for size in (1, 2, 4):  # the 8 bytes from each position on, as a number
+        words = words[:-size] << np.uint64(8 * size) | words[size:]
+    words = words[:len(b)]
+    size = min(8, length)
+    ranks = {size: np.unique(words >> np.uint64(64 - 8 * size), return_inverse=True)[1]}
+
+    def pair(size, apart):
+        """Number of the first ``size`` bytes and those ``apart`` further on."""
+        there = np.concatenate([ranks[size][apart:], np.zeros(min(apart, len(b)), np.int64)])
+        return ranks[size] * np.int64(len(b) + 1) + there
+
+    while size * 2 <= length:
+        ranks[size * 2] = np.unique(pair(size, size), return_inverse=True)[1]
         size *= 2
-    last = rank[np.minimum(starts + length - size, len(b) - 1)]
-    key = rank[starts] * (len(b) + 257) + last  # equal keys share length bytes
+    key = pair(size, length - size)[starts] if size < length else ranks[size][starts]
     suffix = np.lexsort((order, key))
-    joined = key[suffix][1:] == key[suffix][:-1]
-    stretch = np.concatenate([[0], np.cumsum(~joined)])
-    # within a stretch the order rises, so the previous smaller value of all but
-    # the first is its neighbour, and no next smaller value exists
-    place = order[suffix]
-    first = place[np.concatenate([[True], ~joined])][stretch]
-    out = np.zeros(len(starts), bool)
-    out[suffix] = place > first
+    p, q = starts[suffix[:-1]], starts[suffix[1:]]
+    shared = np.zeros(len(p), np.int64)
+    for size in sorted(ranks, reverse=True):  # longest known lengths first
+        fits = np.flatnonzero(shared + size <= length)
+        same = ranks[size][p[fits] + shared[fits]] == ranks[size][q[fits] + shared[fits]]
+        shared[fits[same]] += size
+    left = np.flatnonzero(shared < length)
+    apart = words[np.minimum(p[left] + shared[left], len(b) - 1)] ^ words[np.minimum(q[left] + shared[left], len(b) - 1)]
+    more = np.zeros(len(left), np.int64)
+    for k in range(1, 8):
+        more += (apart >> np.uint64(64 - 8 * k)) == 0
+    shared[left] = np.minimum(shared[left] + more, length)
+    return suffix, np.concatenate([[0], shared])[:len(suffix)]
+
+
+def previous_factors(place: list[int], shared: list[int]) -> list[int]:
+    """Longest previous factors in suffix order, by one pass over positions: the
+    stack holds rising positions, so what lies below an entry is its previous
+    smaller value, and what pops it is its next smaller one. Equal positions are
+    neither before the other."""
+    out, stack = [0] * len(place), []  # entries: index, bytes shared with the entry below, with its previous smaller
+    for i, now in enumerate(place):
+        common = shared[i]
+        while stack and place[stack[-1][0]] > now:
+            j, below, psv = stack.pop()
+            out[j] = max(psv, common)
+            common = min(common, below)
+        psv = common if stack else 0
+        if stack and place[stack[-1][0]] == now:
+            psv = min(common, stack[-1][2])
+        stack.append((i, common if stack else 0, psv))
+    for j, _, psv in stack:
+        out[j] = max(out[j], psv)
     return out
 
 
+def factor_lengths(text: bytes, starts: np.ndarray, order: np.ndarray, length: int = LENGTH, least: int = 1) -> np.ndarray:
+    """For each start the longest match (``length`` at most) with a start of smaller
+    ``order``. Matches below ``least`` bytes count as 0: neighbours that share
+    less part the suffix order, and what stands alone is not passed over."""
+    out = np.zeros(len(starts), np.int64)
+    if not len(starts):
+        return out
+    suffix, shared = suffix_order(np.frombuffer(text, np.uint8), starts, order, length)
+    near = np.append(shared >= least, False)
+    shared = np.where(near[:-1], shared, 0)
+    some = np.flatnonzero(near[:-1] | near[1:])
+    out[suffix[some]] = previous_factors(order[suffix[some]].tolist(), shared[some].tolist())
+    return out
+
+
+def longest_previous_factor(text: bytes, starts: np.ndarray, order: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """For each start, whether its longest previous factor reaches ``length``."""
+    return factor_lengths(text, starts, order, length, length) >= length
+
+
 def _merge(spans: list) -> list:
     """Union of (start, stop) intervals."""
     out: list = []
@@ -155,36 +215,31 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, group: int = GROUP) ->
     def chunks(batches):
         for b in slices(batches, "text"):
             rows = {c: [] for c in ("d1", "d2", "ord", "key", "start", "n")}
+            anchors, firsts, size = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [0]
             for t, o, k in zip(as_bytes(b.column("text")), b.column("ord").to_pylist(), b.column("key").to_pylist()):
-                for start, n in _chunks(t, length):
+                for start, n, h, first in _chunks(t, length):
                     for c, v in zip(rows, (*_digests(t[start:start + n + length - 1]), o, k, start, n)):
                         rows[c].append(v)
-            yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([(c, pa.int64()) for c in rows]))
-
-    whole = written(docs.mapInArrow(chunks, "d1 long, d2 long, ord long, key long, start long, n long"), "chunks")
+                    anchors.append(h)
+                    firsts.append(first)
+                    size.append(len(h))
+            edge = pa.array(np.cumsum(size).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(edge, pa.array(np.concatenate(x))) for x in (anchors, firsts)]
+            yield pa.RecordBatch.from_arrays([*[pa.array(v, pa.int64()) for v in rows.values()], *lists], [*rows, "anchors", "firsts"])
+
+    whole = written(docs.mapInArrow(chunks, "d1 long, d2 long, ord long, key long, start long, n long, anchors array<long>, firsts array<long>"), "chunks")
     often = whole.groupBy("d1", "d2").agg(F.min(F.struct("ord", "start")).alias("head"), F.count(F.lit(1)).alias("times")).filter("times > 1")
-    copied = whole.join(often, ["d1", "d2"]).filter(
-        (F.col("head.ord") < F.col("ord")) | ((F.col("head.ord") == F.col("ord")) & (F.col("head.start") < F.col("start"))))
-    copied = written(copied.select("ord", "key", "start", "n"), "copied")
-    gone = copied.groupBy(F.col("ord").alias("_ord"), F.col("key").alias("_key")).agg(F.collect_set(F.struct("start", "n")).alias("gone"))
-
-    def find(batches):
-        for b in slices(batches, "text"):
-            out = {c: [] for c in ("anchor", "ord", "key", "first", "n")}
-            for t, o, k, g in zip(as_bytes(b.column("text")), b.column("ord").to_pylist(), b.column("key").to_pylist(), b.column("gone").to_pylist()):
-                edge = np.array(sorted(x for r in g or () for x in (r["start"], r["start"] + r["n"])), np.int64)
-                for h, first, n in _text_runs(t, length):
-                    left = np.flatnonzero(np.searchsorted(edge, first, "right") % 2 == 0)  # outside copied chunks
-                    for c, v in zip(out, (h[left].view(np.int64), np.full(len(left), o), np.full(len(left), k), first[left], n[left])):
-                        out[c].append(v)
-            if out["n"]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v).astype(np.int64)) for v in out.values()], list(out))
-
-    own = (F.col("ord") == F.col("_ord")) & (F.col("key") == F.col("_key"))
-    runs = written(docs.join(gone, own, "left").select("ord", "key", "text", "gone").mapInArrow(
-        find, "anchor long, ord long, key long, first long, n long"), "runs")
+    marked = whole.join(often, ["d1", "d2"], "left")
+    later = ((F.col("head.ord") < F.col("ord")) | ((F.col("head.ord") == F.col("ord")) & (F.col("head.start") < F.col("start"))))
+    copied = written(whole.select("d1", "d2", "ord", "key", "start", "n").join(often, ["d1", "d2"]).filter(later).select("ord", "key", "start", "n"), "copied")
+    # the runs of all other chunks; a run ends where the next one begins
+    stay = marked.filter(F.col("times").isNull() | ~later)
+    run = F.explode(F.expr("arrays_zip(anchors, firsts, concat(slice(firsts, 2, size(firsts)), array(start + n)))")).alias("r")
+    names = [F.col("r.anchors").alias("anchor"), "ord", "key", F.col("r.firsts").alias("first"), (F.col("r.2") - F.col("r.firsts")).alias("n")]
+    runs = written(stay.select("ord", "key", run).select(*names), "runs")
     often = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("anchor")
     mine = written(runs.join(often, "anchor"), "met").groupBy("ord", "key").agg(F.collect_set(F.struct("first", "n", "anchor")).alias("runs"))
+    own = (F.col("ord") == F.col("_ord")) & (F.col("key") == F.col("_key"))
 
     def cut(batches):
         for b in slices(batches, "text", 1 << 20):
@@ -213,66 +268,68 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, group: int = GROUP) ->
     sizes = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
     sized = distinct.join(sizes, "anchor")
 
+    same = ["d1", "d2", "ord", "first"]  # a segment where it comes first
+
     def judge(batches):
         """Whole anchors (rows sorted by anchor) in lots of about a megabyte."""
-        def lot(rows):
-            text, starts, order, back = [], [], [], []
-            at = 0
-            number = {o: i for i, o in enumerate(sorted({r["head"]["ord"] for r in rows}))}
-            for i, r in enumerate(rows):
-                n = len(r["segment"]) - length + 1
-                text.append(r["segment"])
-                starts.append(np.arange(at, at + n))
-                order.append((number[r["head"]["ord"]] << 40) + r["head"]["first"] + np.arange(n))
-                back.append(np.full(n, i))
-                at += len(r["segment"])
-            starts, order, back = map(np.concatenate, (starts, order, back))
-            hit = longest_previous_factor(b"".join(text), starts, order, length)
-            where = np.flatnonzero(hit)
-            edges = np.searchsorted(back[where], np.arange(len(rows) + 1))
-            base = np.searchsorted(back, np.arange(len(rows)))
-            out = [where[edges[i]:edges[i + 1]] - base[i] for i in range(len(rows))]
-            res = {c: [] for c in ("ord", "first", "start", "stop")}
-            for r, p in zip(rows, out):
-                if len(p):
-                    gap = np.flatnonzero(np.diff(p) > 1)
-                    for a, z in zip(p[np.concatenate([[0], gap + 1])].tolist(), p[np.concatenate([gap, [len(p) - 1]])].tolist()):
-                        for c, v in zip(res, (r["head"]["ord"], r["head"]["first"], r["head"]["first"] + a, r["head"]["first"] + z + length)):
-                            res[c].append(v)
-            return pa.RecordBatch.from_pydict(res, schema=pa.schema([(c, pa.int64()) for c in res]))
-
-        rows, size, now = [], 0, None
+        def lot(parts):
+            rows = pa.Table.from_batches(parts).combine_chunks()
+            segment = rows.column("segment").combine_chunks().cast(pa.large_binary())
+            text = b"".join(segment.to_pylist())
+            size = pa.compute.binary_length(segment).to_numpy()
+            at = np.cumsum(size) - size
+            back = np.repeat(np.arange(len(size)), size - length + 1)
+            starts = np.arange(len(back)) + back * (length - 1)
+            first, doc = rows.column("first").to_numpy(), np.unique(rows.column("ord").to_numpy(), return_inverse=True)[1]
+            order = (doc[back] << 40) + first[back] + starts - at[back]
+            hit = np.flatnonzero(longest_previous_factor(text, starts, order, length))
+            new = np.concatenate([[True], (np.diff(hit) > 1) | (np.diff(back[hit]) > 0)])[:len(hit)]
+            a = hit[new]
+            z = hit[np.append(new[1:], True)[:len(hit)]]
+            row = back[a]
+            begin = first[row] - at[row]
+            return pa.RecordBatch.from_arrays([*[rows.column(c).combine_chunks().take(pa.array(row)) for c in same],
+                                               pa.array(begin + starts[a]), pa.array(begin + starts[z] + length)], [*same, "start", "stop"])
+
+        parts, size, now = [], 0, None
         for b in batches:
-            for r in b.to_pylist():
-                if r["anchor"] != now and size >= 1 << 20:
-                    yield lot(rows)
-                    rows, size = [], 0
-                now = r["anchor"]
-                rows.append(r)
-                size += len(r["segment"])
-        if rows:
-            yield lot(rows)
-
-    small = sized.filter(F.col("m") <= group).select("anchor", "head", "segment").repartition("anchor").sortWithinPartitions("anchor")
-    found = small.mapInArrow(judge, "ord long, first long, start long, stop long")
+            anchor = b.column("anchor").to_numpy()
+            edges = np.concatenate([[0], np.flatnonzero(np.diff(anchor)) + 1, [len(anchor)]]).tolist()
+            filled = np.concatenate([[0], np.cumsum(pa.compute.binary_length(b.column("segment")).to_numpy())]).tolist()
+            begin = 0
+            for x in edges[:-1]:  # a lot may end before each anchor
+                if anchor[x] != now and size + filled[x] - filled[begin] >= 1 << 20:
+                    if x > begin:
+                        parts.append(b.slice(begin, x - begin))
+                    yield lot(parts)
+                    parts, size, begin = [], 0, x
+                now = anchor[x]
+            parts.append(b.slice(begin))
+            size += filled[-1] - filled[begin]
+        if parts:
+            yield lot(parts)
+
+    sized = sized.select("anchor", "m", "d1", "d2", F.col("head.ord").alias("ord"), F.col("head.first").alias("first"), "segment")
+    small = sized.filter(F.col("m") <= group).drop("m").repartition("anchor").sortWithinPartitions("anchor")
+    found = small.mapInArrow(judge, "d1 long, d2 long, ord long, first long, start long, stop long")
 
     def windows(batches):
         for b in slices(batches, "segment", 1 << 16):
-            rows = {c: [] for c in ("w1", "w2", "ord", "first", "start")}
-            for s, h in zip(b.column("segment").to_pylist(), b.column("head").to_pylist()):
+            rows = {c: [] for c in ("w1", "w2", *same, "start")}
+            for s, *place in zip(*(b.column(c).to_pylist() for c in ("segment", *same))):
                 for i in range(len(s) - length + 1):
-                    for c, v in zip(rows, (*_digests(s[i:i + length]), h["ord"], h["first"], h["first"] + i)):
+                    for c, v in zip(rows, (*_digests(s[i:i + length]), *place, place[-1] + i)):
                         rows[c].append(v)
             yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([(c, pa.int64()) for c in rows]))
 
-    alone = sized.filter(F.col("m") > group).select("head", "segment").mapInArrow(windows, "w1 long, w2 long, ord long, first long, start long")
+    alone = sized.filter(F.col("m") > group).drop("m", "anchor").mapInArrow(windows, "w1 long, w2 long, d1 long, d2 long, ord long, first long, start long")
     firsts = alone.groupBy("w1", "w2").agg(F.min(F.struct("ord", "start")).alias("head"))
     apart = alone.join(firsts, ["w1", "w2"]).filter(
         (F.col("head.ord") < F.col("ord")) | ((F.col("head.ord") == F.col("ord")) & (F.col("head.start") < F.col("start"))))
-    apart = apart.select("ord", "first", "start", (F.col("start") + length).alias("stop"))
-    # a head's key: the rows that have this very segment there
-    heads = segments.select("ord", "key", "first", *by_text).distinct()
-    named = found.unionByName(apart).distinct().join(heads.select("ord", "first", "key").distinct(), ["ord", "first"])
+    apart = apart.select(*same, "start", (F.col("start") + length).alias("stop"))
+    # the rows that have this very segment there
+    heads = segments.select(*same, "key").distinct()
+    named = found.unionByName(apart).distinct().join(heads, same)
     whole = copied.select("ord", "key", "start", (F.col("start") + F.col("n") + length - 1).alias("stop"))
     return written(whole.unionByName(later).unionByName(named.select("ord", "key", "start", "stop")), "spans")
 

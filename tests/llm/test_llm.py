@@ -307,6 +307,39 @@ def test_longest_previous_factor():
     assert got.tolist() == [text[i:i + 3] in {text[j:j + 3] for j in range(i)} for i in starts]
 
 
+@pytest.mark.parametrize("length", [3, 8, 12, 20, 100])
+def test_factor_lengths(length):
+    """Lengths against brute force, segments in an order of their own, with ties."""
+    rng = random.Random(length)
+    for trial in range(30):
+        part = [bytes(rng.choice(b"ab\x00" if trial % 2 else b"a") for _ in range(length + rng.randrange(30))) for _ in range(6)]
+        if trial % 3 == 0:
+            part[3] = part[1]
+        text, size = b"".join(part), [len(p) for p in part]
+        starts = np.concatenate([sum(size[:k]) + np.arange(size[k] - length + 1) for k in range(6)])
+        base = rng.sample(range(0, 9000, 900), 6)
+        if trial % 5 == 0:
+            base[4] = base[2]  # neither is before the other
+        order = np.concatenate([base[k] + np.arange(size[k] - length + 1) for k in range(6)])
+
+        def common(x, y):
+            return next((k for k in range(length) if text[x + k] != text[y + k]), length)
+        want = [max((common(x, y) for y, q in zip(starts.tolist(), order.tolist()) if q < p), default=0) for x, p in zip(starts.tolist(), order.tolist())]
+        assert suffixes.factor_lengths(text, starts, order, length).tolist() == want
+        assert suffixes.longest_previous_factor(text, starts, order, length).tolist() == [w == length for w in want]
+
+
+@pytest.mark.parametrize("group", [suffixes.GROUP, 1])
+def test_repeats_of_one_id_with_two_texts(spark, group):
+    """What one text of an id repeats is not taken from its other text. Null ids are
+    one document: what starts earlier in one of its rows is an earlier copy."""
+    rng = random.Random(6)
+    a, b, other = ("".join(rng.choice("abcdefghij ") for _ in range(n)) for n in (145, 150, 130))
+    docs = spark.createDataFrame([(1, "start " + a), (7, a), (7, b), (None, a + other), (None, other), (None, b)], "doc_id long, text string")
+    got = sorted((r.doc_id or 99, r.n_bytes, r.n_removed) for r in suffixes.remove_repeats(docs, group=group).collect())
+    assert got == [(1, 151, 0), (7, 145, 145), (7, 150, 0), (99, 130, 0), (99, 150, 150), (99, 275, 275)]
+
+
 # 7 contamination
 
 @pytest.mark.parametrize("block", [contamination.BLOCK, 5])
