@@ -181,7 +181,7 @@ def _compare(key, rows):
     """Links that join groups within one unit: a block with itself, or with another."""
     lo, hi = key[1].as_py(), key[2].as_py()
     rows = rows.sort_by("rep")
-    side, rep, group = (np.array(rows.column(c)) for c in ("side", "rep", "label"))
+    side, rep, group = (np.asarray(rows.column(c)).copy() for c in ("side", "rep", "label"))
     if len(np.unique(group)) < 2:
         return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
     sets = [np.frombuffer(x, np.uint64) for x in rows.column("members").to_pylist()]

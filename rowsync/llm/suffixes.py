@@ -48,7 +48,8 @@ LENGTH, GRAM = 100, 24
 GROUP, CHUNK = 16_384, 32
 _LAST = (1 << 63) - 1
 _POSITION = np.uint64(21)  # a piece is shorter than 2^21
-PIECE = 1 << 20
+PIECE = 1 << 18
+LOT = 1 << 19  # bytes of segments judged, or cut, at a time
 _MULTIPLIER = 0xD6E8FEB86659FD93
 
 
@@ -242,7 +243,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, group: int = GROUP) ->
     own = (F.col("ord") == F.col("_ord")) & (F.col("key") == F.col("_key"))
 
     def cut(batches):
-        for b in slices(batches, "text", 1 << 20):
+        for b in slices(batches, "text", LOT):
             rows = {c: [] for c in ("anchor", "d1", "d2", "ord", "key", "first", "n", "segment")}
             for t, o, k, found in zip(as_bytes(b.column("text")), b.column("ord").to_pylist(), b.column("key").to_pylist(), b.column("runs").to_pylist()):
                 for r in found:
@@ -271,7 +272,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, group: int = GROUP) ->
     same = ["d1", "d2", "ord", "first"]  # a segment where it comes first
 
     def judge(batches):
-        """Whole anchors (rows sorted by anchor) in lots of about a megabyte."""
+        """Whole anchors (rows sorted by anchor) in lots of about ``LOT`` bytes."""
         def lot(parts):
             rows = pa.Table.from_batches(parts).combine_chunks()
             segment = rows.column("segment").combine_chunks().cast(pa.large_binary())
@@ -298,7 +299,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, group: int = GROUP) ->
             filled = np.concatenate([[0], np.cumsum(pa.compute.binary_length(b.column("segment")).to_numpy())]).tolist()
             begin = 0
             for x in edges[:-1]:  # a lot may end before each anchor
-                if anchor[x] != now and size + filled[x] - filled[begin] >= 1 << 20:
+                if anchor[x] != now and size + filled[x] - filled[begin] >= LOT:
                     if x > begin:
                         parts.append(b.slice(begin, x - begin))
                     yield lot(parts)
