@@ -152,6 +152,7 @@ def q_batch_summary(spark, sf_dir):
 # ======================================================================
 # shared derived inputs
 from ..functions.events import parse_event, project_record, to_event  # noqa: E402
+from ..operators import digest_tree as digest  # noqa: E402
 from ..operators import dlq as dlqops  # noqa: E402
 from ..operators import events as evops  # noqa: E402
 from ..operators import monitor as mon  # noqa: E402
@@ -486,6 +487,37 @@ def q_reconcile(spark, sf_dir):
     return mon.reconcile(f.products, f.docs_old, consumed(f))
 
 
+def planted_docs(f: Fixtures) -> DataFrame:
+    """Documents that are the source but for a few: some missing, some one version
+    behind, and some that the source lacks."""
+    p = f.products.select("id", "version")
+    kept = p.where(F.col("id") % 1009 != 5).withColumn("version", F.col("version") - F.when(F.col("id") % 701 == 7, 1).otherwise(0))
+    return kept.unionByName(p.where(F.col("id") % 613 == 11).withColumn("id", F.col("id") + 1_000_000))
+
+
+@query("reconcile_digest")
+def q_reconcile_digest(spark, sf_dir):
+    """The figures of ``reconcile`` for documents, from a tree of digests."""
+    f = fx(spark, sf_dir)
+    return digest.reconcile_by_digest(f.products, f.docs_old)
+
+
+@query("reconcile_digest_planted")
+def q_reconcile_digest_planted(spark, sf_dir):
+    """Few differences: few leaves are compared by key."""
+    f = fx(spark, sf_dir)
+    return digest.reconcile_by_digest(f.products, planted_docs(f), width=32, fanout=8)
+
+
+@query("reconcile_differences")
+def q_reconcile_differences(spark, sf_dir):
+    """Every id that differs from the event store's newest version, found by digests."""
+    f = fx(spark, sf_dir)
+    newest = consumed(f).groupBy(F.col("product_id").alias("id")).agg(F.max("version").alias("version"))
+    found, _ = digest.digest_differences(f.products, newest)
+    return found.select("id", "s_version", F.col("d_version").alias("e_version"), digest.kind_of_difference().alias("kind"))
+
+
 @query("store_in_sync")
 def q_store_in_sync(spark, sf_dir):
     f = fx(spark, sf_dir)
@@ -543,6 +575,7 @@ from ..session import scratch_dir  # noqa: E402
 from ..sinks.tables import Tables  # noqa: E402
 from ..streaming import consumer as cons  # noqa: E402
 from ..streaming import incremental as inc  # noqa: E402
+from ..streaming import polled  # noqa: E402
 from ..streaming import stateful as st  # noqa: E402
 from .backfill import run_backfill  # noqa: E402
 from .batch_writer import InjectedCrash, write_batch  # noqa: E402
@@ -705,6 +738,27 @@ def q_stream_change_log(spark, sf_dir):
     return spark.read.parquet(out)
 
 
+@query("stream_change_log_polled")
+def q_stream_change_log_polled(spark, sf_dir):
+    """The log polled as a table, twice: when half of it is written but for young
+    changes that commit late, and when all is. The second run resumes from the
+    checkpoint; together they read every change once."""
+    f = fx(spark, sf_dir)
+    log, day = f.change_log, F.make_dt_interval(F.lit(1))
+    start = log.agg((F.min("changed_at") + (F.max("changed_at") - F.min("changed_at")) / 2).cast("string")).first()[0]
+    reading = F.lit(start).cast("timestamp_ntz")
+    seen = log.where(F.col("changed_at") <= reading)
+    # of the young, those behind the first one may be committed late
+    young = seen.where(F.col("changed_at") > reading - day).agg(F.min("seq")).first()[0]
+    late = (F.col("seq") > (young or 0)) & (F.col("changed_at") > reading - day) & (F.col("seq") % 10 == 3)
+    folder, out, checkpoint = (scratch_dir(spark, n) for n in ("polled", "polled-out", "ckpt-polled"))
+    end = log.agg((F.max("changed_at") + F.make_dt_interval(F.lit(2))).cast("string")).first()[0]
+    for part, as_of_ in ((seen.where(~late), start), (log.where(F.col("changed_at") > reading).unionByName(seen.where(late)), end)):
+        part.write.mode("append").parquet(folder)
+        st.drain(polled.stream_polled_changes(spark, folder, SAFETY_WINDOW_MS, as_of_, 10_000), out, checkpoint)
+    return spark.read.schema(log.schema).parquet(out)
+
+
 @query("stream_deliveries")
 def q_stream_deliveries(spark, sf_dir):
     f = fx(spark, sf_dir)

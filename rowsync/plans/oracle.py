@@ -390,6 +390,28 @@ SELECT count(s_version) AS source_n, count(d_version) AS docs_n, CAST(COALESCE(S
        CAST(COALESCE(SUM(s_version), 0) AS BIGINT) AS source_version_sum,
        CAST(COALESCE(SUM(d_version), 0) AS BIGINT) AS docs_version_sum
 FROM ({RECONCILE_JOIN}) k""", *C_CTES)
+
+
+def by_digest_sql(docs: str, width: int) -> str:
+    """Document figures per key, with the leaves of ``width`` ids that hold a difference."""
+    return f"""
+SELECT CAST(count_if(d IS NULL) AS BIGINT) AS missing, CAST(count_if(s IS NULL) AS BIGINT) AS extra,
+       CAST(count_if(d < s) AS BIGINT) AS stale, CAST(count_if(d > s) AS BIGINT) AS ahead, CAST(count_if(d = s) AS BIGINT) AS equal,
+       count(s) AS source_n, count(d) AS docs_n, CAST(COALESCE(SUM(s), 0) AS BIGINT) AS source_version_sum,
+       CAST(COALESCE(SUM(d), 0) AS BIGINT) AS docs_version_sum, count(DISTINCT id // {width}) AS leaves,
+       count(DISTINCT CASE WHEN s IS DISTINCT FROM d THEN id // {width} END) AS leaves_unlike
+FROM (SELECT COALESCE(p.id, d.id) AS id, p.version AS s, d.version AS d FROM fx_products p FULL OUTER JOIN ({docs}) d ON d.id = p.id) j"""
+
+
+ORACLE["reconcile_digest"] = W(by_digest_sql("SELECT id, version FROM fx_docs_old", 1024))
+ORACLE["reconcile_digest_planted"] = W(by_digest_sql("""
+SELECT id, version - CASE WHEN id % 701 = 7 THEN 1 ELSE 0 END AS version FROM fx_products WHERE id % 1009 <> 5
+UNION ALL SELECT id + 1000000, version FROM fx_products WHERE id % 613 = 11""", 32))
+ORACLE["reconcile_differences"] = W("""
+SELECT COALESCE(p.id, e.id) AS id, p.version AS s_version, e.version AS e_version,
+       CASE WHEN e.version IS NULL THEN 'missing' WHEN p.version IS NULL THEN 'extra' WHEN e.version < p.version THEN 'stale' ELSE 'ahead' END AS kind
+FROM fx_products p FULL OUTER JOIN (SELECT product_id AS id, max(version) AS version FROM consumed GROUP BY product_id) e ON e.id = p.id
+WHERE p.version IS DISTINCT FROM e.version""", *C_CTES)
 ORACLE["store_in_sync"] = W("""
 SELECT COALESCE(s.id, d.id) AS id, s.version, d.version AS doc_version,
        s.version IS NOT DISTINCT FROM d.version AS in_sync
@@ -493,6 +515,7 @@ FROM parsed WHERE error IS NULL GROUP BY event_id""", *P_CTES)
 ORACLE["consumer_dlq_append"] = W("""
 SELECT COALESCE(message_id, '?') AS event_id, error, body AS raw FROM parsed WHERE error IS NOT NULL""", *P_CTES)
 ORACLE["stream_change_log"] = W("SELECT * FROM fx_change_log")
+ORACLE["stream_change_log_polled"] = ORACLE["stream_change_log"]
 ORACLE["stream_deliveries"] = W("SELECT * FROM fx_deliveries")
 ORACLE["stream_dedupe_bounded"] = W("SELECT DISTINCT event_id FROM fx_event_log_large")
 ORACLE["stateful_version_gate"] = W("""
