@@ -85,5 +85,5 @@ def run_backfill(tables: Tables, products: DataFrame, run_id: str, as_of: Column
             F.lit(target).cast("long").alias("target_max_id"), F.lit(None).cast("long").alias("cursor_seq"),
             as_of.alias("committed_at"))
             .join(F.broadcast(done), "range_id", "left_anti"))
-        tables.commit_progress(prog)
+        tables.commit_progress(prog, "backfill")
     return {"target": target, "waves": n_waves, "skipped": skipped}

@@ -92,7 +92,7 @@ def write_batch(tables: Tables, rows: DataFrame, mode: str, batch_id: str, as_of
         # 2. stream: one event per row, rejected rows included
         ev = to_event(out, emitted_at=as_of).select("event_id", "product_id", "op", "version", "product",
                                                       "emitted_at")
-        tables.publish(ev, batch_id, as_of)
+        published = tables.publish(ev, batch_id, as_of, mode, attempt.number)
         if crash_at == "after_events":
             raise InjectedCrash("after_events")
 
@@ -120,9 +120,10 @@ def write_batch(tables: Tables, rows: DataFrame, mode: str, batch_id: str, as_of
             raise InjectedCrash("after_dlq")
 
         # 4. outcomes (source of every counter), replaced per batch
-        tables.write_outcomes(out.select(
+        counts = tables.write_outcomes(out.select(
             F.lit(mode).alias("mode"), "batch_id", F.lit("es").alias("sink"), "id", "version", "outcome",
             "reason", "error", F.lit(attempt.number).alias("attempt")))
+        tables.write_counters("writer", mode, batch_id, attempt.number, counts | {"published": published})
         if crash_at == "before_commit":
             raise InjectedCrash("before_commit")
         return tables.outcomes().where((F.col("mode") == mode) & F.col("batch_id").isin(*own))

@@ -577,6 +577,7 @@ from ..streaming import consumer as cons  # noqa: E402
 from ..streaming import incremental as inc  # noqa: E402
 from ..streaming import polled  # noqa: E402
 from ..streaming import stateful as st  # noqa: E402
+from . import both  # noqa: E402
 from .backfill import run_backfill  # noqa: E402
 from .batch_writer import InjectedCrash, write_batch  # noqa: E402
 from .replay import dlq_replay, item_retry  # noqa: E402
@@ -712,6 +713,80 @@ def q_run_both(spark, sf_dir):
     return t.docs().select("id", "version")
 
 
+@query("run_both_at_once")
+def q_run_both_at_once(spark, sf_dir):
+    """Backfill and incremental side by side: documents and quarantine as if one had
+    followed the other."""
+    f = fx(spark, sf_dir)
+    t = seeded_tables(spark, f, "at-once")
+    both.run_both(t, lambda s: Fixtures(s, sf_dir).products, change_files(f), scratch_dir(spark, "ckpt-both"), "both", as_of(f),
+                  PAGE, WAVES, max_files_per_trigger=1)
+    return documents_and_dlq(t)
+
+
+def end_to_end_tables(spark, sf_dir) -> tuple[Fixtures, Tables]:
+    """Source to event store: a backfill stopped after its events were published and run
+    again, then the incremental job, then the consumer over what they published."""
+    f = fx(spark, sf_dir)
+    t = Tables.fresh(spark, "end-to-end", buckets=TEST_BUCKETS)
+    try:
+        run_backfill(t, f.products, "full", as_of(f), PAGE, WAVES, crash_at="after_events", crash_wave=0)
+    except InjectedCrash:
+        pass
+    run_backfill(t, f.products, "full", as_of(f), PAGE, WAVES)
+    incremental_into(spark, sf_dir, t, f, max_files=2)
+    cons.run_consumer(spark, t, None, scratch_dir(spark, "ckpt-messages"), as_of(f))
+    return f, t
+
+
+@query("end_to_end")
+def q_end_to_end(spark, sf_dir):
+    """The gate of a whole replication: every source row is stored as an event once and,
+    unless quarantined, as a document; repeated messages were absorbed."""
+    f, t = end_to_end_tables(spark, sf_dir)
+    missing = f.products.join(t.events(), F.col("product_id") == F.col("id"), "left_anti")
+    out = f.products.agg(F.count(F.lit(1)).alias("source_n"))
+    figures = {"docs_n": t.docs().agg(F.count(F.lit(1))), "dlq_open": t.dlq().where(F.col("status") == "open").agg(F.count(F.lit(1))),
+               "events_n": t.events_raw().agg(F.count(F.lit(1))), "event_ids": t.events_raw().agg(F.count_distinct("event_id")),
+               "without_event": missing.agg(F.count(F.lit(1))), "messages": t.messages().agg(F.count(F.lit(1))),
+               "published_again": t.messages().where(F.col("batch_id") == "full-w0").agg(F.count(F.lit(1)) - F.count_distinct("message_id"))}
+    out = out.withColumns({n: d.scalar() for n, d in figures.items()})
+    return out.withColumn("replays_absorbed", F.col("messages") > F.col("events_n")).drop("messages")
+
+
+@query("end_to_end_events")
+def q_end_to_end_events(spark, sf_dir):
+    """The event store after a whole replication."""
+    return end_to_end_tables(spark, sf_dir)[1].events().select("event_id", "product_id", "version")
+
+
+def total(name: str):
+    return F.coalesce(F.sum(F.col("counts")[name]), F.lit(0)).cast("long").alias(name)
+
+
+@query("consumer_job_totals")
+def q_consumer_job_totals(spark, sf_dir):
+    """The consumer's counters, observed on its writes, over all its batches."""
+    f = fx(spark, sf_dir)
+    t = Tables.fresh(spark, "consumer-totals", buckets=TEST_BUCKETS)
+    cons.run_consumer(spark, t, delivery_files(f), scratch_dir(spark, "ckpt-consumer"), as_of(f), 1)
+    c = t.counters().where(F.col("job") == "consumer").agg(*[total(n) for n in ("received", "malformed", "stored", "duplicates")],
+                                                           F.count(F.lit(1)).alias("batches"))
+    return c.withColumn("dlq_size", t.consumer_dlq().agg(F.count(F.lit(1))).scalar())
+
+
+@query("sink_job_totals")
+def q_sink_job_totals(spark, sf_dir):
+    """Both sinks' counters by mode, observed on the writes of a backfill and an
+    incremental job: outcomes of the document sink, messages of the stream."""
+    f = fx(spark, sf_dir)
+    t = Tables.fresh(spark, "sink-totals", buckets=TEST_BUCKETS)
+    run_backfill(t, f.products, "full", as_of(f), PAGE, WAVES)
+    incremental_into(spark, sf_dir, t, f, max_files=4)
+    return t.counters().where(F.col("job") == "writer").groupBy("mode").agg(
+        *[total(n) for n in ("ok", "duplicate", "dlq", "published")])
+
+
 def consumed_tables(spark, sf_dir) -> Tables:
     f = fx(spark, sf_dir)
     t = Tables.fresh(spark, "consumer", buckets=TEST_BUCKETS)
@@ -778,6 +853,35 @@ def q_stream_dedupe_bounded(spark, sf_dir):
     return spark.read.parquet(out).select("event_id")
 
 
+def dedupe_by_year(spark, sf_dir) -> tuple[str, str, DataFrame]:
+    """(output, checkpoint, log) of the bounded dedupe over the event log by years:
+    a batch is one year, its event time the year's first day, the delay 400 days."""
+    log = fx(spark, sf_dir).event_log_large.select("event_id", F.date_trunc("year", "consumed_at").cast("timestamp").alias("consumed_at"))
+    folder, out, checkpoint = (scratch_dir(spark, n) for n in ("years", "years-out", "ckpt-years"))
+    for r in log.select("consumed_at").distinct().orderBy("consumed_at").collect():  # a few years
+        log.where(F.col("consumed_at") == r[0]).coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", "1").parquet(folder)
+    st.drain(st.stream_dedupe_bounded(stream, delay="400 days"), out, checkpoint)
+    return out, checkpoint, log
+
+
+@query("stream_dedupe_evicting")
+def q_stream_dedupe_evicting(spark, sf_dir):
+    """A copy that comes after its key's state was evicted passes again."""
+    out, _, log = dedupe_by_year(spark, sf_dir)
+    return spark.read.schema(log.schema).parquet(out).select("event_id", F.year("consumed_at").alias("year"))
+
+
+@query("stream_dedupe_state")
+def q_stream_dedupe_state(spark, sf_dir):
+    """What the dedupe still holds at its end, read from its state store: keys whose
+    time is not over, not all that ever came."""
+    _, checkpoint, _ = dedupe_by_year(spark, sf_dir)
+    state = spark.read.format("statestore").load(checkpoint)
+    return state.select(F.col("key.event_id").alias("event_id"),
+                        F.year(F.timestamp_micros("value.expiresAtMicros") - F.make_dt_interval(F.lit(400))).alias("year"))
+
+
 @query("stateful_version_gate")
 def q_stateful_version_gate(spark, sf_dir):
     """The raw deliveries as a stream (four files in delivery order), parsed in

@@ -518,6 +518,45 @@ ORACLE["stream_change_log"] = W("SELECT * FROM fx_change_log")
 ORACLE["stream_change_log_polled"] = ORACLE["stream_change_log"]
 ORACLE["stream_deliveries"] = W("SELECT * FROM fx_deliveries")
 ORACLE["stream_dedupe_bounded"] = W("SELECT DISTINCT event_id FROM fx_event_log_large")
+# batches are years; one's watermark is the year before it less 400 days, and state made
+# in year e is evicted at the end of the first batch whose watermark reaches e + 400 days
+BY_YEAR = """
+y AS (SELECT DISTINCT event_id, date_trunc('year', consumed_at) AS y FROM fx_event_log_large),
+b AS (SELECT y, lag(y) OVER (ORDER BY y) - INTERVAL 400 DAY AS mark FROM (SELECT DISTINCT y FROM y) x),
+over AS (SELECT e.y AS e, min(b.y) AS z FROM (SELECT DISTINCT y FROM y) e JOIN b ON b.mark >= e.y + INTERVAL 400 DAY GROUP BY e.y),
+one AS (SELECT event_id, min(y) AS y FROM y GROUP BY event_id),
+two AS (SELECT y.event_id, min(y.y) AS y FROM y JOIN one USING (event_id) JOIN over ON over.e = one.y WHERE y.y > over.z GROUP BY y.event_id),
+three AS (SELECT y.event_id, min(y.y) AS y FROM y JOIN two USING (event_id) JOIN over ON over.e = two.y WHERE y.y > over.z GROUP BY y.event_id),
+passed AS (SELECT * FROM one UNION ALL SELECT * FROM two UNION ALL SELECT * FROM three)"""
+
+
+def by_year(body: str) -> str:
+    return W("SELECT 1 FROM fx_event_log_large").replace("SELECT 1 FROM fx_event_log_large", "").rstrip() + "," + BY_YEAR + body
+
+
+ORACLE["stream_dedupe_evicting"] = by_year("SELECT event_id, CAST(year(y) AS INTEGER) AS year FROM passed")
+ORACLE["stream_dedupe_state"] = by_year("""
+SELECT event_id, CAST(year(y) AS INTEGER) AS year FROM passed
+WHERE y + INTERVAL 400 DAY > (SELECT max(y) FROM y) - INTERVAL 400 DAY""")
+ORACLE["consumer_job_totals"] = W("""
+SELECT count(*) AS received, count(*) FILTER (error IS NOT NULL) AS malformed,
+       count(DISTINCT event_id) FILTER (error IS NULL) AS stored,
+       count(*) FILTER (error IS NULL) - count(DISTINCT event_id) FILTER (error IS NULL) AS duplicates,
+       CAST(4 AS BIGINT) AS batches, count(*) FILTER (error IS NOT NULL) AS dlq_size FROM parsed""", *P_CTES)
+ORACLE["sink_job_totals"] = W(f"""
+SELECT 'backfill' AS mode, count(*) FILTER (error IS NULL) AS ok, CAST(0 AS BIGINT) AS duplicate,
+       count(*) FILTER (error IS NOT NULL) AS dlq, count(*) AS published FROM ({VALIDATED}) v
+UNION ALL
+SELECT 'incremental', CAST(0 AS BIGINT), count(*) FILTER (error IS NULL), count(*) FILTER (error IS NOT NULL), count(*)
+FROM ({VALIDATED}) v WHERE id IN (SELECT product_id FROM fx_change_log)""")
+ORACLE["end_to_end"] = W(f"""
+SELECT count(*) AS source_n, count(*) FILTER (error IS NULL) AS docs_n, count(*) FILTER (error IS NOT NULL) AS dlq_open,
+       count(*) AS events_n, count(DISTINCT id) AS event_ids, CAST(0 AS BIGINT) AS without_event,
+       count(*) FILTER (id <= 500 * CAST(ceil(ceil((SELECT MAX(id) FROM fx_products) / 500.0) / 2) AS BIGINT)) AS published_again,
+       true AS replays_absorbed
+FROM ({VALIDATED}) v""")
+ORACLE["end_to_end_events"] = W("""
+SELECT CAST(id AS VARCHAR) || ':' || CAST(version AS VARCHAR) AS event_id, id AS product_id, version FROM fx_products""")
 ORACLE["stateful_version_gate"] = W("""
 SELECT product_id, delivery_id, version,
        CASE WHEN prev IS NULL OR version > prev THEN 'accepted' WHEN version = prev THEN 'replay' ELSE 'stale' END
@@ -575,6 +614,7 @@ LOWER_HALF = "WHERE id <= (SELECT MAX(id) FROM fx_products) // 2"
 ORACLE["replay_twice"] = documents_and_dlq(
     docs_after(f"WHERE id IN ({OPEN_ES})"), f"SELECT record_id AS id, status FROM ({DLQ_AFTER_REPLAY}) r")
 ORACLE["incremental_two_runs"] = documents_and_dlq(docs_after(CHANGED), dlq_after(CHANGED))
+ORACLE["run_both_at_once"] = documents_and_dlq(docs_after(), dlq_after(""))
 ORACLE["resume_after_growth"] = documents_and_dlq(docs_after(LOWER_HALF), dlq_after(LOWER_HALF))
 ORACLE["item_retry"] = W("""
 SELECT id, CASE WHEN status IN (503, 429) THEN 201 ELSE status END AS status,

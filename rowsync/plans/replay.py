@@ -63,11 +63,11 @@ def dlq_replay(tables: Tables, products: DataFrame, as_of: Column, batch_id: str
             F.when(F.col("kind") == "resolve", "resolved").otherwise("open").alias("status"),
             as_of.alias("updated_at"))
         tables.write_dlq_rows(rows, log_batch, attempt.commit_seq)
-        tables.write_outcomes(out.select(
+        counts = tables.write_outcomes(out.select(
             F.lit("replay").alias("mode"), F.lit(batch_id).alias("batch_id"), F.lit("es").alias("sink"), "id",
             "version", "outcome", "reason", "error", F.lit(attempt.number).alias("attempt")))
-        ok, failed = out.agg(F.count_if(F.col("outcome").isin("ok", "duplicate")),
-                             F.count_if(F.col("outcome") == "dlq")).first()
+        tables.write_counters("writer", "replay", batch_id, attempt.number, counts)
+        ok, failed = counts["ok"] + counts["duplicate"], counts["dlq"]
         n, n_gone = req.count(), gone.count()
         return spark.range(0, 1, 1, 1).select(F.lit(n).cast("long").alias("replayed"),
                                               F.lit(ok + n_gone).cast("long").alias("resolved"),

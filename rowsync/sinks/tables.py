@@ -18,6 +18,11 @@
   batch id: a failed flush cannot duplicate them).
 * progress: one row per finished backfill key range or committed batch.
 * runs: target and layout of each backfill run, fixed when it first starts.
+* counters: what each attempt of a batch wrote, observed on its writes.
+
+Jobs may run at once: every append goes to a folder of its mode (two appends to
+one folder would share its ``_temporary``), every overwrite stages under a name of its
+own, and commit sequences come from the clock, not from a table read before a write.
 
 A batch that is repeated clears its own partitions first (``begin_attempt``
 tells), so it replaces its rows also where it now writes none.
@@ -26,12 +31,13 @@ tells), so it replaces its rows also where it now writes none.
 from __future__ import annotations
 
 import re
+import threading
 import time
 from collections.abc import Callable
 from dataclasses import dataclass
 from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.gate import current_state
@@ -42,11 +48,34 @@ DEFAULT_BUCKETS = 64
 DLQ_LOG_SCHEMA = "sink string, record_id long, version long, payload string, error string, batch_id string, " \
                  "mode string, kind string, attempts int, status string, updated_at timestamp_ntz, commit_seq long"
 ATTEMPTS_SCHEMA = "mode string, batch_id string, attempt int, started_at timestamp_ntz, commit_seq long"
+COUNTERS_SCHEMA = "job string, mode string, batch_id string, attempt int, counts map<string,bigint>"
 RUNS_SCHEMA = "run_id string, target_max_id long, range_width long, ranges_per_wave long, created_at timestamp_ntz"
 PROGRESS_SCHEMA = "mode string, run_id string, batch_id string, range_id long, last_id long, " \
                   "target_max_id long, cursor_seq long, committed_at timestamp_ntz"
 
 
+_clock_lock, _clock_last = threading.Lock(), [0]
+
+
+def next_commit_seq() -> int:
+    """The clock in microseconds, never twice and never backwards in a driver."""
+    with _clock_lock:
+        _clock_last[0] = max(time.time_ns() // 1000, _clock_last[0] + 1)
+        return _clock_last[0]
+
+
+def observed(df: DataFrame, **counts: Column) -> tuple[DataFrame, Callable[[], dict[str, int]]]:
+    """``df`` with counters on its plan, and a function that reads them after the
+    write that runs it: counting costs no job of its own."""
+    seen = Observation()
+    out = df.observe(seen, *[c.alias(n) for n, c in counts.items()])
+
+    def read() -> dict[str, int]:
+        got = seen.get  # a plan proven empty keeps no metrics
+        return {n: int(got.get(n) or 0) for n in counts}
+    return out, read
+
+
 def bucket_of(key: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
@@ -113,9 +142,17 @@ class Tables:
         return f"{self.root}/{t}"
 
     def clear(self, t: str, **partition: str) -> None:
-        """Delete one partition folder of ``t`` (a repeated batch's earlier rows)."""
-        parts = "/".join(f"{k}={v}" for k, v in partition.items())
-        _delete(self.spark, f"{self.path(t)}/{parts}")
+        """Delete one partition folder of ``t`` (a repeated batch's earlier rows), and
+        the folders above it that hold nothing else: a table of folders without
+        files would be read without its partition columns."""
+        parts = [f"{k}={v}" for k, v in partition.items()]
+        _delete(self.spark, "/".join([self.path(t), *parts]))
+        while parts:
+            parts.pop()
+            above = "/".join([self.path(t), *parts])
+            if not path_exists(self.spark, above) or any(not c.startswith(("_", ".")) for c in _children(self.spark, above)):
+                break
+            _delete(self.spark, above)
 
     def _read(self, t: str, schema) -> DataFrame:
         # re-created on every call: file listings of growing tables are cached per DataFrame
@@ -215,8 +252,8 @@ class Tables:
         first = F.min_by(F.struct(*rest), F.struct("consumed_at", "version"))
         return raw.groupBy("event_id").agg(first.alias("_e")).select("event_id", *[F.col(f"_e.{c}").alias(c) for c in rest])
 
-    def append_events(self, rows: DataFrame, small: bool = False) -> None:
-        """Append rows whose event_id is not stored yet.
+    def append_events(self, rows: DataFrame, small: bool = False) -> int:
+        """Append rows whose event_id is not stored yet; returns how many.
 
         The store is partitioned by a hash bucket of event_id. With ``small``
         (the caller counted the batch: ``session.fits_broadcast``) the batch's
@@ -231,30 +268,60 @@ class Tables:
                .withColumn("bucket", bucket_of(F.col("event_id"), self.buckets)))
         # one file per touched bucket and flush, not one per task and bucket
         # (event ids are unique here and hashed, so the buckets are even)
+        new, read = observed(new, stored=F.count(F.lit(1)))
         new.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(self.path("events"))
+        return read()["stored"]
 
     # ------------------------------------------------------------ published stream
-    MESSAGE_SCHEMA = "message_id string, body string, op string, published_at timestamp_ntz, batch_id string"
+    MESSAGE_SCHEMA = "delivery_id long, message_id string, body string, published_at timestamp_ntz, batch_id string, " \
+                     "mode string, op string"
 
     def messages(self) -> DataFrame:
         return self._read("messages", self.MESSAGE_SCHEMA)
 
-    def publish(self, events: DataFrame, batch_id: str, published_at) -> None:
+    def stream_messages(self, max_files_per_trigger: int | None = None) -> DataFrame:
+        """The published stream as a streaming DataFrame: what the consumer reads."""
+        r = self.spark.readStream.schema(self.MESSAGE_SCHEMA).option("basePath", self.path("messages"))
+        if max_files_per_trigger:
+            r = r.option("maxFilesPerTrigger", str(max_files_per_trigger))
+        return r.parquet(self.path("messages"))
+
+    def publish(self, events: DataFrame, batch_id: str, published_at, mode: str, attempt: int = 1) -> int:
         """Publish one message per event (routing key = op, message id =
-        event_id, body = the event as JSON). At-least-once: a replayed batch
-        publishes again and the consumer absorbs the copies."""
+        event_id, body = the event as JSON); returns how many. At-least-once: a
+        replayed batch publishes again and the consumer absorbs the copies. The
+        delivery id names one message of one attempt, so it is the same
+        whenever that message is read or written again."""
         body = F.to_json(F.struct(*[F.col(c) for c in events.columns]))
-        (events.select(F.col("event_id").alias("message_id"), body.alias("body"), "op",
-                       published_at.alias("published_at"), F.lit(batch_id).alias("batch_id"))
-         .write.mode("append").partitionBy("op").parquet(self.path("messages")))
+        rows = events.select(F.xxhash64("event_id", F.lit(mode), F.lit(batch_id), F.lit(attempt)).alias("delivery_id"),
+                             F.col("event_id").alias("message_id"), body.alias("body"), "op",
+                             published_at.alias("published_at"), F.lit(batch_id).alias("batch_id"))
+        rows, read = observed(rows, published=F.count(F.lit(1)))
+        rows.write.mode("append").partitionBy("op").parquet(f"{self.path('messages')}/mode={mode}")
+        return read()["published"]
 
     # ------------------------------------------------------------ outcomes
     def outcomes(self) -> DataFrame:
         return self._read("outcomes", OUTCOMES)
 
-    def write_outcomes(self, rows: DataFrame) -> None:
-        (rows.select(*OUTCOMES.fieldNames()).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    def write_outcomes(self, rows: DataFrame) -> dict[str, int]:
+        """Write a batch's outcomes; returns how many there are of each."""
+        names = ("ok", "duplicate", "retry", "dlq")
+        rows, read = observed(rows.select(*OUTCOMES.fieldNames()), **{n: F.count_if(F.col("outcome") == n) for n in names})
+        (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("mode", "batch_id").parquet(self.path("outcomes")))
+        return read()
+
+    # ------------------------------------------------------------ counters
+    def counters(self) -> DataFrame:
+        return self._read("counters", COUNTERS_SCHEMA)
+
+    def write_counters(self, job: str, mode: str, batch_id: str, attempt: int, counts: dict[str, int]) -> None:
+        """One row for one attempt of a batch; written again, it replaces itself."""
+        pairs = F.create_map(*[x for n, v in counts.items() for x in (F.lit(n), F.lit(v).cast("long"))])
+        folder = f"{self.path('counters')}/job={job}/mode={mode}/batch_id={batch_id}/attempt={attempt}"
+        self.spark.range(0, 1, 1, 1).select(pairs.alias("counts")).write.mode("overwrite").option(
+            "partitionOverwriteMode", "static").parquet(folder)
 
     # ------------------------------------------------------------ dlq
     def dlq_log(self, exclude_log_batch: str | None = None) -> DataFrame:
@@ -322,28 +389,30 @@ class Tables:
     def consumer_dlq(self) -> DataFrame:
         return self._read("consumer_dlq", CONSUMER_DLQ)
 
-    def write_consumer_dlq(self, rows: DataFrame, batch_id: str) -> None:
+    def write_consumer_dlq(self, rows: DataFrame, batch_id: str) -> int:
+        rows, read = observed(rows, malformed=F.count(F.lit(1)))
         (rows.select(*CONSUMER_DLQ.fieldNames()).withColumn("batch_id", F.lit(batch_id))
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("batch_id").parquet(self.path("consumer_dlq")))
+        return read()["malformed"]
 
     # ------------------------------------------------------------ attempts
     def begin_attempt(self, mode: str, batch_id: str, started_at) -> Attempt:
         """Record that a batch attempt starts. A later attempt of the same batch
-        is a replay, counted as absorbed. The commit sequence is the clock in
-        microseconds, moved past every earlier attempt's."""
+        is a replay, counted as absorbed. Only the batch's own folder is listed, one
+        folder per attempt; the commit sequence is the clock (``next_commit_seq``)."""
         if not re.fullmatch(r"[A-Za-z0-9_.-]+", batch_id):  # it names folders
             raise ValueError(f"batch id {batch_id!r}: letters, digits, '_', '.' and '-' only")
-        prev = self._read("attempts", ATTEMPTS_SCHEMA)
-        n, last = prev.agg(F.count_if((F.col("mode") == mode) & (F.col("batch_id") == batch_id)),
-                           F.coalesce(F.max("commit_seq"), F.lit(0))).first()
-        now = Attempt(n + 1, max(time.time_ns() // 1000, last + 1))
-        row = self.spark.range(0, 1, 1, 1).select(
-            F.lit(mode).alias("mode"), F.lit(batch_id).alias("batch_id"), F.lit(now.number).cast("int").alias("attempt"),
-            started_at.cast("timestamp_ntz").alias("started_at"), F.lit(now.commit_seq).cast("long").alias("commit_seq"))
-        row.write.mode("append").parquet(self.path("attempts"))
+        folder = f"{self.path('attempts')}/mode={mode}/batch_id={batch_id}"
+        earlier = [int(c.split("=")[1]) for c in _children(self.spark, folder) if c.startswith("attempt=")]
+        now = Attempt(max(earlier, default=0) + 1, next_commit_seq())
+        row = self.spark.range(0, 1, 1, 1).select(started_at.cast("timestamp_ntz").alias("started_at"), F.lit(now.commit_seq).cast("long").alias("commit_seq"))
+        row.write.mode("append").parquet(f"{folder}/attempt={now.number}")
         return now
 
+    def attempts(self) -> DataFrame:
+        return self._read("attempts", ATTEMPTS_SCHEMA)
+
     # ------------------------------------------------------------ runs
     def open_run(self, run_id: str, plan: Callable[[], tuple[int, int, int]], created_at) -> tuple[int, int, int]:
         """(target, range width, ranges a wave) of a backfill run: what its first
@@ -362,7 +431,7 @@ class Tables:
     def progress(self) -> DataFrame:
         return self._read("progress", PROGRESS_SCHEMA)
 
-    def commit_progress(self, rows: DataFrame) -> None:
+    def commit_progress(self, rows: DataFrame, mode: str) -> None:
         """Written last, after every sink of the batch acknowledged."""
-        rows.select(*[c.split(" ")[0] for c in PROGRESS_SCHEMA.split(", ")]).write.mode("append").parquet(
-            self.path("progress"))
+        rows.select(*[c.split(" ")[0] for c in PROGRESS_SCHEMA.split(", ") if not c.startswith("mode ")]).write.mode("append").parquet(
+            f"{self.path('progress')}/mode={mode}")

@@ -37,19 +37,24 @@ def consume_batch(tables: Tables, deliveries: DataFrame, batch_id: str, consumed
         rows = first.select("event_id", "product_id", "op", "version", "payload",
                             consumed_at.alias("consumed_at"))
         size = good.agg(F.count(F.lit(1)), F.sum(F.octet_length("event_id"))).first()
-        tables.append_events(rows, small=fits_broadcast(*size))
+        stored = tables.append_events(rows, small=fits_broadcast(*size))
         bad = parsed.where(F.col("error").isNotNull()).select(
             F.coalesce(F.col("message_id"), F.lit("?")).alias("event_id"),
             F.to_json(F.struct(F.col("body").alias("raw"))).alias("payload"), "error",
             consumed_at.alias("created_at"))
         tables.clear("consumer_dlq", batch_id=batch_id)  # a re-run replaces its rows, also by none
-        tables.write_consumer_dlq(bad, batch_id)
+        malformed = tables.write_consumer_dlq(bad, batch_id)
+        # a re-run of the batch replaces its counters: it stores what the failed one left
+        tables.write_counters("consumer", "consumer", batch_id, 1, {
+            "received": size[0] + malformed, "malformed": malformed, "stored": stored, "duplicates": size[0] - stored})
     finally:
         parsed.unpersist()
 
 
-def run_consumer(spark: SparkSession, tables: Tables, folder: str, checkpoint: str, consumed_at,
+def run_consumer(spark: SparkSession, tables: Tables, folder: str | None, checkpoint: str, consumed_at,
                  max_files_per_trigger: int | None = None, fail_epoch: dict | None = None):
+    """Consume what is there and stop: the deliveries under ``folder``, or without one
+    the stream that the jobs published into ``tables``."""
     def apply(df: DataFrame, epoch_id: int) -> None:
         page = df.persist()
         try:
@@ -59,7 +64,9 @@ def run_consumer(spark: SparkSession, tables: Tables, folder: str, checkpoint: s
                 raise RuntimeError("injected failure before ack")
         finally:
             page.unpersist()
-    q = (stream_deliveries(spark, folder, max_files_per_trigger).writeStream.foreachBatch(apply)
+    stream = (tables.stream_messages(max_files_per_trigger) if folder is None
+              else stream_deliveries(spark, folder, max_files_per_trigger))
+    q = (stream.select("delivery_id", "message_id", "body").writeStream.foreachBatch(apply)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
     return q

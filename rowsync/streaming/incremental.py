@@ -70,7 +70,7 @@ def incremental_batch(tables: Tables, products_loader: Callable[[SparkSession],
                 F.lit(batch_id).alias("batch_id"), F.lit(None).cast("long").alias("range_id"),
                 F.lit(None).cast("long").alias("last_id"), F.lit(None).cast("long").alias("target_max_id"),
                 F.max("seq").alias("cursor_seq"), F.max("changed_at").alias("committed_at"))
-            tables.commit_progress(prog.where(F.col("cursor_seq").isNotNull()))
+            tables.commit_progress(prog.where(F.col("cursor_seq").isNotNull()), "incremental")
         finally:
             page.unpersist()
     return apply
@@ -79,14 +79,16 @@ def incremental_batch(tables: Tables, products_loader: Callable[[SparkSession],
 def run_incremental(spark: SparkSession, tables: Tables, change_dir: str, checkpoint: str,
                     products_loader: Callable[[SparkSession], DataFrame],
                     max_files_per_trigger: int | None = None, op_from: str = "page",
-                    crash: dict | None = None, available_now: bool = True, processing_time: str | None = None):
+                    crash: dict | None = None, available_now: bool = True, processing_time: str | None = None,
+                    wait: bool = True):
     """Start (or resume from ``checkpoint``) the incremental query. With
-    ``available_now`` it drains what is there and stops (tests, catch-up)."""
+    ``available_now`` it drains what is there and stops (tests, catch-up); without
+    ``wait`` it runs beside what the caller does next."""
     stream = stream_change_log(spark, change_dir, max_files_per_trigger)
     w = (stream.writeStream.foreachBatch(incremental_batch(tables, products_loader, checkpoint, op_from, crash))
          .option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time or "5 seconds")
     q = w.start()
-    if available_now:
+    if available_now and wait:
         q.awaitTermination()
     return q
