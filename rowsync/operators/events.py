@@ -51,6 +51,22 @@ def event_counts(store: DataFrame, approx: bool = False) -> DataFrame:
                      d("event_id").alias("event_ids"))
 
 
+SKETCH_LG = 15  # 2^15 registers: about 0.6 % standard error, 32 KB at most a sketch
+
+
+def sketch_columns() -> dict:
+    """Aggregates that describe a batch of events: rows, and mergeable sketches of its
+    distinct products and event ids. They can be observed on the batch's write."""
+    return {"events": F.count(F.lit(1)), "products": F.hll_sketch_agg("product_id", SKETCH_LG), "event_ids": F.hll_sketch_agg("event_id", SKETCH_LG)}
+
+
+def event_counts_of_sketches(sketches: DataFrame) -> DataFrame:
+    """``event_counts`` (approximate but for the number of rows) of all batches, from
+    their sketches alone: a few kilobytes a batch, whatever the batch holds."""
+    union = lambda c: F.coalesce(F.hll_sketch_estimate(F.hll_union_agg(c)), F.lit(0)).cast("long").alias(c)
+    return sketches.agg(F.coalesce(F.sum("events"), F.lit(0)).cast("long").alias("events"), union("products"), union("event_ids"))
+
+
 def recent_events(store: DataFrame, limit: int = 50) -> DataFrame:
     """Newest events by consumed_at (event_id breaks ties), with the product
     name taken from the nested payload. A top-k: each task keeps its k best."""

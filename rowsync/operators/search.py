@@ -124,18 +124,90 @@ def facet_counts(docs: DataFrame, field: str = "category", top: int = 50) -> Dat
 
 def browse_page(docs: DataFrame, page: int = 1, size: int = 25) -> DataFrame:
     """One page sorted ``updated_at desc, id asc`` with the exact total;
-    from = (max(1, page) - 1) * size. Deep pages should use ``browse_after``."""
+    from = (max(1, page) - 1) * size. Deep pages should use ``browse_deep``."""
     start = (max(1, page) - 1) * size
     total = docs.agg(F.count(F.lit(1))).scalar()
     return (docs.orderBy(F.col("updated_at").desc(), F.col("id").asc())
             .offset(start).limit(size).withColumn("total", total))
 
 
-def browse_after(docs: DataFrame, updated_at, after_id: int, size: int = 25) -> DataFrame:
-    """Keyset page: rows after ``(updated_at, id)`` in the browse order; a
-    top-k per task instead of sorting and skipping ``from`` rows."""
-    after = (F.col("updated_at") < updated_at) | ((F.col("updated_at") == updated_at) & (F.col("id") > after_id))
-    return docs.where(after).orderBy(F.col("updated_at").desc(), F.col("id").asc()).limit(size)
+BINS = 1024          # ranges a histogram divides a key into; their counts reach the driver
+SORTED_AT_ONCE = 1 << 16  # rows that a page may be sorted out of
+
+
+def _micros(col):
+    return F.unix_micros(col.cast("timestamp"))
+
+
+def _histogram(rows: DataFrame, key, lo: int, hi: int) -> tuple[int, list[tuple[int, int]]]:
+    """(width, [(bin, rows)]) of a long key over [lo, hi], at most BINS bins."""
+    width = -(-(hi - lo + 1) // BINS)
+    got = rows.groupBy(F.floor((key - F.lit(lo)) / F.lit(width)).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n")).collect()
+    return width, sorted((r["bin"], r["n"]) for r in got)
+
+
+def _pieces(rows: DataFrame, key, within, lo: int, hi: int, start: int, end: int, descending: bool, most: int, before: int = 0) -> list[tuple[int, int, int, int]]:
+    """Key ranges that hold the ranks [start, end): (lo, hi, rows, rows ranked before),
+    in order. A range that a histogram leaves with over ``most`` rows is divided again
+    by one of its own, until it has fewer or is a single value."""
+    width, bins = _histogram(rows.where(within(lo, hi)), key, lo, hi)
+    out: list[tuple[int, int, int, int]] = []
+    for b, n in (reversed(bins) if descending else bins):
+        a, z = lo + b * width, min(hi, lo + (b + 1) * width - 1)
+        if before < end and before + n > start:
+            parts = [(a, z, n, before)] if n <= most or a == z else _pieces(rows, key, within, a, z, start, end, descending, most, before)
+            for p in parts:
+                if out and out[-1][2] + p[2] <= most:  # neighbours that are small together are one
+                    q = out.pop()
+                    p = (min(p[0], q[0]), max(p[1], q[1]), p[2] + q[2], q[3])
+                out.append(p)
+        before += n
+    return out
+
+
+def browse_deep(docs: DataFrame, page: int = 1, size: int = 25, most: int = SORTED_AT_ONCE) -> DataFrame:
+    """The page that ``browse_page`` gives, without sorting what comes before it.
+
+    A histogram of ``updated_at`` finds the time range that holds the page's ranks,
+    and only its rows are sorted. Where one instant holds more than ``most`` rows,
+    a histogram of their ids (unique longs) finds the range within it. Each histogram
+    is one scan of one column with partial counts; the driver sees at most ``BINS``
+    counts. Rows without a time come last, by id."""
+    start = (max(1, page) - 1) * size
+    t, k = F.col("updated_at"), F.col("id")
+    total, timed, lo, hi = docs.agg(F.count(F.lit(1)), F.count(t), F.min(_micros(t)), F.max(_micros(t))).first()
+    end = min(start + size, total)
+
+    def at_times(a: int, z: int):  # literal bounds of the column's own type reach the scan
+        kind = docs.schema["updated_at"].dataType
+        return t.between(F.timestamp_micros(F.lit(a)).cast(kind), F.timestamp_micros(F.lit(z)).cast(kind))
+
+    def cut(rows: DataFrame, piece, a: int, z: int, *order) -> DataFrame:
+        return rows.orderBy(*order).offset(max(a - piece[3], 0)).limit(min(z - piece[3], piece[2]) - max(a - piece[3], 0))
+
+    def by_id(rows: DataFrame, a: int, z: int) -> list[DataFrame]:
+        """Ranks [a, z) of rows of one instant, in order of id."""
+        first, last = rows.agg(F.min(k), F.max(k)).first()
+        found = _pieces(rows, k, lambda x, y: k.between(x, y), first, last, a, z, False, most)
+        return [cut(rows.where(k.between(p[0], p[1])), p, a, z, k.asc()) for p in found]
+
+    parts = []
+    if start < min(end, timed):
+        stop = min(end, timed)
+        for p in _pieces(docs, _micros(t), at_times, lo, hi, start, stop, True, most):
+            rows = docs.where(at_times(p[0], p[1]))
+            if p[2] > most:  # one instant
+                parts += by_id(rows, max(start - p[3], 0), min(stop - p[3], p[2]))
+            else:
+                parts.append(cut(rows, p, start, stop, t.desc(), k.asc()))
+    if end > max(start, timed):
+        parts += by_id(docs.where(t.isNull()), max(start - timed, 0), end - timed)
+    if not parts:
+        parts.append(docs.limit(0))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.withColumn("total", F.lit(total).cast("long"))
 
 
 def random_sample(docs: DataFrame, n: int, seed: int = 42, live_only: bool = True) -> DataFrame:

@@ -427,6 +427,13 @@ def q_browse_page(spark, sf_dir):
     return srch.browse_page(fx(spark, sf_dir).products, 3, 25).select("id", "updated_at", "total")
 
 
+@query("browse_deep_page")
+def q_browse_deep_page(spark, sf_dir):
+    """Page 500 of ``orders`` as documents: found by histograms, not by a sort of all."""
+    o = fx(spark, sf_dir).t("orders").select((F.col("o_orderkey") + 1).alias("id"), F.col("o_orderdate").alias("updated_at"))
+    return srch.browse_deep(o, 500, 25)
+
+
 @query("random_sample")
 def q_random_sample(spark, sf_dir):
     return srch.random_sample(fx(spark, sf_dir).products, 25, 42).select("id", "version")
@@ -775,6 +782,21 @@ def q_consumer_job_totals(spark, sf_dir):
     return c.withColumn("dlq_size", t.consumer_dlq().agg(F.count(F.lit(1))).scalar())
 
 
+@query("event_counts_approx")
+def q_event_counts_approx(spark, sf_dir):
+    """Counts of the event store from the sketches of its batches, held against the
+    exact ones: within 2 %."""
+    f = fx(spark, sf_dir)
+    t = Tables.fresh(spark, "sketches", buckets=TEST_BUCKETS)
+    for k in range(3):  # three flushes that share keys
+        part = f.event_log_large.where(F.pmod(F.xxhash64("event_id", "consumed_at"), F.lit(3)) == k)
+        t.append_events(evops.dedupe_first(part, order=["consumed_at", "op"]).withColumn("payload", F.lit(None).cast("string")))
+    near = evops.event_counts_of_sketches(t.event_sketches())
+    exact = evops.event_counts(t.events_raw())
+    close = [(F.abs(F.col(c) - exact.select(c).scalar()) <= F.lit(0.02) * exact.select(c).scalar()).alias(f"{c}_close") for c in ("products", "event_ids")]
+    return near.select("events", *close)
+
+
 @query("sink_job_totals")
 def q_sink_job_totals(spark, sf_dir):
     """Both sinks' counters by mode, observed on the writes of a backfill and an

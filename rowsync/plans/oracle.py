@@ -291,6 +291,9 @@ ORACLE["dlq_open_ids"] = W("SELECT record_id FROM fx_dlq WHERE sink = 'es' AND s
 ORACLE["browse_page"] = W("""
 SELECT id, updated_at, (SELECT count(*) FROM fx_products) AS total FROM fx_products
 ORDER BY updated_at DESC, id ASC LIMIT 25 OFFSET 50""")
+ORACLE["browse_deep_page"] = """
+SELECT o_orderkey + 1 AS id, o_orderdate AS updated_at, (SELECT count(*) FROM orders) AS total FROM orders
+ORDER BY updated_at DESC, id ASC LIMIT 25 OFFSET 12475"""
 ORACLE["random_sample"] = W("""
 SELECT id, version FROM fx_products WHERE deleted_at IS NULL ORDER BY md5(CAST(id AS VARCHAR) || '42') LIMIT 25""")
 
@@ -543,6 +546,8 @@ SELECT count(*) AS received, count(*) FILTER (error IS NOT NULL) AS malformed,
        count(DISTINCT event_id) FILTER (error IS NULL) AS stored,
        count(*) FILTER (error IS NULL) - count(DISTINCT event_id) FILTER (error IS NULL) AS duplicates,
        CAST(4 AS BIGINT) AS batches, count(*) FILTER (error IS NOT NULL) AS dlq_size FROM parsed""", *P_CTES)
+ORACLE["event_counts_approx"] = W("""
+SELECT count(DISTINCT event_id) AS events, true AS products_close, true AS event_ids_close FROM fx_event_log_large""")
 ORACLE["sink_job_totals"] = W(f"""
 SELECT 'backfill' AS mode, count(*) FILTER (error IS NULL) AS ok, CAST(0 AS BIGINT) AS duplicate,
        count(*) FILTER (error IS NOT NULL) AS dlq, count(*) AS published FROM ({VALIDATED}) v

@@ -37,9 +37,11 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from urllib.parse import unquote
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.events import sketch_columns
 from ..operators.gate import current_state
 from ..schemas import CONSUMED_EVENTS, CONSUMER_DLQ, OUTCOMES, PRODUCTS
 from ..session import scratch_dir
@@ -64,6 +66,16 @@ def next_commit_seq() -> int:
         return _clock_last[0]
 
 
+def metrics_of(seen: Observation) -> dict:
+    """What was observed on a write that has ended. A plan that proves empty while it
+    runs drops its counters and leaves a row without columns, which PySpark cannot
+    convert: nothing was counted."""
+    try:
+        return dict(seen.get)
+    except Py4JJavaError:
+        return {}
+
+
 def observed(df: DataFrame, **counts: Column) -> tuple[DataFrame, Callable[[], dict[str, int]]]:
     """``df`` with counters on its plan, and a function that reads them after the
     write that runs it: counting costs no job of its own."""
@@ -71,7 +83,7 @@ def observed(df: DataFrame, **counts: Column) -> tuple[DataFrame, Callable[[], d
     out = df.observe(seen, *[c.alias(n) for n, c in counts.items()])
 
     def read() -> dict[str, int]:
-        got = seen.get  # a plan proven empty keeps no metrics
+        got = metrics_of(seen)
         return {n: int(got.get(n) or 0) for n in counts}
     return out, read
 
@@ -268,9 +280,25 @@ class Tables:
                .withColumn("bucket", bucket_of(F.col("event_id"), self.buckets)))
         # one file per touched bucket and flush, not one per task and bucket
         # (event ids are unique here and hashed, so the buckets are even)
-        new, read = observed(new, stored=F.count(F.lit(1)))
+        seen = Observation()
+        new = new.observe(seen, *[c.alias(n) for n, c in sketch_columns().items()])
         new.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(self.path("events"))
-        return read()["stored"]
+        got = metrics_of(seen)
+        if got.get("events"):
+            self._write_sketches(got)
+        return int(got.get("events") or 0)
+
+    SKETCHES_SCHEMA = "events long, products binary, event_ids binary"
+
+    def event_sketches(self) -> DataFrame:
+        """One row for each append: its rows and sketches of their keys. Sketches of an
+        append that was torn and repeated merge to the same, its rows count twice."""
+        return self._read("event_sketches", self.SKETCHES_SCHEMA)
+
+    def _write_sketches(self, seen: dict) -> None:
+        row = self.spark.range(0, 1, 1, 1).select(F.lit(int(seen["events"])).cast("long").alias("events"), *[
+            F.lit(bytearray(seen[c])).alias(c) for c in ("products", "event_ids")])
+        row.write.mode("append").parquet(self.path("event_sketches"))
 
     # ------------------------------------------------------------ published stream
     MESSAGE_SCHEMA = "delivery_id long, message_id string, body string, published_at timestamp_ntz, batch_id string, " \

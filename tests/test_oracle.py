@@ -14,7 +14,7 @@ JOBS = {"run_backfill", "versioned_upsert", "resume_after_crash", "run_backfill_
         "stateful_version_gate", "dlq_replay", "dlq_replay_state", "dlq_replay_one", "scan_docs", "doc_by_id",
         "doc_count", "status_snapshot", "quality_checks", "compact_docs", "replay_twice",
         "incremental_two_runs", "resume_after_growth", "stream_change_log_polled", "run_both_at_once", "end_to_end",
-        "end_to_end_events", "consumer_job_totals", "sink_job_totals", "stream_dedupe_evicting", "stream_dedupe_state"}
+        "end_to_end_events", "consumer_job_totals", "sink_job_totals", "stream_dedupe_evicting", "stream_dedupe_state", "event_counts_approx"}
 
 QUERIES = {k: v for k, v in E.queries().items() if k in CATALOG}
 ORACLE = {k: v for k, v in E.oracle_sql().items() if k in CATALOG}
