@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import shutil
 import tempfile
+import weakref
 from pathlib import Path
 
 import numpy as np
@@ -51,7 +52,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = (weakref.ref(out), path)
+    return out
+
+
+_paths: dict[int, tuple] = {}
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table of ``written`` that nothing reads any more: all that came of
+    it is written itself."""
+    ref, path = _paths.pop(id(df))
+    assert ref() is df
+    jvm = df.sparkSession.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:

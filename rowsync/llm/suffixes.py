@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_HASH, as_bytes, mix, slices, written
+from .common import BYTE_HASH, as_bytes, discard, mix, slices, written
 
 LENGTH, GRAM = 100, 24
 GROUP, CHUNK = 16_384, 32
@@ -238,8 +238,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, group: int = GROUP) ->
     run = F.explode(F.expr("arrays_zip(anchors, firsts, concat(slice(firsts, 2, size(firsts)), array(start + n)))")).alias("r")
     names = [F.col("r.anchors").alias("anchor"), "ord", "key", F.col("r.firsts").alias("first"), (F.col("r.2") - F.col("r.firsts")).alias("n")]
     runs = written(stay.select("ord", "key", run).select(*names), "runs")
+    discard(whole)
     often = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("anchor")
-    mine = written(runs.join(often, "anchor"), "met").groupBy("ord", "key").agg(F.collect_set(F.struct("first", "n", "anchor")).alias("runs"))
+    met = written(runs.join(often, "anchor"), "met")
+    discard(runs)
+    mine = met.groupBy("ord", "key").agg(F.collect_set(F.struct("first", "n", "anchor")).alias("runs"))
     own = (F.col("ord") == F.col("_ord")) & (F.col("key") == F.col("_key"))
 
     def cut(batches):
@@ -258,6 +261,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, group: int = GROUP) ->
     segments = written(texts.select("ord", "key", "text", "runs").mapInArrow(
         cut, "anchor long, d1 long, d2 long, ord long, key long, first long, n int, segment binary"), "segments")
 
+    discard(met)
     by_text = ["anchor", "d1", "d2"]
     head = F.min(F.struct("ord", "first")).alias("head")
     distinct = written(segments.groupBy(*by_text).agg(head, F.max("segment").alias("segment")), "distinct")
@@ -332,7 +336,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, group: int = GROUP) ->
     heads = segments.select(*same, "key").distinct()
     named = found.unionByName(apart).distinct().join(heads, same)
     whole = copied.select("ord", "key", "start", (F.col("start") + F.col("n") + length - 1).alias("stop"))
-    return written(whole.unionByName(later).unionByName(named.select("ord", "key", "start", "stop")), "spans")
+    spans = written(whole.unionByName(later).unionByName(named.select("ord", "key", "start", "stop")), "spans")
+    for done in (copied, segments, distinct):
+        discard(done)
+    return spans
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFrame:
