@@ -10,7 +10,9 @@ next one's ``docs``. All stages but the last return the columns of ``docs``.
   come from all labelled rows of that fold. A document whose language the network
   confirms stays. Where nothing could be learned, every text with a letter stays.
 - MinHash near-dedup: one row of each group of near duplicates stays, of the
-  smallest id; documents without words stay.
+  smallest id; documents without words stay. Of rows that repeat an id one stays,
+  with the text of least hash among them (any of the rows with that text, should
+  their other columns differ); rows of null id all stay.
 - benchmark decontamination: documents that hold a benchmark window go.
 - secret scans: every span is replaced by a mark; all documents stay.
 - BPE: n_tokens and digests of the ids and of the decoded text, as in op2.
