@@ -32,8 +32,9 @@ def mutations_from_events(events: DataFrame, width: int = DEFAULT_RANGE_WIDTH) -
     return m.select("seq", "product_id", "changed_at", "version", kind.alias("kind"))
 
 
-def derive_changes(mutations: DataFrame, width: int = DEFAULT_RANGE_WIDTH) -> DataFrame:
-    """Change-log rows for ordered writes ``(seq, product_id, changed_at, version, kind)``.
+def writes_with_op(mutations: DataFrame, width: int = DEFAULT_RANGE_WIDTH) -> DataFrame:
+    """Ordered writes ``(seq, product_id, changed_at, version, kind)`` with the ``op``
+    each one logs.
 
     A soft delete is a ``delete`` only when the row was live before it, i.e. it
     is the first soft delete since the last restore ("era" = restores so far).
@@ -45,22 +46,25 @@ def derive_changes(mutations: DataFrame, width: int = DEFAULT_RANGE_WIDTH) -> Da
     op = (F.when(F.col("kind") == "insert", "insert")
           .when((F.col("kind") == "soft_delete") & (F.col("_sd_n") == 1), "delete")
           .otherwise("update"))
-    return m.select("seq", "product_id", op.alias("op"), "version", "changed_at")
+    return m.select("seq", "product_id", op.alias("op"), "version", "changed_at", "kind")
+
+
+def derive_changes(mutations: DataFrame, width: int = DEFAULT_RANGE_WIDTH) -> DataFrame:
+    """The change-log rows of ordered writes."""
+    return writes_with_op(mutations, width).drop("kind")
 
 
-def mutation_state(mutations: DataFrame, changes: DataFrame) -> DataFrame:
-    """Per-row aggregate of all writes: last version and time, touches, last
-    delete / restore positions. One partial+final aggregate keyed by id (hot
-    ids are combined map-side before the shuffle)."""
-    c = changes.select("seq", F.col("op").alias("_op"))
-    j = mutations.join(c, "seq")
-    return j.groupBy("product_id").agg(
+def mutation_state(writes: DataFrame) -> DataFrame:
+    """Per-row aggregate of all writes (with their op): last version and time,
+    touches, last delete / restore positions. One partial+final aggregate keyed
+    by id (hot ids are combined map-side before the shuffle), no join."""
+    return writes.groupBy("product_id").agg(
         F.max("version").alias("m_version"),
         F.max("changed_at").alias("m_updated_at"),
         F.sum((F.col("kind") == "touch").cast("long")).alias("touches"),
-        F.max(F.when(F.col("_op") == "delete", F.col("seq"))).alias("last_delete_seq"),
+        F.max(F.when(F.col("op") == "delete", F.col("seq"))).alias("last_delete_seq"),
         F.max(F.when(F.col("kind") == "restore", F.col("seq"))).alias("last_restore_seq"),
-        F.max(F.when(F.col("_op") == "delete", F.col("changed_at"))).alias("m_deleted_at"),
+        F.max(F.when(F.col("op") == "delete", F.col("changed_at"))).alias("m_deleted_at"),
     )
 
 

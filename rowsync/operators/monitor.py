@@ -110,26 +110,41 @@ def store_in_sync(source: DataFrame, docs: DataFrame, key: str = "id") -> DataFr
 def record_trace(ids: DataFrame, source: DataFrame, docs: DataFrame, events: DataFrame, dlq: DataFrame,
                  n_events: int = 10, key: str = "id") -> DataFrame:
     """One row per requested id across all stores: source and document version,
-    the last ``n_events`` event ids (version desc), event count, and the DLQ
-    entry of the document sink. Events are cut to ``n`` per key with a
-    row_number filter (partial group limit before the shuffle), so only a
-    bounded list is collected per key."""
-    i = ids.select(key).distinct()
-    s = source.select(key, F.col("version").alias("source_version"))
-    d = docs.select(key, F.col("version").alias("doc_version"))
+    the last ``n_events`` event ids (version desc), event count, the DLQ entry of
+    the document sink, and the entries of every sink (``sink:status:attempts``).
+
+    All stores are tagged, unioned and aggregated once by id, as in
+    ``reconcile``. Events are cut to ``n`` per key with a row_number filter
+    (partial group limit before the shuffle), so only a bounded list is
+    collected per key, and are counted by partial sums. A DLQ holds one entry per
+    sink and record."""
+    kinds = {"asked": "boolean", "source_version": "bigint", "doc_version": "bigint", "last": "struct<rn:int,event_id:string>",
+             "n_events": "bigint", "entry": "struct<sink:string,status:string,attempts:int>"}
+
+    def part(df: DataFrame, id_col: str, **given) -> DataFrame:
+        return df.select(F.col(id_col).cast("long").alias(key), *[given.get(c, F.lit(None)).cast(t).alias(c) for c, t in kinds.items()])
+
     w = Window.partitionBy("product_id").orderBy(F.col("version").desc(), F.col("event_id").desc())
     ev = events.select("product_id", "version", "event_id")
-    last = (ev.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n_events)
-            .groupBy(F.col("product_id").alias(key))
-            .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rn", "event_id"))),
-                                          lambda x: x["event_id"]), ",").alias("last_events")))
-    cnt = ev.groupBy(F.col("product_id").alias(key)).agg(F.count(F.lit(1)).alias("n_events"))
-    q = dlq.where(F.col("sink") == "es").select(F.col("record_id").alias(key),
-                                               F.col("status").alias("dlq_status"),
-                                               F.col("attempts").alias("dlq_attempts"))
-    return (i.join(s, key, "left").join(d, key, "left").join(last, key, "left")
-             .join(cnt, key, "left").join(q, key, "left")
-             .withColumn("n_events", F.coalesce(F.col("n_events"), F.lit(0)).cast("long")))
+    last = ev.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n_events)
+    parts = [part(ids, key, asked=F.lit(True)), part(source, key, source_version=F.col("version")), part(docs, key, doc_version=F.col("version")),
+             part(last, "product_id", last=F.struct("rn", "event_id")), part(ev, "product_id", n_events=F.lit(1)),
+             part(dlq, "record_id", entry=F.struct("sink", "status", "attempts"))]
+    u = parts[0]
+    for p in parts[1:]:
+        u = u.unionByName(p)
+    of_docs = F.max(F.when(F.col("entry.sink") == "es", F.col("entry")))
+    g = u.groupBy(key).agg(
+        F.max("asked").alias("asked"), F.max("source_version").alias("source_version"), F.max("doc_version").alias("doc_version"),
+        F.sort_array(F.collect_list("last")).alias("last"), F.coalesce(F.sum("n_events"), F.lit(0)).alias("n_events"),
+        F.sort_array(F.collect_list("entry")).alias("entries"), of_docs.alias("es"))
+
+    def joined(rows, text):
+        return F.when(F.size(rows) > 0, F.array_join(F.transform(rows, text), ","))
+    return g.where("asked").select(
+        key, "source_version", "doc_version", joined(F.col("last"), lambda x: x["event_id"]).alias("last_events"), "n_events",
+        F.col("es.status").alias("dlq_status"), F.col("es.attempts").alias("dlq_attempts"),
+        joined(F.col("entries"), lambda x: F.concat_ws(":", x["sink"], x["status"], x["attempts"].cast("string"))).alias("dlq_entries"))
 
 
 def status_snapshot(source: DataFrame, docs: DataFrame, events: DataFrame, dlq: DataFrame,

@@ -394,8 +394,7 @@ def q_snapshot_diff(spark, sf_dir):
     """Changes between the source at the half-way cursor and now."""
     f = fx(spark, sf_dir)
     h = half_cursor(f)
-    m = f.mutations.where(F.col("seq") <= h)
-    old = products_from_part(f.t("part"), mutation_state(m, f.change_log.where(F.col("seq") <= h)), f.first_ts)
+    old = products_from_part(f.t("part"), mutation_state(f.writes.where(F.col("seq") <= h)), f.first_ts)
     cols = ["stock", "version", "updated_at", "deleted_at"]
     return snapshot_diff(old.select("id", *cols), f.products.select("id", *cols)).select("id", "op", "version")
 

@@ -421,7 +421,7 @@ SELECT COALESCE(s.id, d.id) AS id, s.version, d.version AS doc_version,
 FROM fx_products s FULL OUTER JOIN fx_docs_old d ON s.id = d.id""")
 ORACLE["record_trace"] = W("""
 SELECT p.id, p.version AS source_version, d.version AS doc_version, l.last_events,
-       CAST(COALESCE(c.n_events, 0) AS BIGINT) AS n_events, q.status AS dlq_status, q.attempts AS dlq_attempts
+       CAST(COALESCE(c.n_events, 0) AS BIGINT) AS n_events, q.status AS dlq_status, q.attempts AS dlq_attempts, z.entries AS dlq_entries
 FROM fx_products p
 LEFT JOIN fx_docs_old d ON d.id = p.id
 LEFT JOIN (SELECT product_id AS id, string_agg(event_id, ',' ORDER BY rn) AS last_events FROM (
@@ -429,7 +429,9 @@ LEFT JOIN (SELECT product_id AS id, string_agg(event_id, ',' ORDER BY rn) AS las
                     ROW_NUMBER() OVER (PARTITION BY product_id ORDER BY version DESC, event_id DESC) AS rn
              FROM consumed) x WHERE rn <= 10 GROUP BY product_id) l ON l.id = p.id
 LEFT JOIN (SELECT product_id AS id, count(*) AS n_events FROM consumed GROUP BY product_id) c ON c.id = p.id
-LEFT JOIN (SELECT record_id, status, attempts FROM fx_dlq WHERE sink = 'es') q ON q.record_id = p.id""", *C_CTES)
+LEFT JOIN (SELECT record_id, status, attempts FROM fx_dlq WHERE sink = 'es') q ON q.record_id = p.id
+LEFT JOIN (SELECT record_id, string_agg(sink || ':' || status || ':' || CAST(attempts AS VARCHAR), ',' ORDER BY sink) AS entries
+           FROM fx_dlq GROUP BY record_id) z ON z.record_id = p.id""", *C_CTES)
 BRAND_LIST = "['acme','globex','initech','umbrella','stark','wayne','hooli','vandelay']"
 CAT_LIST = "['electronics','books','garden','toys','sports','kitchen','fashion','auto','beauty','office','pets','music']"
 COLOR_LIST = "['red','blue','green','black','white','silver','gold']"

@@ -15,7 +15,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.derive import derive_changes, mutation_state, mutations_from_events
+from ..operators.derive import mutation_state, mutations_from_events, writes_with_op
 from ..session import checkpoint_root
 from .tables import table
 
@@ -64,9 +64,14 @@ class Fixtures:
         return self._mat("mutations", mutations_from_events(
             self.t("events").select("event_id", "user_id", "ts", "event_type")))
 
+    @cached_property
+    def writes(self) -> DataFrame:
+        """Every source write with the op it logs."""
+        return self._mat("writes", writes_with_op(self.mutations))
+
     @cached_property
     def change_log(self) -> DataFrame:
-        return self._mat("change_log", derive_changes(self.mutations))
+        return self._mat("change_log", self.writes.drop("kind"))
 
     @cached_property
     def first_ts(self):
@@ -76,7 +81,7 @@ class Fixtures:
     @cached_property
     def products(self) -> DataFrame:
         return self._mat("products", products_from_part(
-            self.t("part"), mutation_state(self.mutations, self.change_log), self.first_ts))
+            self.t("part"), mutation_state(self.writes), self.first_ts))
 
     @cached_property
     def docs_old(self) -> DataFrame:

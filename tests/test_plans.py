@@ -46,3 +46,10 @@ def test_running_sums_match_window_across_ranges(spark):
 def test_collapse_is_partial_aggregate(spark):
     p = plan(QUERIES["collapse_changes"](spark, SF01))
     assert "partial_max_by" in p or "partial_" in p
+
+
+def test_mutation_state_joins_nothing(spark):
+    """The op travels with the write: rows are aggregated once, without a join on seq."""
+    from rowsync.operators.derive import mutation_state
+    plan = mutation_state(Fixtures(spark, SF01).writes)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1
