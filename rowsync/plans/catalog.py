@@ -1014,8 +1014,8 @@ def q_scan_docs(spark, sf_dir):
 @query("doc_by_id")
 def q_doc_by_id(spark, sf_dir):
     f = fx(spark, sf_dir)
-    d = seeded_tables(spark, f, "docs").docs()
-    return d.where(F.col("id") == f.docs_old.agg(F.max("id")).scalar()).select("id", "version", "name")
+    newest = f.docs_old.agg(F.max("id")).first()[0]  # one number: the id asked for
+    return seeded_tables(spark, f, "docs").doc(newest).select("id", "version", "name")
 
 
 @query("doc_count")

@@ -12,6 +12,7 @@ from ..functions.validate import validate_strict
 from ..operators.dlq import replay_missing
 from ..operators.gate import gate_outcomes
 from ..operators.outcomes import classify_outcomes
+from ..session import fits_broadcast
 from ..sinks.tables import Tables
 from ..sources.changes import lookup_by_ids
 from .batch_writer import _touched_log
@@ -43,10 +44,11 @@ def dlq_replay(tables: Tables, products: DataFrame, as_of: Column, batch_id: str
     req = req.persist()
     out = None
     try:
+        n = req.count()  # fills the cache; a bounded request probes the stored documents in place
         current = lookup_by_ids(products, req, id_col="record_id").withColumn("op", F.lit("update"))
         batch = validate_strict(current).withColumn("batch_id", F.lit(batch_id))
         exclude = (F.col("mode") == "replay") & (F.col("batch_id") == batch_id)
-        stored = _touched_log(tables, batch, exclude, small=False).groupBy("id").agg(F.max("version").alias("version"))
+        stored = _touched_log(tables, batch, exclude, small=fits_broadcast(n)).groupBy("id").agg(F.max("version").alias("version"))
         out = gate_outcomes(batch, stored).persist()
         gone = replay_missing(req, products)
         tables.write_docs(out.where(F.col("outcome") == "ok"), "replay", batch_id)
@@ -68,7 +70,7 @@ def dlq_replay(tables: Tables, products: DataFrame, as_of: Column, batch_id: str
             "version", "outcome", "reason", "error", F.lit(attempt.number).alias("attempt")))
         tables.write_counters("writer", "replay", batch_id, attempt.number, counts)
         ok, failed = counts["ok"] + counts["duplicate"], counts["dlq"]
-        n, n_gone = req.count(), gone.count()
+        n_gone = gone.count()
         return spark.range(0, 1, 1, 1).select(F.lit(n).cast("long").alias("replayed"),
                                               F.lit(ok + n_gone).cast("long").alias("resolved"),
                                               F.lit(failed).cast("long").alias("failed"))

@@ -194,6 +194,13 @@ class Tables:
         log = self.doc_log().drop("mode", "batch_id", "bucket")
         return current_state(log)
 
+    def doc(self, doc_id: int) -> DataFrame:
+        """One document: only its bucket of the base is read, and the log with the id
+        pushed into its scan."""
+        key = F.lit(doc_id).cast("long")
+        mine = self._base().where(F.col("bucket") == bucket_of(key, self.buckets)).unionByName(self._read("docs", self.DOC_LOG_SCHEMA))
+        return current_state(mine.where(F.col("id") == key).drop("mode", "batch_id", "bucket"))
+
     def write_docs(self, accepted: DataFrame, mode: str, batch_id: str | None = None) -> None:
         """Write accepted documents into their batch partitions (``batch_id``
         literal, or the rows' own ``batch_id`` column for a multi-range wave)."""

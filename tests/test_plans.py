@@ -53,3 +53,15 @@ def test_mutation_state_joins_nothing(spark):
     from rowsync.operators.derive import mutation_state
     plan = mutation_state(Fixtures(spark, SF01).writes)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and plan.count("Exchange") == 1
+
+
+def test_a_point_read_prunes_buckets(spark):
+    """One document reads its own bucket folder, with the id pushed into the scans."""
+    from rowsync.sinks.tables import Tables, bucket_of
+    t = Tables.fresh(spark, "point", 8)
+    t.seed_docs(spark.range(1, 500).select("id", F.lit(3).cast("long").alias("version")))
+    one = t.doc(77)
+    assert [(r["id"], r["version"]) for r in one.collect()] == [(77, 3)] and t.doc(1000).count() == 0
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    bucket = spark.range(1).select(bucket_of(F.lit(77).cast("long"), 8)).first()[0]
+    assert f"= {bucket})" in plan and "PushedFilters: [IsNotNull(id), EqualTo(id,77)]" in plan
