@@ -8,24 +8,28 @@ of their own, so a group of near copies is not cut up. A shard that is still too
 large is dealt again; one that is a single tight group, of whatever size, is
 compared in pairs of blocks instead, each a unit of work of bounded size.
 
-1. In each unit a flat graph is built: nearest neighbours, robust-pruned (an edge
-   goes where a kept neighbour is much nearer to the target).
+1. In each unit a flat graph is built: every vector's candidates are the whole unit,
+   robust-pruned (an edge goes where a kept neighbour is much nearer to the target).
+   Tight subgroups would keep all their edges to themselves, so heads are chosen at a
+   few radii: each vector has an edge to its nearest head of a radius, and the heads of
+   a radius are pruned among themselves.
 2. The adjacency lists of a vector's units are united.
 3. Each unit searches the united graph for each of its vectors: greedy best-first
-   from the medoid, then by range: every vector met within range is expanded
-   until no new one turns up. The unit's cosines, in double precision, add what is
-   in range but no edge led to, so no link within a unit is missed.
-4. Recall is audited against brute force for a hash sample of query vectors,
-   over all rows of their label. While any label is below ``RECALL`` the overlap is
-   widened and the search repeated; labels still below it at the widest overlap
-   are compared whole, in pairs of blocks.
+   from the medoid and the vector's own list, then by range: every vector met within
+   range, or beyond it by the widest radius of heads, is expanded until no new one
+   turns up. Cosines in double precision verify what was met; they add nothing.
+4. Recall is audited against brute force, a join by label: a hash sample of query
+   vectors, and of those that have links, over all rows of their label. While any
+   label is below ``RECALL`` the overlap is widened and the search repeated; labels
+   still below it at the widest overlap are compared whole, exactly, in pairs of blocks.
 
 A unit reports, for each vector, how many others it links to (a pair in several
 shards counts in the first they share) and the smallest vector that links reach
 in the unit, so a group of m near copies costs m rows, not m squared.
 
-Bounds: about ``SAMPLE`` vectors place the centres of one pass, ``QUERIES`` vectors
-(and ``LABEL_QUERIES`` of each label over one shard) are audited. Every row is indexed and searched.
+Bounds: about ``SAMPLE`` vectors place the centres of one pass; about ``QUERIES``
+vectors in all, and ``LABEL_QUERIES`` of each label with links or of more than one
+shard, are audited. Every row is indexed and searched.
 
 Defined results: null labels, and vectors that are null, empty, zero or hold
 null or non-finite components, link with nothing. Vectors of different length
@@ -51,6 +55,7 @@ SHARD, LARGEST = 400, 1000  # wanted and greatest size of a shard
 SAMPLE, AT_ONCE, CENTRES = 65_536, 1024, 64  # per pass: vectors, shards, centres a shard
 TIGHT = 0.95  # a point this near to a centre needs none of its own
 DEGREE, ALPHA, BEAM = 24, 1.2, 24
+HEADS = (1 / 2, 1 / 4, 1 / 8)  # radii of heads, of the angle of COSINE
 MARGIN, STEP, WIDEST, COPIES = 0.08, 0.04, 0.2, 4  # of cosine; a vector is in so many shards at most, in more with a wider margin
 QUERIES, LABEL_QUERIES, RECALL = 400, 40, 0.97
 PASSES = 40
@@ -105,12 +110,13 @@ def _centres(rows: DataFrame, large: list) -> dict[int, np.ndarray]:
     return out
 
 
-def deal(classes: DataFrame, margin: float, whole: list) -> DataFrame:
-    """(shard, cid, v, weight): each class in its shards. Each pass deals the
+def deal(classes: DataFrame, margin: float, whole: DataFrame) -> DataFrame:
+    """(shard, exact, cid, v, weight): each class in its shards. Each pass deals the
     shards that are too large to theirs; what one centre covers stays as it is, and
-    so do the labels in ``whole``."""
+    so do the labels in ``whole``, which are marked exact."""
     copies = math.ceil(COPIES * margin / MARGIN - 1e-9) if margin > MARGIN else COPIES
-    rows = classes.select(F.xxhash64("label", F.size("v")).alias("shard"), F.col("label").isin(whole).alias("done"), "cid", "v", "weight")
+    rows = classes.join(whole.select("label", F.lit(True).alias("exact")), "label", "left").withColumn("exact", F.coalesce("exact", F.lit(False)))
+    rows = rows.select(F.xxhash64("label", F.size("v")).alias("shard"), F.col("exact").alias("done"), "exact", "cid", "v", "weight")
     kind = classes.schema["v"].dataType.simpleString()
     for _ in range(PASSES):
         sizes = rows.filter("NOT done").groupBy("shard").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > LARGEST)
@@ -144,10 +150,10 @@ def deal(classes: DataFrame, margin: float, whole: list) -> DataFrame:
                         done.append(z)
                 if take:
                     at = pa.array(np.concatenate(take))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(new)), pa.array(np.concatenate(done)), *[b.column(c).take(at) for c in ("cid", "v", "weight")]],
-                                                     ["shard", "done", "cid", "v", "weight"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(new)), pa.array(np.concatenate(done)), *[b.column(c).take(at) for c in ("exact", "cid", "v", "weight")]],
+                                                     ["shard", "done", "exact", "cid", "v", "weight"])
 
-        rows = written(rows.mapInArrow(split, f"shard long, done boolean, cid long, v {kind}, weight long"), "dealt")
+        rows = written(rows.mapInArrow(split, f"shard long, done boolean, exact boolean, cid long, v {kind}, weight long"), "dealt")
     return rows.drop("done")
 
 
@@ -156,7 +162,7 @@ def units(dealt: DataFrame) -> DataFrame:
     sizes = dealt.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / F.lit(LARGEST)).cast("int").alias("blocks"))
     rows = dealt.join(sizes, "shard").withColumn("side", F.pmod(F.xxhash64("cid", F.lit(3)), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return rows.select("shard", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "cid", "v", "weight")
+    return rows.select("shard", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "exact", "side", "cid", "v", "weight")
 
 
 def _child(shard: int, k: np.ndarray) -> np.ndarray:
@@ -168,38 +174,56 @@ def _child(shard: int, k: np.ndarray) -> np.ndarray:
 
 def robust_prune(s: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> np.ndarray:
     """Adjacency (n, degree) of the graph over points of cosine matrix ``s``;
-    -1 fills. From the nearest on, an edge is kept and covers those candidates
-    that it is nearer to than the point is, by the factor alpha."""
+    -1 fills. All other points are candidates. From the nearest on, an edge is kept
+    and covers those that it is nearer to than the point is, by the factor alpha."""
     n = len(s)
-    pool = min(n - 1, 3 * degree)
     out = np.full((n, degree), -1, np.int64)
-    if pool < 1:
-        return out
-    near = s.copy()
-    np.fill_diagonal(near, -2)
-    cand = np.argpartition(-near, pool - 1, axis=1)[:, :pool]
-    cand = np.take_along_axis(cand, np.argsort(-np.take_along_axis(near, cand, 1), axis=1, kind="stable"), 1)
-    gap = 1 - np.take_along_axis(s, cand, 1)  # distances to the point
-    open_ = np.ones((n, pool), bool)
+    gap = 1 - s.astype(np.float32)  # distances
+    open_ = gap.copy()  # of the candidates that no edge covers yet
+    np.fill_diagonal(open_, np.inf)
     row = np.arange(n)
-    for k in range(degree):
-        at = open_.argmax(axis=1)  # the nearest that is still open
-        live = open_[row, at]
+    for k in range(min(degree, n - 1)):
+        pick = open_.argmin(axis=1)
+        live = open_[row, pick] < np.inf
         if not live.any():
             break
-        pick = cand[row, at]
         out[live, k] = pick[live]
-        covered = alpha * (1 - s[pick[:, None], cand]) <= gap
-        open_ &= ~(covered & live[:, None])
-        open_[row, at] = False
+        open_[alpha * gap[pick] <= gap] = np.inf
+        open_[row, pick] = np.inf
     return out
 
 
+def heads(s: np.ndarray, radius: float) -> np.ndarray:
+    """A net: points further than ``radius`` (an angle) from each other, such that
+    every point is as near to one of them."""
+    near, free, out = s >= np.cos(radius), np.ones(len(s), bool), []
+    while free.any():
+        out.append(int(free.argmax()))
+        free &= ~near[out[-1]]
+        free[out[-1]] = False
+    return np.array(out, np.int64)
+
+
+def flat_graph(s: np.ndarray, least: float = COSINE) -> list[np.ndarray]:
+    """Adjacency lists over points of cosine matrix ``s``: robust-pruned edges, an
+    edge to the nearest head of each radius, robust-pruned edges between the heads."""
+    edges = [[g[g >= 0]] for g in robust_prune(s)]
+    for part in HEADS:
+        top = heads(s, part * np.arccos(least))
+        if len(top) == len(s):  # nothing is so near
+            continue
+        for i, h in enumerate(top[s[:, top].argmax(axis=1)].tolist()):
+            edges[i].append(np.array([h]))
+        for h, g in zip(top.tolist(), robust_prune(s[np.ix_(top, top)])):
+            edges[h].append(top[g[g >= 0]])
+    return [np.setdiff1d(np.concatenate(e), [i]) for i, e in enumerate(edges)]
+
+
 def range_search(s: np.ndarray, graph: np.ndarray, start: int, beam: int = BEAM, least: float = COSINE) -> np.ndarray:
     """For every point as the query: the points met. ``graph`` is a matrix of
     edges. Greedy best-first from ``start`` (and from the query's own list) for
-    ``beam`` expansions, then every point met within range is expanded. The
-    cosines have the last word: what is in range but no edge led to is met, too."""
+    ``beam`` expansions, then every point met within range is expanded, and those
+    beyond it by the widest radius of heads: a point in range has its head there."""
     n = len(s)
     near = s.astype(np.float32)
     met = np.eye(n, dtype=bool)
@@ -213,12 +237,12 @@ def range_search(s: np.ndarray, graph: np.ndarray, start: int, beam: int = BEAM,
         met |= fresh
         np.copyto(todo, near, where=fresh)
         todo[row, at] = -2
-    edges, inside = graph.astype(np.float32), s >= least
+    edges, wide = graph.astype(np.float32), s >= np.cos((1 + max(HEADS)) * np.arccos(least))
     while True:
-        front = met & inside & ~done
+        front = met & wide & ~done
         live = np.flatnonzero(front.any(axis=1))
         if not len(live):
-            return met | inside
+            return met
         met[live] |= (front[live].astype(np.float32) @ edges) > 0
         done |= front
 
@@ -227,8 +251,7 @@ def _build(key, rows):
     """The adjacency lists of one unit."""
     cid = np.asarray(rows["cid"])
     x = unit(rows["v"].combine_chunks())
-    graph = robust_prune(x @ x.T)
-    return pa.table({"cid": pa.array(cid), "next": pa.array([cid[g[g >= 0]] for g in graph], pa.list_(pa.int64()))})
+    return pa.table({"cid": pa.array(cid), "next": pa.array([cid[g] for g in flat_graph(x @ x.T)], pa.list_(pa.int64()))})
 
 
 def _search(key, rows):
@@ -245,8 +268,11 @@ def _search(key, rows):
         at = np.minimum(np.searchsorted(cid, y), n - 1)
         at = at[cid[at] == y]
         graph[i, at] = graph[at, i] = True
-    found = range_search(s, graph, int(s.sum(axis=0).argmax()))  # from the medoid
-    link = (found | found.T) & (s >= COSINE)
+    if rows["exact"][0].as_py():  # a label that the audit found wanting
+        link = s >= COSINE
+    else:
+        found = range_search(s, graph, int(s.sum(axis=0).argmax()))  # from the medoid
+        link = (found | found.T) & (s >= COSINE)
     np.fill_diagonal(link, False)
     if lo != hi:  # pairs within a block belong to its own unit
         link &= side[:, None] != side[None, :]
@@ -268,49 +294,36 @@ def _search(key, rows):
     return pa.table({"cid": pa.array(cid), "links": pa.array(counts), "low": pa.array(cid[low])})
 
 
-def _audit(classes: DataFrame, found: DataFrame) -> tuple[float, list]:
-    """Share of the true links of a hash sample of queries that are found, and the
-    labels with less than RECALL: the queries go against all rows of their label in
-    blocks. A label of more than one shard has about LABEL_QUERIES of its own."""
-    total = classes.count()
-    counts = classes.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    share = F.greatest(F.lit(QUERIES / max(1, total)), F.when(F.col("n") > LARGEST, F.lit(LABEL_QUERIES) / F.col("n")))
-    picked = classes.join(counts, "label").filter(F.pmod(F.xxhash64("cid", F.lit(7)), F.lit(1 << 20)) < share * (1 << 20) + 1)
-    asked = picked.select("cid", "label", "v").toArrow()  # about QUERIES rows
-    if not asked.num_rows:
-        return 1.0, []
-    shared = classes.sparkSession.sparkContext.broadcast(
-        (np.asarray(asked["cid"]), np.array(asked["label"].to_pylist(), object), [np.asarray(v, np.float64) for v in asked["v"].to_pylist()]))
-
-    def brute(batches):
-        ids, labels, vectors = shared.value
-        q = [v / np.abs(v).max() for v in vectors]
-        q = [v / np.linalg.norm(v) for v in q]
-        for b in batches:
-            size = np.asarray(pa.compute.list_value_length(b.column("v")))
-            own, cid, weight = np.array(b.column("label").to_pylist(), object), np.asarray(b.column("cid")), np.asarray(b.column("weight"))
-            total = np.zeros(len(ids), np.int64)
-            for d in np.unique(size).tolist():
-                at = np.flatnonzero(size == d)
-                x = unit(b.column("v").take(pa.array(at)))
-                mine = [i for i, v in enumerate(q) if len(v) == d]
-                if not mine:
-                    continue
-                near = np.stack([q[i] for i in mine]) @ x.T >= COSINE
-                near &= labels[mine][:, None] == own[at][None, :]
-                near &= ids[mine][:, None] != cid[at][None, :]
-                total[mine] += (near * weight[at][None, :]).sum(axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], ["cid", "n"])
-
-    true = classes.select("label", "cid", "v", "weight").mapInArrow(brute, "cid long, n long").groupBy("cid").agg(F.sum("n").alias("n"))
+def _true_links(key, rows):
+    """True links of the queries among one block of their label's rows."""
+    asked = np.asarray(rows["asked"].combine_chunks().to_numpy(zero_copy_only=False), bool)
+    cid, weight = np.asarray(rows["cid"]), np.asarray(rows["weight"])
+    if not asked.any() or asked.all():
+        return pa.table({"cid": pa.array(cid[asked]), "n": pa.array(np.zeros(asked.sum(), np.int64))})
+    x = unit(rows["v"].combine_chunks())
+    near = (x[asked] @ x[~asked].T >= COSINE) & (cid[asked][:, None] != cid[~asked][None, :])
+    return pa.table({"cid": pa.array(cid[asked]), "n": pa.array((near * weight[~asked]).sum(axis=1).astype(np.int64))})
+
+
+def _audit(classes: DataFrame, found: DataFrame) -> DataFrame:
+    """(label, n, m): true links of the audited vectors of each label and how many of
+    them are found. Queries are a hash sample of all vectors, of each label of more
+    than one shard, and of each label's vectors with links. They meet all rows of
+    their label, which are cut into blocks of about LARGEST rows."""
     seen = found.groupBy("cid").agg(F.sum("links").alias("m"))
-    label = dict(zip(asked["cid"].to_pylist(), asked["label"].to_pylist()))
-    of: dict = {}
-    for r in true.join(seen, "cid", "left").select("cid", "n", F.least("n", F.coalesce("m", F.lit(0))).alias("m")).collect():  # a row a query
-        n, m = of.get(label[r["cid"]], (0, 0))
-        of[label[r["cid"]]] = n + r["n"], m + r["m"]
-    n, m = (sum(x) for x in zip(*of.values()))
-    return m / n if n else 1.0, [k for k, (n, m) in of.items() if m < RECALL * n]
+    rows = classes.withColumn("dim", F.size("v")).join(seen, "cid", "left").withColumn("m", F.coalesce("m", F.lit(0)))
+    counts = rows.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("m") > 0).alias("linked"))
+    total = classes.count()
+    share = F.greatest(F.lit(QUERIES / max(1, total)), F.when(F.col("rows") > LARGEST, F.lit(LABEL_QUERIES) / F.col("rows")),
+                       F.when(F.col("m") > 0, F.lit(LABEL_QUERIES) / F.col("linked")))
+    rows = rows.join(counts, ["label", "dim"]).withColumn("blocks", F.ceil(F.col("rows") / F.lit(LARGEST)).cast("int"))
+    asked = written(rows.filter(F.pmod(F.xxhash64("cid", F.lit(7)), F.lit(1 << 20)) < share * (1 << 20) + 1), "asked")
+    columns = ["label", "dim", "block", "cid", "v", "weight"]
+    all_rows = rows.withColumn("block", F.pmod(F.xxhash64("cid", F.lit(5)), F.col("blocks")).cast("int")).select(*columns, F.lit(False).alias("asked"))
+    everywhere = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*columns, F.lit(True).alias("asked"))
+    true = all_rows.unionByName(everywhere).groupBy("label", "dim", "block").applyInArrow(_true_links, "cid long, n long")
+    true = true.groupBy("cid").agg(F.sum("n").alias("n"))
+    return asked.select("label", "cid", "m").join(true, "cid").groupBy("label").agg(F.sum("n").alias("n"), F.sum(F.least("n", "m")).alias("m"))
 
 
 def near_vectors(vectors: DataFrame, margin: float = MARGIN) -> DataFrame:
@@ -319,23 +332,25 @@ def near_vectors(vectors: DataFrame, margin: float = MARGIN) -> DataFrame:
     usable = source.filter(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & valid(F.col("v"))).distinct()
     usable = usable.withColumn("cid", F.xxhash64(F.col("label").cast("string"), "v"))
     classes = written(usable.groupBy("cid", "label", "v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("weight")), "vectors")
-    whole: list = []
+    whole = classes.select("label").limit(0)
     while True:
         dealt = written(deal(classes, margin, whole), "shards")
         work = units(dealt)
-        lists = work.groupBy("shard", "lo", "hi").applyInArrow(_build, "cid long, next array<long>")
+        lists = work.filter("NOT exact").groupBy("shard", "lo", "hi").applyInArrow(_build, "cid long, next array<long>")
         lists = lists.groupBy("cid").agg(F.array_distinct(F.flatten(F.collect_list("next"))).alias("next"))
         homes = dealt.groupBy("cid").agg(F.collect_set("shard").alias("shards"))
-        full = work.join(homes, "cid").join(lists, "cid")
+        full = work.join(homes, "cid").join(lists, "cid", "left")
         found = written(full.groupBy("shard", "lo", "hi").applyInArrow(_search, "cid long, links long, low long"), "found")
-        recall, low = _audit(classes, found)
-        low = [k for k in low if k not in whole]
-        if not low:
+        audited = written(_audit(classes, found), "audit")
+        low = audited.filter(F.col("m") < F.lit(RECALL) * F.col("n")).select("label").join(whole, "label", "left_anti")
+        n, m, wanting = audited.agg(F.sum("n"), F.sum("m"), F.count_if(F.col("m") < F.lit(RECALL) * F.col("n"))).first()
+        recall = m / n if n else 1.0
+        if not wanting or not low.limit(1).count():
             break
         if margin < WIDEST - 1e-9:
             margin += STEP
         else:
-            whole += low
+            whole = written(whole.unionByName(low), "whole")
 
     counts = found.groupBy("cid").agg(F.sum("links").alias("links"))
     known = classes.select("cid", "rep", "weight").join(counts, "cid", "left")

@@ -241,11 +241,34 @@ def test_vectors_of_tight_subgroups():
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     s = x @ x.T
     rows = pa.table({"cid": pa.array(np.arange(480)), "v": pa.array(x.tolist()), "weight": pa.array(np.ones(480, np.int64)),
-                     "side": pa.array(np.zeros(480, np.int64)), "shards": pa.array([[0]] * 480)})
+                     "side": pa.array(np.zeros(480, np.int64)), "shards": pa.array([[0]] * 480), "exact": pa.array([False] * 480)})
     key = tuple(pa.scalar(0) for _ in range(3))
     built = embeddings._build(key, rows)
     got = embeddings._search(key, rows.append_column("next", built["next"]))
     assert got["links"].to_pylist() == ((s >= embeddings.COSINE).sum(axis=1) - 1).tolist()
+    # an empty graph finds nothing: the links are what the search met
+    none = pa.array([[] for _ in range(480)], pa.list_(pa.int64()))
+    got = embeddings._search(key, rows.append_column("next", none))
+    medoid = int(s.sum(axis=0).argmax())  # where every search starts
+    pairs = (s[medoid] >= embeddings.COSINE).sum() - 1
+    assert sum(got["links"].to_pylist()) == 2 * pairs
+
+
+@pytest.mark.parametrize("noise, groups", [(0.02, 60), (0.03, 12), (0.04, 30), (0.06, 6)])
+def test_graph_of_vectors_recall(noise, groups):
+    # groups of groups: what the search meets, against all pairs
+    rng = np.random.default_rng(groups)
+    heads = np.repeat(rng.normal(size=(-(-groups // 3), 24)), 3, axis=0)[:groups] + 2 * noise * rng.normal(size=(groups, 24))
+    x = np.repeat(heads, 900 // groups, axis=0)
+    x = x + noise * rng.normal(size=x.shape)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    s = x @ x.T
+    graph = np.zeros(s.shape, bool)
+    for i, g in enumerate(embeddings.flat_graph(s)):
+        graph[i, g] = graph[g, i] = True
+    met = embeddings.range_search(s, graph, 0)
+    true = s >= embeddings.COSINE
+    assert (met & true).sum() - len(s) >= 0.99 * (true.sum() - len(s)) > 0
 
 
 def test_vectors_of_missed_labels_go_whole(spark, monkeypatch):
