@@ -1,19 +1,21 @@
 """K-d tree partitioning into shards of near-equal bytes (SQL functions only).
 
-A digest of each row (size, CRC of the text, language code) is written once.
+A digest of each row (size, characters, codes of language and source, id, CRC of the
+text) is written once. The dimensions are metadata; rows of equal text take the least
+values of their group, so they are one point.
 The tree is grown level by level over all open nodes at once: each node is cut
-at the weighted quantile of its widest dimension. The quantile is found by
-distributed histograms (sum of sizes by node and bin), each pass narrowing to
-the bin that holds the cut, until that bin is a small part of a shard. Where a
-value itself is heavier than that (one text may hold a third of all rows), the
-cut goes on inside it by the next key: CRC, then a hash of the row. So copies
+at the weighted quantile of its widest dimension (of its width in the whole table). The
+quantile is found by distributed histograms (sum of sizes by node and bin), each pass
+narrowing to the bin that holds the cut, until that bin is a small part of a shard. Where a
+value itself is heavier than that (a language, or one text, may hold a third of all rows),
+the cut goes on inside it by the next key: id, CRC, then a hash of the row. So copies
 stay together where a shard can hold them and a group too large for one is split.
 
 Only per-node figures (two rows a node) reach the driver: the tree has as many
 leaves as shards.
 
-Defined results: null text counts as empty; null id, language or source are
-values like any other. Repeated rows are rows of their own. An empty table gives
+Defined results: null text counts as empty; null language or source are values
+like any other, a null id is placed as id 0, ids beyond 2^60 as 2^60. Repeated rows are rows of their own. An empty table gives
 an empty result. Extra or clashing columns are not read.
 """
 
@@ -25,24 +27,32 @@ from pyspark.sql.window import Window
 
 from .common import small_table, written
 
-DIMS = ("size", "crc", "lang")  # the metadata dimensions; each a non-negative long
-CHAIN = ("crc", "fine")  # what orders rows of equal value
+DIMS = ("size", "chars", "lang", "source", "id")  # the metadata dimensions, as longs
+CHAIN = ("id", "crc", "fine")  # what orders rows of equal value
 BINS = 4096
 TOLERANCE = 1 / 1000  # of a shard's target: a bin so light, or of one row, needs no finer cut
 
 
 def _digest(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
-    crc = F.crc32(text.cast("binary"))
-    lang = F.pmod(F.xxhash64(F.coalesce(F.col("lang").cast("string"), F.lit(""))), F.lit(1 << 20))
-    rows = docs.select("doc_id", (F.octet_length(text).cast("long") + 16).alias("size"), crc.alias("crc"), lang.alias("lang"),
+    code = lambda c: F.pmod(F.xxhash64(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit(1 << 20))
+    near = F.greatest(F.lit(-FAR), F.least(F.lit(FAR), F.coalesce(F.col("doc_id").cast("long"), F.lit(0))))
+    rows = docs.select("doc_id", (F.octet_length(text).cast("long") + 16).alias("size"), F.crc32(text.cast("binary")).alias("crc"),
+                       F.length(text).cast("long").alias("chars"), code("lang").alias("lang"), code("source").alias("source"), near.alias("id"),
                        F.monotonically_increasing_id().alias("row"))
     fine = F.xxhash64("doc_id", "row").bitwiseAND(F.lit((1 << 62) - 1))
-    return written(rows.withColumn("fine", fine), "kd-digest")
+    rows = written(rows.withColumn("fine", fine), "kd-rows")
+    group = rows.groupBy("crc", "size", "chars").agg(*[F.min(c).alias(c) for c in ("lang", "source", "id")], F.count(F.lit(1)).alias("n"))
+    group = group.filter("n > 1").select(*[F.col(c).alias(f"g_{c}") for c in ("crc", "size", "chars", "lang", "source", "id")])
+    same = [F.col(c) == F.col(f"g_{c}") for c in ("crc", "size", "chars")]
+    least = [F.coalesce(f"g_{c}", c).alias(c) for c in ("lang", "source", "id")]
+    return written(rows.join(group, same, "left").select("doc_id", "size", "crc", "chars", *least, "row", "fine"), "kd-digest")
 
 
-KEYS = ("size", "crc", "lang", "fine")
-_CUT = "node bigint, k0 int, v0 bigint, k1 int, v1 bigint, k2 int, v2 bigint"
+FAR = 1 << 60
+KEYS = (*DIMS, "crc", "fine")
+DEPTH = 1 + len(CHAIN)  # keys of a cut at most
+_CUT = "node bigint, " + ", ".join(f"k{i} int, v{i} bigint" for i in range(DEPTH))
 
 
 def _value(index: str) -> str:
@@ -51,16 +61,16 @@ def _value(index: str) -> str:
 
 
 def _padded(keys: list[tuple[str, int]]) -> list:
-    return [x for k, v in keys for x in (KEYS.index(k), v)] + [None] * (6 - 2 * len(keys))
+    return [x for k, v in keys for x in (KEYS.index(k), v)] + [None] * (2 * (DEPTH - len(keys)))
 
 
 def _descend(rows: DataFrame, cuts: dict) -> DataFrame:
-    """Move the rows of cut nodes to their children. A cut compares up to three
+    """Move the rows of cut nodes to their children. A cut compares up to DEPTH
     keys in order; ``cuts`` has a few rows, so it is broadcast."""
     spark = rows.sparkSession
     moves = small_table(spark, [(n, *_padded(keys), left) for n, (keys, left) in cuts.items()], f"{_CUT}, left bigint")
     less = "false"
-    for i in (2, 1, 0):
+    for i in reversed(range(DEPTH)):
         less = f"CASE WHEN k{i} IS NULL THEN false ELSE {_value(f'k{i}')} < v{i} OR ({_value(f'k{i}')} = v{i} AND {less}) END"
     placed = rows.join(F.broadcast(moves), "node", "left")
     node = F.expr(f"CASE WHEN left IS NULL THEN node WHEN {less} THEN left ELSE left + 1 END")
@@ -72,6 +82,7 @@ def kd_tree(rows: DataFrame, shards: int) -> tuple[DataFrame, dict]:
     span = rows.agg(*[F.min(d) for d in DIMS], *[F.max(d) for d in DIMS], F.sum("size")).first()
     total = span[-1] or 0
     slack = total / shards * TOLERANCE
+    reach = {"id": (span[len(DIMS) - 1] or 0, (span[2 * len(DIMS) - 1] or 0) + 1), "crc": (0, 1 << 32), "fine": (0, 1 << 62)}
     width = {d: max(1, (span[len(DIMS) + i] or 0) - (span[i] or 0)) for i, d in enumerate(DIMS)}
     rows = rows.withColumn("node", F.lit(0).cast("long"))
     shares = {0: (0, shards)}  # node: its first shard, how many
@@ -87,7 +98,7 @@ def kd_tree(rows: DataFrame, shards: int) -> tuple[DataFrame, dict]:
             chain = [dim, *[c for c in CHAIN if c != dim]]
             seek[r["node"]] = {"chain": chain, "fixed": [], "lo": r[f"lo_{dim}"], "hi": r[f"hi_{dim}"] + 1, "want": r["w"] * (n // 2) / n}
         while seek:
-            seek = _narrow(placed, seek, slack, found)
+            seek = _narrow(placed, seek, slack, found, reach)
         cuts, after = {}, []
         for node in todo:
             first, n = shares.pop(node)
@@ -101,18 +112,19 @@ def kd_tree(rows: DataFrame, shards: int) -> tuple[DataFrame, dict]:
     return rows, {k: v[0] for k, v in shares.items()}
 
 
-def _narrow(placed: DataFrame, seek: dict, slack: int, found: dict) -> dict:
+def _narrow(placed: DataFrame, seek: dict, slack: float, found: dict, reach: dict) -> dict:
     """One histogram pass for all nodes that still seek their cut: the bin that
-    holds the cut, whose nearer end is the cut if the bin is light enough."""
+holds the cut, whose nearer end is the cut if the bin is light enough. ``reach``
+    has the range of each key of the chain."""
     asked = []
     for node, s in seek.items():
         s["step"] = max(1, -(-(s["hi"] - s["lo"]) // BINS))
         asked.append((node, *_padded([*s["fixed"], (s["chain"][len(s["fixed"])], s["lo"])]), s["hi"], s["step"], float(s["want"]), len(s["fixed"])))
     ask = small_table(placed.sparkSession, asked, f"{_CUT}, hi bigint, step bigint, want double, at int")
     rows = placed.join(F.broadcast(ask), "node")
-    x = " ".join(["CASE at", *[f"WHEN {i} THEN {_value(f'k{i}')}" for i in range(3)], "END AS x"])
-    rows = rows.selectExpr("node", "want", "size", "hi", "step", "CASE at WHEN 0 THEN v0 WHEN 1 THEN v1 ELSE v2 END AS lo", x,
-                           f"(at < 1 OR {_value('k0')} = v0) AND (at < 2 OR {_value('k1')} = v1) AS inside")
+    x = " ".join(["CASE at", *[f"WHEN {i} THEN {_value(f'k{i}')}" for i in range(DEPTH)], "END AS x"])
+    rows = rows.selectExpr("node", "want", "size", "hi", "step", " ".join(["CASE at", *[f"WHEN {i} THEN v{i}" for i in range(DEPTH)], "END AS lo"]), x,
+                           " AND ".join(f"(at < {i + 1} OR {_value(f'k{i}')} = v{i})" for i in range(DEPTH - 1)) + " AS inside")
     sums = rows.filter("inside AND x >= lo AND x < hi").groupBy("node", "want", F.expr("(x - lo) div step").alias("bin")).agg(
         F.sum("size").alias("w"), F.count(F.lit(1)).alias("rows"))
     upto = F.sum("w").over(Window.partitionBy("node").orderBy("bin"))  # BINS rows a node at most
@@ -129,7 +141,7 @@ def _narrow(placed: DataFrame, seek: dict, slack: int, found: dict) -> dict:
             left[node] = s | {"lo": lo, "hi": lo + s["step"], "want": s["want"] - under}
         else:  # one heavy value: go on by the next key
             after = s["chain"][len(s["fixed"]) + 1]
-            left[node] = s | {"fixed": [*s["fixed"], (key, lo)], "lo": 0, "hi": 1 << (32 if after == "crc" else 62), "want": s["want"] - under}
+            left[node] = s | {"fixed": [*s["fixed"], (key, lo)], "lo": reach[after][0], "hi": reach[after][1], "want": s["want"] - under}
     for node, s in seek.items():  # no bin reached the mark (rounding): everything goes left
         if node not in left and node not in found:
             found[node] = [*s["fixed"], (s["chain"][len(s["fixed"])], s["hi"])]

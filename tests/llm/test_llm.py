@@ -444,6 +444,40 @@ def test_shards(spark):
     assert shards.kd_shards(docs.limit(0), 8).count() == 0
 
 
+def plain_tree(rows, shards, dims, chain):
+    """The tree over (row as dict) in plain Python: shard by row number."""
+    width = {d: max(1, max(r[d] for r in rows) - min(r[d] for r in rows)) for d in dims}
+    out, todo = {}, [(rows, 0, shards)]
+    while todo:
+        node, first, n = todo.pop()
+        if n == 1 or not node:
+            out |= {r["row"]: first for r in node}
+            continue
+        spread = {d: (max(r[d] for r in node) - min(r[d] for r in node)) / width[d] for d in dims}
+        dim = max(dims, key=lambda d: (spread[d], d == "size"))
+        node = sorted(node, key=lambda r: (r[dim], *[r[c] for c in chain]))
+        want, upto, cut = sum(r["size"] for r in node) * (n // 2) / n, 0, 0
+        for i, r in enumerate(node):
+            if upto + r["size"] >= want:
+                cut = i + (upto + r["size"] - want <= want - upto)
+                break
+            upto += r["size"]
+        todo += [(node[:cut], first, n // 2), (node[cut:], first + n // 2, n - n // 2)]
+    return out
+
+
+def test_shards_equal_a_plain_tree(spark, monkeypatch):
+    monkeypatch.setattr(shards, "TOLERANCE", 0)
+    texts = odd_texts() * 2 + [(k, "copy of a text") for k in range(1000, 1060)] + [(None, "no id"), (None, None), (-5, "x"), (1 << 62, "far")]
+    rows = shards._digest(make_docs(spark, texts))
+    data = [r.asDict() for r in rows.collect()]
+    placed, first = shards.kd_tree(rows, 7)
+    assert set(shards.DIMS) == {"size", "chars", "lang", "source", "id"}
+    assert {r.row: first[r.node] for r in placed.collect()} == plain_tree(data, 7, shards.DIMS, shards.CHAIN)
+    # equal texts are one point
+    assert len({(r["crc"], *[r[d] for d in shards.DIMS]) for r in data}) == len({r["crc"] for r in data})
+
+
 def test_shards_are_balanced(spark):
     size = Counter()
     for r in queries.op9_shards(spark, SF01).collect():
