@@ -11,7 +11,9 @@ An owner is a value of ``source``; a repository is an owner's language section
 (``source`` and ``lang``). Nulls count as one owner or language of their own.
 
 Positions are code points, end exclusive. Spans are found by cutting the text
-at its matches (``split``) and adding up the lengths of pieces and matches.
+at its matches (``split``) and adding up the lengths of pieces and matches: running
+sums are taken in blocks of ``BLOCK`` matches, then over the blocks, so that the cost of a text
+grows with its matches, however many it has.
 
 Defined results: null text counts as empty and has no spans. Rows that repeat an
 id with the same text get the same spans; with other text their own. Repeated
@@ -39,28 +41,70 @@ MIN_VALUE = 12
 MAX_OWNERS, MAX_REPOSITORIES = 2, 4
 
 _SPAN = "array<struct<start:int,rank:int,stop:int,value:string>>"
+BLOCK = 256
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _blocks(items: Column) -> Column:
+    """An array that is not empty, cut into arrays of BLOCK, by way of larger ones
+    (each slice reads its whole array)."""
+    def cut(of, size):
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(of) - 1) / size).cast("int")), lambda b: F.slice(of, b * size + 1, F.lit(size)))
+
+    return F.flatten(F.transform(cut(items, BLOCK * 64), lambda x: cut(x, BLOCK)))
+
+
+def _running(values: Column, combine, zero: int) -> Column:
+    """``combine`` of all entries before each one, of an array of ints that is not empty."""
+    def scan(items, of):
+        start = F.array(F.lit(zero))
+        return F.aggregate(items, start, lambda acc, x: F.concat(acc, F.array(combine(F.element_at(acc, -1), of(x)))))
+
+    def joined(local):
+        before = F.slice(scan(local, lambda x: F.element_at(x, -1)), F.lit(1), F.size(local))
+        return F.flatten(F.zip_with(local, before, lambda x, c: F.transform(F.slice(x, F.lit(1), F.size(x) - 1), lambda y: combine(c, y))))
+
+    return _let(F.transform(_blocks(values), lambda b: scan(b, lambda x: x)), joined)
 
 
 def _matches(text: Column, pattern: str, rank: int, value: Column | None = None, least: int = 0) -> Column:
     """Spans of all matches as (start, rank, stop, value), in order of start."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = found if value is None else value
-    pieces = F.split(text, pattern, -1)
-    parts = F.zip_with(F.slice(pieces, F.lit(1), F.size(found)), F.arrays_zip(found.alias("m"), values.alias("v")),
-                       lambda p, z: F.struct(F.length(p).alias("gap"), F.length(z["m"]).alias("size"), z["v"].alias("value")))
-    empty = F.array().cast(_SPAN)
-    start = F.struct(F.lit(0).alias("at"), empty.alias("spans"))
-
-    def step(acc, x):
-        a = acc["at"] + x["gap"]
-        span = F.struct(a.alias("start"), F.lit(rank).alias("rank"), (a + x["size"]).alias("stop"), x["value"].alias("value"))
-        more = F.concat(acc["spans"], F.array(span))
-        if least:
-            more = F.when(F.length(x["value"]) >= least, more).otherwise(acc["spans"])
-        return F.struct((a + x["size"]).alias("at"), more.alias("spans"))
-
+    parts = F.zip_with(F.arrays_zip(found.alias("m"), values.alias("v")), F.split(text, pattern, -1), lambda z, p: F.struct(
+        F.length(p).alias("gap"), F.length(z["m"]).alias("size"), z["v"].alias("value")))
+    parts = F.filter(parts, lambda x: x["size"].isNotNull())  # the piece after the last match
+
+    def spans(x):
+        before = _running(F.transform(x, lambda y: y["gap"] + y["size"]), lambda a, b: a + b, 0)
+        return F.zip_with(x, before, lambda y, at: F.struct(
+            (at + y["gap"]).alias("start"), F.lit(rank).alias("rank"), (at + y["gap"] + y["size"]).alias("stop"), y["value"].alias("value")))
+
+    out = _let(parts, spans)
+    if least:
+        out = F.filter(out, lambda x: F.length(x["value"]) >= least)
     # a plain search first: most texts have no match and need no arrays
-    return F.when(text.rlike(pattern), F.aggregate(parts, start, step)["spans"]).otherwise(empty)
+    return F.when(text.rlike(pattern), out).otherwise(F.array().cast(_SPAN))
+
+
+def _free(generic: Column, base: Column) -> Column:
+    """The generic spans that no base span overlaps, by two scans in order of start:
+    the furthest stop of the base spans before, the next start of those after."""
+    far = (1 << 31) - 1
+
+    def judge(spans):
+        is_base = lambda x: x["rank"] < 3
+        stops = _running(F.transform(spans, lambda x: F.when(is_base(x), x["stop"]).otherwise(0)), F.greatest, 0)
+        nexts = _running(F.transform(F.reverse(spans), lambda x: F.when(is_base(x), x["start"]).otherwise(far)), F.least, far)
+        around = F.arrays_zip(spans.alias("span"), stops.alias("before"), F.reverse(nexts).alias("after"))
+        kept = F.filter(around, lambda x: ~is_base(x["span"]) & (x["before"] <= x["span"]["start"]) & (x["after"] >= x["span"]["stop"]))
+        return F.transform(kept, lambda x: x["span"])
+
+    return _let(F.array_sort(F.concat(base, generic)), judge)
 
 
 def _text_of(spans: Column) -> Column:
@@ -86,8 +130,9 @@ def scan_secrets(docs: DataFrame, max_owners: int = MAX_OWNERS, max_repositories
     base = F.array_sort(F.concat("assign", "access", "hex"))  # by start, then rank
     rows = rows.select("doc_id", "text_key", "owner", "section", base.alias("base"), "generic")
     # a generic candidate inside or across a base span adds nothing
-    free = F.filter("generic", lambda g: ~F.exists("base", lambda b: (g["start"] < b["stop"]) & (b["start"] < g["stop"])))
-    rows = written(rows.withColumn("generic", F.when((F.size("generic") > 0) & (F.size("base") > 0), free).otherwise(F.col("generic"))), "secrets")
+    both = (F.size("generic") > 0) & (F.size("base") > 0)
+    free = F.when(both, _free(F.col("generic"), F.col("base"))).otherwise(F.col("generic"))
+    rows = written(rows.withColumn("generic", free), "secrets")
 
     has = rows.filter((F.size("base") > 0) | (F.size("generic") > 0))
     one = has.select("doc_id", "text_key", "owner", "section", F.explode(F.concat("base", "generic")).alias("span"))
@@ -127,15 +172,23 @@ def redact_secrets(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     keyed = docs.withColumn("_text_key", F.xxhash64("doc_id", text))
     out = keyed.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left")
 
-    def step(acc, s):
-        gap = F.substring(F.col("text"), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        fresh = s["start"] >= acc["at"]
-        return F.struct(F.when(fresh, F.concat(acc["out"], F.array(gap, F.lit(mark)))).otherwise(acc["out"]).alias("out"),
-                        F.greatest(acc["at"], s["stop"]).alias("at"))
+    def pieces(spans):
+        """What stays before each of some spans, and the mark; a span that begins inside another only extends it."""
+        back = _running(F.transform(spans, lambda s: s["stop"]), F.greatest, 0)
+        return F.zip_with(spans, back, lambda s, at: F.struct(at.alias("at"), s["start"].alias("start"), F.greatest(at, s["stop"]).alias("stop")))
+
+    def rebuilt(cuts):
+        """The text from the cuts; each block of them reads its own part of the text."""
+        def block(b):
+            first, last = F.element_at(b, 1)["at"], F.element_at(b, -1)["stop"]
+            part = lambda own: F.array_join(F.transform(b, lambda c: F.when(c["start"] >= c["at"], F.concat(
+                F.substring(own, c["at"] - first + 1, c["start"] - c["at"]), F.lit(mark))).otherwise(F.lit(""))), "")
+            return _let(F.substring(F.col("text"), first + 1, last - first), part)
+
+        rest = F.substring(F.col("text"), F.element_at(cuts, -1)["stop"] + 1, F.length("text"))
+        return F.concat(F.array_join(F.transform(_blocks(cuts), block), ""), rest)
 
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("at"))
-    done = F.aggregate("_spans", start, step, lambda a: F.concat(
-        F.array_join(a["out"], ""), F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
+    done = _let(pieces(F.col("_spans")), rebuilt)
     clean = F.when(F.col("_spans").isNotNull(), done).otherwise(F.col("text"))
     out = out.withColumn("_clean", clean)
     change = {"text": F.col("_clean")}
