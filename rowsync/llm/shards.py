@@ -6,7 +6,8 @@ values of their group, so they are one point.
 The tree is grown level by level over all open nodes at once: each node is cut
 at the weighted quantile of its widest dimension (of its width in the whole table). The
 quantile is found by distributed histograms (sum of sizes by node and bin), each pass
-narrowing to the bin that holds the cut, until that bin is a small part of a shard. Where a
+narrowing to the values within the bin that holds the cut, until that bin is a small part of
+a shard. A bin of one value is known by its least and greatest, so it takes one pass. Where a
 value itself is heavier than that (a language, or one text, may hold a third of all rows),
 the cut goes on inside it by the next key: id, CRC, then a hash of the row. So copies
 stay together where a shard can hold them and a group too large for one is split.
@@ -82,7 +83,6 @@ def kd_tree(rows: DataFrame, shards: int) -> tuple[DataFrame, dict]:
     span = rows.agg(*[F.min(d) for d in DIMS], *[F.max(d) for d in DIMS], F.sum("size")).first()
     total = span[-1] or 0
     slack = total / shards * TOLERANCE
-    reach = {"id": (span[len(DIMS) - 1] or 0, (span[2 * len(DIMS) - 1] or 0) + 1), "crc": (0, 1 << 32), "fine": (0, 1 << 62)}
     width = {d: max(1, (span[len(DIMS) + i] or 0) - (span[i] or 0)) for i, d in enumerate(DIMS)}
     rows = rows.withColumn("node", F.lit(0).cast("long"))
     shares = {0: (0, shards)}  # node: its first shard, how many
@@ -98,7 +98,7 @@ def kd_tree(rows: DataFrame, shards: int) -> tuple[DataFrame, dict]:
             chain = [dim, *[c for c in CHAIN if c != dim]]
             seek[r["node"]] = {"chain": chain, "fixed": [], "lo": r[f"lo_{dim}"], "hi": r[f"hi_{dim}"] + 1, "want": r["w"] * (n // 2) / n}
         while seek:
-            seek = _narrow(placed, seek, slack, found, reach)
+            seek = _narrow(placed, seek, slack, found)
         cuts, after = {}, []
         for node in todo:
             first, n = shares.pop(node)
@@ -112,36 +112,40 @@ def kd_tree(rows: DataFrame, shards: int) -> tuple[DataFrame, dict]:
     return rows, {k: v[0] for k, v in shares.items()}
 
 
-def _narrow(placed: DataFrame, seek: dict, slack: float, found: dict, reach: dict) -> dict:
+def _narrow(placed: DataFrame, seek: dict, slack: float, found: dict) -> dict:
     """One histogram pass for all nodes that still seek their cut: the bin that
-holds the cut, whose nearer end is the cut if the bin is light enough. ``reach``
-    has the range of each key of the chain."""
+    holds the cut, whose nearer end is the cut if the bin is light enough. The pass
+    also gives the range of the bin's values, and of the next key within it."""
     asked = []
     for node, s in seek.items():
         s["step"] = max(1, -(-(s["hi"] - s["lo"]) // BINS))
-        asked.append((node, *_padded([*s["fixed"], (s["chain"][len(s["fixed"])], s["lo"])]), s["hi"], s["step"], float(s["want"]), len(s["fixed"])))
-    ask = small_table(placed.sparkSession, asked, f"{_CUT}, hi bigint, step bigint, want double, at int")
+        after = s["chain"][len(s["fixed"]) + 1:]
+        asked.append((node, *_padded([*s["fixed"], (s["chain"][len(s["fixed"])], s["lo"])]), s["hi"], s["step"], float(s["want"]), len(s["fixed"]),
+                      KEYS.index(after[0]) if after else None))
+    ask = small_table(placed.sparkSession, asked, f"{_CUT}, hi bigint, step bigint, want double, at int, after int")
     rows = placed.join(F.broadcast(ask), "node")
     x = " ".join(["CASE at", *[f"WHEN {i} THEN {_value(f'k{i}')}" for i in range(DEPTH)], "END AS x"])
     rows = rows.selectExpr("node", "want", "size", "hi", "step", " ".join(["CASE at", *[f"WHEN {i} THEN v{i}" for i in range(DEPTH)], "END AS lo"]), x,
+                           f"{_value('after')} AS y",
                            " AND ".join(f"(at < {i + 1} OR {_value(f'k{i}')} = v{i})" for i in range(DEPTH - 1)) + " AS inside")
     sums = rows.filter("inside AND x >= lo AND x < hi").groupBy("node", "want", F.expr("(x - lo) div step").alias("bin")).agg(
-        F.sum("size").alias("w"), F.count(F.lit(1)).alias("rows"))
+        F.sum("size").alias("w"), F.count(F.lit(1)).alias("rows"), F.min("x").alias("least"), F.max("x").alias("most"),
+        F.min("y").alias("y_least"), F.max("y").alias("y_most"))
     upto = F.sum("w").over(Window.partitionBy("node").orderBy("bin"))  # BINS rows a node at most
-    cross = sums.withColumn("upto", upto).filter("upto >= want").groupBy("node").agg(F.min(F.struct("bin", "w", "upto", "rows")).alias("x"))
+    cross = sums.withColumn("upto", upto).filter("upto >= want").groupBy("node").agg(
+        F.min(F.struct("bin", "w", "upto", "rows", "least", "most", "y_least", "y_most")).alias("x"))
     left = {}
     for node, x in ((r["node"], r["x"]) for r in cross.collect()):
         s = seek[node]
         lo, under, key = s["lo"] + x["bin"] * s["step"], x["upto"] - x["w"], s["chain"][len(s["fixed"])]
-        last = len(s["fixed"]) + 1 == len(s["chain"])
-        if x["w"] <= slack or x["rows"] == 1 or (s["step"] == 1 and last):
+        last, single = len(s["fixed"]) + 1 == len(s["chain"]), x["least"] == x["most"]
+        if x["w"] <= slack or x["rows"] == 1 or (single and last):
             up = x["upto"] - s["want"] <= s["want"] - under  # the nearer end of the bin
             found[node] = [*s["fixed"], (key, lo + (s["step"] if up else 0))]
-        elif s["step"] > 1:
-            left[node] = s | {"lo": lo, "hi": lo + s["step"], "want": s["want"] - under}
+        elif not single:
+            left[node] = s | {"lo": x["least"], "hi": x["most"] + 1, "want": s["want"] - under}
         else:  # one heavy value: go on by the next key
-            after = s["chain"][len(s["fixed"]) + 1]
-            left[node] = s | {"fixed": [*s["fixed"], (key, lo)], "lo": reach[after][0], "hi": reach[after][1], "want": s["want"] - under}
+            left[node] = s | {"fixed": [*s["fixed"], (key, x["least"])], "lo": x["y_least"], "hi": x["y_most"] + 1, "want": s["want"] - under}
     for node, s in seek.items():  # no bin reached the mark (rounding): everything goes left
         if node not in left and node not in found:
             found[node] = [*s["fixed"], (s["chain"][len(s["fixed"])], s["hi"])]
