@@ -116,6 +116,84 @@ def search_scored(spark: SparkSession, docs: DataFrame, q: str, limit: int = 50)
     return scores.orderBy(F.col("score").desc(), F.col("id").asc()).limit(limit)
 
 
+TEXT_FIELDS = {"name": "name", "description": "$.description"}  # searched by token
+KEYWORD_FIELDS = {"sku": "sku", "brand": "$.brand", "tags": "$.tags"}  # searched by the whole query
+BOOSTS = {"name": 2.0}
+
+
+def _fields(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_f``: the tokens of each text field and the values of each
+    keyword field, null where a document lacks the field. JSON is parsed once a row."""
+    attrs = F.col("_attrs")
+
+    def value(path: str, kind: str):
+        return F.try_variant_get(attrs, path, kind) if path.startswith("$") else F.col(path)
+
+    text = [tokens(value(path, "string")).alias(f) for f, path in TEXT_FIELDS.items()]
+    words = [(F.try_variant_get(attrs, path, "array<string>") if f == "tags" else
+              F.when(value(path, "string").isNotNull(), F.array(value(path, "string")))).alias(f) for f, path in KEYWORD_FIELDS.items()]
+    rows = docs.withColumn("_attrs", F.try_parse_json(F.col("attributes")))
+    return rows.withColumn("_f", F.struct(*text, *words)).drop("_attrs")
+
+
+def search_page(spark: SparkSession, docs: DataFrame, q: str = "", category: str | None = None, page: int = 1, size: int = 25) -> DataFrame:
+    """One page of a search: (id, score, total), ``from = (max(1, page) - 1) * size``.
+
+    A number is an exact id; other text is looked for in all five fields, by token
+    in name (boost 2) and description and as a whole in sku, brand and tags. Hits
+    rank by their best field's BM25 (a keyword field has no length to weigh, so its
+    score is the idf), ties by id. Without a text query the page is sorted
+    ``updated_at desc, id asc`` and the score is null. The category is an exact
+    filter on the hits; document frequencies and lengths are those of all documents.
+
+    Two scans and no shuffle of documents: one row of statistics (documents with
+    a field, tokens, frequencies of the query's terms, hits) is a scalar subquery
+    of the scan that scores, which keeps ``from + size`` rows a task."""
+    qq = (q or "").strip()
+    start = (max(1, page) - 1) * size
+    in_category = F.col("category") == category if category else F.lit(True)
+    if not qq or re.fullmatch(r"\d+", qq):
+        hits = filter_id_or_category(docs, qq, category)
+        total = hits.agg(F.count(F.lit(1))).scalar()
+        rows = hits.orderBy(F.col("updated_at").desc(), F.col("id").asc()).offset(start).limit(size)
+        return rows.select("id", F.lit(None).cast("double").alias("score"), total.alias("total"))
+    terms = [r["term"] for r in _query_terms(spark, qq).collect()]  # of the query's own text
+    wanted = F.array(*[F.lit(t) for t in terms]) if terms else F.array().cast("array<string>")
+    rows = _fields(docs)
+    sought = {f: terms for f in TEXT_FIELDS} | {f: [qq] for f in KEYWORD_FIELDS}
+
+    def held(f: str, t: str):
+        return F.coalesce(F.array_contains(F.col(f"_f.{f}"), F.lit(t)), F.lit(False))
+
+    any_text = [F.coalesce(F.arrays_overlap(F.col(f"_f.{f}"), wanted), F.lit(False)) for f in TEXT_FIELDS]
+    hit = F.lit(False)
+    for x in [*any_text, *[held(f, qq) for f in KEYWORD_FIELDS]]:
+        hit = hit | x
+    figures = [F.count_if(hit & in_category).alias("total")]
+    for f, ts in sought.items():
+        figures += [F.count(F.col(f"_f.{f}")).alias(f"n_{f}"), F.avg(F.size(f"_f.{f}")).alias(f"len_{f}")]
+        figures += [F.count_if(held(f, t)).alias(f"df_{f}_{i}") for i, t in enumerate(ts)]
+    stats = rows.agg(*figures)
+    stats = stats.select(F.struct(*[F.col(c) for c in stats.columns]).alias("s")).scalar()
+    found = rows.where(hit & in_category).withColumn("_s", stats)
+
+    def part(f: str, i: int, t: str):
+        df, n = F.col(f"_s.df_{f}_{i}"), F.col(f"_s.n_{f}")
+        idf = F.log(1 + (n - df + 0.5) / (df + 0.5))
+        tf = F.size(F.filter(f"_f.{f}", lambda x: x == F.lit(t))) if f in TEXT_FIELDS else F.lit(1)
+        norm = 1 - B + B * F.size(f"_f.{f}") / F.col(f"_s.len_{f}") if f in TEXT_FIELDS else F.lit(1.0)
+        return F.when(held(f, t), idf * tf * (K1 + 1) / (tf + K1 * norm)).otherwise(0.0)
+
+    best = []
+    for f, ts in sought.items():
+        total_part = F.lit(0.0)
+        for i, t in enumerate(ts):
+            total_part = total_part + part(f, i, t)
+        best.append(total_part * BOOSTS.get(f, 1.0))
+    scored = found.select("id", F.round(F.greatest(*best), 6).alias("score"), F.col("_s.total").alias("total"))
+    return scored.orderBy(F.col("score").desc(), F.col("id").asc()).offset(start).limit(size)
+
+
 def facet_counts(docs: DataFrame, field: str = "category", top: int = 50) -> DataFrame:
     """Documents per value, top ``top`` by count (ties by value)."""
     return (docs.groupBy(F.col(field).alias("key")).agg(F.count(F.lit(1)).alias("count"))

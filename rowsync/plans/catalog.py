@@ -462,6 +462,24 @@ def q_search_scored_documents(spark, sf_dir):
     return s.orderBy(F.col("score").desc(), F.col("id").asc()).limit(50)
 
 
+@query("search_page")
+def q_search_page(spark, sf_dir):
+    """Third page of a text search over all five fields, in one category."""
+    return srch.search_page(spark, fx(spark, sf_dir).products, "blue gear", "economy", 3, 20)
+
+
+@query("search_page_keyword")
+def q_search_page_keyword(spark, sf_dir):
+    """A whole keyword: one token of it is common in no text, the brand is."""
+    return srch.search_page(spark, fx(spark, sf_dir).products, "Brand#13", None, 2, 40)
+
+
+@query("search_page_browse")
+def q_search_page_browse(spark, sf_dir):
+    """Without text: a category's documents by time."""
+    return srch.search_page(spark, fx(spark, sf_dir).products, " ", "economy", 2, 25)
+
+
 # ---------------------------------------------------------------- DLQ life cycle (pure forms)
 def backfill_rejects(f: Fixtures) -> DataFrame:
     return backfill_outcomes(f).where(F.col("outcome") == "dlq").select("id", "version", "error")

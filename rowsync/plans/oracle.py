@@ -342,6 +342,40 @@ per_field AS (
 SELECT id, round(max(fs), 6) AS score FROM per_field GROUP BY id ORDER BY score DESC, id LIMIT {limit}"""
 
 
+def search_page_sql(q: str, category: str | None, page: int, size: int) -> str:
+    """Hits by the plain match, ranked by fields, terms and frequencies as rows."""
+    return f"""
+WITH text AS (SELECT id, 'name' AS field, {toks('name')} AS toks FROM fx_products WHERE name IS NOT NULL
+  UNION ALL SELECT id, 'description', {toks("json_extract_string(attributes, '$.description')")} FROM fx_products
+  WHERE json_extract_string(attributes, '$.description') IS NOT NULL),
+keywords AS (SELECT id, 'sku' AS field, [sku] AS vals FROM fx_products WHERE sku IS NOT NULL
+  UNION ALL SELECT id, 'brand', [json_extract_string(attributes, '$.brand')] FROM fx_products WHERE json_extract_string(attributes, '$.brand') IS NOT NULL
+  UNION ALL SELECT id, 'tags', CAST(json_extract(attributes, '$.tags') AS VARCHAR[]) FROM fx_products
+  WHERE json_type(attributes, '$.tags') = 'ARRAY'),
+terms AS (SELECT DISTINCT unnest({toks(f"'{q}'")}) AS term),
+tfs AS (SELECT id, field, term, count(*) AS tf, any_value(dl) AS dl
+        FROM (SELECT id, field, len(toks) AS dl, unnest(toks) AS term FROM text) x SEMI JOIN terms USING (term) GROUP BY ALL),
+lengths AS (SELECT field, count(*) AS n, avg(len(toks)) AS len FROM text GROUP BY field),
+by_text AS (
+  SELECT t.id, t.field, sum(ln(1 + (l.n - d.df + 0.5) / (d.df + 0.5)) * t.tf * 2.2 / (t.tf + 1.2 * (0.25 + 0.75 * t.dl / l.len)))
+         * CASE t.field WHEN 'name' THEN 2.0 ELSE 1.0 END AS score
+  FROM tfs t JOIN lengths l USING (field) JOIN (SELECT field, term, count(*) AS df FROM tfs GROUP BY ALL) d USING (field, term)
+  GROUP BY t.id, t.field),
+by_keyword AS (
+  SELECT k.id, k.field, ln(1 + (c.n - c.df + 0.5) / (c.df + 0.5)) AS score
+  FROM keywords k JOIN (SELECT field, count(*) AS n, count_if(list_contains(vals, '{q}')) AS df FROM keywords GROUP BY field) c USING (field)
+  WHERE list_contains(k.vals, '{q}'))
+SELECT id, score, total FROM (
+  SELECT h.id, round(max(b.score), 6) AS score, any_value(h.total) AS total
+  FROM ({search_sql(q, category)}) h JOIN (SELECT * FROM by_text UNION ALL SELECT * FROM by_keyword) b ON b.id = h.id GROUP BY h.id) z
+ORDER BY score DESC, id LIMIT {size} OFFSET {(page - 1) * size}"""
+
+
+ORACLE["search_page"] = W("SELECT * FROM (" + search_page_sql("blue gear", "economy", 3, 20) + ") y")
+ORACLE["search_page_keyword"] = W("SELECT * FROM (" + search_page_sql("Brand#13", None, 2, 40) + ") y")
+ORACLE["search_page_browse"] = W("""
+SELECT id, CAST(NULL AS DOUBLE) AS score, (SELECT count(*) FROM fx_products WHERE category = 'economy') AS total
+FROM fx_products WHERE category = 'economy' ORDER BY updated_at DESC, id LIMIT 25 OFFSET 25""")
 PRODUCT_FIELDS = """SELECT id, 'name' AS field, name AS text FROM fx_products
   UNION ALL SELECT id, 'description', json_extract_string(attributes, '$.description') FROM fx_products"""
 ORACLE["search_scored"] = W(bm25_sql(PRODUCT_FIELDS, "blue gear", {"name": 2.0}).replace("WITH fields", "SELECT * FROM (WITH fields", 1) + ") z")
