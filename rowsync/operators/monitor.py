@@ -185,3 +185,71 @@ def quality_checks(checks: list[tuple[str, DataFrame]]) -> DataFrame:
                       F.col("actual").cast("long").alias("actual"))
         out = r if out is None else out.unionByName(r)
     return out.withColumn("pass", F.col("expected").eqNullSafe(F.col("actual")))
+
+
+def job_status(counters: DataFrame, attempts: DataFrame, runs: DataFrame, events: DataFrame) -> DataFrame:
+    """One row for each writer mode, and one for the consumer, from the tables the
+    jobs keep: batches, batches that were repeated, what came of the rows, messages
+    published, the time of the last batch, the rate at that time (records/s over the
+    last ten seconds, as ``sliding_rate``) and the key a repeated backfill wave went
+    on from. A mode's rows are batches, so all this is small; events are combined by
+    flush before they move. A mode without batches has no row."""
+    n = lambda c: F.coalesce(F.col("counts")[c], F.lit(0)).cast("long")
+    done = F.when(F.col("job") == "consumer", n("received")).otherwise(n("ok") + n("duplicate") + n("dlq"))
+    each = counters.select("job", "mode", "batch_id", "attempt", done.alias("n"), n("ok").alias("ok"), n("stored").alias("stored"),
+                           (n("duplicate") + n("duplicates")).alias("absorbed"), (n("dlq") + n("malformed")).alias("rejected"), n("published").alias("published"))
+    totals = each.groupBy("mode").agg(
+        F.count_distinct("batch_id").alias("batches"), F.sum("n").alias("records"), F.sum(F.col("ok") + F.col("stored")).alias("written"),
+        F.sum("absorbed").alias("absorbed"), F.sum("rejected").alias("rejected"), F.sum("published").alias("published"))
+    of_writers = attempts.join(each.select("mode", "batch_id", "attempt", "n"), ["mode", "batch_id", "attempt"], "left")
+    millis = lambda c: F.unix_millis(F.col(c).cast("timestamp"))
+    samples = of_writers.select("mode", millis("started_at").alias("t_ms"), F.coalesce("n", F.lit(0)).alias("n"))
+    flushes = events.groupBy("consumed_at").agg(F.count(F.lit(1)).alias("n"))
+    samples = samples.unionByName(flushes.select(F.lit("consumer").alias("mode"), millis("consumed_at").alias("t_ms"), "n"))
+    rates = sliding_rate(samples).groupBy("mode").agg(F.max_by(F.struct("t_ms", "rate"), F.col("t_ms")).alias("last"))
+    rates = rates.select("mode", F.col("last.rate").alias("rate"))
+    times = attempts.select("mode", F.col("started_at").alias("at")).unionByName(
+        flushes.select(F.lit("consumer").alias("mode"), F.col("consumed_at").cast("timestamp_ntz").alias("at")))
+    times = times.groupBy("mode").agg(F.max("at").alias("last_batch_at"))
+    # a wave's batch id is its run's id and its number, which gives the key it starts after
+    again = attempts.where((F.col("mode") == "backfill") & (F.col("attempt") > 1)).select(
+        F.regexp_extract("batch_id", r"^(.*)-w(\d+)$", 1).alias("run_id"), F.regexp_extract("batch_id", r"^(.*)-w(\d+)$", 2).try_cast("long").alias("wave"))
+    start = F.least(F.col("wave") * F.col("ranges_per_wave") * F.col("range_width"), F.col("target_max_id"))
+    resumed = again.join(runs, "run_id").agg(F.max(start)).scalar()
+    repeated = attempts.where(F.col("attempt") > 1).groupBy("mode").agg(F.count_distinct("batch_id").alias("repeated"))
+    out = totals.join(rates, "mode", "left").join(times, "mode", "left").join(repeated, "mode", "left")
+    return out.select("mode", "batches", F.coalesce("repeated", F.lit(0)).cast("long").alias("repeated"), "records", "written", "absorbed", "rejected",
+                      "published", "last_batch_at", "rate", F.when(F.col("mode") == "backfill", resumed).alias("resumed_from"))
+
+
+def replication_gates(source: DataFrame, docs: DataFrame, events: DataFrame, dlq: DataFrame, counters: DataFrame,
+                      progress: DataFrame, change_log: DataFrame) -> DataFrame:
+    """The gates of a drained replication, as ``quality_checks`` rows: every source
+    row is a document of its version and an event, no event twice, both sinks absorbed
+    replays, nothing is left to read or quarantined. The stores are compared key by key
+    in one aggregate (``_versions_by_key``), so errors that cancel out in sums show."""
+    n = lambda df: df.agg(F.count(F.lit(1))).scalar()
+    zero = source.sparkSession.range(0, 1, 1, 1).select(F.lit(0).cast("long").alias("expected"))
+    one = zero.select(F.lit(1).cast("long").alias("expected"))
+    rows = source.agg(F.count(F.lit(1)).alias("expected"))
+    sv, dv = F.col("s_version"), F.col("d_version")
+    keys = _versions_by_key(source, docs, events, "id")
+    wrong = keys.agg(F.count_if(~sv.eqNullSafe(dv)).alias("docs"), F.count_if(sv.isNotNull() & F.col("e_version").isNull()).alias("events"),
+                     F.count_if(sv.isNull() & F.col("e_version").isNotNull()).alias("unknown"))
+    wrong = wrong.select(F.struct("docs", "events", "unknown").alias("s")).scalar()
+    absorbed = lambda job, c: counters.where(F.col("job") == job).agg(
+        (F.coalesce(F.sum(F.col("counts")[c]), F.lit(0)) > 0).cast("long")).scalar()
+    cursor = progress.where(F.col("mode") == "incremental").agg(F.coalesce(F.max("cursor_seq"), F.lit(0)).cast("long").alias("c"))
+    left = change_log.where(F.col("seq") > cursor.scalar())
+    return quality_checks([
+        ("docs_eq_source", rows.withColumn("actual", n(docs))),
+        ("docs_of_other_version", zero.withColumn("actual", wrong.getField("docs"))),
+        ("events_eq_products", rows.withColumn("actual", events.agg(F.count_distinct("product_id")).scalar())),
+        ("events_twice", zero.withColumn("actual", events.agg(F.count(F.lit(1)) - F.count_distinct("event_id")).scalar())),
+        ("products_without_event", zero.withColumn("actual", wrong.getField("events"))),
+        ("events_without_product", zero.withColumn("actual", wrong.getField("unknown"))),
+        ("documents_absorbed_replays", one.withColumn("actual", absorbed("writer", "duplicate"))),
+        ("events_absorbed_replays", one.withColumn("actual", absorbed("consumer", "duplicates"))),
+        ("changes_left", zero.withColumn("actual", n(left))),
+        ("open_dlq", zero.withColumn("actual", n(dlq.where(F.col("status") == "open")))),
+    ])

@@ -763,6 +763,40 @@ def end_to_end_tables(spark, sf_dir) -> tuple[Fixtures, Tables]:
     return f, t
 
 
+def repaired_tables(spark, sf_dir) -> tuple[Fixtures, Tables, DataFrame]:
+    """A whole replication with a backfill stopped in its second wave, a repair of what
+    was quarantined (attributes emptied, version raised) and its replay, then the
+    consumer. Returns the repaired source too."""
+    f = fx(spark, sf_dir)
+    t = Tables.fresh(spark, "repaired", buckets=TEST_BUCKETS)
+    try:
+        run_backfill(t, f.products, "full", as_of(f), PAGE, WAVES, crash_at="after_events", crash_wave=1)
+    except InjectedCrash:
+        pass
+    run_backfill(t, f.products, "full", as_of(f), PAGE, WAVES)
+    incremental_into(spark, sf_dir, t, f, max_files=4)
+    bad = validate_strict(f.products).where(F.col("error").isNotNull()).select("id", F.lit(True).alias("bad"))
+    fixed = f.products.join(bad, "id", "left")
+    fixed = fixed.withColumn("attributes", F.when(F.col("bad"), F.lit("{}")).otherwise(F.col("attributes")))
+    fixed = fixed.withColumn("version", F.col("version") + F.when(F.col("bad"), 1).otherwise(0)).drop("bad")
+    dlq_replay(t, fixed, as_of(f), "repair").collect()
+    cons.run_consumer(spark, t, None, scratch_dir(spark, "ckpt-messages"), as_of(f))
+    return f, t, fixed
+
+
+@query("job_status")
+def q_job_status(spark, sf_dir):
+    """Every job's figures after a whole replication with a stop and a repair."""
+    _, t, _ = repaired_tables(spark, sf_dir)
+    return mon.job_status(t.counters(), t.attempts(), t.runs(), t.events_raw())
+
+
+@query("replication_gates")
+def q_replication_gates(spark, sf_dir):
+    f, t, fixed = repaired_tables(spark, sf_dir)
+    return mon.replication_gates(fixed, t.docs(), t.events_raw(), t.dlq(), t.counters(), t.progress(), f.change_log)
+
+
 @query("end_to_end")
 def q_end_to_end(spark, sf_dir):
     """The gate of a whole replication: every source row is stored as an event once and,

@@ -606,6 +606,35 @@ FROM (SELECT product_id, delivery_id, version,
              MAX(version) OVER (PARTITION BY product_id ORDER BY delivery_id
                                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev
       FROM parsed WHERE error IS NULL) x""", *P_CTES)
+# keys of the first wave: half of the ranges of 500 keys
+FIRST_WAVE = "500 * CAST(ceil(ceil((SELECT MAX(id) FROM fx_products) / 500.0) / 2) AS BIGINT)"
+CHANGED_IDS = "SELECT product_id FROM fx_change_log"
+ORACLE["job_status"] = W(f"""
+SELECT mode, batches, repeated, records, written, absorbed, rejected, published, {AS_OF} AS last_batch_at,
+       rate, CASE WHEN mode = 'backfill' THEN {FIRST_WAVE} END AS resumed_from
+FROM (
+  SELECT 'backfill' AS mode, CAST(2 AS BIGINT) AS batches, CAST(1 AS BIGINT) AS repeated, count(*) AS records,
+         count(*) FILTER (error IS NULL) AS written, CAST(0 AS BIGINT) AS absorbed, count(*) FILTER (error IS NOT NULL) AS rejected,
+         count(*) AS published, count(*) AS rate FROM ({VALIDATED}) v
+  UNION ALL
+  SELECT 'incremental', 1, 0, count(*), 0, count(*) FILTER (error IS NULL), count(*) FILTER (error IS NOT NULL), count(*), count(*)
+  FROM ({VALIDATED}) v WHERE id IN ({CHANGED_IDS})
+  UNION ALL
+  SELECT 'replay', 1, 0, count(*), count(*), 0, 0, 0, count(*) FROM ({VALIDATED}) v WHERE error IS NOT NULL
+  UNION ALL
+  SELECT 'consumer', 1, 0, count(*) + count(*) FILTER (id > {FIRST_WAVE}) + count(*) FILTER (id IN ({CHANGED_IDS})), count(*),
+         count(*) FILTER (id > {FIRST_WAVE}) + count(*) FILTER (id IN ({CHANGED_IDS})), 0, 0, count(*) FROM fx_products
+) x""")
+EVENT_IDS = "SELECT id || ':' || version AS e, id FROM fx_products"
+ORACLE["replication_gates"] = W(f"""
+SELECT "check", expected, actual, expected IS NOT DISTINCT FROM actual AS pass FROM (
+  SELECT unnest(['docs_eq_source', 'events_eq_products']) AS "check", count(*) AS expected, count(DISTINCT id) AS actual FROM fx_products
+  UNION ALL SELECT 'events_twice', 0, count(*) - count(DISTINCT e) FROM ({EVENT_IDS}) i
+  UNION ALL SELECT unnest(['docs_of_other_version', 'products_without_event', 'events_without_product', 'changes_left', 'open_dlq']), 0,
+                   count(*) - count(DISTINCT id) FROM fx_products
+  UNION ALL SELECT 'documents_absorbed_replays', 1, CAST(count(*) > 0 AS BIGINT) FROM ({VALIDATED}) v WHERE error IS NULL AND id IN ({CHANGED_IDS})
+  UNION ALL SELECT 'events_absorbed_replays', 1, CAST(count(*) > 0 AS BIGINT) FROM fx_products WHERE id > {FIRST_WAVE} OR id IN ({CHANGED_IDS})
+) c""")
 OPEN_ES = "SELECT DISTINCT record_id FROM fx_dlq WHERE sink = 'es' AND status = 'open'"
 
 

@@ -459,9 +459,12 @@ class Tables:
                 F.lit(target).cast("long").alias("target_max_id"), F.lit(width).cast("long").alias("range_width"),
                 F.lit(per_wave).cast("long").alias("ranges_per_wave"),
                 created_at.cast("timestamp_ntz").alias("created_at")).write.mode("overwrite").parquet(path)
-        r = self._read("runs", RUNS_SCHEMA).where(F.col("run_id") == run_id).first()
+        r = self.runs().where(F.col("run_id") == run_id).first()
         return r["target_max_id"], r["range_width"], r["ranges_per_wave"]
 
+    def runs(self) -> DataFrame:
+        return self._read("runs", RUNS_SCHEMA)
+
     # ------------------------------------------------------------ progress
     def progress(self) -> DataFrame:
         return self._read("progress", PROGRESS_SCHEMA)
