@@ -611,9 +611,9 @@ FIRST_WAVE = "500 * CAST(ceil(ceil((SELECT MAX(id) FROM fx_products) / 500.0) /
 CHANGED_IDS = "SELECT product_id FROM fx_change_log"
 ORACLE["job_status"] = W(f"""
 SELECT mode, batches, repeated, records, written, absorbed, rejected, published, {AS_OF} AS last_batch_at,
-       rate, CASE WHEN mode = 'backfill' THEN {FIRST_WAVE} END AS resumed_from
+       rate, CASE WHEN repeated > 0 THEN {FIRST_WAVE} END AS resumed_from
 FROM (
-  SELECT 'backfill' AS mode, CAST(2 AS BIGINT) AS batches, CAST(1 AS BIGINT) AS repeated, count(*) AS records,
+  SELECT 'backfill' AS mode, 1 + CAST(MAX(id) > {FIRST_WAVE} AS BIGINT) AS batches, CAST(MAX(id) > {FIRST_WAVE} AS BIGINT) AS repeated, count(*) AS records,
          count(*) FILTER (error IS NULL) AS written, CAST(0 AS BIGINT) AS absorbed, count(*) FILTER (error IS NOT NULL) AS rejected,
          count(*) AS published, count(*) AS rate FROM ({VALIDATED}) v
   UNION ALL
