@@ -3,8 +3,9 @@
 The pass ``(0, target]`` is cut into key ranges of ``range_width`` keys; a
 wave processes ``ranges_per_wave`` ranges at once as one Spark job (one
 parallel read with a pushed range filter, gate, both sinks), then records each
-finished range in the progress table. A rerun skips recorded ranges, and a
-wave repeated after a crash replaces exactly its own partitions. The driver
+finished range in the progress table. A rerun skips recorded waves, and a
+wave repeated after a crash replaces exactly its own partition (a wave of which only
+some ranges were recorded is repeated whole). The driver
 loops over waves only (a count bounded by configuration), never over rows.
 """
 
@@ -46,9 +47,10 @@ def run_backfill(tables: Tables, products: DataFrame, run_id: str, as_of: Column
     Target and layout are stored when the run first starts and read back on
     resume, so a wave always means the same key ranges; rows that came later
     are the incremental job's, or another run's. A key range is the unit of
-    resume and of partition overwrite, so it is sized for Spark (tens of
+    resume position, so it is sized for Spark (tens of
     thousands of keys by default), not for a network round trip. On an
-    id-clustered source a wave reads only the files of its key range."""
+    id-clustered source a wave reads only the files of its key range. A wave is one folder
+    of each sink, so files and listings follow the rows, however narrow the ranges are."""
     spark = products.sparkSession
     def plan() -> tuple[int, int, int]:
         end = int(snapshot_high_water(products).first()[0]) if target is None else target  # one number
@@ -68,14 +70,10 @@ def run_backfill(tables: Tables, products: DataFrame, run_id: str, as_of: Column
         lo, hi = r_lo * range_width, min(r_hi * range_width, target)
         k = F.col("id")
         rows = (products.where((k > lo) & (k <= hi))
-                .withColumn("range_id", range_column(k, 0, range_width))
-                .join(F.broadcast(done), "range_id", "left_anti")   # bounded by ranges_per_wave
-                .withColumn("range_batch", range_batch_id(run_id, F.col("range_id")))
+                .withColumn("range_batch", range_batch_id(run_id, range_column(k, 0, range_width)))
                 .withColumn("op", F.lit("insert")))
-        finished = {r["range_id"] for r in done.collect()}  # at most ranges_per_wave numbers
-        members = [range_batch_id(run_id, r) for r in range(r_lo, r_hi) if r not in finished]
-        write_batch(tables, rows.drop("range_id"), "backfill", f"{run_id}-w{w}", as_of,
-                    batch_col="range_batch", member_batches=members, small=False, key_range=(lo, hi),
+        write_batch(tables, rows, "backfill", f"{run_id}-w{w}", as_of,
+                    batch_col="range_batch", small=False, key_range=(lo, hi),
                     crash_at=crash_at if crash_wave in (None, w) else None)
         # progress last: one row per finished range of the wave
         prog = (spark.range(r_lo, r_hi).select(
@@ -84,6 +82,6 @@ def run_backfill(tables: Tables, products: DataFrame, run_id: str, as_of: Column
             F.least((F.col("id") + 1) * range_width, F.lit(target)).cast("long").alias("last_id"),
             F.lit(target).cast("long").alias("target_max_id"), F.lit(None).cast("long").alias("cursor_seq"),
             as_of.alias("committed_at"))
-            .join(F.broadcast(done), "range_id", "left_anti"))
-        tables.commit_progress(prog, "backfill")
+            .join(F.broadcast(done), "range_id", "left_anti"))   # bounded by ranges_per_wave
+        tables.commit_progress(prog.coalesce(1), "backfill")  # one file: recorded as a whole
     return {"target": target, "waves": n_waves, "skipped": skipped}

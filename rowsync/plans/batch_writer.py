@@ -45,8 +45,7 @@ def _touched_log(tables: Tables, batch: DataFrame, exclude: Column, small: bool,
 
 
 def write_batch(tables: Tables, rows: DataFrame, mode: str, batch_id: str, as_of: Column,
-                batch_col: str | None = None, member_batches: list[str] | None = None,
-                small: bool = False, crash_at: str | None = None,
+                batch_col: str | None = None, small: bool = False, crash_at: str | None = None,
                 key_range: tuple[int, int] | None = None) -> DataFrame:
     """Write one batch to both sinks; returns its outcome rows.
 
@@ -54,38 +53,29 @@ def write_batch(tables: Tables, rows: DataFrame, mode: str, batch_id: str, as_of
     batch time (event ``emitted_at``, DLQ ``updated_at``): an argument, so a
     replay produces the same rows. ``small``: the caller measured the batch's ids
     (``session.fits_broadcast``), they may be broadcast. For a backfill wave, ``batch_id`` names the
-    wave, ``batch_col`` the per-row key-range batch id and ``member_batches``
-    the range batch ids the wave covers (so a repeated wave replaces exactly
-    its own partitions and is judged without them)."""
+    wave and ``batch_col`` the per-row key-range batch id: the wave is the partition that a
+    repeat replaces and is judged without, the range is kept with each outcome and entry."""
     bid = F.lit(batch_id) if batch_col is None else F.col(batch_col)
-    own = member_batches or [batch_id]
     log_batch = f"{mode}-{batch_id}"
     attempt = tables.begin_attempt(mode, batch_id, as_of)
     if attempt.number > 1:
         # an overwrite by nothing leaves a partition as it is: clear what the
         # earlier attempt wrote, so that this one replaces it also where it has no rows
-        for b in own:
-            tables.clear("docs", mode=mode, batch_id=b)
-            tables.clear("outcomes", mode=mode, batch_id=b)
+        tables.clear("docs", mode=mode, batch_id=batch_id)
+        tables.clear("outcomes", mode=mode, batch_id=batch_id)
         tables.clear("dlq", log_batch=log_batch)
     batch = validate_strict(rows).withColumn("batch_id", bid)
     out = None
     try:
-        exclude = (F.col("mode") == mode) & F.col("batch_id").isin(*own)
+        exclude = (F.col("mode") == mode) & (F.col("batch_id") == batch_id)
         stored = (_touched_log(tables, batch, exclude, small, key_range)
                   .groupBy("id").agg(F.max("version").alias("version")))
         # the gate output carries every batch column (left join): it is the
         # one persisted copy of the batch that all sinks read
-        out = gate_outcomes(batch, stored)
-        if batch_col is not None:
-            # a wave writes one partition per key range: cluster the rows by
-            # range once (a range holds at most range-width rows, so no skew),
-            # so each range is one file instead of one per task and range
-            out = out.repartition("batch_id")
-        out = out.persist()
+        out = gate_outcomes(batch, stored).persist()
 
-        # 1. documents: accepted rows into the batch's own partitions
-        tables.write_docs(out.where(F.col("outcome") == "ok"), mode, None)
+        # 1. documents: accepted rows into the batch's own partition
+        tables.write_docs(out.where(F.col("outcome") == "ok"), mode, batch_id)
         if crash_at == "after_docs":
             raise InjectedCrash("after_docs")
 
@@ -122,11 +112,11 @@ def write_batch(tables: Tables, rows: DataFrame, mode: str, batch_id: str, as_of
         # 4. outcomes (source of every counter), replaced per batch
         counts = tables.write_outcomes(out.select(
             F.lit(mode).alias("mode"), "batch_id", F.lit("es").alias("sink"), "id", "version", "outcome",
-            "reason", "error", F.lit(attempt.number).alias("attempt")))
+            "reason", "error", F.lit(attempt.number).alias("attempt")), wave=batch_id if batch_col is not None else None)
         tables.write_counters("writer", mode, batch_id, attempt.number, counts | {"published": published})
         if crash_at == "before_commit":
             raise InjectedCrash("before_commit")
-        return tables.outcomes().where((F.col("mode") == mode) & F.col("batch_id").isin(*own))
+        return tables.outcomes_of(mode, batch_id)
     finally:
         if out is not None:
             out.unpersist()

@@ -1,8 +1,8 @@
 """Table layout of the sinks on plain Parquet (no MERGE/UPDATE needed).
 
-* documents: append-only log partitioned by ``mode/batch_id``; a batch writes
-  only its own partitions with dynamic overwrite, so a replayed batch replaces
-  itself. Current state = highest version per id (commutative, idempotent,
+* documents: append-only log partitioned by ``mode/batch_id``; a batch (of a backfill:
+  a wave) writes only its own partition with dynamic overwrite, so a replayed batch replaces
+  itself, and folders grow with batches, not with key ranges or rows. Current state = highest version per id (commutative, idempotent,
   hence backfill/incremental order does not matter). ``compact()`` folds the
   log into a new base generation partitioned by ``bucket`` (hash of the id)
   so point reads and the version gate prune files; ``vacuum()`` later deletes
@@ -10,7 +10,8 @@
 * events: append what is absent (anti join on event_id); readers dedupe on
   event_id, so a torn append is harmless. Never overwritten by batch (a replay
   re-reads the current row, which may have moved on).
-* outcomes: one row per record and batch, partition-overwritten by batch.
+* outcomes: one row per record and batch, partition-overwritten by batch; a wave's rows
+  keep the batch id of their key range in a column.
 * dlq: an event log (reject / resolve / bump rows, partitioned by batch) folded
   into the keyed state by an aggregate, in the order batches began writing
   (``commit_seq``), not of the times in their data.
@@ -201,11 +202,9 @@ class Tables:
         mine = self._base().where(F.col("bucket") == bucket_of(key, self.buckets)).unionByName(self._read("docs", self.DOC_LOG_SCHEMA))
         return current_state(mine.where(F.col("id") == key).drop("mode", "batch_id", "bucket"))
 
-    def write_docs(self, accepted: DataFrame, mode: str, batch_id: str | None = None) -> None:
-        """Write accepted documents into their batch partitions (``batch_id``
-        literal, or the rows' own ``batch_id`` column for a multi-range wave)."""
-        bid = F.lit(batch_id) if batch_id is not None else F.col("batch_id")
-        rows = (accepted.select(*[c.name for c in PRODUCTS.fields], bid.alias("batch_id"))
+    def write_docs(self, accepted: DataFrame, mode: str, batch_id: str) -> None:
+        """Write accepted documents into their batch's partition."""
+        rows = (accepted.select(*[c.name for c in PRODUCTS.fields], F.lit(batch_id).alias("batch_id"))
                 .withColumn("bucket", bucket_of(F.col("id"), self.buckets))
                 .withColumn("mode", F.lit(mode)))
         (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
@@ -222,7 +221,8 @@ class Tables:
         self._write_base(rows, 0)
 
     def _write_base(self, rows: DataFrame, gen: int) -> None:
-        (rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "static")
+        # a bucket is one task's file until it is large: AQE then splits it by size
+        (rows.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "static")
          .partitionBy("bucket").parquet(f"{self.path('docs_base')}/gen={gen}"))
 
     def compact(self) -> None:
@@ -337,12 +337,26 @@ class Tables:
 
     # ------------------------------------------------------------ outcomes
     def outcomes(self) -> DataFrame:
-        return self._read("outcomes", OUTCOMES)
+        return self._outcomes(self._read("outcomes", self.OUTCOMES_SCHEMA))
 
-    def write_outcomes(self, rows: DataFrame) -> dict[str, int]:
-        """Write a batch's outcomes; returns how many there are of each."""
+    OUTCOMES_SCHEMA = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in OUTCOMES.fields) + ", range_batch string"
+
+    @staticmethod
+    def _outcomes(stored: DataFrame) -> DataFrame:
+        return stored.withColumn("batch_id", F.coalesce("range_batch", "batch_id")).select(*OUTCOMES.fieldNames())
+
+    def outcomes_of(self, mode: str, batch_id: str) -> DataFrame:
+        """Outcomes of one batch, read from its own partition."""
+        return self._outcomes(self._read("outcomes", self.OUTCOMES_SCHEMA).where((F.col("mode") == mode) & (F.col("batch_id") == batch_id)))
+
+    def write_outcomes(self, rows: DataFrame, wave: str | None = None) -> dict[str, int]:
+        """Write a batch's outcomes; returns how many there are of each. Rows of several
+        key ranges go to the partition of their ``wave``."""
         names = ("ok", "duplicate", "retry", "dlq")
         rows, read = observed(rows.select(*OUTCOMES.fieldNames()), **{n: F.count_if(F.col("outcome") == n) for n in names})
+        rows = rows.withColumn("range_batch", F.col("batch_id") if wave is not None else F.lit(None).cast("string"))
+        if wave is not None:
+            rows = rows.withColumn("batch_id", F.lit(wave))
         (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("mode", "batch_id").parquet(self.path("outcomes")))
         return read()
