@@ -26,44 +26,60 @@ def _kind(v: Column, field: str) -> Column:
     return F.schema_of_variant(F.variant_get(v, f"$.{field}", "variant"))
 
 
-def _checks(attributes: Column, parsed: Column | None = None) -> list[Column]:
-    """One nullable message per rule, in check order (null = rule holds).
-    ``parsed`` is the already parsed variant column, when the caller has one."""
-    v = parsed if parsed is not None else F.try_parse_json(attributes)
-    top = F.schema_of_variant(v)
-    is_obj = top.startswith("OBJECT")
-    not_object = attributes.isNotNull() & (v.isNull() | (~is_obj & (top != F.lit("VOID"))))
+def _reads(attributes: Column, v: Column) -> dict[str, Column]:
+    """What the rules look at, each read once: kind of the whole value, keys outside the
+    mapping, kind of each field, and whether a number cannot be read."""
     allowed = F.array(*[F.lit(k) for k in ATTRIBUTE_FIELDS])
     # keys from the parsed value (a second text parse would cost as much again)
     keys = F.map_keys(F.try_variant_get(v, "$", "map<string,variant>"))
-    unknown = F.sort_array(F.array_except(keys, allowed))
+    reads = {"given": attributes.isNotNull(), "parsed": v.isNotNull(), "top": F.schema_of_variant(v),
+             "unknown": F.sort_array(F.array_except(keys, allowed))}
+    for field, typ in ATTRIBUTE_FIELDS.items():
+        reads[f"kind_{field}"] = _kind(v, field)
+        if typ == "double":
+            reads[f"unread_{field}"] = F.try_variant_get(v, f"$.{field}", "double").isNull()
+    return reads
+
+
+def _checks(r: dict[str, Column]) -> list[Column]:
+    """One nullable message per rule, in check order (null = rule holds)."""
+    is_obj = r["top"].startswith("OBJECT")
+    not_object = r["given"] & (~r["parsed"] | (~is_obj & (r["top"] != F.lit("VOID"))))
     checks = [F.when(not_object, F.lit(ERR_NOT_OBJECT))]
-    checks.append(F.when(is_obj & (F.size(unknown) > 0),
-                         F.format_string(ERR_UNKNOWN.replace("{}", "%s"), F.array_join(unknown, ","))))
+    checks.append(F.when(is_obj & (F.size(r["unknown"]) > 0),
+                         F.format_string(ERR_UNKNOWN.replace("{}", "%s"), F.array_join(r["unknown"], ","))))
     for field, typ in ATTRIBUTE_FIELDS.items():
-        kind = _kind(v, field)
+        kind = r[f"kind_{field}"]
         present = is_obj & kind.isNotNull() & (kind != F.lit("VOID"))
-        if typ == "double":
-            bad = F.try_variant_get(v, f"$.{field}", "double").isNull() | (kind == F.lit("BOOLEAN"))
-        else:
-            bad = kind.contains("OBJECT")
+        bad = r[f"unread_{field}"] | (kind == F.lit("BOOLEAN")) if typ == "double" else kind.contains("OBJECT")
         checks.append(F.when(present & bad, F.lit(ERR_TYPE.format(field, _TARGET[typ]))))
     return checks
 
 
-def violations(attributes: Column, parsed: Column | None = None) -> Column:
-    """``array<string>`` of violations of one raw attributes value (empty = valid)."""
+def _violations(reads: dict[str, Column]) -> Column:
     # the messages are distinct, so removing the nulls by set difference keeps
     # every violation in check order; unlike filter(lambda) it is code-generated
-    return F.array_except(F.array(*_checks(attributes, parsed)), F.array(F.lit(None).cast("string")))
+    return F.array_except(F.array(*_checks(reads)), F.array(F.lit(None).cast("string")))
+
+
+def violations(attributes: Column, parsed: Column | None = None) -> Column:
+    """``array<string>`` of violations of one raw attributes value (empty = valid).
+    ``parsed`` is the already parsed variant column, when the caller has one."""
+    return _violations(_reads(attributes, parsed if parsed is not None else F.try_parse_json(attributes)))
 
 
 def validate_strict(df: DataFrame, attributes: str = "attributes") -> DataFrame:
     """Add ``violations`` and ``error`` (first violation, null when valid)."""
     # parse once into a column; the checks read the parsed value (keeps the
     # generated code small instead of re-parsing the text for every field)
+    keep = [c for c in df.columns if c not in ("violations", "error")]
+    reads = _reads(F.col(attributes), F.col("_attrs_v"))
     out = df.withColumn("_attrs_v", F.try_parse_json(F.col(attributes)))
-    out = out.withColumn("violations", violations(F.col(attributes), F.col("_attrs_v"))).drop("_attrs_v")
+    # the reads come out of a one-element generator: a filter on the error (or on an
+    # outcome made of it) cannot be rewritten below it into expressions that parse and
+    # read the JSON again for every reference
+    out = out.select(*keep, F.inline(F.array(F.struct(*[c.alias(f"_r_{n}") for n, c in reads.items()]))))
+    out = out.select(*keep, _violations({n: F.col(f"_r_{n}") for n in reads}).alias("violations"))
     return out.withColumn("error", F.try_element_at(F.col("violations"), F.lit(1)))
 
 
