@@ -12,53 +12,63 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 GATE_OUTPUT = "product_id long, delivery_id long, version long, outcome string"
-GATE_STATE = "max_version long"
+GATE_STATE = "ids binary, max_versions binary"  # of one block, sorted by id, 8 bytes each
+BLOCK_IDS = 1024  # product ids a block spans: one call and one state row serve them all
 _OUT_ROWS = 65_536  # output rows per yielded frame
 
 
 def _gate(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Rows of one key in delivery order: accepted iff the version is higher
-    than every version seen before (state keeps the maximum), else replay
-    (equal) or stale (older).
+    """Rows of one block of keys, each key's in delivery order: accepted iff the version
+    is higher than every version of its key seen before (state keeps the maxima), else
+    replay (equal) or stale (older).
 
-    A key's rows of one micro-batch may arrive in several Arrow chunks in any
-    order, so the two needed columns are gathered first (16 bytes a row, one
-    key of one micro-batch) and judged once in delivery order; numpy keeps the
-    per-key cost small when a batch touches many keys."""
-    chunks = [(pdf["delivery_id"].to_numpy(np.int64), pdf["version"].to_numpy(np.int64)) for pdf in pdfs]
+    A block's rows of one micro-batch may arrive in several Arrow chunks in any order,
+    so the needed columns are gathered first (24 bytes a row, one block of one
+    micro-batch) and judged once, all keys together: numpy calls are per block, not
+    per key."""
+    chunks = [tuple(pdf[c].to_numpy(np.int64) for c in ("product_id", "delivery_id", "version")) for pdf in pdfs]
     if not chunks:
         return
-    d = np.concatenate([c[0] for c in chunks])
-    v = np.concatenate([c[1] for c in chunks])
-    if len(d) > 1:
-        order = np.argsort(d, kind="stable")
-        d, v = d[order], v[order]
-    # prev[i] = highest version before row i (state included); none for the very first
+    p, d, v = (np.concatenate(x) for x in zip(*chunks))
+    order = np.lexsort((d, p))
+    p, d, v = p[order], d[order], v[order]
+    first = np.ones(len(p), bool)
+    first[1:] = p[1:] != p[:-1]
+    at, ids = np.cumsum(first) - 1, p[first]
+    # running maximum within a key: ranks of the versions, lifted above all of the key before
+    values, rank = np.unique(v, return_inverse=True)
+    lift = at * len(values)
+    best = values[np.maximum.accumulate(rank + lift) - lift]
+    # prev[i] = highest version of the key before row i (state included); none for the very first
     prev = np.empty(len(v), np.int64)
-    prev[1:] = np.maximum.accumulate(v)[:-1]
-    seen = np.ones(len(v), bool)
-    top = int(v.max())
-    if state.exists:
-        best = int(state.get[0])
-        prev[0] = best
-        prev = np.maximum(prev, best)
-        top = max(top, best)
-    else:
-        seen[0] = False
+    prev[1:] = best[:-1]
+    known, tops = (np.frombuffer(x, np.int64) for x in state.get) if state.exists else (np.empty(0, np.int64),) * 2
+    where = np.searchsorted(known, ids)
+    had = np.zeros(len(ids), bool)
+    inside = where < len(known)
+    had[inside] = known[where[inside]] == ids[inside]
+    before = np.zeros(len(ids), np.int64)
+    before[had] = tops[where[had]]
+    prev = np.where(first, before[at], np.where(had[at], np.maximum(prev, before[at]), prev))
+    seen = had[at] | ~first
     outcome = np.where(seen & (v == prev), "replay", np.where(seen & (v < prev), "stale", "accepted"))
-    state.update((top,))
+    last = best[np.append(np.flatnonzero(first)[1:], len(p)) - 1]
+    all_ids = np.concatenate([known, ids])
+    all_tops = np.concatenate([tops, np.where(had, np.maximum(last, before), last)])
+    keep, newest = np.unique(all_ids[::-1], return_index=True)  # this batch's value of an id comes last
+    state.update((keep.tobytes(), all_tops[::-1][newest].tobytes()))
     for a in range(0, len(d), _OUT_ROWS):
         b = a + _OUT_ROWS
-        yield pd.DataFrame({"product_id": np.full(len(d[a:b]), key[0], np.int64), "delivery_id": d[a:b],
-                            "version": v[a:b], "outcome": outcome[a:b]})
+        yield pd.DataFrame({"product_id": p[a:b], "delivery_id": d[a:b], "version": v[a:b], "outcome": outcome[a:b]})
 
 
 def stateful_version_gate(events: DataFrame) -> DataFrame:
-    """Gate a stream of (product_id, delivery_id, version) in the state store:
-    one value per key, so memory is bounded by the number of keys, and each
-    micro-batch is processed group by group in Arrow batches."""
-    return (events.select("product_id", "delivery_id", "version")
-            .groupBy("product_id")
+    """Gate a stream of (product_id, delivery_id, version) in the state store: one
+    value per key, kept by blocks of ``BLOCK_IDS`` consecutive ids, so state is bounded
+    by the number of keys and calls into Python by that of blocks."""
+    block = F.floor(F.col("product_id") / F.lit(BLOCK_IDS)).cast("long")
+    return (events.select("product_id", "delivery_id", "version", block.alias("block"))
+            .groupBy("block")
             .applyInPandasWithState(_gate, GATE_OUTPUT, GATE_STATE, "append", GroupStateTimeout.NoTimeout))
 
 
