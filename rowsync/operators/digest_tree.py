@@ -30,7 +30,7 @@ def node_of(key: Column, width: int) -> Column:
     return F.floor((key - F.pmod(key, F.lit(width))) / F.lit(width)).cast("long")
 
 
-def _stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared scratch folder and read again: the digests of
     a side are made once, however many levels are compared."""
     path = scratch_dir(df.sparkSession, name)
@@ -77,7 +77,7 @@ def unlike_leaves(a: DataFrame, b: DataFrame, fanout: int = FANOUT) -> DataFrame
             if found is not None:  # children of what differs above; AQE broadcasts the list where it is short
                 side = side.join(found.withColumnRenamed("node", "_up"), node_of(F.col("node"), span * fanout) == F.col("_up"), "left_semi")
             sides.append(combined(side, span) if level else side)
-        found = _stored(_unlike(*sides), f"digest-level-{level}")
+        found = stored(_unlike(*sides), f"digest-level-{level}")
     return found
 
 
@@ -91,7 +91,7 @@ def digest_differences(a: DataFrame, b: DataFrame, key: str = "id", width: int =
     """(key, s_version, d_version) of every id whose versions differ or that one side
     lacks, and the digests that were compared: the leaf digests of both sides and
     the leaves that differ."""
-    one, two = (_stored(leaf_digests(x, key, "version", width), "digest-leaves") for x in (a, b))
+    one, two = (stored(leaf_digests(x, key, "version", width), "digest-leaves") for x in (a, b))
     leaves = unlike_leaves(one, two, fanout)
     lo, hi = leaves.agg(F.min("node"), F.max("node")).first()
     bounds = (lo, hi) if lo is not None else (0, -1)

@@ -125,6 +125,16 @@ def _children(spark: SparkSession, path: str) -> list[str]:
     return [st.getPath().getName() for st in fs.listStatus(p)] if fs.exists(p) else []
 
 
+def path_bytes(spark: SparkSession, path: str) -> int:
+    fs, p = _fs(spark, path)
+    return int(fs.getContentSummary(p).getLength())
+
+
+def data_files(spark: SparkSession, path: str) -> int:
+    """Number of data files of a folder without partitions."""
+    return sum(not c.startswith(("_", ".")) for c in _children(spark, path))
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     fs, p = _fs(spark, path)
     fs.delete(p, True)
@@ -271,7 +281,9 @@ class Tables:
         first = F.min_by(F.struct(*rest), F.struct("consumed_at", "version"))
         return raw.groupBy("event_id").agg(first.alias("_e")).select("event_id", *[F.col(f"_e.{c}").alias(c) for c in rest])
 
-    def append_events(self, rows: DataFrame, small: bool = False) -> int:
+    EVENTS_PER_FILE = 1_000_000
+
+    def append_events(self, rows: DataFrame, small: bool = False, n_rows: int = 0) -> int:
         """Append rows whose event_id is not stored yet; returns how many.
 
         The store is partitioned by a hash bucket of event_id. With ``small``
@@ -279,7 +291,7 @@ class Tables:
         ids are broadcast into a semi join with the store, which prunes the
         store to the touched buckets and finds the ids already present; the
         batch is then anti-joined with that small set. Otherwise AQE picks the
-        join from runtime sizes."""
+        join from runtime sizes. ``n_rows`` is the batch's counted size (at most)."""
         ids = rows.select("event_id", bucket_of(F.col("event_id"), self.buckets).alias("bucket")).distinct()
         probe = F.broadcast(ids) if small else ids
         present = self.events_raw().join(probe, ["bucket", "event_id"], "left_semi").select("event_id")
@@ -289,7 +301,11 @@ class Tables:
         # (event ids are unique here and hashed, so the buckets are even)
         seen = Observation()
         new = new.observe(seen, *[c.alias(n) for n, c in sketch_columns().items()])
-        new.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(self.path("events"))
+        # a large flush writes a bucket as several files, so a task's share does not grow
+        # with the flush
+        files = max(1, -(-n_rows // (self.buckets * self.EVENTS_PER_FILE)))
+        at = ["bucket"] if files == 1 else [self.buckets * files, "bucket", F.pmod(F.xxhash64("event_id", F.lit(files)), F.lit(files))]
+        new.repartition(*at).write.mode("append").partitionBy("bucket").parquet(self.path("events"))
         got = metrics_of(seen)
         if got.get("events"):
             self._write_sketches(got)

@@ -37,7 +37,7 @@ def consume_batch(tables: Tables, deliveries: DataFrame, batch_id: str, consumed
         rows = first.select("event_id", "product_id", "op", "version", "payload",
                             consumed_at.alias("consumed_at"))
         size = good.agg(F.count(F.lit(1)), F.sum(F.octet_length("event_id"))).first()
-        stored = tables.append_events(rows, small=fits_broadcast(*size))
+        stored = tables.append_events(rows, small=fits_broadcast(*size), n_rows=size[0])
         bad = parsed.where(F.col("error").isNotNull()).select(
             F.coalesce(F.col("message_id"), F.lit("?")).alias("event_id"),
             F.to_json(F.struct(F.col("body").alias("raw"))).alias("payload"), "error",
@@ -56,14 +56,11 @@ def run_consumer(spark: SparkSession, tables: Tables, folder: str | None, checkp
     """Consume what is there and stop: the deliveries under ``folder``, or without one
     the stream that the jobs published into ``tables``."""
     def apply(df: DataFrame, epoch_id: int) -> None:
-        page = df.persist()
-        try:
-            consume_batch(tables, page, f"c-{query_id(df.sparkSession, checkpoint)}-{epoch_id}", consumed_at)
-            if fail_epoch and fail_epoch.get("epoch") == epoch_id and fail_epoch.get("left", 0) > 0:
-                fail_epoch["left"] -= 1
-                raise RuntimeError("injected failure before ack")
-        finally:
-            page.unpersist()
+        # read once, into the parsed rows that the batch keeps
+        consume_batch(tables, df, f"c-{query_id(df.sparkSession, checkpoint)}-{epoch_id}", consumed_at)
+        if fail_epoch and fail_epoch.get("epoch") == epoch_id and fail_epoch.get("left", 0) > 0:
+            fail_epoch["left"] -= 1
+            raise RuntimeError("injected failure before ack")
     stream = (tables.stream_messages(max_files_per_trigger) if folder is None
               else stream_deliveries(spark, folder, max_files_per_trigger))
     q = (stream.select("delivery_id", "message_id", "body").writeStream.foreachBatch(apply)
