@@ -4,10 +4,11 @@ and bounded-memory duplicate removal with a watermark."""
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -82,8 +83,43 @@ def stream_dedupe_bounded(events: DataFrame, key: str = "event_id", event_time:
     return events.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([key])
 
 
-def drain(df: DataFrame, out_dir: str, checkpoint: str, fmt: str = "parquet") -> None:
-    """Run a streaming DataFrame with availableNow into an append file sink."""
-    q = (df.writeStream.format(fmt).option("path", out_dir).option("checkpointLocation", checkpoint)
-         .outputMode("append").trigger(availableNow=True).start())
+# State of one row a key (duplicate removal) lies in RocksDB, on the executors' disks: the
+# default store keeps every key, twice while a batch commits, as objects on their heap.
+# All stores of an executor share one bounded cache; rows are not counted on each put,
+# which would look every key up once more.
+_STORE = "spark.sql.streaming.stateStore"
+STATE_ON_DISK = {
+    f"{_STORE}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    f"{_STORE}.rocksdb.boundedMemoryUsage": "true",
+    f"{_STORE}.rocksdb.maxMemoryUsageMB": "256",
+    f"{_STORE}.rocksdb.trackTotalNumberOfRows": "false",
+}
+
+
+@contextmanager
+def _with_conf(spark: SparkSession, conf: dict[str, str]):
+    """Session settings for what is started inside: a stream keeps those of its start."""
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def drain(df: DataFrame, out_dir: str, checkpoint: str, fmt: str = "parquet", conf: dict[str, str] | None = None) -> None:
+    """Run a streaming DataFrame with availableNow into an append file sink; ``conf``
+    holds for this stream only."""
+    w = (df.writeStream.format(fmt).option("path", out_dir).option("checkpointLocation", checkpoint)
+         .outputMode("append").trigger(availableNow=True))
+    with _with_conf(df.sparkSession, conf or {}):
+        q = w.start()
     q.awaitTermination()
+
+
+def read_state(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """What a stream with its state on disk holds after its last batch."""
+    with _with_conf(spark, STATE_ON_DISK):
+        return spark.read.format("statestore").load(checkpoint)
